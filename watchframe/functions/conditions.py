@@ -138,3 +138,8 @@ def custom_match(rule: dict, columns: list[str]) -> Column:
                  lit(rule.get("mitre_tactic")).alias("tactic"),
                  lit(rule.get("mitre_technique")).alias("technique"),
                  lit(rule.get("mitre_technique_id")).alias("technique_id")))
+
+
+def matches_pattern(value: Column, pattern: Column) -> Column:
+    """Case-insensitive search with a pattern per row; patterns must be valid."""
+    return F.coalesce(F.rlike(value, F.concat(F.lit("(?i)"), pattern)), F.lit(False))

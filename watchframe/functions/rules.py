@@ -7,6 +7,7 @@ lower-cased once per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,14 @@ def static_rules(columns: list[str] | None = None) -> dict[str, Column]:
     ``columns`` tells which event columns exist; rules on a missing column
     never fire.
     """
+    return {name: build() for name, build in _rule_builders(columns).items()}
+
+
+def static_rule(name: str, columns: list[str] | None = None) -> Column:
+    return _rule_builders(columns)[name]()
+
+
+def _rule_builders(columns: list[str] | None) -> dict[str, Callable[[], Column]]:
     have = None if columns is None else set(columns)
     exists = lambda c: have is None or c in have
     name, bare, stem, path = (F.col(c) for c in ("_name", "_bare", "_stem", "_path"))
@@ -79,14 +88,14 @@ def static_rules(columns: list[str] | None = None) -> dict[str, Column]:
         return _match(condition, severity, description, tactic_id, tactic, technique,
                       technique_id, rule)
 
-    lineage = F.coalesce(*[
+    lineage = lambda: F.coalesce(*[
         _match(contains_any(parent, parents) & contains_any(name, children), severity,
                text(subject, ": '", F.col("parent_process_name") if exists("parent_process_name")
                     else "", "' -> '", shown, "'."),
                tactic_id, tactic, technique, technique_id, "Suspicious Parent-Child")
         for parents, children, severity, subject, tactic_id, tactic, technique, technique_id
-        in sig.PARENT_CHILD_GROUPS])
-    family = F.coalesce(*[
+        in sig.PARENT_CHILD_GROUPS])
+    family = lambda: F.coalesce(*[
         _match(yes(F.contains(name, F.lit(word)) | F.contains(stem, F.lit(word))), severity,
                text(subject, ": process name '", shown, "'."), tactic_id,
                tactic_id.replace("TA", "Tactic "), technique, technique_id, "Malware Family")
@@ -95,37 +104,37 @@ def static_rules(columns: list[str] | None = None) -> dict[str, Column]:
     threads = F.col("thread_count") if exists("thread_count") else F.lit(None).cast("int")
 
     rules = [
-        simple("Known Attack Tool", yes(name.isin(tools) | bare.isin(tools)),
+        lambda: simple("Known Attack Tool", yes(name.isin(tools) | bare.isin(tools)),
                text("Known attack tool / malware detected: '", shown, "'.")),
         lineage,
         family,
-        simple("Suspicious Execution Path", bad_path,
+        lambda: simple("Suspicious Execution Path", bad_path,
                text("Process '", shown, "' executing from suspicious path: '", shown_path, "'.")),
-        simple("Privilege Escalation",
+        lambda: simple("Privilege Escalation",
                yes(strip(F.lower(user)).isin(sig.PRIVILEGED_USERS) & name.isin(sig.DESKTOP_APPS)),
                text("Privilege escalation indicator: '", shown, "' running as '", or_none(user), "'.")),
-        simple("Double Extension", yes(F.col("_lower_name").rlike(sig.DOUBLE_EXTENSION)),
+        lambda: simple("Double Extension", yes(F.col("_lower_name").rlike(sig.DOUBLE_EXTENSION)),
                text("Double extension detected in '", shown, "'.")),
-        simple("Encoded Command", matches_any(path, sig.ENCODED_PATTERNS),
+        lambda: simple("Encoded Command", matches_any(path, sig.ENCODED_PATTERNS),
                text("Encoded/obfuscated command detected in '", shown, "': possible payload.")),
-        simple("Persistence Path", contains_any(path, sig.PERSISTENCE_PATHS),
+        lambda: simple("Persistence Path", contains_any(path, sig.PERSISTENCE_PATHS),
                text("Process '", shown, "' installed persistence at: '", shown_path, "'.")),
-        simple("Script Interpreter Abuse", yes(name.isin(sig.SCRIPT_INTERPRETERS)),
+        lambda: simple("Script Interpreter Abuse", yes(name.isin(sig.SCRIPT_INTERPRETERS)),
                text("Script interpreter '", shown, "' detected.")),
-        simple("Network Tool in Suspicious Path", yes(name.isin(sig.NETWORK_TOOLS)) & bad_path,
+        lambda: simple("Network Tool in Suspicious Path", yes(name.isin(sig.NETWORK_TOOLS)) & bad_path,
                text("Network tool '", shown, "' from suspicious path: '", shown_path, "'.")),
-        simple("DLL Hijacking", yes(path.endswith(".dll")) & bad_path,
+        lambda: simple("DLL Hijacking", yes(path.endswith(".dll")) & bad_path,
                text("Possible DLL hijacking: '", shown, "' loaded from suspicious path.")),
-        simple("LOLBin Abuse",
+        lambda: simple("LOLBin Abuse",
                yes(name.isin(sig.LOLBINS) & path.isNotNull() & ~contains_any(path, sig.LOLBIN_HOME_PATHS)),
                text("LOLBin '", shown, "' executed from non-standard path: '", shown_path, "'.")),
-        simple("High Thread Count", yes(threads > sig.HIGH_THREAD_COUNT),
+        lambda: simple("High Thread Count", yes(threads > sig.HIGH_THREAD_COUNT),
                text("Process '", shown, "' has abnormally high thread count: ",
                     threads.cast("string"), ". Possible injection.")),
-        simple("Network Beacon", yes(F.size(public) > 0),
+        lambda: simple("Network Beacon", yes(F.size(public) > 0),
                text("Process '", shown, "' has ", F.size(public).cast("string"),
                     " outbound connections: ", F.array_join(F.slice(public, 1, 3), "; "), ".")),
-        simple("Persistence Autorun", yes(name.isin(sig.AUTORUN_LOOKALIKES)),
+        lambda: simple("Persistence Autorun", yes(name.isin(sig.AUTORUN_LOOKALIKES)),
                text("Suspicious persistence-like process name: '", shown, "'.")),
     ]
     return dict(zip([r[0] for r in sig.STATIC_RULES], rules))

@@ -94,7 +94,7 @@ def lineage_escalation_alerts(events: DataFrame, ttl_seconds: int = 300) -> Data
     rows = _has_parent(events).select(
         "agent_id", "ts", "event_id", "pid", "parent_pid", "parent_process_name", "process_name",
         unknown_pid(F.col("parent_pid")).alias("_ppid"),
-        F.floor(micros(F.col("ts")) / ttl_us).alias("_slot"),
+        F.call_function("div", micros(F.col("ts")), F.lit(ttl_us)).alias("_slot"),
         _opens_tool(F.col("parent_process_name"), F.col("process_name")).alias("_mark"))
     copies = F.when(F.col("_mark"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = (rows.withColumn("_shift", F.explode(copies))
@@ -350,7 +350,7 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
         raise ValueError("a block must be at least as long as the ttl")
     timed = log.withColumns({"_ms": F.unix_millis("ts")})
     counts = (timed.groupBy(user, "_ms").agg(F.count("*").alias("_n"))
-              .withColumn("_blk", F.floor(F.col("_ms") / block)))
+              .withColumn("_blk", F.call_function("div", F.col("_ms"), F.lit(block))))
     spans = counts.groupBy(user, "_blk").agg(F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
     per_user = Window.partitionBy(user).orderBy("_blk")
     linked = spans.withColumn(

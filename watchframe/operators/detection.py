@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from watchframe.functions import signatures as sig
 from watchframe.functions.conditions import (custom_match, java_pattern, load_rules,
                                              single_field_match)
-from watchframe.functions.rules import (drop_rule_inputs, is_allowed_updater, severity_weight,
-                                        static_rules, with_rule_inputs)
+from watchframe.functions.rules import (MATCH_FIELDS, drop_rule_inputs, is_allowed_updater, severity_weight,
+                                        static_rule, static_rules, with_rule_inputs)
 from watchframe.functions.text import blank_to_null
 
 SEVERITIES = list(sig.SEVERITY_WEIGHT)
@@ -36,7 +36,7 @@ def static_matches(events: DataFrame) -> DataFrame:
 
 def rule_hits(events: DataFrame, rule: str) -> DataFrame:
     """Events on which one static rule fires, with its match fields."""
-    df = with_rule_inputs(events).withColumn("_m", static_rules(events.columns)[rule])
+    df = with_rule_inputs(events).withColumn("_m", static_rule(rule, events.columns))
     return drop_rule_inputs(
         df.where(F.col("_m").isNotNull()).select("*", "_m.*").drop("_m"))
 
@@ -132,15 +132,13 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
     def pick(p: Column, *names: str) -> Column:
         return F.coalesce(*[blank_to_null(p[n]) for n in names if n in fields], F.lit(""))
 
-    hits = []
-    for rule in load_rules(rules):
-        if not rule["pattern_ok"] or rule["target_field"] not in ("process_name", "process_path"):
-            continue
+    lit = lambda v: F.lit(v).cast("string")
+
+    def describe(rule: dict):
         sources = ("name", "process_name") if rule["target_field"] == "process_name" \
             else ("path", "process_path")
-        lit = lambda v: F.lit(v).cast("string")
 
-        def describe(p, rule=rule, sources=sources):
+        def on(p: Column) -> Column:
             value = pick(p, *sources)
             test = (value != "") & value.rlike(java_pattern(rule["pattern"]))
             name = F.coalesce(blank_to_null(pick(p, "name", "process_name")), F.lit("Unknown"))
@@ -154,9 +152,12 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
                 lit(rule.get("mitre_technique_id") or rule.get("mitre_technique")).alias("mitre_technique_id"),
                 lit(rule.get("mitre_tactic")).alias("mitre_tactic_name"),
                 lit(rule.get("mitre_technique")).alias("mitre_technique_name")))
+        return on
 
-        first = F.get(F.filter(F.transform("processes", describe), lambda m: m.isNotNull()), F.lit(0))
-        hits.append(first)
+    usable = [r for r in load_rules(rules)
+              if r["pattern_ok"] and r["target_field"] in ("process_name", "process_path")]
+    hits = [F.get(F.filter(F.transform("processes", describe(r)), lambda m: m.isNotNull()), F.lit(0))
+            for r in usable]
     if not hits:
         return telemetry.sparkSession.createDataFrame(
             [], telemetry.select(*keys).schema).withColumn("event_type", F.lit("custom_rule"))
@@ -214,3 +215,7 @@ def update_rule(rules: DataFrame, rule_id: int, updates: dict) -> DataFrame:
 
 def delete_rule(rules: DataFrame, rule_id: int) -> DataFrame:
     return rules.where(F.col("id") != rule_id)
+
+
+def static_rules_fields() -> list[str]:
+    return list(MATCH_FIELDS)

@@ -40,7 +40,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], ts: str = "ts"
 
     ``order`` is a total order whose first column is ``ts``.
     """
-    slotted = df.withColumn("_slot", F.floor(micros(F.col(ts)) / (slot_seconds * 1_000_000)))
+    slotted = df.withColumn("_slot", F.call_function("div", micros(F.col(ts)), F.lit(slot_seconds * 1_000_000)))
     per_key = Window.partitionBy(*keys)
     offsets = (
         slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
@@ -60,7 +60,7 @@ def with_blocks(numbered: DataFrame, look_back: int, block_rows: int = BLOCK_ROW
     """Add ``_blk`` and ``_halo``; halo rows are copies that give look-back only."""
     if block_rows < look_back:
         raise ValueError("a block must be at least as long as the look-back")
-    own = F.floor((F.col("_seq") - 1) / block_rows)
+    own = F.call_function("div", F.col("_seq") - 1, F.lit(block_rows))
     is_tail = ((F.col("_seq") - 1) % block_rows >= block_rows - look_back) & (
         (own + 1) * block_rows < F.col("_total"))
     copies = F.when(is_tail, F.array(F.struct(own.alias("b"), F.lit(False).alias("h")),

@@ -1,6 +1,6 @@
 """All checked queries."""
 
-from watchframe.plans import detect_queries  # noqa: F401
+from watchframe.plans import detect_queries, enrich_queries, time_queries  # noqa: F401
 from watchframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _value(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     return v
 
 

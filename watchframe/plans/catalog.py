@@ -1,6 +1,7 @@
 """All checked queries."""
 
-from watchframe.plans import detect_queries, enrich_queries, time_queries  # noqa: F401
+from watchframe.plans import (detect_queries, enrich_queries, manage_queries,  # noqa: F401
+                              time_queries)
 from watchframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -171,10 +171,10 @@ def _(spark, d):
 
 
 def _threats(spark, d):
-    """Stored threat reports: one for most alerts, some written by hand."""
+    """Stored threat reports: one for most alerts, some on deleted ones, some written by hand."""
     i = F.col("event_id")
-    return A.sec_events(spark, d).where(i % 7 != 0).select(
-        i.alias("id"), i.alias("alert_id"), F.concat(F.lit("summary "), i).alias("summary"),
+    return A.sec_events(spark, d).select(
+        i.alias("id"), F.when(i % 7 != 0, i).otherwise(-1).alias("alert_id"), F.concat(F.lit("summary "), i).alias("summary"),
         A.pick(["low", "medium", "high"], i).alias("confidence"), (i % 5 != 0).alias("is_auto_generated"),
         F.col("ts").alias("created_at"))
 
@@ -187,7 +187,7 @@ def _(spark, d):
 
 def _analyses(spark, d):
     i = F.col("id")
-    return A.sec_alerts(spark, d).where(i % 4 == 0).select(
+    return A.sec_alerts(spark, d).where(F.col("severity") == "LOW").select(
         i.alias("alert_id"), F.concat(F.lit("about "), i).alias("summary"), F.lit("high").alias("confidence"),
         F.array(F.lit("look"), F.lit("act")).alias("recommended_actions"), F.lit("long").alias("detailed_analysis"))
 

@@ -73,22 +73,28 @@ _BEACON = """f AS (SELECT agent_id, ts_us, min(event_id) AS event_id FROM sec GR
            FROM r JOIN g ON g.agent_id=r.agent_id AND g.rn=r.rn+1)))))"""
 
 
+def _span(df):
+    """Time between first and last contact: an integer, where the mean may sit on a rounding edge."""
+    span = F.round(F.col("mean_interval") * (F.col("samples") - 1) * 1_000_000).cast("bigint")
+    return df.withColumn("span_us", span).drop("mean_interval")
+
+
 @query("d04_beacon_alerts", with_("sec", more=_BEACON, recursive=True) + """SELECT r.agent_id, 'unknown' AS pid_key, '185.234.72.18' AS host, r.event_id,
   r.keep[-1] AS "timestamp", 'HIGH' AS severity, coalesce(process_name,'unknown') AS process_name, 'correlation_beacon' AS event_type,
-  round(mean,6) AS mean_interval, round(var,6) AS variance, CAST(len(keep) AS BIGINT) AS samples, '443' AS ports
+  keep[-1]-keep[1] AS span_us, round(var,6) AS variance, CAST(len(keep) AS BIGINT) AS samples, '443' AS ports
   FROM r JOIN sec USING (event_id) WHERE fired""")
 def _(spark, d):
-    return C.beacon_alerts(A.sec_conns(spark, d)).drop("description")
+    return _span(C.beacon_alerts(A.sec_conns(spark, d)).drop("description"))
 
 
 @query("d05_beacon_candidates", with_("sec", more="""f AS (SELECT agent_id, ts_us, min(event_id) AS event_id FROM sec GROUP BY agent_id, ts_us),
  g AS (SELECT *, (ts_us-lag(ts_us) OVER (PARTITION BY agent_id ORDER BY ts_us, event_id))/1000000.0::DOUBLE AS gap FROM f),
- s AS (SELECT *, avg(gap) OVER w AS mean, var_pop(gap) OVER w AS var, count(gap) OVER w + 1 AS samples FROM g
+ s AS (SELECT *, sum(CAST(round(gap*1000000) AS BIGINT)) OVER w AS span, var_pop(gap) OVER w AS var, count(gap) OVER w + 1 AS samples FROM g
    WINDOW w AS (PARTITION BY agent_id ORDER BY ts_us, event_id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW))""") + """
  SELECT agent_id, 'unknown' AS pid_key, '185.234.72.18' AS host, event_id, ts_us AS "timestamp", '443' AS port,
- round(mean,6) AS mean_interval, round(var,6) AS variance, samples FROM s WHERE samples>=5""")
+ CAST(span AS BIGINT) AS span_us, round(var,6) AS variance, samples FROM s WHERE samples>=5""")
 def _(spark, d):
-    return C.beacon_candidates(A.sec_conns(spark, d))
+    return _span(C.beacon_candidates(A.sec_conns(spark, d)))
 
 
 _METRICS = """m AS (SELECT agent_id, ts_us, event_id, 'cpu_usage' AS metric, cpu_usage AS v FROM sec

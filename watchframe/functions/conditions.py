@@ -124,20 +124,15 @@ def eval_rule(rule: dict, columns: list[str]) -> Column:
     return reduce(and_, parts, F.lit(True))
 
 
-def custom_match(rule: dict, columns: list[str]) -> Column:
-    """Match struct of one custom rule (same fields as the static ones), or null."""
+def custom_test(rule: dict, columns: list[str]) -> Column:
+    return passes_whitelist(rule, columns) & eval_rule(rule, columns)
+
+
+def custom_text(rule: dict, columns: list[str]) -> Column:
+    """Alert text of a custom rule, with the value of its target field."""
     field = rule.get("target_field") or ""
     shown = or_none(F.col(field)) if field in columns else F.lit("")
-    description = F.concat(F.lit(f"[CUSTOM RULE: {rule['name']}] Match on {field}='"), shown,
-                           F.lit("'"))
-    lit = lambda v: F.lit(v).cast("string")
-    return F.when(
-        passes_whitelist(rule, columns) & eval_rule(rule, columns),
-        F.struct(lit(rule["name"]).alias("rule"), lit(rule["severity"]).alias("severity"),
-                 description.alias("description"), lit(None).alias("tactic_id"),
-                 lit(rule.get("mitre_tactic")).alias("tactic"),
-                 lit(rule.get("mitre_technique")).alias("technique"),
-                 lit(rule.get("mitre_technique_id")).alias("technique_id")))
+    return F.concat(F.lit(f"[CUSTOM RULE: {rule['name']}] Match on {field}='"), shown, F.lit("'"))
 
 
 def matches_pattern(value: Column, pattern: Column) -> Column:

@@ -1,13 +1,18 @@
 """The fifteen static rules as Column expressions.
 
-Each rule yields a struct, or null when it does not fire.  Expressions read
-the prepared columns of :func:`with_rule_inputs`, so names and paths are
-lower-cased once per row.
+Evaluation goes through narrow columns so that generated code stays small:
+
+1. :func:`with_rule_inputs` lower-cases names and paths once per row;
+2. :func:`with_rule_flags` turns each rule into one boolean, and the two rules
+   with variants into the number of the variant that matched;
+3. callers pick rule positions (plain integers) and explode them, which keeps
+   later filters from repeating the tests;
+4. :func:`match_fields` looks up severity, text and technique of a position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,30 +20,40 @@ from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
 from watchframe.functions.net import established_public
-from watchframe.functions.text import contains_any, matches_any, or_none, strip
+from watchframe.functions.text import contains_any, equals_any_part, matches_any, or_none, strip
 
 MATCH_FIELDS = ["rule", "severity", "description", "tactic_id", "tactic", "technique",
                 "technique_id"]
+RULE_NAMES = [r[0] for r in sig.STATIC_RULES]
+LINEAGE, FAMILY = RULE_NAMES.index("Suspicious Parent-Child"), RULE_NAMES.index("Malware Family")
 
 _INPUTS = ["_name", "_bare", "_stem", "_lower_name", "_path", "_bad_path", "_parent", "_public"]
+_FLAGS = [f"_r{i}" for i in range(len(RULE_NAMES))]
 
 
 def _without(c: Column, *parts: str) -> Column:
     return reduce(lambda acc, part: F.replace(acc, F.lit(part), F.lit("")), parts, c)
 
 
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
 def with_rule_inputs(events: DataFrame) -> DataFrame:
     """Add the lower-cased columns the rules share; null marks a missing field."""
     have = set(events.columns)
-    col = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind)
-    name = F.when(col("process_name") != "", strip(F.lower(col("process_name"))))
-    conns = col("network_connections", "array<struct<proto:string,local:string,remote:string,state:string>>")
+    col = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
+    if "network_connections" in have:
+        public = F.transform(established_public(F.col("network_connections")), lambda c: c["remote"])
+    else:
+        public = F.lit(None).cast("array<string>")
     df = events.withColumns({
-        "_name": name,
+        "_name": F.when(col("process_name") != "", strip(F.lower(col("process_name")))),
         "_lower_name": F.lower(col("process_name")),
         "_path": F.when(col("process_path") != "", F.lower(col("process_path"))),
-        "_parent": F.when(col("parent_process_name") != "", strip(F.lower(col("parent_process_name")))),
-        "_public": F.transform(established_public(conns), lambda c: c["remote"]),
+        "_parent": F.when(col("parent_process_name") != "",
+                          strip(F.lower(col("parent_process_name")))),
+        "_public": public,
     })
     return df.withColumns({
         "_bare": _without(F.col("_name"), ".exe", ".com", ".dll"),
@@ -47,107 +62,165 @@ def with_rule_inputs(events: DataFrame) -> DataFrame:
     })
 
 
-def drop_rule_inputs(df: DataFrame) -> DataFrame:
-    return df.drop(*_INPUTS)
-
+def _variant(tests: list[Column]) -> Column:
+    """1-based number of the first test that holds, else 0."""
+    return F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests, 1)], F.lit(0))
 
-def _match(condition: Column, severity, description: Column, tactic_id, tactic, technique,
-           technique_id, rule: str) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    values = [rule, severity, description, tactic_id, tactic, technique, technique_id]
-    return F.when(condition, F.struct(*[lit(v).alias(f) for v, f in zip(values, MATCH_FIELDS)]))
 
+def _lineage_variant() -> Column:
+    return _variant([equals_any_part(F.col("_parent"), g[0]) & equals_any_part(F.col("_name"), g[1])
+                     for g in sig.PARENT_CHILD_GROUPS])
 
-def static_rules(columns: list[str] | None = None) -> dict[str, Column]:
-    """Rule name -> match struct, in evaluation order.
 
-    ``columns`` tells which event columns exist; rules on a missing column
-    never fire.
-    """
-    return {name: build() for name, build in _rule_builders(columns).items()}
+def _family_variant() -> Column:
+    words = [re.escape(f[0]) for f in sig.MALWARE_FAMILIES]
+    one_of = "|".join(words)
+    # most names hold no keyword at all, so the ordered search is rarely needed
+    any_word = F.col("_name").rlike(one_of) | F.col("_stem").rlike(one_of)
+    ordered = _variant([F.contains("_name", F.lit(f[0])) | F.contains("_stem", F.lit(f[0]))
+                        for f in sig.MALWARE_FAMILIES])
+    return F.when(_yes(any_word), ordered).otherwise(0)
 
 
-def static_rule(name: str, columns: list[str] | None = None) -> Column:
-    return _rule_builders(columns)[name]()
+def with_rule_flags(events: DataFrame, keep_names: list[str] | None = None) -> DataFrame:
+    """Events with inputs and one flag column per rule (``_r0`` ...)."""
+    df = with_rule_inputs(events)
+    have = set(events.columns)
+    name, path, bad_path = F.col("_name"), F.col("_path"), F.col("_bad_path")
+    tools = sig.attack_tools()
+    user = F.col("user") if "user" in have else F.lit(None).cast("string")
+    threads = F.col("thread_count") if "thread_count" in have else F.lit(None).cast("int")
+    tests = {
+        "Known Attack Tool": lambda: name.isin(tools) | F.col("_bare").isin(tools),
+        "Suspicious Parent-Child": _lineage_variant,
+        "Malware Family": _family_variant,
+        "Suspicious Execution Path": lambda: bad_path,
+        "Privilege Escalation": lambda: (strip(F.lower(user)).isin(sig.PRIVILEGED_USERS)
+                                         & name.isin(sig.DESKTOP_APPS)),
+        "Double Extension": lambda: F.col("_lower_name").rlike(sig.DOUBLE_EXTENSION),
+        "Encoded Command": lambda: matches_any(path, sig.ENCODED_PATTERNS),
+        "Persistence Path": lambda: contains_any(path, sig.PERSISTENCE_PATHS),
+        "Script Interpreter Abuse": lambda: name.isin(sig.SCRIPT_INTERPRETERS),
+        "Network Tool in Suspicious Path": lambda: name.isin(sig.NETWORK_TOOLS) & bad_path,
+        "DLL Hijacking": lambda: path.endswith(".dll") & bad_path,
+        "LOLBin Abuse": lambda: (name.isin(sig.LOLBINS) & path.isNotNull()
+                                 & ~contains_any(path, sig.LOLBIN_HOME_PATHS)),
+        "High Thread Count": lambda: threads > sig.HIGH_THREAD_COUNT,
+        "Network Beacon": lambda: F.size("_public") > 0,
+        "Persistence Autorun": lambda: name.isin(sig.AUTORUN_LOOKALIKES),
+    }
+    wanted = RULE_NAMES if keep_names is None else keep_names
+    flags = {}
+    for i, rule in enumerate(RULE_NAMES):
+        if rule in wanted:
+            test = tests[rule]()
+            flags[f"_r{i}"] = test if i in (LINEAGE, FAMILY) else _yes(test)
+    return df.withColumns(flags)
+
+
+def fired(position: int) -> Column:
+    flag = F.col(f"_r{position}")
+    return flag > 0 if position in (LINEAGE, FAMILY) else flag
+
+
+def drop_rule_columns(df: DataFrame) -> DataFrame:
+    return df.drop(*_INPUTS, *_FLAGS)
+
+
+def _texts(columns: list[str]) -> dict[str, Column]:
+    """Alert text of every rule."""
+    have = set(columns)
+    shown = or_none(F.col("process_name")) if "process_name" in have else F.lit("None")
+    shown_path = or_none(F.col("process_path")) if "process_path" in have else F.lit("None")
+    parent = F.col("parent_process_name") if "parent_process_name" in have else F.lit("")
+    user = or_none(F.col("user")) if "user" in have else F.lit("None")
+    threads = F.col("thread_count").cast("string") if "thread_count" in have else F.lit("")
+    text = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
+    return {
+        "Known Attack Tool": text("Known attack tool / malware detected: '", shown, "'."),
+        "Suspicious Parent-Child": text(
+            _lookup([g[3] for g in sig.PARENT_CHILD_GROUPS], F.col(f"_r{LINEAGE}") - 1), ": '", parent,
+            "' -> '", shown, "'."),
+        "Malware Family": text(
+            _lookup([f[2] for f in sig.MALWARE_FAMILIES], F.col(f"_r{FAMILY}") - 1),
+            ": process name '", shown, "'."),
+        "Suspicious Execution Path": text("Process '", shown, "' executing from suspicious path: '",
+                                          shown_path, "'."),
+        "Privilege Escalation": text("Privilege escalation indicator: '", shown, "' running as '", user, "'."),
+        "Double Extension": text("Double extension detected in '", shown, "'."),
+        "Encoded Command": text("Encoded/obfuscated command detected in '", shown, "': possible payload."),
+        "Persistence Path": text("Process '", shown, "' installed persistence at: '", shown_path, "'."),
+        "Script Interpreter Abuse": text("Script interpreter '", shown, "' detected."),
+        "Network Tool in Suspicious Path": text("Network tool '", shown, "' from suspicious path: '",
+                                                shown_path, "'."),
+        "DLL Hijacking": text("Possible DLL hijacking: '", shown, "' loaded from suspicious path."),
+        "LOLBin Abuse": text("LOLBin '", shown, "' executed from non-standard path: '", shown_path, "'."),
+        "High Thread Count": text("Process '", shown, "' has abnormally high thread count: ", threads,
+                                  ". Possible injection."),
+        "Network Beacon": text("Process '", shown, "' has ", F.size("_public").cast("string"),
+                               " outbound connections: ", F.array_join(F.slice("_public", 1, 3), "; "), "."),
+        "Persistence Autorun": text("Suspicious persistence-like process name: '", shown, "'."),
+    }
+
+
+def _lookup(values: list, index: Column) -> Column:
+    """Entry of a constant list, null outside of it."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index)
+
+
+def match_fields(position: Column, columns: list[str], names: list[str] | None = None,
+                 custom: list[dict] = (), custom_text: list[Column] = ()) -> list[Column]:
+    """Match columns of a rule position; custom rules follow the static ones.
+
+    ``names`` limits the static rules that can occur (their flags must exist).
+    """
+    names = RULE_NAMES if names is None else names
+    texts = _texts(columns)
+    table = [r[:6] for r in sig.STATIC_RULES] + [
+        (c["name"], c["severity"], None, c.get("mitre_tactic"), c.get("mitre_technique"),
+         c.get("mitre_technique_id")) for c in custom]
+    by_field = {"rule": 0, "severity": 1, "tactic_id": 2, "tactic": 3, "technique": 4, "technique_id": 5}
+    groups, families = sig.PARENT_CHILD_GROUPS, sig.MALWARE_FAMILIES
+    variants = {
+        "severity": ([g[2] for g in groups], [f[1] for f in families]),
+        "tactic_id": ([g[4] for g in groups], [f[3] for f in families]),
+        "tactic": ([g[5] for g in groups], [f[3].replace("TA", "Tactic ") for f in families]),
+        "technique": ([g[6] for g in groups], [f[4] for f in families]),
+        "technique_id": ([g[7] for g in groups], [f[5] for f in families]),
+    }
+    out = []
+    for field in MATCH_FIELDS:
+        if field == "description":
+            value = F.lit(None).cast("string")
+            for i, rule in enumerate(RULE_NAMES):
+                if rule in names:
+                    value = F.when(position == i, texts[rule]).otherwise(value)
+            for i, text in enumerate(custom_text, len(RULE_NAMES)):
+                value = F.when(position == i, text).otherwise(value)
+        else:
+            value = _lookup([row[by_field[field]] for row in table], position)
+            for i, which in ((LINEAGE, 0), (FAMILY, 1)):
+                if field in variants and RULE_NAMES[i] in names:
+                    value = F.when(position == i, _lookup(variants[field][which], F.col(f"_r{i}") - 1)
+                                   ).otherwise(value)
+        out.append(value.alias(field))
+    return out
+
+
+def severity_weight(severity: str | None) -> int:
+    """LOW 1 .. CRITICAL 4, anything else 0."""
+    return sig.SEVERITY_WEIGHT.get(severity, 0)
 
 
-def _rule_builders(columns: list[str] | None) -> dict[str, Callable[[], Column]]:
-    have = None if columns is None else set(columns)
-    exists = lambda c: have is None or c in have
-    name, bare, stem, path = (F.col(c) for c in ("_name", "_bare", "_stem", "_path"))
-    bad_path, parent, public = F.col("_bad_path"), F.col("_parent"), F.col("_public")
-    shown = or_none(F.col("process_name")) if exists("process_name") else F.lit("None")
-    shown_path = or_none(F.col("process_path")) if exists("process_path") else F.lit("None")
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    tools = sig.attack_tools()
-    meta = {r[0]: r for r in sig.STATIC_RULES}
-
-    def simple(rule: str, condition: Column, description: Column) -> Column:
-        _, severity, tactic_id, tactic, technique, technique_id, _ = meta[rule]
-        return _match(condition, severity, description, tactic_id, tactic, technique,
-                      technique_id, rule)
-
-    lineage = lambda: F.coalesce(*[
-        _match(contains_any(parent, parents) & contains_any(name, children), severity,
-               text(subject, ": '", F.col("parent_process_name") if exists("parent_process_name")
-                    else "", "' -> '", shown, "'."),
-               tactic_id, tactic, technique, technique_id, "Suspicious Parent-Child")
-        for parents, children, severity, subject, tactic_id, tactic, technique, technique_id
-        in sig.PARENT_CHILD_GROUPS])
-    family = lambda: F.coalesce(*[
-        _match(yes(F.contains(name, F.lit(word)) | F.contains(stem, F.lit(word))), severity,
-               text(subject, ": process name '", shown, "'."), tactic_id,
-               tactic_id.replace("TA", "Tactic "), technique, technique_id, "Malware Family")
-        for word, severity, subject, tactic_id, technique, technique_id in sig.MALWARE_FAMILIES])
-    user = F.col("user") if exists("user") else F.lit(None).cast("string")
-    threads = F.col("thread_count") if exists("thread_count") else F.lit(None).cast("int")
-
-    rules = [
-        lambda: simple("Known Attack Tool", yes(name.isin(tools) | bare.isin(tools)),
-               text("Known attack tool / malware detected: '", shown, "'.")),
-        lineage,
-        family,
-        lambda: simple("Suspicious Execution Path", bad_path,
-               text("Process '", shown, "' executing from suspicious path: '", shown_path, "'.")),
-        lambda: simple("Privilege Escalation",
-               yes(strip(F.lower(user)).isin(sig.PRIVILEGED_USERS) & name.isin(sig.DESKTOP_APPS)),
-               text("Privilege escalation indicator: '", shown, "' running as '", or_none(user), "'.")),
-        lambda: simple("Double Extension", yes(F.col("_lower_name").rlike(sig.DOUBLE_EXTENSION)),
-               text("Double extension detected in '", shown, "'.")),
-        lambda: simple("Encoded Command", matches_any(path, sig.ENCODED_PATTERNS),
-               text("Encoded/obfuscated command detected in '", shown, "': possible payload.")),
-        lambda: simple("Persistence Path", contains_any(path, sig.PERSISTENCE_PATHS),
-               text("Process '", shown, "' installed persistence at: '", shown_path, "'.")),
-        lambda: simple("Script Interpreter Abuse", yes(name.isin(sig.SCRIPT_INTERPRETERS)),
-               text("Script interpreter '", shown, "' detected.")),
-        lambda: simple("Network Tool in Suspicious Path", yes(name.isin(sig.NETWORK_TOOLS)) & bad_path,
-               text("Network tool '", shown, "' from suspicious path: '", shown_path, "'.")),
-        lambda: simple("DLL Hijacking", yes(path.endswith(".dll")) & bad_path,
-               text("Possible DLL hijacking: '", shown, "' loaded from suspicious path.")),
-        lambda: simple("LOLBin Abuse",
-               yes(name.isin(sig.LOLBINS) & path.isNotNull() & ~contains_any(path, sig.LOLBIN_HOME_PATHS)),
-               text("LOLBin '", shown, "' executed from non-standard path: '", shown_path, "'.")),
-        lambda: simple("High Thread Count", yes(threads > sig.HIGH_THREAD_COUNT),
-               text("Process '", shown, "' has abnormally high thread count: ",
-                    threads.cast("string"), ". Possible injection.")),
-        lambda: simple("Network Beacon", yes(F.size(public) > 0),
-               text("Process '", shown, "' has ", F.size(public).cast("string"),
-                    " outbound connections: ", F.array_join(F.slice(public, 1, 3), "; "), ".")),
-        lambda: simple("Persistence Autorun", yes(name.isin(sig.AUTORUN_LOOKALIKES)),
-               text("Suspicious persistence-like process name: '", shown, "'.")),
-    ]
-    return dict(zip([r[0] for r in sig.STATIC_RULES], rules))
+def fired_weight(position: int) -> Column:
+    """Severity weight of a static rule that fired."""
+    rows = {LINEAGE: [g[2] for g in sig.PARENT_CHILD_GROUPS],
+            FAMILY: [f[1] for f in sig.MALWARE_FAMILIES]}.get(position)
+    if rows is None:
+        return F.lit(severity_weight(sig.STATIC_RULES[position][1]))
+    return F.get(F.array(*[F.lit(severity_weight(s)) for s in rows]), F.col(f"_r{position}") - 1)
 
 
 def is_allowed_updater(process_name: Column) -> Column:
     """Updaters that never alert on the queue route."""
-    return F.coalesce(strip(F.lower(process_name)).isin(sig.ALLOWED_UPDATERS), F.lit(False))
-
-
-def severity_weight(severity: Column) -> Column:
-    """LOW 1 .. CRITICAL 4, anything else 0."""
-    weight = F.lit(0)
-    for label, value in sig.SEVERITY_WEIGHT.items():
-        weight = F.when(severity == label, value).otherwise(weight)
-    return weight
+    return _yes(strip(F.lower(process_name)).isin(sig.ALLOWED_UPDATERS))

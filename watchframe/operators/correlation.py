@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from watchframe.functions import signatures as sig
 from watchframe.functions.ids import unknown_pid
 from watchframe.functions.net import is_private, remote_host, remote_port
-from watchframe.functions.text import blank_to_null, contains_any, or_none, strip
+from watchframe.functions.text import blank_to_null, contains_any, equals_any_part, or_none, strip
 from watchframe.operators.sequence import (BLOCK_ROWS, SLOT_SECONDS, StateMachine, _groups,
                                            fold_blocks, look_back_window, micros, number_rows,
                                            with_blocks)
@@ -62,8 +62,8 @@ def brute_force_alerts(events: DataFrame, ttl_seconds: int = 60, limit: int = 5,
 # ---------------------------------------------------------------- process lineage
 
 def _opens_tool(parent: Column, child: Column) -> Column:
-    return (contains_any(F.lower(parent), sig.DOCUMENT_PARENTS)
-            & contains_any(F.lower(child), sig.DOCUMENT_CHILDREN))
+    return (equals_any_part(F.lower(parent), sig.DOCUMENT_PARENTS)
+            & equals_any_part(F.lower(child), sig.DOCUMENT_CHILDREN))
 
 
 def _has_parent(events: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
-from watchframe.functions.conditions import (custom_match, java_pattern, load_rules,
+from watchframe.functions.conditions import (custom_test, custom_text, java_pattern, load_rules,
                                              single_field_match)
-from watchframe.functions.rules import (MATCH_FIELDS, drop_rule_inputs, is_allowed_updater, severity_weight,
-                                        static_rule, static_rules, with_rule_inputs)
+from watchframe.functions.rules import (MATCH_FIELDS, RULE_NAMES, drop_rule_columns, fired,
+                                        fired_weight, is_allowed_updater, match_fields,
+                                        severity_weight, with_rule_flags)
 from watchframe.functions.text import blank_to_null
 
 SEVERITIES = list(sig.SEVERITY_WEIGHT)
@@ -27,18 +28,20 @@ def _matches(*candidates: Column) -> Column:
     return F.filter(F.array(*candidates), lambda m: m.isNotNull())
 
 
-def static_matches(events: DataFrame) -> DataFrame:
-    """Events with ``matches``: the structs of all static rules that fire, in order."""
-    df = with_rule_inputs(events)
-    rules = static_rules(events.columns)
-    return drop_rule_inputs(df.withColumn("matches", _matches(*rules.values())))
+def _positions(tests: list[Column]) -> Column:
+    """Array of the positions whose test holds."""
+    return F.array_remove(F.array(*[F.when(t, F.lit(i)).otherwise(F.lit(-1))
+                                    for i, t in enumerate(tests)]), F.lit(-1))
 
 
 def rule_hits(events: DataFrame, rule: str) -> DataFrame:
     """Events on which one static rule fires, with its match fields."""
-    df = with_rule_inputs(events).withColumn("_m", static_rule(rule, events.columns))
-    return drop_rule_inputs(
-        df.where(F.col("_m").isNotNull()).select("*", "_m.*").drop("_m"))
+    at = RULE_NAMES.index(rule)
+    df = with_rule_flags(events, [rule])
+    once = F.when(fired(at), F.array(F.lit(at)))
+    df = df.withColumn("_pos", F.explode(once))
+    return drop_rule_columns(
+        df.select("*", *match_fields(F.col("_pos"), events.columns, [rule])).drop("_pos"))
 
 
 def match_all_rules(events: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -47,41 +50,42 @@ def match_all_rules(events: DataFrame, rules: DataFrame | None = None) -> DataFr
     Custom rules take part by their single field only, as in a rule try-out.
     """
     columns = events.columns
-    df = with_rule_inputs(events)
-    found = [F.struct(m.alias("m"), F.lit(i).alias("i"))
-             for i, m in enumerate(static_rules(columns).values())]
-    for i, rule in enumerate(load_rules(rules) if rules is not None else [], len(found)):
-        lit = lambda v: F.lit(v).cast("string")
-        match = F.when(single_field_match(rule, columns), F.struct(
-            lit(rule["name"]).alias("rule"), lit(rule["severity"]).alias("severity"),
-            lit(f"[CUSTOM: {rule['name']}] Match on {rule['target_field']}").alias("description"),
-            lit(None).alias("tactic_id"), lit(rule.get("mitre_tactic")).alias("tactic"),
-            lit(rule.get("mitre_technique")).alias("technique"),
-            lit(rule.get("mitre_technique_id")).alias("technique_id")))
-        found.append(F.struct(match.alias("m"), F.lit(i).alias("i")))
-    df = df.withColumn("_hit", F.explode(F.filter(F.array(*found), lambda x: x["m"].isNotNull())))
-    return drop_rule_inputs(
-        df.select("*", F.col("_hit.i").alias("rule_position"), "_hit.m.*").drop("_hit"))
-
-
-def _alert_columns(df: DataFrame) -> DataFrame:
+    custom = load_rules(rules) if rules is not None else []
+    tests = [fired(i) for i in range(len(RULE_NAMES))] + [single_field_match(r, columns) for r in custom]
+    texts = [F.lit(f"[CUSTOM: {r['name']}] Match on {r['target_field']}") for r in custom]
+    df = with_rule_flags(events).withColumn("rule_position", F.explode(_positions(tests)))
+    return drop_rule_columns(df.select(
+        "*", *match_fields(F.col("rule_position"), columns, custom=custom, custom_text=texts)))
+
+
+def _alert_columns(df: DataFrame, fields: list[Column]) -> DataFrame:
+    f = dict(zip(MATCH_FIELDS, fields))
     return df.select(
-        "agent_id", F.col("ts").alias("timestamp"), "event_id", F.col("m.severity").alias("severity"),
+        "agent_id", F.col("ts").alias("timestamp"), "event_id", f["severity"].alias("severity"),
         "pid", "parent_pid", "parent_process_name",
         F.coalesce(blank_to_null(F.col("process_name")), F.lit("unknown")).alias("process_name"),
-        "process_path", "event_type", F.col("m.rule").alias("rule"),
-        F.col("m.description").alias("description"),
-        F.col("m.tactic_id").alias("mitre_tactic_id"), F.col("m.tactic").alias("mitre_tactic_name"),
-        F.col("m.technique_id").alias("mitre_technique_id"),
-        F.col("m.technique").alias("mitre_technique_name"),
+        "process_path", "event_type", f["rule"].alias("rule"),
+        f["description"].alias("description"),
+        f["tactic_id"].alias("mitre_tactic_id"), f["tactic"].alias("mitre_tactic_name"),
+        f["technique_id"].alias("mitre_technique_id"), f["technique"].alias("mitre_technique_name"),
         *[c for c in ("rule_count", "auto_remediation", "remediation_target") if c in df.columns])
 
 
+def _explode_known(position: Column) -> Column:
+    """One row for a position, none for null.
+
+    Unlike a filter this is not pushed below the projection, where it would
+    repeat every rule test.
+    """
+    return F.explode(F.when(position.isNotNull(), F.array(position)))
+
+
 def first_match_alerts(events: DataFrame) -> DataFrame:
     """Direct route: process starts, first static rule that fires."""
     starts = events.where(F.col("event_type") == "PROCESS_CREATED")
-    df = with_rule_inputs(starts).withColumn("m", F.coalesce(*static_rules(events.columns).values()))
-    alerts = _alert_columns(df.where(F.col("m").isNotNull()))
+    first = F.coalesce(*[F.when(fired(i), F.lit(i)) for i in range(len(RULE_NAMES))])
+    df = with_rule_flags(starts).withColumn("_pos", _explode_known(first))
+    alerts = _alert_columns(df, match_fields(F.col("_pos"), events.columns))
     return alerts.withColumn(
         "mitre_tactic_id", coalesce_names(F.col("mitre_tactic_id"), F.col("mitre_tactic_name")))
 
@@ -101,23 +105,30 @@ def worst_match_alerts(events: DataFrame, rules: DataFrame | None = None) -> Dat
     columns = events.columns
     starts = events.where((F.col("event_type") == "PROCESS_CREATED")
                           & ~is_allowed_updater(F.col("process_name")))
-    compiled = load_rules(rules) if rules is not None else []
-    candidates = list(static_rules(columns).values()) + [custom_match(r, columns) for r in compiled]
-    df = with_rule_inputs(starts).withColumn("_found", _matches(*candidates))
-    ranked = F.transform("_found", lambda m, i: F.struct(
-        severity_weight(m["severity"]).alias("w"), (-i).alias("p"), m.alias("m")))
-    actions = [F.when(custom_match(r, columns).isNotNull(), F.lit(r["auto_remediation"]))
-               for r in compiled if r.get("auto_remediation")]
-    df = df.where(F.size("_found") > 0).withColumns({
-        "m": F.array_max(ranked)["m"],
-        "rule_count": F.size("_found"),
+    custom = load_rules(rules) if rules is not None else []
+    static = len(RULE_NAMES)
+    df = with_rule_flags(starts).withColumns(
+        {f"_c{i}": custom_test(r, columns) for i, r in enumerate(custom)})
+    tests = [fired(i) for i in range(static)] + [F.col(f"_c{i}") for i in range(len(custom))]
+    weights = [fired_weight(i) for i in range(static)] + [
+        F.lit(severity_weight(r["severity"])) for r in custom]
+    # one number per rule: severity first, then the earlier position
+    span = len(tests)
+    ranks = [F.when(t, w * span + (span - 1 - i)) for i, (t, w) in enumerate(zip(tests, weights))]
+    actions = [F.when(F.col(f"_c{i}"), F.lit(r["auto_remediation"]))
+               for i, r in enumerate(custom) if r.get("auto_remediation")]
+    df = df.withColumn("_rank", _explode_known(F.greatest(*ranks))).withColumns({
+        "_pos": span - 1 - F.col("_rank") % span,
+        "rule_count": sum((t.cast("int") for t in tests[1:]), tests[0].cast("int")),
         "auto_remediation": F.coalesce(*actions[::-1], F.lit(None).cast("string")),
         "remediation_target": F.coalesce(
             blank_to_null(F.col("process_name")),
             blank_to_null(F.col("ip_address")) if "ip_address" in columns else F.lit(None),
             F.lit("unknown")),
     })
-    return _alert_columns(df).drop("mitre_tactic_id")
+    fields = match_fields(F.col("_pos"), columns, custom=custom,
+                          custom_text=[custom_text(r, columns) for r in custom])
+    return _alert_columns(df, fields).drop("mitre_tactic_id")
 
 
 def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
@@ -168,14 +179,14 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
 def custom_rule_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per event and matching custom rule: rule_id, event id and time."""
     columns = events.columns
-    found = [F.when(custom_match(r, columns).isNotNull(),
-                    F.struct(F.lit(r["id"]).cast("bigint").alias("rule_id"),
-                             F.lit(pos).alias("position"),
-                             F.lit(r.get("auto_remediation")).cast("string").alias("auto_remediation")))
-             for pos, r in enumerate(load_rules(rules))]
-    schema = "array<struct<rule_id:bigint,position:int,auto_remediation:string>>"
-    hits = _matches(*found) if found else F.array().cast(schema)
-    return events.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
+    custom = load_rules(rules)
+    if not custom:
+        return events.limit(0).select("*", F.lit(0).cast("bigint").alias("rule_id"),
+                                      F.lit("").alias("auto_remediation"))
+    pick = lambda key, kind: F.get(F.array(*[F.lit(r.get(key)).cast(kind) for r in custom]), F.col("_pos"))
+    return (events.withColumn("_pos", F.explode(_positions([custom_test(r, columns) for r in custom])))
+            .select("*", pick("id", "bigint").alias("rule_id"),
+                    pick("auto_remediation", "string").alias("auto_remediation")).drop("_pos"))
 
 
 def rule_hit_counters(rules: DataFrame, matches: DataFrame) -> DataFrame:
@@ -216,6 +227,3 @@ def update_rule(rules: DataFrame, rule_id: int, updates: dict) -> DataFrame:
 def delete_rule(rules: DataFrame, rule_id: int) -> DataFrame:
     return rules.where(F.col("id") != rule_id)
 
-
-def static_rules_fields() -> list[str]:
-    return list(MATCH_FIELDS)

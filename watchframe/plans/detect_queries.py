@@ -198,7 +198,7 @@ def _register_rule(position: int, key: str, rule: str) -> None:
     @query(key, with_(cte) + f"SELECT event_id, {MATCH} FROM ({O.hits(rule, position, cte)})")
     def _(spark, d):
         e = source(spark, d)
-        return D.rule_hits(e, rule).select("event_id", *D.static_rules_fields())
+        return D.rule_hits(e, rule).select("event_id", *D.MATCH_FIELDS)
 
 
 for _i, (_id, _slug, _rule) in enumerate(zip(_IDS, _SLUGS, sig.STATIC_RULES)):
@@ -292,7 +292,7 @@ _RULE_ID = {15: 1, 16: 2, 17: 3, 19: 5, 23: 9}
        f"SELECT event_id, {MATCH} FROM h")
 def _(spark, d):
     return D.match_all_rules(A.sec_events(spark, d), K.custom_rules(spark)).select(
-        "event_id", *D.static_rules_fields())
+        "event_id", *D.MATCH_FIELDS)
 
 
 _FIRST = with_("prep", more=f"""h AS ({O.all_hits()}), f AS (SELECT h.* FROM h JOIN sec USING (event_id)

@@ -16,9 +16,9 @@ from watchframe.functions import signatures as sig
 from watchframe.functions.ids import unknown_pid
 from watchframe.functions.net import is_private, remote_host, remote_port
 from watchframe.functions.text import blank_to_null, contains_any, equals_any_part, or_none, strip
-from watchframe.operators.sequence import (BLOCK_ROWS, SLOT_SECONDS, StateMachine, _groups,
-                                           fold_blocks, look_back_window, micros, number_rows,
-                                           with_blocks)
+from watchframe.operators.sequence import (BLOCK_ROWS, SLOT_SECONDS, StateMachine, fold_blocks,
+                                           look_back_window, micros, number_rows,
+                                           spans, whole_groups, with_blocks)
 
 
 # ---------------------------------------------------------------- failed logins
@@ -35,7 +35,7 @@ def _burst_machine(ttl_us: int, limit: int) -> StateMachine:
         held += 1
         return (0, True) if held == limit else (held, False)
 
-    return StateMachine(limit - 1, step, lambda group, t, i, before: (limit,), "attempts bigint")
+    return StateMachine(limit - 1, step, lambda columns, t, i, before: (limit,), "attempts bigint")
 
 
 def brute_force_alerts(events: DataFrame, ttl_seconds: int = 60, limit: int = 5,
@@ -153,10 +153,10 @@ def _beacon_machine(keep: int, ttl_us: int, least: int, max_variance: float) ->
                 return 0, True
         return held, False
 
-    def report(group, t, i, before):
+    def report(columns, t, i, before):
         held = min((0 if before and t[i] - t[i - 1] >= ttl_us else before) + 1, keep)
         mean, variance = _gap_stats(t, i, held)
-        ports = sorted(set(group["port"].iloc[i - held + 1:i + 1]))[:5]
+        ports = sorted(set(columns["port"][i - held + 1:i + 1]))[:5]
         return mean, variance, held, ",".join(ports)
 
     return StateMachine(keep, step, report,
@@ -307,18 +307,6 @@ def anomaly_alerts(anomalies: DataFrame, route: str = "direct") -> DataFrame:
 QUOTA_BLOCK_SECONDS = 3600
 
 
-def _quota_walk(t: np.ndarray, n: np.ndarray, ttl: int, anchor: float, count: int):
-    """Window start and requests before, for each time of a block, from a known state."""
-    starts, before = [], []
-    for at, requests in zip(t.tolist(), n.tolist()):
-        if at - anchor >= ttl:
-            anchor, count = at, 0
-        starts.append(anchor)
-        before.append(count)
-        count += requests
-    return starts, before, anchor, count
-
-
 def _quota_table(t: np.ndarray, n: np.ndarray, ttl: int) -> tuple[list, list, list]:
     """For a window that starts at row p: the window open after the block.
 
@@ -351,9 +339,9 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
     timed = log.withColumns({"_ms": F.unix_millis("ts")})
     counts = (timed.groupBy(user, "_ms").agg(F.count("*").alias("_n"))
               .withColumn("_blk", F.call_function("div", F.col("_ms"), F.lit(block))))
-    spans = counts.groupBy(user, "_blk").agg(F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
+    extents = counts.groupBy(user, "_blk").agg(F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
     per_user = Window.partitionBy(user).orderBy("_blk")
-    linked = spans.withColumn(
+    linked = extents.withColumn(
         "_fresh", F.coalesce(F.col("_lo") - F.lag("_hi").over(per_user) >= ttl, F.lit(True)))
     run_id = F.sum(F.col("_fresh").cast("bigint")).over(per_user)
     linked = linked.withColumn("_run", run_id).withColumn(
@@ -367,13 +355,12 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("at", "start", "used")]])
 
     def tables(batches):
-        for group in _groups(batches, by):
-            t, n = group["_ms"].to_numpy(), group["_n"].to_numpy()
-            at, start, used = _quota_table(t, n, ttl)
-            head = group.iloc[0]
-            yield pd.DataFrame({user: [head[user]], "_blk": [head["_blk"]], "_run": [head["_run"]],
-                                "total": [int(n.sum())],
-                                "at": [at], "start": [start], "used": [used]})
+        for frame, begin in whole_groups(batches, by):
+            t, n = frame["_ms"].to_numpy(), frame["_n"].to_numpy()
+            made = [_quota_table(t[b:e], n[b:e], ttl) for b, e in spans(begin, len(t))]
+            heads = frame.iloc[begin][[*by, "_run"]].reset_index(drop=True)
+            yield heads.assign(total=np.add.reduceat(n, begin), at=[m[0] for m in made],
+                               start=[m[1] for m in made], used=[m[2] for m in made])
 
     enter_schema = T.StructType([user_field, T.StructField("_blk", T.LongType()),
                                  T.StructField("_anchor", T.LongType()),
@@ -402,15 +389,22 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
                                 T.StructField("_before", T.LongType())])
 
     def walk(batches):
-        for group in _groups(batches, by):
-            anchor, count = float("-inf"), 0
-            if not np.isnan(group["_anchor"].iloc[0]):
-                anchor, count = int(group["_anchor"].iloc[0]), int(group["_count"].iloc[0])
-                group = group.iloc[1:]
-            starts, before, _, _ = _quota_walk(group["_ms"].to_numpy(), group["_n"].to_numpy(),
-                                               ttl, anchor, count)
-            yield pd.DataFrame({user: group[user].to_numpy(), "_ms": group["_ms"].to_numpy(),
-                                "_start": starts, "_before": before})
+        for frame, begin in whole_groups(batches, by):
+            t, n = frame["_ms"].tolist(), frame["_n"].tolist()
+            known = frame["_anchor"].to_numpy(dtype=float, na_value=np.nan)
+            counts = frame["_count"].to_numpy(dtype=float, na_value=np.nan)
+            starts, before = [0] * len(t), [0] * len(t)
+            for b, e in spans(begin, len(t)):
+                anchor, count = float("-inf"), 0
+                if known[b] == known[b]:
+                    anchor, count, b = int(known[b]), int(counts[b]), b + 1
+                for i in range(b, e):
+                    if t[i] - anchor >= ttl:
+                        anchor, count = t[i], 0
+                    starts[i], before[i] = anchor, count
+                    count += n[i]
+            out = frame[[user, "_ms"]].assign(_start=starts, _before=before)
+            yield out[~(known == known)]
 
     none = F.lit(None).cast("bigint")
     rows = (counts.withColumns({"_anchor": none, "_count": none})

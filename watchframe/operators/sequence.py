@@ -81,9 +81,9 @@ class StateMachine:
 
     ``step(t, i, held)`` takes the times of a key in microseconds, the current
     row and how many rows right before it are held; it returns the new count
-    (the current row included) and whether the row fires.  ``report(t, i,
-    held)`` gives the extra output columns of a firing row from the rows it
-    held.
+    (the current row included) and whether the row fires.  ``report(columns,
+    t, i, held)`` gives the extra output columns of a firing row from the
+    payload columns of the rows it held.
     """
 
     most_held: int
@@ -92,44 +92,62 @@ class StateMachine:
     report_schema: str
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Consecutive groups of sorted batches; only the open group is kept."""
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]
+                 ) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches regrouped so that no group is cut, with the group starts.
+
+    Only the rows of the group that is still open are kept back.
+    """
+    def starts(frame: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(frame), dtype=bool)
+        new[0] = True
+        for c in by:
+            values = frame[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+
     open_parts: list[pd.DataFrame] = []
     for batch in batches:
         if batch.empty:
             continue
-        changed = np.zeros(len(batch), dtype=bool)
-        for c in by:
-            values = batch[c].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        cuts = np.flatnonzero(changed).tolist()
-        if open_parts and any(open_parts[-1][c].iloc[-1] != batch[c].iloc[0] for c in by):
-            yield pd.concat(open_parts) if len(open_parts) > 1 else open_parts[0]
-            open_parts = []
-        start = 0
-        for cut in cuts:
-            open_parts.append(batch.iloc[start:cut])
-            yield pd.concat(open_parts) if len(open_parts) > 1 else open_parts[0]
-            open_parts, start = [], cut
-        open_parts.append(batch.iloc[start:])
+        at = starts(batch)
+        if open_parts and all(open_parts[-1][c].iloc[-1] == batch[c].iloc[0] for c in by):
+            at = at[1:]
+        if len(at):
+            done = [*open_parts, batch.iloc[:at[-1]]] if at[-1] else open_parts
+            if done:
+                frame = joined(done)
+                yield frame, starts(frame)
+            open_parts = [batch.iloc[at[-1]:]]
+        else:
+            open_parts.append(batch)
     if open_parts:
-        yield pd.concat(open_parts) if len(open_parts) > 1 else open_parts[0]
+        frame = joined(open_parts)
+        yield frame, starts(frame)
+
+
+def spans(begin: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    edges = [*begin.tolist(), size]
+    return zip(edges, edges[1:])
 
 
-def _run_from(machine: StateMachine, t: list[int], first: int, held: int) -> tuple[list, int]:
-    fired = []
-    for i in range(first, len(t)):
+def _run_from(machine: StateMachine, t: list[int], first: int, end: int, held: int) -> list:
+    fired, step = [], machine.step
+    for i in range(first, end):
         before = held
-        held, fires = machine.step(t, i, held)
+        held, fires = step(t, i, held)
         if fires:
             fired.append((i, before))
-    return fired, held
+    return fired
 
 
-def _state_table(machine: StateMachine, t: list[int], first: int) -> list[int]:
+def _state_table(machine: StateMachine, t: list[int], begin: int, first: int, end: int) -> list[int]:
     """State after the block for every possible state before it."""
-    alive = {h: [h] for h in range(min(first, machine.most_held) + 1)}
-    for i in range(first, len(t)):
+    alive = {h: [h] for h in range(min(first - begin, machine.most_held) + 1)}
+    for i in range(first, end):
         after: dict[int, list[int]] = {}
         for held, entries in alive.items():
             after.setdefault(machine.step(t, i, held)[0], []).extend(entries)
@@ -153,12 +171,12 @@ def fold_blocks(numbered: DataFrame, keys: list[str], machine: StateMachine, pay
               .withColumn("_t", micros(F.col(ts))).withColumn("_enter", F.lit(None).cast("int")))
 
     def states(batches):
-        for group in _groups(batches, by):
-            t = group["_t"].tolist()
-            first = int(group["_halo"].sum())
-            head = group.iloc[0]
-            yield pd.DataFrame({**{k: [head[k]] for k in by},
-                                "table": [_state_table(machine, t, first)]})
+        for frame, begin in whole_groups(batches, by):
+            t = frame["_t"].tolist()
+            halo = np.add.reduceat(frame["_halo"].to_numpy().astype(int), begin).tolist()
+            heads = frame.iloc[begin][by].reset_index(drop=True)
+            yield heads.assign(table=[_state_table(machine, t, b, b + h, e) for (b, e), h in
+                                      zip(spans(begin, len(t)), halo)])
 
     key_fields = [schema[k] for k in keys]
     table_schema = T.StructType([*key_fields, T.StructField("_blk", T.LongType()),
@@ -190,16 +208,18 @@ def fold_blocks(numbered: DataFrame, keys: list[str], machine: StateMachine, pay
                                *[schema[c] for c in carried_columns], *report_fields])
 
     def run(batches):
-        for group in _groups(batches, by):
-            held = 0
-            if not np.isnan(enter := group["_enter"].iloc[0]):
-                held, group = int(enter), group.iloc[1:]
-            t = group["_t"].tolist()
-            fired, _ = _run_from(machine, t, int(group["_halo"].sum()), held)
+        for frame, begin in whole_groups(batches, by):
+            t = frame["_t"].tolist()
+            halo = np.add.reduceat(frame["_halo"].to_numpy().astype(int), begin).tolist()
+            enter = frame["_enter"].to_numpy(dtype=float, na_value=np.nan)[begin].tolist()
+            fired = []
+            for (b, e), h, state in zip(spans(begin, len(t)), halo, enter):
+                known = state == state  # a state row leads the block
+                fired += _run_from(machine, t, b + h + known, e, int(state) if known else 0)
             if fired:
-                rows = group.iloc[[i for i, _ in fired]]
-                out = rows[[*keys, "_t", *carried_columns]].reset_index(drop=True)
-                reports = [machine.report(group, t, i, before) for i, before in fired]
+                columns = {c: frame[c].tolist() for c in carried_columns}
+                out = frame.iloc[[i for i, _ in fired]][[*keys, "_t", *carried_columns]].reset_index(drop=True)
+                reports = [machine.report(columns, t, i, before) for i, before in fired]
                 for n, name in enumerate(extra):
                     out[name] = [r[n] for r in reports]
                 yield out

@@ -19,7 +19,7 @@ HEADLINE = [
     "c07_process_list_rule_alerts", "d01_brute_force_alerts", "d03_lineage_escalation_alerts",
     "d04_beacon_alerts", "d05_beacon_candidates", "d06_zscore_anomalies", "d10_request_quota",
     "d11_new_processes", "e13_threat_reports", "f01_match_playbooks", "f02_plan_actions",
-    "g02_alert_detail", "g08_activity", "g09_stats", "h03_upsert_hosts", "i01_upsert_agents",
+    "g02_alert_overview", "g08_activity", "g09_stats", "h03_upsert_hosts", "i01_upsert_agents",
     "j02_redact", "j03_prompt_gate",
 ]
 

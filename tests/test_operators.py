@@ -250,3 +250,28 @@ def test_small_tables_only_are_broadcast(spark, monkeypatch):
     assert not joins.is_small(right) and joins.lookup(left, right, "k").count() == 100
     monkeypatch.setattr(joins, "SMALL_ROWS", 100)
     assert joins.is_small(right)
+
+
+def test_skewed_lookup(spark, monkeypatch):
+    """One key holds most rows; hot, cold, missing and null keys all keep their rows."""
+    from watchframe.operators import joins
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    keys = ["hot"] * 500 + ["warm"] * 50 + [f"k{i}" for i in range(30)] + [None] * 40
+    left = spark.createDataFrame(list(enumerate(keys)), "n bigint, query string")
+    right = spark.createDataFrame([(k, k.upper()) for k in ("hot", "k1", "k2", "other")], "query string, data string")
+    got = {r.n: r.data for r in joins.skewed_lookup(left, right, "query").collect()}
+    known = {"hot": "HOT", "k1": "K1", "k2": "K2"}
+    assert got == {n: known.get(k) for n, k in enumerate(keys)}
+
+
+def test_alert_detail(spark):
+    a = alerts(spark, {}, {})
+    agents = spark.createDataFrame([("a", "host")], "agent_id string, hostname string")
+    telemetry = spark.createDataFrame([(1, "a", T(1), 5.0, 6.0), (2, "a", T(2), 7.0, 8.0)],
+                                      "id bigint, device_id string, timestamp timestamp, cpu_usage double, ram_usage double")
+    reports = spark.createDataFrame([(1, 2, "old", T(1)), (2, 2, "new", T(5)), (3, 1, "x", T(9))],
+                                    "id bigint, alert_id bigint, summary string, created_at timestamp")
+    fixes = spark.createDataFrame([(1, 2, "kill", T(1))], "id bigint, alert_id bigint, action string, executed_at timestamp")
+    row, sections = G.alert_detail(a, agents, telemetry, reports, fixes, 2)
+    assert (row.first().agent_hostname, row.first().telemetry.cpu_usage) == ("host", 7.0)
+    assert [(r.section, r.entry_id) for r in sections.collect()] == [("remediation", 1), ("threat_report", 2), ("threat_report", 1)]

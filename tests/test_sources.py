@@ -68,7 +68,7 @@ def test_socket_tables(spark):
              ("h", "linux", "udp UNCONN 0 0 1.1.1.1:1"), ("w", "windows", "  TCP 1.1.1.1:5 2.2.2.2:6 ESTABLISHED 44"), ("w", "windows", "  TCP 1.1.1.1:5 2.2.2.2:6 LISTENING 0"),
              ("w", "windows", "  Proto  Local Address  Foreign Address  State PID"), ("m", "macos", "COMMAND PID USER FD TYPE DEVICE SIZE NODE NAME x"),
              ("m", "macos", "app 9 u 1u IPv4 0x1 0t0 TCP 1.1.1.1:1->2.2.2.2:2 (ESTABLISHED)"), ("m", "macos", "app 9 u 1u IPv4 0x1 0t0 UDP 1.1.1.1:1")]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(lines)], "host string, os string, line string, line_no int")
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(lines)], "host string, os string, line string, line_no int").withColumn("ts", F.lit(0))
     got = {(r.host, r.pid): [tuple(c) for c in r.network_connections] for r in HO.parse_socket_table(df).collect()}
     assert got[("h", 7)] == [("tcp", "0.0.0.0:1", "8.8.8.8:53", "ESTAB")]
     assert got[("w", 44)] == [("TCP", "1.1.1.1:5", "2.2.2.2:6", "ESTABLISHED")]

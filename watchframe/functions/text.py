@@ -27,7 +27,7 @@ def or_none(c: Column) -> Column:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False)) if not conditions else reduce(or_, conditions)
+    return reduce(or_, conditions) if conditions else F.lit(False)
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
@@ -80,10 +80,33 @@ def is_prompt_suspicious(text: Column) -> Column:
     return (prompt_score(text) > 0.85) | matches_any(text, sig.PROMPT_PATTERNS, "(?i)")
 
 
+def _let(value: Column, use) -> Column:
+    """Bind a value once for an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _guarded(pattern: str, mark: str, hints: list[str]):
+    def use(t: Column) -> Column:
+        searched = t if hints == ["@"] else F.lower(t)
+        found = any_of([F.contains(searched, F.lit(h)) for h in hints])
+        return F.when(found, F.regexp_replace(t, pattern, mark)).otherwise(t)
+    return use
+
+
+# a redaction can only apply where one of these (lower-cased) texts occurs
+_REDACTION_HINTS = [None, ["@"], ["passw"], ["key", "token", "secret"], None]
+
+
 def redact(text: Column) -> Column:
-    """Five replacements, in order: address, e-mail, password, key, long hex."""
-    for pattern, placeholder in sig.REDACTIONS:
-        text = F.regexp_replace(text, pattern, placeholder)
+    """Five replacements, in order: address, e-mail, password, key, long hex.
+
+    The costly patterns run only on texts that hold their key word.
+    """
+    for (pattern, mark), hints in zip(sig.REDACTIONS, _REDACTION_HINTS):
+        if hints is None:
+            text = F.regexp_replace(text, pattern, mark)
+        else:
+            text = _let(text, _guarded(pattern, mark, hints))
     return text
 
 

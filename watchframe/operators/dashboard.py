@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
 from watchframe.functions.text import ilike_any_part
-from watchframe.operators.joins import latest, lookup
+from watchframe.operators.joins import latest, lookup, skewed_lookup
 
 KILLABLE = ["PROCESS_CREATED", "custom_rule"]
 
@@ -36,27 +36,39 @@ def list_alerts(alerts: DataFrame, severity: str | None = None, is_resolved: boo
     return newest(rows, "timestamp", min(limit, 1000), skip)
 
 
-def alert_detail(alerts: DataFrame, agents: DataFrame, telemetry: DataFrame, reports: DataFrame,
-                 remediations: DataFrame, alert_id: int | None = None) -> DataFrame:
-    """Alerts with host name, latest telemetry, reports and remediations (newest first)."""
-    if alert_id is not None:
-        alerts = alerts.where(F.col("id") == alert_id)
-        reports = reports.where(F.col("alert_id") == alert_id)
-        remediations = remediations.where(F.col("alert_id") == alert_id)
+def alert_overview(alerts: DataFrame, agents: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """Alerts with the host name and the latest telemetry of their agent."""
     sample = [c for c in ("cpu_usage", "ram_usage", "processes", "users", "network_flows")
               if c in telemetry.columns]
     last = telemetry.groupBy(F.col("device_id").alias("agent_id")).agg(
         F.max_by(F.struct(*sample), F.struct("timestamp", "id")).alias("telemetry"))
+    named = lookup(alerts, agents.select("agent_id", F.col("hostname").alias("agent_hostname")), "agent_id")
+    return skewed_lookup(named, last, "agent_id")
+
 
-    def nested(rows: DataFrame, ts: str, name: str) -> DataFrame:
-        rest = [c for c in rows.columns if c not in ("alert_id", ts, "id")]
-        return rows.groupBy(F.col("alert_id").alias("id")).agg(F.sort_array(
-            F.collect_list(F.struct(ts, F.col("id").alias("id"), *rest)), asc=False).alias(name))
+def alert_sections(alerts: DataFrame, reports: DataFrame, remediations: DataFrame) -> DataFrame:
+    """Reports and remediations of alerts, one row each: (id, section, at, entry_id, body).
+
+    The long form suits any number of entries per alert.
+    """
+    def rows(df: DataFrame, ts: str, section: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("alert_id", ts, "id")]
+        return df.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi").select(
+            F.col("alert_id").alias("id"), F.lit(section).alias("section"), F.col(ts).alias("at"),
+            F.col("id").alias("entry_id"), F.to_json(F.struct(*rest)).alias("body"))
 
-    return (lookup(alerts, agents.select("agent_id", F.col("hostname").alias("agent_hostname")), "agent_id")
-            .join(last, "agent_id", "left")
-            .join(nested(reports, "created_at", "threat_reports"), "id", "left")
-            .join(nested(remediations, "executed_at", "remediations"), "id", "left"))
+    return rows(reports, "created_at", "threat_report").unionByName(
+        rows(remediations, "executed_at", "remediation"))
+
+
+def alert_detail(alerts: DataFrame, agents: DataFrame, telemetry: DataFrame, reports: DataFrame,
+                 remediations: DataFrame, alert_id: int) -> tuple[DataFrame, DataFrame]:
+    """(overview row, report and remediation rows newest first) of one alert."""
+    one = alerts.where(F.col("id") == alert_id)
+    sections = alert_sections(one, reports.where(F.col("alert_id") == alert_id),
+                              remediations.where(F.col("alert_id") == alert_id))
+    return (alert_overview(one, agents, telemetry),
+            sections.orderBy("section", F.desc("at"), F.desc("entry_id")))
 
 
 def resolve_all(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:

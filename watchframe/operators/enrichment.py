@@ -9,7 +9,7 @@ from watchframe.functions import signatures as sig
 from watchframe.functions.net import is_internal, is_ipv4
 from watchframe.functions.text import (alert_context, blank_to_null, extract_domains, extract_ips,
                                        or_none)
-from watchframe.operators.joins import latest
+from watchframe.operators.joins import latest, skewed_lookup
 
 CACHE_SECONDS = 86_400
 BATCH_LOOKUP_SIZE = 50
@@ -45,13 +45,13 @@ def osint_lookup(keys: DataFrame, reports: DataFrame, source: str, now: Column)
     """``keys`` (column ``query``) with ``data`` of the newest unexpired report, or null."""
     valid = reports.where((F.col("source") == source) & (F.col("cached_until") >= now))
     newest = latest(valid.select("query", "created_at", "id", "data"), ["query"], ["created_at", "id"])
-    return keys.join(newest.select("query", "data"), "query", "left")
+    return skewed_lookup(keys, newest.select("query", "data"), "query")
 
 
 def domain_reports(keys: DataFrame, reports: DataFrame) -> DataFrame:
     """``keys`` with ``data`` of any report on the domain; the lowest id is taken."""
     first = reports.groupBy("query").agg(F.min_by("data", "id").alias("data"))
-    return keys.join(first, "query", "left")
+    return skewed_lookup(keys, first, "query")
 
 
 def save_osint(data: DataFrame, now: Column, ttl_seconds: int | None = None) -> DataFrame:

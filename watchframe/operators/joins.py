@@ -24,6 +24,30 @@ def lookup(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFram
     return left.join(F.broadcast(right) if is_small(right) else right, on, how)
 
 
+HOT_KEYS = 100
+
+
+def skewed_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a derived table that has one row per key, for any skew of the left side.
+
+    The most frequent keys of the left side (at most HOT_KEYS, so at most that
+    many rows of the right side) are joined by broadcast; every other key holds
+    less than 1 / HOT_KEYS of the rows and is joined by shuffle. Rows without a
+    key take part in neither.
+    """
+    known = left.where(F.col(key).isNotNull())
+    hot = F.broadcast(known.groupBy(key).agg(F.count("*").alias("_n"))
+                      .orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key))
+    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+    columns = [*left.columns, *[c for c in right.columns if c != key]]
+    parts = [known.join(hot, key, "left_semi").join(hot_right, key, "left"),
+             known.join(hot, key, "left_anti").join(right, key, "left"),
+             left.where(F.col(key).isNull()).select("*", *empty)]
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(
+        parts[2].select(*columns))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key by ``order``; combines before the shuffle, so hot keys are fine."""
     rest = [c for c in df.columns if c not in keys]

@@ -48,7 +48,11 @@ def now() -> Column:
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return from_events(table(spark, sf_dir, "events"))
+
+
+def from_events(e: DataFrame) -> DataFrame:
+    """The event mapping, for a batch or a streaming table."""
     i, kind = F.col("event_id"), F.col("event_type")
     return e.select(
         "event_id", F.concat(F.lit("agent-"), F.col("user_id")).alias("agent_id"),
@@ -84,8 +88,12 @@ def sec_conns_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sec_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts_from(sec_events(spark, sf_dir))
+
+
+def alerts_from(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
-    return sec_events(spark, sf_dir).select(
+    return events.select(
         i.alias("id"), "agent_id", F.col("ts").alias("timestamp"),
         pick(["LOW", "MEDIUM", "HIGH", "critical"], i).alias("severity"),
         F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("is_resolved"),

@@ -134,17 +134,14 @@ def _(spark, d):
     return HO.parse_oui(A.table(spark, d, "events").select(i.alias("line_no"), line.alias("value")))
 
 
-_SOCK = """sock AS (SELECT event_id, hostname AS host, event_id%7 AS pid, event_id%3 AS kind,
+_SOCK = """sock AS (SELECT event_id, ts_us, hostname AS host, event_id%7 AS pid, event_id%3 AS kind,
   CASE event_id%3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'TCP' ELSE 'IPv4' END AS proto,
   CASE event_id%3 WHEN 2 THEN '10.0.0.1:'||(event_id%99)||'->8.8.8.8:53' ELSE '10.0.0.1:'||(event_id%99) END AS "local",
   CASE event_id%3 WHEN 2 THEN '10.0.0.1:'||(event_id%99)||'->8.8.8.8:53' ELSE '8.8.8.8:53' END AS remote,
   CASE event_id%3 WHEN 0 THEN 'ESTAB' WHEN 1 THEN 'ESTABLISHED' ELSE '(ESTABLISHED)' END AS state FROM sec)"""
 
 
-@query("a12_parse_socket_table", with_("sec", more=_SOCK) + """SELECT host, pid, count(*) AS connections,
-  string_agg(proto||','||"local"||','||remote||','||state, ';' ORDER BY event_id) AS listing
-  FROM sock WHERE kind=0 OR pid>0 GROUP BY host, pid""")
-def _(spark, d):
+def _socket_lines(spark, d):
     i, pid = F.col("event_id"), F.col("event_id") % 7
     port = (i % 99).cast("string")
     text = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
@@ -153,13 +150,26 @@ def _(spark, d):
             .otherwise(text("app ", pid, " root 3u IPv4 0xabc 0t0 TCP 10.0.0.1:", port,
                             "->8.8.8.8:53 (ESTABLISHED)")))
     # the listing of the third system keeps its own column order
-    lines = A.sec_events(spark, d).select(
+    return A.sec_events(spark, d).select(
         F.col("hostname").alias("host"), A.pick(["linux", "windows", "macos"], i).alias("os"),
-        i.alias("line_no"), line.alias("line"))
-    listed = HO.parse_socket_table(lines)
+        i.alias("line_no"), F.col("ts"), line.alias("line"))
+
+
+@query("a12_socket_rows", with_("sec", more=_SOCK) + """SELECT event_id AS line_no, host, pid, proto, "local", remote, state FROM sock WHERE kind=0 OR pid>0""")
+def _(spark, d):
+    kind = F.when(F.col("conn.local").contains("->"), "IPv4").otherwise(F.col("conn.proto"))
+    return HO.socket_rows(_socket_lines(spark, d)).select(
+        "line_no", "host", "pid", kind.alias("proto"), "conn.local", "conn.remote", "conn.state")
+
+
+@query("a12_parse_socket_table", with_("sec", more=_SOCK) + """SELECT host, ts_us AS ts, pid, count(*) AS connections,
+  string_agg(proto||','||"local"||','||remote||','||state, ';' ORDER BY event_id) AS listing
+  FROM sock WHERE kind=0 OR pid>0 GROUP BY host, ts_us, pid""")
+def _(spark, d):
+    listed = HO.parse_socket_table(_socket_lines(spark, d))
     one = lambda c: F.concat_ws(",", F.when(c["local"].contains("->"), "IPv4").otherwise(c["proto"]),
                                 c["local"], c["remote"], c["state"])
-    return listed.select("host", "pid", F.size("network_connections").cast("bigint").alias("connections"),
+    return listed.select("host", "ts", "pid", F.size("network_connections").cast("bigint").alias("connections"),
                          F.array_join(F.transform("network_connections", one), ";").alias("listing"))
 
 

@@ -37,20 +37,22 @@ def _remediations(spark, d):
         F.col("ts").alias("executed_at"), F.lit("done").alias("details"))
 
 
-@query("g02_alert_detail", with_("alerts", "telemetry", "agents", more="""t AS (SELECT * FROM telemetry
-   QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY "timestamp" DESC, id DESC)=1),
-  tr AS (SELECT event_id AS alert_id, 'summary '||event_id AS reports FROM sec WHERE event_id%7<>0),
-  rm AS (SELECT event_id-event_id%2 AS alert_id, string_agg(CASE event_id%2 WHEN 0 THEN 'kill' ELSE 'block' END||event_id, ',' ORDER BY ts_us DESC, event_id DESC) AS actions
-    FROM sec WHERE event_id%4<>0 GROUP BY 1)""") + """
-  SELECT a.id, a.agent_id, g.hostname AS agent_hostname, a.severity, round(t.cpu_usage,6) AS cpu_usage, reports, actions
-  FROM alerts a LEFT JOIN agents g USING (agent_id) LEFT JOIN t ON t.device_id=a.agent_id LEFT JOIN tr ON tr.alert_id=a.id LEFT JOIN rm ON rm.alert_id=a.id""")
-def _(spark, d):
-    detail = G.alert_detail(A.sec_alerts(spark, d), A.sec_agents(spark, d), A.sec_telemetry(spark, d),
-                            _threats(spark, d), _remediations(spark, d))
-    named = F.transform("remediations", lambda r: F.concat(r["action"], r["id"]))
-    return detail.select("id", "agent_id", "agent_hostname", "severity", "telemetry.cpu_usage",
-                         F.array_join("threat_reports.summary", ",").alias("reports"),
-                         F.array_join(named, ",").alias("actions"))
+@query("g02_alert_overview", with_("alerts", "telemetry", "agents", more="""t AS (SELECT * FROM telemetry
+   QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY "timestamp" DESC, id DESC)=1)""") + """
+  SELECT a.id, a.agent_id, g.hostname AS agent_hostname, a.severity, round(t.cpu_usage,6) AS cpu_usage
+  FROM alerts a LEFT JOIN agents g USING (agent_id) LEFT JOIN t ON t.device_id=a.agent_id""")
+def _(spark, d):
+    found = G.alert_overview(A.sec_alerts(spark, d), A.sec_agents(spark, d), A.sec_telemetry(spark, d))
+    return found.select("id", "agent_id", "agent_hostname", "severity", "telemetry.cpu_usage")
+
+
+@query("g02_alert_sections", with_("sec") + """SELECT event_id AS id, 'threat_report' AS section, ts_us AS "at", event_id AS entry_id,
+   'summary '||event_id AS what FROM sec WHERE event_id%7<>0
+   UNION ALL SELECT event_id-event_id%2, 'remediation', ts_us, event_id, CASE event_id%2 WHEN 0 THEN 'kill' ELSE 'block' END FROM sec WHERE event_id%4<>0""")
+def _(spark, d):
+    rows = G.alert_sections(A.sec_alerts(spark, d), _threats(spark, d), _remediations(spark, d))
+    what = F.coalesce(F.get_json_object("body", "$.summary"), F.get_json_object("body", "$.action"))
+    return rows.withColumn("what", what).drop("body")
 
 
 @query("g03_resolve_all", with_("alerts") + f"SELECT true AS is_resolved, count(*) AS n, (SELECT count(*) FROM alerts WHERE {_OPEN}) AS resolved FROM alerts")

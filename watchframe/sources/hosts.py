@@ -53,11 +53,20 @@ def socket_line(line: Column, os: Column) -> Column:
     return F.when(os == "linux", linux).when(os == "windows", windows).when(os == "macos", macos)
 
 
+def socket_rows(lines: DataFrame) -> DataFrame:
+    """Lines of socket listings (os, line, ...) with ``pid`` and ``conn``; other lines drop out."""
+    found = F.explode(F.array_compact(F.array(socket_line(F.col("line"), F.lower("os")))))
+    return lines.withColumn("_s", found).select(
+        *[c for c in lines.columns if c not in ("os", "line")], "_s.pid", "_s.conn")
+
+
 def parse_socket_table(lines: DataFrame) -> DataFrame:
-    """(host, os, line_no, line) rows to one row per (host, pid) with its connections."""
-    rows = lines.withColumn("_s", socket_line(F.col("line"), F.lower("os"))).where("_s IS NOT NULL")
-    listed = F.sort_array(F.collect_list(F.struct("line_no", "_s.conn")))
-    return rows.groupBy("host", F.col("_s.pid").alias("pid")).agg(
+    """Listings of (host, ts) with their line_no to one row per process with its connections.
+
+    One listing bounds the array; use :func:`socket_rows` for the flat form.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("line_no", "conn")))
+    return socket_rows(lines).groupBy("host", "ts", "pid").agg(
         F.transform(listed, lambda x: x["conn"]).alias("network_connections"))
 
 

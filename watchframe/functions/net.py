@@ -40,26 +40,31 @@ def is_ipv4(c: Column) -> Column:
 
 def ip_to_long(ip: Column) -> Column:
     """IPv4 text as a number, null when it is not an address."""
-    octets = [F.split(ip, r"\.").getItem(i).cast("bigint") for i in range(4)]
+    octets = [F.get(F.split(ip, r"\."), F.lit(i)).try_cast("bigint") for i in range(4)]
     number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
     return F.when(is_ipv4(ip), number)
 
 
+def _prefix_length(cidr: Column) -> Column:
+    """Length behind the slash, 32 without one, null when it is not a number up to 32."""
+    text = F.try_element_at(F.split(cidr, "/"), F.lit(2))
+    bits = text.try_cast("int")
+    return F.when(text.isNull(), 32).when(bits.between(0, 32), bits)
+
+
 def ip_in_cidr(ip: Column, cidr: Column) -> Column:
     """Whether an IPv4 address lies in a network; host bits of the network are ignored."""
     base = ip_to_long(F.split(cidr, "/").getItem(0))
-    bits = F.coalesce(F.try_element_at(F.split(cidr, "/"), F.lit(2)).cast("int"), F.lit(32))
+    bits = _prefix_length(cidr)
     size = F.pow(F.lit(2), F.lit(32) - bits).cast("bigint")
     return F.coalesce(F.floor(ip_to_long(ip) / size) == F.floor(base / size), F.lit(False))
 
 
 def is_scannable_network(cidr: Column) -> Column:
     """At most 256 addresses, and private or loopback."""
-    bits = F.coalesce(F.try_element_at(F.split(cidr, "/"), F.lit(2)).cast("int"), F.lit(32))
+    bits = _prefix_length(cidr)
     base = F.split(cidr, "/").getItem(0)
-    private = F.coalesce(
-        base.rlike(r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|127\.|169\.254\.|0\.)"), F.lit(False))
-    return is_ipv4(base) & private & bits.between(24, 32)
+    return is_ipv4(base) & is_private_v4(base) & F.coalesce(bits >= 24, F.lit(False))
 
 
 def established_public(conns: Column, private=is_private_v4) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 500_000
-SLOT_SECONDS = 60
+SLOT_SECONDS = 300
 
 
 def micros(ts: Column) -> Column:

@@ -148,10 +148,10 @@ def test_scan_ingest(spark):
 
 def test_agent_status(spark):
     hosts = spark.createDataFrame([("1.1.1.1",), ("2.2.2.2",)], "ip_address string").withColumns(
-        {"guard_status": F.lit("not_deployed"), "metrics_status": F.lit("deployed")})
+        {"endpoint_status": F.lit("not_deployed"), "metrics_status": F.lit("deployed")})
     agents = spark.createDataFrame([("1.1.1.1", "E", T(0)), ("1.1.1.1", "M", T(-276)), ("2.2.2.2", "E", None)],
                                    "ip_address string, agent_type string, last_seen timestamp")
-    got = {r.ip_address: (r.guard_status, r.metrics_status) for r in H.sync_agent_status(hosts, agents, now(), ["E"], ["M"]).collect()}
+    got = {r.ip_address: (r.endpoint_status, r.metrics_status) for r in H.sync_agent_status(hosts, agents, now(), ["E"], ["M"]).collect()}
     assert got == {"1.1.1.1": ("active", "deployed"), "2.2.2.2": ("not_deployed", "deployed")}
 
 
@@ -236,10 +236,10 @@ def test_model_report(spark):
     assert got == {1: ("s", ["a"]), 2: ("Alert: d", ["Investigate process p on host"]), 3: ("Alert: d", ["Investigate process p on host"])}
 
 
-@pytest.mark.parametrize("guard,metrics,want", [("active", "active", "active (Endpoint + Metrics)"), ("active", "x", "active (Endpoint)"),
+@pytest.mark.parametrize("endpoint,metrics,want", [("active", "active", "active (Endpoint + Metrics)"), ("active", "x", "active (Endpoint)"),
                                                 ("x", "deployed", "deployed"), ("x", "x", "not_deployed")])
-def test_host_summary(spark, guard, metrics, want):
-    assert one(spark, H.host_summary_status(F.lit(guard), F.lit(metrics))) == want
+def test_host_summary(spark, endpoint, metrics, want):
+    assert one(spark, H.host_summary_status(F.lit(endpoint), F.lit(metrics))) == want
 
 
 def test_small_tables_only_are_broadcast(spark, monkeypatch):

@@ -3,8 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from watchframe import schemas as S
 from watchframe.functions import signatures as sig
 from watchframe.functions.conditions import is_valid_pattern, load_rules
@@ -177,4 +175,3 @@ def test_rule_table_changes(spark):
     changed = D.update_rule(table, 1, {"severity": "LOW", "unknown": 1}).where("id = 1").first()
     assert changed.severity == "LOW"
     assert [r.id for r in D.delete_rule(table, 1).collect()] == [2]
-    assert F is not None

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchframe.functions.text import blank_to_null
-from watchframe.operators.joins import latest
-
-AGENT_COLUMNS = ["agent_id", "hostname", "ip_address", "os_type", "agent_type", "last_seen"]
 
 
 def _reported(reports: DataFrame) -> DataFrame:
@@ -106,6 +103,3 @@ def derived_metrics(raw: DataFrame) -> DataFrame:
         "ram_usage": (total - F.col("ram_available")) / total * 100,
         "disk_free": mib("disk_free_bytes"), "disk_total": mib("disk_total_bytes")})
 
-
-def newest_snapshot(telemetry: DataFrame) -> DataFrame:
-    return latest(telemetry, ["device_id"], ["timestamp", "id"])

@@ -38,11 +38,6 @@ def mac_vendor(hosts: DataFrame, oui: DataFrame) -> DataFrame:
         "vendor", F.when(has_mac, F.coalesce("_v", F.lit("Unknown")))).drop("_v", "prefix")
 
 
-HOST_COLUMNS = ["ip_address", "hostname", "mac_address", "vendor", "os_guess", "os_confidence",
-                "status", "open_ports", "source", "guard_status", "metrics_status", "first_seen",
-                "last_seen"]
-
-
 def upsert_hosts(hosts: DataFrame, scan: DataFrame, now: Column, agent_label: str = "agent") -> DataFrame:
     """Host table after a scan (ip_address, open_ports, hostname, mac_address, vendor, source, ts).
 
@@ -68,7 +63,7 @@ def upsert_hosts(hosts: DataFrame, scan: DataFrame, now: Column, agent_label: st
         when(F.when(open_now, "reachable").otherwise("unknown"), F.col("status")).alias("status"),
         when(F.coalesce("n.open_ports", F.array().cast("array<int>")), F.col("open_ports")).alias("open_ports"),
         when(F.col("n.source"), F.col("source")).alias("source"),
-        F.coalesce("guard_status", F.lit("not_deployed")).alias("guard_status"),
+        F.coalesce("endpoint_status", F.lit("not_deployed")).alias("endpoint_status"),
         F.coalesce("metrics_status", F.lit("not_deployed")).alias("metrics_status"),
         F.coalesce("first_seen", now).alias("first_seen"),
         when(now, F.col("last_seen")).alias("last_seen"))
@@ -97,17 +92,17 @@ def sync_agent_status(hosts: DataFrame, agents: DataFrame, now: Column, endpoint
                 .otherwise(F.col(old)))
 
     return hosts.join(per_ip, "ip_address", "left").withColumns({
-        "guard_status": status("_endpoint", "guard_status"),
+        "endpoint_status": status("_endpoint", "endpoint_status"),
         "metrics_status": status("_metrics", "metrics_status")}).drop("_endpoint", "_metrics")
 
 
-def host_summary_status(guard: Column, metrics: Column, guard_name: str = "Endpoint",
+def host_summary_status(endpoint: Column, metrics: Column, endpoint_name: str = "Endpoint",
                         metrics_name: str = "Metrics") -> Column:
     """``active (A + B)`` for the active agents, else deployed / not_deployed."""
-    names = F.concat_ws(" + ", F.when(guard == "active", guard_name),
+    names = F.concat_ws(" + ", F.when(endpoint == "active", endpoint_name),
                         F.when(metrics == "active", metrics_name))
     return (F.when(names != "", F.concat(F.lit("active ("), names, F.lit(")")))
-            .when((guard == "deployed") | (metrics == "deployed"), "deployed")
+            .when((endpoint == "deployed") | (metrics == "deployed"), "deployed")
             .otherwise("not_deployed"))
 
 

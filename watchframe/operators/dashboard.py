@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
 from watchframe.functions.text import ilike_any_part
-from watchframe.operators.joins import latest, lookup, skewed_lookup
+from watchframe.operators.joins import lookup, skewed_lookup
 
 KILLABLE = ["PROCESS_CREATED", "custom_rule"]
 
@@ -251,6 +251,3 @@ def merge_live(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
         (F.coalesce(f"_{c}", c) if c in live.columns else F.col(c)).alias(c)
         for c in stored.columns if c != key])
 
-
-def latest_per_agent(telemetry: DataFrame) -> DataFrame:
-    return latest(telemetry, ["device_id"], ["timestamp", "id"])

@@ -274,7 +274,7 @@ def _known_hosts(spark, d):
         F.lit(None).cast("string").alias("vendor"), F.lit("linux").alias("os_guess"),
         F.lit(55).alias("os_confidence"), F.lit("reachable").alias("status"),
         F.array(F.lit(22)).alias("open_ports"), F.lit("seed").alias("source"),
-        A.pick(["active", "not_deployed", "deployed"], k).alias("guard_status"),
+        A.pick(["active", "not_deployed", "deployed"], k).alias("endpoint_status"),
         F.lit("deployed").alias("metrics_status"), t0.alias("first_seen"), t0.alias("last_seen"))
 
 
@@ -298,7 +298,7 @@ _SCAN = f"""scan AS (SELECT '10.1.'||(event_id%77)||'.'||(event_id%2) AS ip_addr
   CASE WHEN k IS NOT NULL THEN 55 WHEN len(ports)>0 THEN 90 ELSE 10 END::BIGINT AS os_confidence,
   CASE WHEN i IS NULL OR len(ports)>0 THEN 'reachable' ELSE 'unknown' END AS status,
   array_to_string(CASE WHEN i IS NULL THEN [22] ELSE ports END, '|') AS open_ports, CASE WHEN i IS NULL THEN 'seed' ELSE 'scan' END AS source,
-  coalesce(['active','not_deployed','deployed'][k%3+1], 'not_deployed') AS guard_status,
+  coalesce(['active','not_deployed','deployed'][k%3+1], 'not_deployed') AS endpoint_status,
   CASE WHEN k IS NULL THEN 'not_deployed' ELSE 'deployed' END AS metrics_status,
   coalesce(k*1000000, {O.NOW}) AS first_seen, CASE WHEN i IS NULL THEN k*1000000 ELSE {O.NOW} END AS last_seen
   FROM known k FULL JOIN scan s ON s.ip_address=k.ip_address)"""
@@ -323,11 +323,11 @@ _SYNC = f"""ag AS (SELECT '10.1.'||(event_id%50)||'.0' AS ip_address, {O.pick(["
 _STATUS = "CASE WHEN {0}>" + str(O.NOW - 600_000_000) + " THEN 'active' WHEN {0}>=0 THEN 'deployed' WHEN {0}=-1 THEN 'not_deployed' ELSE {1} END"
 
 
-@query("h04_sync_agent_status", with_("sec", more=f"{_KNOWN}, {_SYNC}") + f"""SELECT ip_address, {_STATUS.format('e', "['active','not_deployed','deployed'][k%3+1]")} AS guard_status,
+@query("h04_sync_agent_status", with_("sec", more=f"{_KNOWN}, {_SYNC}") + f"""SELECT ip_address, {_STATUS.format('e', "['active','not_deployed','deployed'][k%3+1]")} AS endpoint_status,
   {_STATUS.format('m', "'deployed'")} AS metrics_status FROM known LEFT JOIN pi USING (ip_address)""")
 def _(spark, d):
     return H.sync_agent_status(_known_hosts(spark, d), _host_agents(spark, d), A.now(), ["endpoint"], KINDS
-                               ).select("ip_address", "guard_status", "metrics_status")
+                               ).select("ip_address", "endpoint_status", "metrics_status")
 
 
 @query("h05_host_summary_status", f"""WITH s AS (SELECT event_id, {O.pick(["active", "deployed", "not_deployed"], 'event_id')} AS g,

@@ -37,7 +37,7 @@ IP_REPUTATIONS = ("ip_address string, label string, confidence int, source strin
                   "updated_at timestamp")
 HOSTS = ("ip_address string, hostname string, mac_address string, vendor string, os_guess string, "
          "os_confidence int, status string, open_ports array<int>, source string, "
-         "guard_status string, metrics_status string, first_seen timestamp, last_seen timestamp")
+         "endpoint_status string, metrics_status string, first_seen timestamp, last_seen timestamp")
 SYSLOG = ("facility int, severity int, hostname string, app_name string, message string, "
           "timestamp timestamp")
 

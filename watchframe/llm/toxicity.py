@@ -1,6 +1,6 @@
 """Operator 10, toxicity by the nearest labelled examples in TF-IDF cosine.
 
-Features are words and the first three, four and five letters of longer words.  Those that go
+Features are words and the first four to seven letters of longer words.  Those that go
 with one of the labels in the sample of examples (chi-square) span the TF-IDF space; their
 document counts are taken over all documents.  The examples stand in inverted lists cut into
 blocks of examples with the largest weight of each feature in each block: for a text, blocks
@@ -26,7 +26,7 @@ from watchframe.llm.common import batches, block_sums, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
 from watchframe.llm.words import ALNUM
 
-PREFIXES = (3, 4, 5)
+PREFIXES = (4, 5, 6, 7)
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -132,11 +132,13 @@ class Examples:
 def _chosen(sample: DataFrame, chi_square: float, least: int) -> list[bytes]:
     """Features that go with a label: chi-square of presence, in ``least`` examples at the least."""
     def presence(stream):
-        for batch, values in batches(stream):
+        for batch, values in batches(stream, size=1 << 18):
+            fs, ys = [], []
             for label, value in zip(batch.column(1).to_pylist(), values, strict=True):
                 found = {f for w in set(value.translate(ALNUM).split()) for f in features_of(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([label] * len(found), pa.int32())],
-                                                 ["f", "y"])
+                fs += found
+                ys += [label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.binary()), pa.array(ys, pa.int32())], ["f", "y"])
 
     distinct = sample.groupBy(F.sha2("text", 256)).agg(F.max_by("text", "label").alias("text"), F.max("label").alias("label"))
     n, ones = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -151,7 +153,7 @@ def _chosen(sample: DataFrame, chi_square: float, least: int) -> list[bytes]:
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], threshold: float = 0.5,
-           sample_rows: int = 10_000, k: int = 25, chi_square: float = 20.0, least: int = 3,
+           sample_rows: int = 10_000, k: int = 25, chi_square: float = 30.0, least: int = 3,
            text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted, evidence (ids and cosines of nearest examples)."""
     model = fitted(docs, labels, label, held_out, sample_rows, k, chi_square, least, text, id)
@@ -173,7 +175,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], sample_rows: int = 10_000,
-           k: int = 25, chi_square: float = 20.0, least: int = 3, text: str = "text", id: str = "doc_id"):
+           k: int = 25, chi_square: float = 30.0, least: int = 3, text: str = "text", id: str = "doc_id"):
     """Broadcast pair of the chosen features and the examples."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, held_out, sample_rows, text, id)

@@ -136,13 +136,17 @@ def test_scan_ingest(spark):
     schema = "agent_id string, ts timestamp, scan_hosts array<struct<ip_address:string,hostname:string,mac_address:string,open_ports:array<int>,os_guess:string>>"
     scan = spark.createDataFrame([("x", T(1), [("192.168.1.1", None, None, [80, 443], None), ("192.168.1.100", None, None, [22], None)]),
                                   ("x", T(1), [("10.0.0.1", "gw.local", None, [443], "linux")])], schema)
-    got = {r.ip_address: r for r in H.ingest_scan(hosts, scan, now()).collect()}
+    oui = spark.createDataFrame([("AABBCC", "Acme")], "prefix string, vendor string")
+    got = {r.ip_address: r for r in H.ingest_scan(hosts, scan, now(), oui).collect()}
     assert len(got) == 3 and (got["10.0.0.1"].hostname, got["10.0.0.1"].os_guess, got["10.0.0.1"].open_ports,
                               got["10.0.0.1"].os_confidence) == ("gw.local", "linux", [443], 80)
     assert (got["192.168.1.100"].os_guess, got["192.168.1.1"].os_guess) == ("linux", "network-service")
     manual = spark.createDataFrame([("192.168.50.1", "manual-host", None, None, "manual", T(2))],
                                    "ip_address string, hostname string, mac_address string, vendor string, source string, ts timestamp")
-    row = H.add_manual_hosts(hosts, manual, now()).first()
+    bad = manual.withColumn("ip_address", F.lit("192.168.50.300"))
+    table, refused = H.add_manual_hosts(hosts, manual.drop("vendor").unionByName(bad.drop("vendor")), now(), oui)
+    assert (table.count(), refused.count()) == (1, 1)
+    row = table.first()
     assert (row.hostname, row.status, row.os_confidence, row.source) == ("manual-host", "unknown", 10, "manual")
 
 
@@ -242,20 +246,19 @@ def test_host_summary(spark, endpoint, metrics, want):
     assert one(spark, H.host_summary_status(F.lit(endpoint), F.lit(metrics))) == want
 
 
-def test_small_tables_only_are_broadcast(spark, monkeypatch):
+def test_no_job_runs_while_planning(spark):
     from watchframe.operators import joins
     left = spark.range(100).withColumnRenamed("id", "k")
     right = spark.range(50).select(F.col("id").alias("k"), F.lit("v").alias("v"))
-    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
-    assert not joins.is_small(right) and joins.lookup(left, right, "k").count() == 100
-    monkeypatch.setattr(joins, "SMALL_ROWS", 100)
-    assert joins.is_small(right)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    joined = joins.lookup(left, right, "k")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+    assert joined.count() == 100 and joined.where("v IS NULL").count() == 50
 
 
-def test_skewed_lookup(spark, monkeypatch):
+def test_skewed_lookup(spark):
     """One key holds most rows; hot, cold, missing and null keys all keep their rows."""
     from watchframe.operators import joins
-    monkeypatch.setattr(joins, "HOT_KEYS", 2)
     keys = ["hot"] * 500 + ["warm"] * 50 + [f"k{i}" for i in range(30)] + [None] * 40
     left = spark.createDataFrame(list(enumerate(keys)), "n bigint, query string")
     right = spark.createDataFrame([(k, k.upper()) for k in ("hot", "k1", "k2", "other")], "query string, data string")

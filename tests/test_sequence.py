@@ -72,16 +72,15 @@ def conns(spark, rows, ports=lambda i: "443"):
 
 
 def simulate_beacons(seq, keep=20, ttl=3600, least=5, limit=5.0):
-    held, out, seen = [], [], set()
+    held, out = [], []
     for t, i, port in seq:
-        if (t, port) in seen:
-            continue
-        seen.add((t, port))
-        if held and t - held[-1] >= ttl * 1_000_000:
+        if held and t - held[-1][0] >= ttl * 1_000_000:
             held = []
-        held = [*held, t][-keep:]
+        if (t, port) in held:
+            continue
+        held = [*held, (t, port)][-keep:]
         if len(held) >= least:
-            gaps = [(b - a) / 1e6 for a, b in zip(held, held[1:])]
+            gaps = [(b[0] - a[0]) / 1e6 for a, b in zip(held, held[1:])]
             mean = sum(gaps) / len(gaps)
             var = sum((g - mean) ** 2 for g in gaps) / len(gaps)
             if var < limit and mean > 0:
@@ -90,7 +89,7 @@ def simulate_beacons(seq, keep=20, ttl=3600, least=5, limit=5.0):
     return out
 
 
-@pytest.mark.parametrize("seed,block,ttl", [(1, 20, 3600), (2, 33, 100), (3, 21, 61), (4, 500_000, 3600)])
+@pytest.mark.parametrize("seed,block,ttl", [(1, 40, 3600), (2, 53, 100), (3, 41, 61), (4, 500_000, 3600)])
 def test_beacons(spark, seed, block, ttl):
     rows = skewed(seed, 900, 25, usual=(24, 25, 25, 26) if seed % 2 else (1, 2, 3))
     want = {(a, i, n) for a, seq in by_agent(rows).items()
@@ -99,6 +98,21 @@ def test_beacons(spark, seed, block, ttl):
     assert {(r.agent_id, r.event_id, r.samples) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("block", [40, 500_000])
+def test_beacons_with_repeats(spark, block):
+    """Equal connections of one event count once, but anew after an alert."""
+    rows = skewed(5, 500, 9, usual=(24, 25, 25, 26))
+    want = {(a, i, n) for a, seq in by_agent(rows).items()
+            for i, n in simulate_beacons([(t, i, "443") for t, i in seq for _ in range(3)])}
+    thrice = conns(spark, rows).withColumn("network_connections", F.flatten(F.array(*["network_connections"] * 3)))
+    got = C.beacon_alerts(thrice, block_rows=block, slot_seconds=45)
+    assert {(r.agent_id, r.event_id, r.samples) for r in got.collect()} == want and want
+    even = conns(spark, [("x", n * 10_000_000, n) for n in range(1, 11)])
+    twice = even.withColumn("network_connections", F.flatten(F.array(*["network_connections"] * 2)))
+    assert sorted(r.event_id for r in C.beacon_alerts(even, block_rows=block).collect()) == [5, 10]
+    assert sorted(r.event_id for r in C.beacon_alerts(twice, block_rows=block).collect()) == [5, 9]
+
+
 def test_beacon_edges(spark):
     rows = [("x", s * 10_000_000, s) for s in range(6)]
     got = C.beacon_alerts(conns(spark, rows)).collect()

@@ -71,8 +71,7 @@ def test_zscore_stream(spark, sf, landed):
 
 
 def test_quota_and_new_process_stream(spark, sf, landed):
-    rows = _stream(spark, landed).withColumn("ts", F.timestamp_millis(F.unix_millis("ts")))
-    got = _run(spark, S.quota_stream(rows, "agent_id", "10 minutes", limit=10), landed, "d10")
+    got = _run(spark, S.quota_stream(_stream(spark, landed), "agent_id", "10 minutes", limit=10), landed, "d10")
     want = C.request_quota(A.sec_events(spark, sf), 10, user="agent_id")
     keys = ("agent_id", "event_id", "request_number", "allowed")
     assert _ids(got, *keys) == _ids(want, *keys)

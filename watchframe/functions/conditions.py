@@ -14,7 +14,6 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +26,70 @@ TEXT_FIELDS = ["agent_id", "event_type", "hostname", "ip_address", "os", "parent
 
 
 def java_pattern(pattern: str) -> str:
-    """Named groups are spelled differently in Java."""
-    return "(?i)" + re.sub(r"\(\?P<", "(?<", pattern)
+    """The pattern in Java's dialect: groups by number, ``[`` and ``&&`` plain inside classes, ``\\Z`` as the very end."""
+    out, i, inside, number = ["(?i)"], 0, False, 0
+    names: dict[str, int] = {}
+    while i < len(pattern):
+        two, c = pattern[i:i + 2], pattern[i]
+        if c == "\\":
+            out.append("\\z" if two == "\\Z" and not inside else two)
+            i += 2
+        elif inside:
+            if c == "]":
+                inside = False
+            out.append("\\" + c if c in "[&" else c)
+            i += 1
+        elif c == "[":
+            inside = True
+            lead = re.match(r"\[\^?\]?", pattern[i:])[0]
+            out.append(lead.replace("]", "\\]"))
+            i += len(lead)
+        elif named := re.match(r"\(\?P<(\w+)>", pattern[i:]):
+            number += 1
+            names[named[1]] = number
+            out.append("(")
+            i += len(named[0])
+        elif (back := re.match(r"\(\?P=(\w+)\)", pattern[i:])) and back[1] in names:
+            out.append(f"(?:\\{names[back[1]]})")
+            i += len(back[0])
+        elif (test := re.match(r"\(\?\((\w+)\)", pattern[i:])):
+            raise ValueError(f"a rule pattern tests group {test[1]}, which cannot be expressed: {pattern!r}")
+        else:
+            number += c == "(" and pattern[i + 1:i + 2] != "?"
+            out.append(c)
+            i += 1
+    return "".join(out)
 
 
 def is_valid_pattern(spark: SparkSession, pattern: str | None) -> bool:
-    """Whether a pattern compiles; a bad one would fail the whole job later."""
-    if pattern is None:
+    """Whether a pattern is one; rules with a bad one are passed over.
+
+    A good pattern that Java cannot take raises instead, so that no detection
+    is lost unseen.
+    """
+    if not isinstance(pattern, str):
         return False
     try:
         re.compile(pattern)
-        spark.sql("SELECT rlike('', :p) AS ok", args={"p": java_pattern(pattern)}).collect()
-    except (re.error, PySparkException):
+    except re.error:
         log.warning("rule pattern skipped, it does not compile: %r", pattern)
         return False
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except Exception as error:
+        raise ValueError(f"the rule pattern {pattern!r} cannot be expressed: {error}") from error
     return True
 
 
+def _parsed(value):
+    """A JSON column; None when it cannot be read, as when it is missing."""
+    try:
+        return json.loads(value) if isinstance(value, str) and value.strip() else value
+    except ValueError:
+        log.warning("rule column skipped, it is no JSON: %r", value)
+        return None
+
+
 def load_rules(rules: DataFrame) -> list[dict]:
     """Active rules in id order, with JSON columns parsed and patterns checked.
 
@@ -55,8 +101,7 @@ def load_rules(rules: DataFrame) -> list[dict]:
     for row in rules.where(F.col("is_active")).orderBy("id").collect():
         rule = row.asDict(recursive=True)
         for name in ("conditions", "whitelist"):
-            value = rule.get(name)
-            rule[name] = json.loads(value) if isinstance(value, str) and value.strip() else value
+            rule[name] = _parsed(rule.get(name))
         rule["pattern_ok"] = is_valid_pattern(spark, rule.get("pattern"))
         if isinstance(rule["conditions"], dict):
             for cond in rule["conditions"].get("conditions", []):
@@ -80,6 +125,8 @@ def eval_condition(cond: dict, columns: list[str]) -> Column:
     operator = cond.get("operator", "regex")
     if value is None or (operator == "regex" and not cond.get("pattern_ok", True)):
         return F.lit(False)
+    if not isinstance(pattern, str):
+        return F.lit(False)
     low = F.lit(pattern.lower())
     tests = {
         "regex": lambda: value.rlike(java_pattern(pattern)),

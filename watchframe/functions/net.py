@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,11 +64,57 @@ def ip_in_cidr(ip: Column, cidr: Column) -> Column:
     return F.coalesce(F.floor(ip_to_long(ip) / size) == F.floor(base / size), F.lit(False))
 
 
+def is_ipv6(c: Column) -> Column:
+    """Up to eight groups of four hex digits, one run of them left out, the last two may be IPv4."""
+    head = F.regexp_replace(c, r"%[^%/]+$", "")
+    tail = F.regexp_extract(head, r"([^:]*)$", 1)
+    plain = F.when(F.contains(tail, F.lit(".")) & is_ipv4(tail),
+                   F.concat(F.regexp_extract(head, r"^(.*:)[^:]*$", 1), F.lit("0:0"))).otherwise(head)
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    words = F.regexp_replace(plain, r"^::|::$|::", ":")
+    shaped = words.rlike(r"^:?([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?:?$") & ~plain.rlike(r":::|::.*::|^:[^:]|[^:]:$")
+    full = F.when(F.contains(plain, F.lit("::")), groups <= 7).otherwise(groups == 8)
+    return F.coalesce(F.contains(c, F.lit(":")) & shaped & full, F.lit(False))
+
+
+def is_ip(c: Column) -> Column:
+    return is_ipv4(c) | is_ipv6(c)
+
+
+def ipv6_words(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address without an IPv4 ending."""
+    part = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    left, right = part(F.substring_index(ip, "::", 1)), part(F.when(F.contains(ip, F.lit("::")), F.substring_index(ip, "::", -1)).otherwise(""))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+    return F.transform(F.concat(left, zeros, right), lambda g: F.conv(g, 16, 10).cast("int"))
+
+
+#: Address ranges that count as private, by the registry of special addresses.
+PRIVATE_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29",
+                    "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
+                    "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32"]
+PRIVATE_NETWORKS_V6 = [("::1", 128), ("::", 128), ("100::", 64), ("2001:db8::", 32), ("fc00::", 7), ("fe80::", 10)]
+
+
 def is_scannable_network(cidr: Column) -> Column:
-    """At most 256 addresses, and private or loopback."""
+    """At most 256 addresses, and private or loopback; IPv4 or IPv6."""
     bits = _prefix_length(cidr)
     base = F.split(cidr, "/").getItem(0)
-    return is_ipv4(base) & is_private_v4(base) & F.coalesce(bits >= 24, F.lit(False))
+    v4 = is_ipv4(base) & any_of([ip_in_cidr(base, F.lit(n)) for n in PRIVATE_NETWORKS]) & F.coalesce(bits >= 24, F.lit(False))
+    text = F.try_element_at(F.split(cidr, "/"), F.lit(2))
+    bits6 = F.when(text.isNull(), 128).otherwise(text.try_cast("int"))
+    words = ipv6_words(base)
+
+    def inside(net: str, size: int) -> Column:
+        want = ipaddress.ip_address(net).packed
+        tests = []
+        for i in range(-(-size // 16)):
+            shift = max(0, 16 * (i + 1) - size)
+            tests.append(F.shiftright(words[i], shift) == int.from_bytes(want[2 * i:2 * i + 2], "big") >> shift)
+        return reduce(and_, tests)
+
+    v6 = F.when(is_ipv6(base) & bits6.between(120, 128), any_of([inside(*n) for n in PRIVATE_NETWORKS_V6]))
+    return v4 | F.coalesce(v6, F.lit(False))
 
 
 def established_public(conns: Column, private=is_private_v4) -> Column:

@@ -64,11 +64,16 @@ def register(agents: DataFrame, requests: DataFrame, new_status: str = "register
     """Enrolment requests (hostname, os_type, agent_id) with their status.
 
     A (hostname, os) that is in the registry keeps its agent id: re-enrolled.
+    Of several requests of a new one the smallest agent id registers, the others
+    are re-enrolled under it.
     """
     known = agents.groupBy("hostname", "os_type").agg(F.min("agent_id").alias("_old"))
-    return requests.join(known, ["hostname", "os_type"], "left").select(
-        "hostname", "os_type", F.coalesce("_old", "agent_id").alias("agent_id"),
-        F.when(F.col("_old").isNotNull(), "re-enrolled").otherwise(new_status).alias("status"))
+    first = requests.groupBy("hostname", "os_type").agg(F.min("agent_id").alias("_first"))
+    told = requests.join(first.join(known, ["hostname", "os_type"], "left"), ["hostname", "os_type"], "left")
+    fresh = F.col("_old").isNull() & F.coalesce(F.col("agent_id") == F.col("_first"), F.lit(True))
+    return told.select(
+        "hostname", "os_type", F.coalesce("_old", "_first", "agent_id").alias("agent_id"),
+        F.when(fresh, new_status).otherwise("re-enrolled").alias("status"))
 
 
 def resolve_parent_names(snapshots: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.functions.net import ip_in_cidr
+from watchframe.functions.net import ip_in_cidr, is_ip
 from watchframe.functions.text import blank_to_null
-from watchframe.operators.joins import latest, lookup
+from watchframe.operators.joins import latest
 
 MAX_SCAN_PORTS = 32
 
@@ -31,8 +31,8 @@ def mac_prefix(mac: Column) -> Column:
 
 def mac_vendor(hosts: DataFrame, oui: DataFrame) -> DataFrame:
     """Hosts with ``vendor`` from the prefix table; null without a MAC, else Unknown."""
-    found = lookup(hosts.withColumn("prefix", mac_prefix(F.col("mac_address"))),
-                   oui.select("prefix", F.col("vendor").alias("_v")), "prefix")
+    found = hosts.withColumn("prefix", mac_prefix(F.col("mac_address"))).join(
+        oui.select("prefix", F.col("vendor").alias("_v")), "prefix", "left")
     has_mac = blank_to_null(F.col("mac_address")).isNotNull()
     return found.withColumn(
         "vendor", F.when(has_mac, F.coalesce("_v", F.lit("Unknown")))).drop("_v", "prefix")
@@ -41,26 +41,36 @@ def mac_vendor(hosts: DataFrame, oui: DataFrame) -> DataFrame:
 def upsert_hosts(hosts: DataFrame, scan: DataFrame, now: Column, agent_label: str = "agent") -> DataFrame:
     """Host table after a scan (ip_address, open_ports, hostname, mac_address, vendor, source, ts).
 
-    The last scan row per address counts. Confidence and first_seen are set on
-    insert only; a missing host name or MAC keeps the old value.
+    Rows of one address count in time order (ties by their content): the newest
+    host name, MAC with its vendor and guess from open ports stay, ports, status
+    and source are those of the last row.  Confidence and first_seen are set on
+    insert only, by the first row.
     """
-    new = latest(scan, ["ip_address"], ["ts"])
-    seen = new.select("ip_address", F.struct(*[c for c in new.columns if c != "ip_address"]).alias("n"))
+    at = F.struct("ts", F.to_json(F.struct(*sorted(c for c in scan.columns if c != "ts"))))
+    has_ports = F.coalesce(F.size("open_ports") > 0, F.lit(False))
+    filled = lambda c, test: F.max_by(c, F.when(test, at))
+    has_mac = blank_to_null(F.col("mac_address")).isNotNull()
+    seen = scan.groupBy("ip_address").agg(
+        filled(blank_to_null(F.col("hostname")), blank_to_null(F.col("hostname")).isNotNull()).alias("hostname"),
+        filled(blank_to_null(F.col("mac_address")), has_mac).alias("mac_address"),
+        filled(F.col("vendor"), has_mac).alias("vendor"),
+        filled(guess_os(F.col("open_ports"), agent_label), has_ports).alias("os_guess"),
+        F.min_by(has_ports, at).alias("first_open"), F.max_by(has_ports, at).alias("open_now"),
+        F.max_by("open_ports", at).alias("open_ports"), F.max_by("source", at).alias("source"))
+    seen = seen.select("ip_address", F.struct(*[c for c in seen.columns if c != "ip_address"]).alias("n"))
     joined = hosts.join(seen, "ip_address", "full_outer")
     hit, is_new = F.col("n").isNotNull(), F.col("last_seen").isNull()
-    open_now = F.coalesce(F.size("n.open_ports") > 0, F.lit(False))
-    mac = blank_to_null(F.col("n.mac_address"))
+    mac = F.col("n.mac_address")
     when = lambda new_value, old: F.when(hit, new_value).otherwise(old)
     return joined.select(
         "ip_address",
-        when(F.coalesce(blank_to_null(F.col("n.hostname")), F.col("hostname")), F.col("hostname")).alias("hostname"),
+        F.coalesce("n.hostname", "hostname").alias("hostname"),
         F.coalesce(mac, "mac_address").alias("mac_address"),
         F.when(mac.isNotNull(), F.col("n.vendor")).otherwise(F.col("vendor")).alias("vendor"),
-        when(F.when(open_now, guess_os(F.col("n.open_ports"), agent_label))
-             .otherwise(F.coalesce("os_guess", F.lit("unknown"))), F.col("os_guess")).alias("os_guess"),
-        F.when(hit & is_new, F.when(open_now, 90).otherwise(10)).otherwise(F.col("os_confidence")
-                                                                          ).alias("os_confidence"),
-        when(F.when(open_now, "reachable").otherwise("unknown"), F.col("status")).alias("status"),
+        when(F.coalesce("n.os_guess", "os_guess", F.lit("unknown")), F.col("os_guess")).alias("os_guess"),
+        F.when(hit & is_new, F.when(F.col("n.first_open"), 90).otherwise(10)).otherwise(F.col("os_confidence")
+                                                                                     ).alias("os_confidence"),
+        when(F.when(F.col("n.open_now"), "reachable").otherwise("unknown"), F.col("status")).alias("status"),
         when(F.coalesce("n.open_ports", F.array().cast("array<int>")), F.col("open_ports")).alias("open_ports"),
         when(F.col("n.source"), F.col("source")).alias("source"),
         F.coalesce("endpoint_status", F.lit("not_deployed")).alias("endpoint_status"),
@@ -110,27 +120,43 @@ def list_hosts(hosts: DataFrame, limit: int = 250) -> DataFrame:
     return hosts.orderBy(F.desc("last_seen"), "ip_address").limit(limit)
 
 
-def ingest_scan(hosts: DataFrame, results: DataFrame, now: Column, agent_label: str = "agent") -> DataFrame:
+def refreshed(hosts: DataFrame, scanned: DataFrame, agents: DataFrame, now: Column,
+              endpoint_kinds: list[str], metrics_kinds: list[str]) -> DataFrame:
+    """Host table with the agent status of the scanned addresses brought up to date."""
+    touched = agents.join(scanned.select("ip_address").distinct(), "ip_address", "left_semi")
+    return sync_agent_status(hosts, touched, now, endpoint_kinds, metrics_kinds)
+
+
+def ingest_scan(hosts: DataFrame, results: DataFrame, now: Column, oui: DataFrame,
+                agent_label: str = "agent") -> DataFrame:
     """Scan results of agents: (agent_id, ts, scan_hosts array of structs) into the host table.
 
-    A reported host name or operating system overrides (confidence 80).
+    A reported host name or operating system overrides (confidence 80); the
+    vendor of a MAC comes from the prefix table ``oui``.
     """
     item = results.select("agent_id", "ts", F.explode("scan_hosts").alias("h")).select(
         F.col("h.ip_address").alias("ip_address"), "h.hostname", "h.mac_address", "h.open_ports",
-        F.col("h.os_guess").alias("reported_os"), F.lit(None).cast("string").alias("vendor"),
+        F.col("h.os_guess").alias("reported_os"),
         F.concat(F.lit("agent-scan:"), "agent_id").alias("source"), "ts")
+    item = mac_vendor(item, oui)
     table = upsert_hosts(hosts, item.drop("reported_os"), now, agent_label)
     reported = item.where(blank_to_null(F.col("reported_os")).isNotNull())
-    last = latest(reported.select("ip_address", "reported_os", "ts"), ["ip_address"], ["ts"]).drop("ts")
+    last = latest(reported.select("ip_address", "reported_os", "ts"), ["ip_address"], ["ts", "reported_os"]).drop("ts")
     return table.join(last, "ip_address", "left").withColumns({
         "os_guess": F.coalesce("reported_os", "os_guess"),
         "os_confidence": F.when(F.col("reported_os").isNotNull(), 80).otherwise(F.col("os_confidence")),
     }).drop("reported_os")
 
 
-def add_manual_hosts(hosts: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
-    """Hosts typed in by hand (ip_address, hostname, mac_address, vendor, source, ts)."""
-    return upsert_hosts(hosts, entries.withColumn("open_ports", F.array().cast("array<int>")), now)
+def add_manual_hosts(hosts: DataFrame, entries: DataFrame, now: Column, oui: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hosts with those typed in by hand, entries refused for their address).
+
+    ``entries``: ip_address, hostname, mac_address, source, ts; the vendor comes
+    from the prefix table ``oui``.
+    """
+    valid = is_ip(F.col("ip_address"))
+    typed = mac_vendor(entries.where(valid), oui).withColumn("open_ports", F.array().cast("array<int>"))
+    return upsert_hosts(hosts, typed, now), entries.where(~valid)
 
 
 def live_hosts(arp: DataFrame, known: DataFrame, responders: DataFrame, cidr: str) -> DataFrame:

@@ -118,7 +118,10 @@ def lineage_escalation_alerts(events: DataFrame, ttl_seconds: int = 300) -> Data
 # ---------------------------------------------------------------- beacons
 
 def public_contacts(events: DataFrame) -> DataFrame:
-    """One row per distinct (agent, pid, remote host, time, port) of public connections."""
+    """Public connections by (agent, pid, remote host), with ``repeat`` marking repeats.
+
+    Of equal times and ports the first counts, and the last once more as a repeat.
+    """
     keep = F.filter("network_connections", lambda c: F.coalesce(
         (c["state"] == "ESTABLISHED") & F.contains(c["remote"], F.lit(":"))
         & ~is_private(remote_host(c["remote"])), F.lit(False)))
@@ -129,38 +132,54 @@ def public_contacts(events: DataFrame) -> DataFrame:
              remote_port(F.col("_c.remote")).alias("port"),
              F.struct("event_id", "_pos", "process_name").alias("_first"))
     return (contacts.groupBy("agent_id", "pid_key", "host", "ts", "port")
-            .agg(F.min("_first").alias("_first"))
-            .select("agent_id", "pid_key", "host", "ts", "port", F.col("_first.event_id").alias("event_id"),
-                    F.col("_first._pos").alias("pos"), F.col("_first.process_name").alias("process_name")))
-
-
-def _gap_stats(t, last: int, n: int) -> tuple[float, float]:
-    """Mean and population variance, in seconds, of the gaps between n rows up to ``last``."""
-    gaps = n - 1
-    total = t[last] - t[last - gaps]
-    squares = sum((t[j] - t[j - 1]) ** 2 for j in range(last - gaps + 1, last + 1))
+            .agg(F.min("_first").alias("_first"), F.max("_first").alias("_last"))
+            .withColumn("_rows", F.array(F.struct(F.col("_first").alias("c"), F.lit(False).alias("repeat")),
+                                         F.struct(F.col("_last").alias("c"), F.lit(True).alias("repeat"))))
+            .withColumn("_row", F.explode(F.filter("_rows", lambda r: ~r["repeat"] | (F.col("_first") != F.col("_last")))))
+            .select("agent_id", "pid_key", "host", "ts", "port", F.col("_row.c.event_id").alias("event_id"),
+                    F.col("_row.c._pos").alias("pos"), F.col("_row.c.process_name").alias("process_name"),
+                    F.col("_row.repeat").alias("repeat")))
+
+
+def _gap_stats(times: list[int]) -> tuple[float, float]:
+    """Mean and population variance, in seconds, of the gaps between times."""
+    gaps = len(times) - 1
+    total = times[-1] - times[0]
+    squares = sum((b - a) ** 2 for a, b in zip(times, times[1:]))
     return total / gaps / 1e6, (gaps * squares - total * total) / (gaps * gaps) / 1e12
 
 
 def _beacon_machine(keep: int, ttl_us: int, least: int, max_variance: float) -> StateMachine:
+    def contacts(t, i, before):
+        """Rows of the newest distinct contacts held after row i; repeats of a held one do not count."""
+        low = i if before and t[i][0] - t[i - 1][0] >= ttl_us else i - before
+        found, j = [], i
+        while j >= low and len(found) < keep:
+            k = j - 1
+            while k >= low and t[k][0] == t[j][0] and t[k] != t[j]:
+                k -= 1
+            if k < low or t[k][0] != t[j][0]:
+                found.append(j)
+            j -= 1
+        return found[::-1]
+
     def step(t, i, held):
-        if held and t[i] - t[i - 1] >= ttl_us:
-            held = 0
-        held = min(held + 1, keep)
-        if held >= least:
-            mean, variance = _gap_stats(t, i, held)
+        rows = contacts(t, i, held)
+        if len(rows) >= least:
+            mean, variance = _gap_stats([t[j][0] for j in rows])
             if variance < max_variance and mean > 0:
                 return 0, True
-        return held, False
+        return i - rows[0] + 1, False
 
     def report(columns, t, i, before):
-        held = min((0 if before and t[i] - t[i - 1] >= ttl_us else before) + 1, keep)
-        mean, variance = _gap_stats(t, i, held)
-        ports = sorted(set(columns["port"][i - held + 1:i + 1]))[:5]
-        return mean, variance, held, ",".join(ports)
+        rows = contacts(t, i, before)
+        mean, variance = _gap_stats([t[j][0] for j in rows])
+        ports = sorted({t[j][1] for j in rows})[:5]
+        return mean, variance, len(rows), ",".join(ports)
 
-    return StateMachine(keep, step, report,
-                        "mean_interval double, variance double, samples bigint, ports string")
+    # a contact has two rows at most
+    return StateMachine(2 * keep, step, report,
+                        "mean_interval double, variance double, samples bigint, ports string", marks="port")
 
 
 CONTACT_KEYS = ["agent_id", "pid_key", "host"]
@@ -195,8 +214,8 @@ def beacon_alerts(events: DataFrame, keep: int = 20, ttl_seconds: int = 3600, le
 def beacon_candidates(events: DataFrame, keep: int = 20, least: int = 5,
                       block_rows: int = BLOCK_ROWS, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Gap statistics over the last contacts, without reset: an analyst's view."""
-    numbered = number_rows(public_contacts(events), CONTACT_KEYS, ["ts", "event_id", "pos"],
-                           slot_seconds=slot_seconds)
+    contacts = public_contacts(events).where("NOT repeat").drop("repeat")
+    numbered = number_rows(contacts, CONTACT_KEYS, ["ts", "event_id", "pos"], slot_seconds=slot_seconds)
     blocks = with_blocks(numbered, keep, block_rows)
     order = Window.partitionBy(*CONTACT_KEYS, "_blk").orderBy("_seq")
     # the first of the kept contacts opens a gap that reaches outside the window
@@ -329,17 +348,19 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
     """Request log with ``request_number`` in its window and ``allowed``.
 
     A user's window opens at a request and lasts ``ttl_seconds`` (to the
-    millisecond); the counter is not reset at the limit.  Requests are counted
-    per millisecond first; users are cut into time blocks, and only blocks that
+    microsecond); the counter is not reset at the limit.  Requests without a
+    user share one window.  Requests are counted per microsecond first; users are cut into time blocks, and only blocks that
     follow their predecessor without a pause of one ttl are chained.
     """
-    ttl, block = ttl_seconds * 1000, block_seconds * 1000
+    ttl, block = ttl_seconds * 1_000_000, block_seconds * 1_000_000
     if block < ttl:
         raise ValueError("a block must be at least as long as the ttl")
-    timed = log.withColumns({"_ms": F.unix_millis("ts")})
-    counts = (timed.groupBy(user, "_ms").agg(F.count("*").alias("_n"))
-              .withColumn("_blk", F.call_function("div", F.col("_ms"), F.lit(block))))
-    extents = counts.groupBy(user, "_blk").agg(F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
+    who, user = user, "_user"
+    timed = log.withColumns({"_us": F.unix_micros("ts"),
+                             user: F.coalesce(F.concat(F.lit("="), F.col(who).cast("string")), F.lit("none"))})
+    counts = (timed.groupBy(user, "_us").agg(F.count("*").alias("_n"))
+              .withColumn("_blk", F.call_function("div", F.col("_us"), F.lit(block))))
+    extents = counts.groupBy(user, "_blk").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     per_user = Window.partitionBy(user).orderBy("_blk")
     linked = extents.withColumn(
         "_fresh", F.coalesce(F.col("_lo") - F.lag("_hi").over(per_user) >= ttl, F.lit(True)))
@@ -349,14 +370,14 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
     chained = linked.where(F.col("_len") > 1).select(user, "_blk", "_run")
 
     by = [user, "_blk"]
-    user_field = log.schema[user]
+    user_field = T.StructField(user, T.StringType())
     table_schema = T.StructType([
         user_field, T.StructField("_blk", T.LongType()), T.StructField("_run", T.LongType()), T.StructField("total", T.LongType()),
         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("at", "start", "used")]])
 
     def tables(batches):
         for frame, begin in whole_groups(batches, by):
-            t, n = frame["_ms"].to_numpy(), frame["_n"].to_numpy()
+            t, n = frame["_us"].to_numpy(), frame["_n"].to_numpy()
             made = [_quota_table(t[b:e], n[b:e], ttl) for b, e in spans(begin, len(t))]
             heads = frame.iloc[begin][[*by, "_run"]].reset_index(drop=True)
             yield heads.assign(total=np.add.reduceat(n, begin), at=[m[0] for m in made],
@@ -379,18 +400,18 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
                 count += int(row["total"])
         return pd.DataFrame(rows, columns=[user, "_blk", "_anchor", "_count"])
 
-    entered = (counts.join(chained, by).select(user, "_blk", "_run", "_ms", "_n")
-               .repartition(*by).sortWithinPartitions(*by, "_ms")
+    entered = (counts.join(chained, by).select(user, "_blk", "_run", "_us", "_n")
+               .repartition(*by).sortWithinPartitions(*by, "_us")
                .mapInPandas(tables, table_schema)
                .groupBy(user, "_run").applyInPandas(chain, enter_schema))
 
-    walk_schema = T.StructType([user_field, T.StructField("_ms", T.LongType()),
+    walk_schema = T.StructType([user_field, T.StructField("_us", T.LongType()),
                                 T.StructField("_start", T.LongType()),
                                 T.StructField("_before", T.LongType())])
 
     def walk(batches):
         for frame, begin in whole_groups(batches, by):
-            t, n = frame["_ms"].tolist(), frame["_n"].tolist()
+            t, n = frame["_us"].tolist(), frame["_n"].tolist()
             known = frame["_anchor"].to_numpy(dtype=float, na_value=np.nan)
             counts = frame["_count"].to_numpy(dtype=float, na_value=np.nan)
             starts, before = [0] * len(t), [0] * len(t)
@@ -403,20 +424,20 @@ def request_quota(log: DataFrame, limit: int = 20, ttl_seconds: int = 60, user:
                         anchor, count = t[i], 0
                     starts[i], before[i] = anchor, count
                     count += n[i]
-            out = frame[[user, "_ms"]].assign(_start=starts, _before=before)
+            out = frame[[user, "_us"]].assign(_start=starts, _before=before)
             yield out[~(known == known)]
 
     none = F.lit(None).cast("bigint")
     rows = (counts.withColumns({"_anchor": none, "_count": none})
-            .unionByName(entered.withColumns({"_ms": F.lit(-1).cast("bigint"),
+            .unionByName(entered.withColumns({"_us": F.lit(-1).cast("bigint"),
                                               "_n": F.lit(0).cast("bigint")})))
-    windows = (rows.repartition(*by).sortWithinPartitions(*by, "_ms").mapInPandas(walk, walk_schema))
-    place = F.row_number().over(Window.partitionBy(user, "_ms").orderBy("ts", "event_id"))
-    return (timed.withColumn("_place", place).join(windows, [user, "_ms"])
+    windows = (rows.repartition(*by).sortWithinPartitions(*by, "_us").mapInPandas(walk, walk_schema))
+    place = F.row_number().over(Window.partitionBy(user, "_us").orderBy("ts", "event_id"))
+    return (timed.withColumn("_place", place).join(windows, [user, "_us"])
             .withColumn("request_number", F.col("_before") + F.col("_place"))
             .withColumns({"allowed": F.col("request_number") <= limit,
-                          "window_start": F.timestamp_millis("_start")})
-            .drop("_ms", "_place", "_start", "_before"))
+                          "window_start": F.timestamp_micros("_start")})
+            .drop("_us", "_place", "_start", "_before", user))
 
 
 # ---------------------------------------------------------------- snapshots and queues

@@ -33,7 +33,7 @@ def list_alerts(alerts: DataFrame, severity: str | None = None, is_resolved: boo
     rows = alerts if not severity else alerts.where(F.col("severity") == severity)
     if is_resolved is not None:
         rows = rows.where(F.col("is_resolved") if is_resolved else unresolved())
-    return newest(rows, "timestamp", min(limit, 1000), skip)
+    return newest(rows, "timestamp", limit, skip)
 
 
 def alert_overview(alerts: DataFrame, agents: DataFrame, telemetry: DataFrame) -> DataFrame:
@@ -84,9 +84,11 @@ def delete_all(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_alerts(alerts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new table, kill commands) for ``changes`` of (id, resolved).
 
-    A kill is queued for newly resolved process alerts that know their pid.
+    A kill is queued for newly resolved process alerts that know their pid.  An
+    alert named several times is resolved if any of its changes resolves it.
     """
-    joined = lookup(alerts, changes.select("id", F.col("resolved").alias("_to")), "id")
+    once = changes.groupBy("id").agg(F.max("resolved").alias("_to"))
+    joined = alerts.join(once, "id", "left")
     kill = (unresolved() & F.coalesce("_to", F.lit(False)) & F.col("event_type").isin(KILLABLE)
             & F.coalesce(F.col("pid") != 0, F.lit(False)))
     commands = joined.where(kill).select(
@@ -116,8 +118,7 @@ def recent_telemetry(telemetry: DataFrame, agents: DataFrame, kinds: list[str],
     """Newest reports of agents whose type is in ``kinds``."""
     rows = telemetry if agent_id is None else telemetry.where(F.col("device_id") == agent_id)
     owners = agents.where(F.col("agent_type").isin(kinds))
-    return newest(_with_agent(rows, "device_id", owners, "hostname", "agent_type"), "timestamp",
-                  min(limit, 200))
+    return newest(_with_agent(rows, "device_id", owners, "hostname", "agent_type"), "timestamp", limit)
 
 
 def activity(telemetry: DataFrame, alerts: DataFrame, agents: DataFrame, limit: int = 30) -> DataFrame:
@@ -214,7 +215,7 @@ def query_syslog(syslog: DataFrame, hostname: str | None = None, severity: int |
         rows = rows.where(ilike_any_part(F.col("hostname"), hostname))
     if severity is not None:
         rows = rows.where(F.col("severity") == severity)
-    return newest(rows, "timestamp", min(limit, 1000), skip)
+    return newest(rows, "timestamp", limit, skip)
 
 
 def syslog_label(severity: Column) -> Column:
@@ -240,7 +241,7 @@ def query_audit(audit: DataFrame, action: str | None = None, resource: str | Non
     for column, part in (("resource", resource), ("username", username)):
         if part:
             rows = rows.where(ilike_any_part(F.col(column), part))
-    return newest(rows, "created_at", min(limit, 1000), skip)
+    return newest(rows, "created_at", limit, skip)
 
 
 def merge_live(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:

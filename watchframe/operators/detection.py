@@ -169,9 +169,10 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
               if r["pattern_ok"] and r["target_field"] in ("process_name", "process_path")]
     hits = [F.get(F.filter(F.transform("processes", describe(r)), lambda m: m.isNotNull()), F.lit(0))
             for r in usable]
-    if not hits:
-        return telemetry.sparkSession.createDataFrame(
-            [], telemetry.select(*keys).schema).withColumn("event_type", F.lit("custom_rule"))
+    if not hits:  # no rule finds nothing, with the same columns
+        nothing = {"id": 0, "severity": "", "name": "", "target_field": "process_name", "pattern": ""}
+        telemetry = telemetry.limit(0)
+        hits = [F.get(F.transform("processes", describe(nothing)), F.lit(0))]
     found = telemetry.withColumn("_m", F.explode(_matches(*hits)))
     return found.select(*keys, "_m.*", F.lit("custom_rule").alias("event_type"))
 
@@ -190,7 +191,13 @@ def custom_rule_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_hit_counters(rules: DataFrame, matches: DataFrame) -> DataFrame:
-    """Rule table with trigger_count raised by its hits and last_triggered moved on."""
+    """Rule table with trigger_count raised by its hits and last_triggered moved on.
+
+    Rules are tried on process starts outside the allow-list only, so other
+    matches are no hits.
+    """
+    start = F.coalesce(F.col("event_type") == "PROCESS_CREATED", F.lit(False))
+    matches = matches.where(start & ~is_allowed_updater(F.col("process_name")))
     hits = matches.groupBy("rule_id").agg(F.count("*").alias("_hits"), F.max("ts").alias("_last"))
     return (rules.join(hits, rules["id"] == hits["rule_id"], "left")
             .withColumns({

@@ -1,51 +1,33 @@
-"""Joins against small tables, with the size checked before anything is broadcast."""
+"""Joins with look-up tables, and the latest row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
-SMALL_BYTES = 32 * 1024 * 1024
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a table has few rows and few bytes; stops reading soon after the limit."""
-    size = F.sum(F.length(F.to_json(F.struct("*"))))
-    rows, chars = df.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return rows <= SMALL_ROWS and chars <= SMALL_BYTES // 4
+SALTS = 8
 
 
 def lookup(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join with a look-up table: broadcast when it is small, else a shuffled join.
+    """Join with a stored look-up table.
 
-    In the shuffled form adaptive execution splits a hot key of the left side.
+    Adaptive execution broadcasts it when it turns out small at run time, and
+    otherwise splits a hot key of the left side; nothing runs while planning.
     """
-    return left.join(F.broadcast(right) if is_small(right) else right, on, how)
-
-
-HOT_KEYS = 100
+    return left.join(right, on, how)
 
 
-def skewed_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def skewed_lookup(left: DataFrame, right: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
     """Left join with a derived table that has one row per key, for any skew of the left side.
 
-    The most frequent keys of the left side (at most HOT_KEYS, so at most that
-    many rows of the right side) are joined by broadcast; every other key holds
-    less than 1 / HOT_KEYS of the rows and is joined by shuffle. Rows without a
-    key take part in neither.
+    Adaptive skew splitting does not apply above an aggregation, so the rows of
+    a key are dealt to ``salts`` places and each row of the right side is repeated
+    as often.  Both sides are read once.  Rows without a key find nothing.
     """
-    known = left.where(F.col(key).isNotNull())
-    hot = F.broadcast(known.groupBy(key).agg(F.count("*").alias("_n"))
-                      .orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key))
-    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
     columns = [*left.columns, *[c for c in right.columns if c != key]]
-    parts = [known.join(hot, key, "left_semi").join(hot_right, key, "left"),
-             known.join(hot, key, "left_anti").join(right, key, "left"),
-             left.where(F.col(key).isNull()).select("*", *empty)]
-    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(
-        parts[2].select(*columns))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [key, "_salt"], "left").select(*columns)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def prompt_gate(prompts: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 
 def list_threads(threads: DataFrame, user_id: int, limit: int = 20) -> DataFrame:
     rows = threads.where(F.col("user_id") == user_id)
-    return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(min(limit, 100))
+    return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
 
 
 def thread_messages(threads: DataFrame, messages: DataFrame, user_id: int,

@@ -53,6 +53,14 @@ def _has_pid() -> Column:
     return F.coalesce(F.col("pid") != 0, F.lit(False))
 
 
+def _seconds(params: dict) -> int | None:
+    """Duration of a temporary block; None when it is not a number."""
+    try:
+        return int(params.get("duration_seconds", DEFAULT_BLOCK_SECONDS))
+    except (TypeError, ValueError):
+        return None
+
+
 def _command(command: str, action: dict, with_pid: bool, with_name: bool) -> Column:
     """JSON command; null parts are left out."""
     params = action["params"]
@@ -60,8 +68,7 @@ def _command(command: str, action: dict, with_pid: bool, with_name: bool) -> Col
     if command in ("BLOCK_IP", "BLOCK_IP_TEMPORAL"):
         parts.append(F.lit(action["target"]).alias("ip"))
     if command == "BLOCK_IP_TEMPORAL":
-        parts.append(F.lit(int(params.get("duration_seconds", DEFAULT_BLOCK_SECONDS)))
-                     .alias("duration_seconds"))
+        parts.append(F.lit(_seconds(params)).alias("duration_seconds"))
     if command == "DNS_SINKHOLE":
         parts.append(F.lit(action["target"]).alias("domain"))
     if with_pid:
@@ -91,6 +98,10 @@ def _plan(action: dict) -> Column:
                         commands.alias("commands"))
 
     none = F.array().cast("array<string>")
+    if action["params"] is None:
+        return result("failed", "Unreadable parameters", none)
+    if kind == "block_ip_temporal" and _seconds(action["params"]) is None:
+        return result("failed", "Unreadable duration", none)
     if kind == "eradicate":
         return result("completed", "Eradication chain executed", eradication_chain(action))
     if kind == "webhook":
@@ -112,23 +123,40 @@ def _plan(action: dict) -> Column:
     return queued
 
 
+def _action_fields(action: dict) -> list[Column]:
+    return [F.lit(action["id"]).cast("bigint").alias("action_id"), F.lit(action["order"]).cast("int").alias("order"),
+            F.lit(action["action_type"]).alias("action"), F.lit(action["target"]).cast("string").alias("target")]
+
+
+def _params(text: str | None) -> dict | None:
+    """Parameters of an action; None when they cannot be read."""
+    try:
+        found = json.loads(text) if text else {}
+        return found if isinstance(found, dict) else None
+    except ValueError:
+        return None
+
+
 def load_actions(actions: DataFrame) -> list[dict]:
     out = []
     for row in actions.orderBy("playbook_id", "order", "id").collect():
         action = row.asDict()
-        action["params"] = json.loads(action["params"]) if action.get("params") else {}
+        action["params"] = _params(action.get("params"))
         out.append(action)
     return out
 
 
 def plan_actions(matches: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per match and action of its playbook, in action order."""
-    planned = [F.when(F.col("playbook_id") == a["playbook_id"], F.struct(
-        F.lit(a["id"]).cast("bigint").alias("action_id"), F.lit(a["order"]).cast("int").alias("order"),
-        F.lit(a["action_type"]).alias("action"), F.lit(a["target"]).cast("string").alias("target"),
-        _plan(a).alias("r"))) for a in load_actions(actions)]
-    if not planned:
-        raise ValueError("the action table is empty")
+    planned = [F.when(F.col("playbook_id") == a["playbook_id"], F.struct(*_action_fields(a), _plan(a).alias("r")))
+               for a in load_actions(actions)]
+    if not planned:  # playbooks without actions plan nothing
+        nothing = {"id": 0, "playbook_id": 0, "order": 0, "action_type": "", "target": None, "params": {}}
+        return plan_rows(matches.limit(0), [F.struct(*_action_fields(nothing), _plan(nothing).alias("r"))])
+    return plan_rows(matches, planned)
+
+
+def plan_rows(matches: DataFrame, planned: list[Column]) -> DataFrame:
     rows = matches.withColumn("_a", F.explode(F.filter(F.array(*planned), lambda a: a.isNotNull())))
     return rows.select(
         F.col("id").alias("alert_id"), "agent_id", "playbook_id", "playbook_name", "pid",
@@ -148,15 +176,21 @@ def remediation_rows(plan: DataFrame) -> DataFrame:
 
 
 def execution_rows(matches: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per alert and playbook with its ordered action results."""
-    done = plan.groupBy("alert_id", "playbook_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("order", "action_id", "status", "output"))),
-        lambda r: F.struct(r["status"].alias("status"), r["output"].alias("output"))).alias("actions"))
-    return (matches.select(F.col("id").alias("alert_id"), "playbook_id")
-            .join(done, ["alert_id", "playbook_id"], "left")
-            .withColumns({"status": F.lit("completed"),
-                          "actions": F.coalesce("actions", F.array().cast(
-                              "array<struct<status:string,output:string>>"))}))
+    """One row per alert and playbook with its ordered action results.
+
+    ``plan`` is the action table, whose results are constants per playbook and
+    pid: they are listed in the projection, without a shuffle.
+    """
+    kind = "array<struct<status:string,output:string>>"
+    by_book: dict[int, list[Column]] = {}
+    for a in load_actions(plan):
+        made = _plan(a)
+        by_book.setdefault(a["playbook_id"], []).append(F.struct(made["status"].alias("status"), made["output"].alias("output")))
+    listed = F.lit(None).cast(kind)
+    for book, results in by_book.items():
+        listed = F.when(F.col("playbook_id") == book, F.array(*results)).otherwise(listed)
+    return matches.select(F.col("id").alias("alert_id"), "playbook_id",
+                          F.coalesce(listed, F.array().cast(kind)).alias("actions"), F.lit("completed").alias("status"))
 
 
 def list_playbooks(playbooks: DataFrame, actions: DataFrame) -> DataFrame:
@@ -170,13 +204,18 @@ def create_playbooks(playbooks: DataFrame, actions: DataFrame, new: DataFrame
                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(playbooks, actions, refused): a name in use is refused.
 
+    Of several new playbooks of one name the smallest id is stored.
+
     ``new`` holds the playbook columns and ``actions``, an array of structs
     (action_type, target, params, order); an order of 0 or null becomes the
     list position.
     """
-    taken = playbooks.select("name")
-    refused = new.join(taken, "name", "left_semi")
-    fresh = new.join(taken, "name", "left_anti")
+    first = new.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_id"))
+    taken = playbooks.select(F.col("name").alias("_taken")).distinct()
+    told = new.join(first, F.col("name").eqNullSafe(F.col("_name")), "left").join(
+        taken, F.col("name") == F.col("_taken"), "left")
+    stored = F.col("_taken").isNull() & (F.col("id") == F.col("_id"))
+    refused, fresh = told.where(~stored).select(new.columns), told.where(stored).select(new.columns)
     order = F.coalesce(F.nullif(F.col("_a.order"), F.lit(0)), F.col("_i"))
     rows = (fresh.select(F.col("id").alias("playbook_id"), F.posexplode("actions").alias("_i", "_a"))
             .select("playbook_id", "_a.action_type", "_a.target", "_a.params", order.alias("order")))

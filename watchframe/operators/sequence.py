@@ -83,13 +83,19 @@ class StateMachine:
     row and how many rows right before it are held; it returns the new count
     (the current row included) and whether the row fires.  ``report(columns,
     t, i, held)`` gives the extra output columns of a firing row from the
-    payload columns of the rows it held.
+    payload columns of the rows it held.  With ``marks`` the times come as pairs
+    with the values of that payload column.
     """
 
     most_held: int
     step: Callable
     report: Callable
     report_schema: str
+    marks: str | None = None
+
+    def times(self, frame: pd.DataFrame) -> list:
+        t = frame["_t"].tolist()
+        return list(zip(t, frame[self.marks].tolist())) if self.marks else t
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]
@@ -172,7 +178,7 @@ def fold_blocks(numbered: DataFrame, keys: list[str], machine: StateMachine, pay
 
     def states(batches):
         for frame, begin in whole_groups(batches, by):
-            t = frame["_t"].tolist()
+            t = machine.times(frame)
             halo = np.add.reduceat(frame["_halo"].to_numpy().astype(int), begin).tolist()
             heads = frame.iloc[begin][by].reset_index(drop=True)
             yield heads.assign(table=[_state_table(machine, t, b, b + h, e) for (b, e), h in
@@ -209,7 +215,7 @@ def fold_blocks(numbered: DataFrame, keys: list[str], machine: StateMachine, pay
 
     def run(batches):
         for frame, begin in whole_groups(batches, by):
-            t = frame["_t"].tolist()
+            t = machine.times(frame)
             halo = np.add.reduceat(frame["_halo"].to_numpy().astype(int), begin).tolist()
             enter = frame["_enter"].to_numpy(dtype=float, na_value=np.nan)[begin].tolist()
             fired = []

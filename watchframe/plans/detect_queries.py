@@ -394,7 +394,7 @@ _HIT_IDS = "CASE pos " + " ".join(f"WHEN {p} THEN {i}" for p, i in _RULE_ID.item
 
 
 @query("c08_rule_hit_counters", with_("prep", more=f"""h AS ({_CUSTOM}), n AS (SELECT {_HIT_IDS} AS id, count(*) AS hits, max(ts_us) AS last
-  FROM h JOIN prep USING (event_id) GROUP BY 1), ids AS (SELECT unnest(range(1,10)) AS id)""") +
+  FROM h JOIN prep USING (event_id) WHERE event_type='PROCESS_CREATED' AND NOT {O.within('n', sig.ALLOWED_UPDATERS)} GROUP BY 1), ids AS (SELECT unnest(range(1,10)) AS id)""") +
        "SELECT ids.id, ids.id+coalesce(hits,0) AS trigger_count, last AS last_triggered FROM ids LEFT JOIN n USING (id)")
 def _(spark, d):
     rules = K.custom_rules(spark)

@@ -332,7 +332,7 @@ def _(spark, d):
 @query("f05_execution_rows", with_("alerts", more=f"{_BOOKS}, {_ACTIONS}") + """SELECT alert_id, CAST(playbook_id AS BIGINT) AS playbook_id, 'completed' AS status,
   string_agg(status||':'||output, ';' ORDER BY ord, action_id) AS actions FROM pl GROUP BY alert_id, playbook_id""")
 def _(spark, d):
-    rows = R.execution_rows(_matches(spark, d), _plan(spark, d))
+    rows = R.execution_rows(_matches(spark, d), K.playbook_actions(spark))
     return rows.withColumn("actions", F.array_join(F.transform(
         "actions", lambda a: F.concat(a["status"], F.lit(":"), a["output"])), ";"))
 
@@ -356,10 +356,11 @@ def _(spark, d):
     return listed.select("id", "name", "is_active", F.array_join("actions.action_type", ",").alias("actions"))
 
 
-@query("f07_create_playbooks", """WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN p_name||' '||p_partkey ELSE c_name END AS name
-   FROM customer LEFT JOIN part ON p_partkey=c_custkey) SELECT 'stored' AS kind, p_partkey AS id, p_name||' '||p_partkey AS name, CAST(NULL AS BIGINT) AS "order" FROM part
+@query("f07_create_playbooks", """WITH w AS (SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN p_name||' '||p_partkey WHEN c_custkey%3=1 THEN 'shared '||(c_custkey%11) ELSE c_name END AS name
+   FROM customer LEFT JOIN part ON p_partkey=c_custkey),
+   n AS (SELECT id, name FROM w QUALIFY id=min(id) OVER (PARTITION BY name)) SELECT 'stored' AS kind, p_partkey AS id, p_name||' '||p_partkey AS name, CAST(NULL AS BIGINT) AS "order" FROM part
    UNION ALL SELECT 'stored', id, name, NULL FROM n WHERE name NOT IN (SELECT p_name||' '||p_partkey FROM part)
-   UNION ALL SELECT 'refused', id, name, NULL FROM n WHERE name IN (SELECT p_name||' '||p_partkey FROM part)
+   UNION ALL SELECT 'refused', id, name, NULL FROM w WHERE name IN (SELECT p_name||' '||p_partkey FROM part) OR name IS NULL OR (id, name) NOT IN (SELECT (id, name) FROM n)
    UNION ALL SELECT 'action', id, 'a', 5 FROM n WHERE name NOT IN (SELECT p_name||' '||p_partkey FROM part)
    UNION ALL SELECT 'action', id, 'b', 1 FROM n WHERE name NOT IN (SELECT p_name||' '||p_partkey FROM part)""")
 def _(spark, d):
@@ -369,7 +370,8 @@ def _(spark, d):
                                  F.lit(None).cast("string").alias("params"), F.lit(o).cast("int").alias("order"))
     new = A.table(spark, d, "customer").join(part, "c_custkey", "left").select(
         F.col("c_custkey").alias("id"),
-        F.when(F.col("c_custkey") % 3 == 0, F.concat("p_name", F.lit(" "), "c_custkey")).otherwise(F.col("c_name")).alias("name"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat("p_name", F.lit(" "), "c_custkey"))
+        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("shared "), F.col("c_custkey") % 11)).otherwise(F.col("c_name")).alias("name"),
         F.lit(True).alias("is_active"), F.array(step("a", 5), step("b", 0)).alias("actions"))
     table, added, refused = R.create_playbooks(books, actions.limit(0), new)
     none = F.lit(None).cast("int").alias("order")

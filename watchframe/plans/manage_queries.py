@@ -71,12 +71,13 @@ def _(spark, d):
 
 
 def _changes(spark, d):
-    i = F.col("event_id")
-    return A.table(spark, d, "events").select(
-        F.when(i % 5 == 0, i).otherwise(-1 - i).alias("id"), (i % 2 == 0).alias("resolved"))
+    """Some alerts are named twice."""
+    i, events = F.col("event_id"), A.table(spark, d, "events")
+    once = events.select(F.when(i % 5 == 0, i).otherwise(-1 - i).alias("id"), (i % 2 == 0).alias("resolved"))
+    return once.unionByName(events.where(i % 10 == 5).select(i.alias("id"), (i % 3 == 0).alias("resolved")))
 
 
-@query("g05_resolve_alerts", with_("alerts") + "SELECT id, CASE WHEN id%5=0 THEN id%2=0 ELSE is_resolved END AS is_resolved FROM alerts")
+@query("g05_resolve_alerts", with_("alerts") + "SELECT id, CASE WHEN id%5=0 THEN id%2=0 OR id%3=0 AND id%10=5 ELSE is_resolved END AS is_resolved FROM alerts")
 def _(spark, d):
     return G.resolve_alerts(A.sec_alerts(spark, d), _changes(spark, d))[0].select("id", "is_resolved")
 
@@ -286,16 +287,18 @@ def _scan(spark, d):
     return A.table(spark, d, "events").select(
         F.concat(F.lit("10.1."), i % 77, F.lit("."), i % 2).alias("ip_address"), _ports(i).alias("open_ports"),
         F.when(i % 3 == 0, F.concat(F.lit("scan-"), i)).alias("hostname"),
-        F.when(i % 4 == 0, "AA:00:00:00:00:01").alias("mac_address"), F.when(i % 4 == 0, "V").alias("vendor"),
+        F.when(i % 4 == 0, F.concat(F.lit("AA:00:00:00:00:"), i % 90 + 10)).alias("mac_address"),
+        F.when(i % 4 == 0, F.concat(F.lit("V"), i % 90)).alias("vendor"),
         F.lit("scan").alias("source"), F.timestamp_micros(i).alias("ts"))
 
 
-_SCAN = f"""scan AS (SELECT '10.1.'||(event_id%77)||'.'||(event_id%2) AS ip_address, event_id AS i, {_PORTS.format('event_id')} AS ports
-  FROM events QUALIFY row_number() OVER (PARTITION BY ip_address ORDER BY event_id DESC)=1),
- up AS (SELECT coalesce(k.ip_address, s.ip_address) AS ip_address, CASE WHEN i%3=0 THEN 'scan-'||i ELSE hostname END AS hostname,
-  CASE WHEN i%4=0 THEN 'AA:00:00:00:00:01' END AS mac_address, CASE WHEN i%4=0 THEN 'V' END AS vendor,
-  CASE WHEN i IS NULL THEN 'linux' WHEN len(ports)>0 THEN {_OS.format('ports')} WHEN k IS NULL THEN 'unknown' ELSE 'linux' END AS os_guess,
-  CASE WHEN k IS NOT NULL THEN 55 WHEN len(ports)>0 THEN 90 ELSE 10 END::BIGINT AS os_confidence,
+_SCAN = f"""rows AS (SELECT '10.1.'||(event_id%77)||'.'||(event_id%2) AS ip_address, event_id AS i, {_PORTS.format('event_id')} AS ports FROM events),
+ scan AS (SELECT ip_address, max(i) AS i, max(i) FILTER (i%3=0) AS named, max(i) FILTER (i%4=0) AS carded, arg_max(ports, i) AS ports,
+  arg_max(ports, i) FILTER (len(ports)>0) AS open_ports, len(arg_min(ports, i))>0 AS first_open FROM rows GROUP BY 1),
+ up AS (SELECT coalesce(k.ip_address, s.ip_address) AS ip_address, coalesce('scan-'||named, hostname) AS hostname,
+  'AA:00:00:00:00:'||(carded%90+10) AS mac_address, 'V'||(carded%90) AS vendor,
+  CASE WHEN i IS NULL THEN 'linux' WHEN s.open_ports IS NOT NULL THEN {_OS.format('s.open_ports')} WHEN k IS NULL THEN 'unknown' ELSE 'linux' END AS os_guess,
+  CASE WHEN k IS NOT NULL THEN 55 WHEN first_open THEN 90 ELSE 10 END::BIGINT AS os_confidence,
   CASE WHEN i IS NULL OR len(ports)>0 THEN 'reachable' ELSE 'unknown' END AS status,
   array_to_string(CASE WHEN i IS NULL THEN [22] ELSE ports END, '|') AS open_ports, CASE WHEN i IS NULL THEN 'seed' ELSE 'scan' END AS source,
   coalesce(['active','not_deployed','deployed'][k%3+1], 'not_deployed') AS endpoint_status,
@@ -346,19 +349,34 @@ def _(spark, d):
     return H.list_hosts(_known_hosts(spark, d)).select("ip_address", "last_seen")
 
 
+def _turned(mac):
+    """The groups of a MAC in reverse order."""
+    return F.array_join(F.reverse(F.split(mac, ":")), ":")
+
+
+def _makers(spark, d):
+    n = F.col("event_id")
+    return A.table(spark, d, "events").where(n.between(10, 49)).select(
+        F.concat(n, F.lit("0000")).alias("prefix"), F.concat(F.lit("Maker "), n).alias("vendor"))
+
+
 @query("h07_ingest_scan", f"""WITH {_KNOWN}, {_SCAN}, ros AS (SELECT ip_address, arg_max('os'||i, i) AS os FROM (SELECT '10.1.'||(event_id%77)||'.'||(event_id%2) AS ip_address, event_id AS i FROM events WHERE event_id%5=0) GROUP BY 1)
   SELECT up.ip_address, hostname, coalesce(ros.os, os_guess) AS os_guess, CASE WHEN ros.os IS NOT NULL THEN 80 ELSE os_confidence END AS os_confidence,
-  open_ports, CASE WHEN source='scan' THEN 'agent-scan:a' ELSE source END AS source FROM up LEFT JOIN ros USING (ip_address)""")
+  open_ports, CASE WHEN source='scan' THEN 'agent-scan:a' ELSE source END AS source, mac_address, CASE WHEN mac_address IS NULL THEN NULL
+  WHEN carded%90+10<50 THEN 'Maker '||(carded%90+10) ELSE 'Unknown' END AS vendor FROM up LEFT JOIN (SELECT ip_address, carded FROM scan) USING (ip_address) LEFT JOIN ros USING (ip_address)""")
 def _(spark, d):
     i = F.col("event_id")
     item = F.struct(F.concat(F.lit("10.1."), i % 77, F.lit("."), i % 2).alias("ip_address"),
                     F.when(i % 3 == 0, F.concat(F.lit("scan-"), i)).alias("hostname"),
-                    F.lit(None).cast("string").alias("mac_address"), _ports(i).alias("open_ports"),
-                    F.when(i % 5 == 0, F.concat(F.lit("os"), i)).alias("os_guess"))
+                    F.when(i % 4 == 0, F.concat(F.lit("AA:00:00:00:00:"), i % 90 + 10)).alias("mac_address"),
+                    _ports(i).alias("open_ports"), F.when(i % 5 == 0, F.concat(F.lit("os"), i)).alias("os_guess"))
     results = A.table(spark, d, "events").select(
         F.lit("a").alias("agent_id"), F.timestamp_micros(i).alias("ts"), F.array(item).alias("scan_hosts"))
-    return H.ingest_scan(_known_hosts(spark, d), results, A.now()).select(
-        "ip_address", "hostname", "os_guess", "os_confidence", "open_ports", "source")
+    # the prefix table of the query has the last digits where prefixes have the first
+    turned = results.withColumn("scan_hosts", F.transform("scan_hosts", lambda h: h.withField("mac_address", _turned(h["mac_address"]))))
+    found = H.ingest_scan(_known_hosts(spark, d), turned, A.now(), _makers(spark, d))
+    return found.withColumn("mac_address", _turned(F.col("mac_address"))).select(
+        "ip_address", "hostname", "os_guess", "os_confidence", "open_ports", "source", "mac_address", "vendor")
 
 
 def _h8(spark, d):
@@ -386,26 +404,35 @@ def _(spark, d):
 @query("h09_ip_in_cidr", """WITH e AS (SELECT event_id, '10.'||(event_id%3)||'.'||(event_id%5)||'.'||(event_id%300) AS ip, event_id%300<256 AS ok,
    (event_id%3)*65536+(event_id%5)*256+event_id%300 AS n, CASE event_id%4 WHEN 0 THEN '10.1.2.77/24' WHEN 1 THEN '10.0.0.0/8' WHEN 2 THEN '10.1.0.0/30' ELSE '8.8.8.0/24' END AS cidr FROM events)
   SELECT event_id, ip, cidr, CASE event_id%4 WHEN 0 THEN ok AND n//256=258 WHEN 1 THEN ok WHEN 2 THEN ok AND n//4=16384 ELSE false END AS inside,
-  event_id%4 IN (0, 2) AS scannable FROM e""")
+  event_id%4 IN (0, 2) AS scannable FROM e
+  UNION ALL SELECT event_id, '', ['198.18.0.0/24','203.0.113.0/24','240.0.0.0/24','192.0.2.0/25','::1/128','fd00::/120','2001:4860::/120','fd00::/119','100.64.0.0/24'][event_id%9+1], false, event_id%9<6 FROM events""")
 def _(spark, d):
     i = F.col("event_id")
     ip = F.concat_ws(".", F.lit("10"), i % 3, i % 5, i % 300)
     cidr = A.pick(["10.1.2.77/24", "10.0.0.0/8", "10.1.0.0/30", "8.8.8.0/24"], i)
-    return A.table(spark, d, "events").select("event_id", ip.alias("ip"), cidr.alias("cidr")).withColumns({
+    more = A.pick(["198.18.0.0/24", "203.0.113.0/24", "240.0.0.0/24", "192.0.2.0/25", "::1/128", "fd00::/120", "2001:4860::/120",
+                   "fd00::/119", "100.64.0.0/24"], i)
+    events = A.table(spark, d, "events")
+    rows = events.select("event_id", ip.alias("ip"), cidr.alias("cidr")).unionByName(
+        events.select("event_id", F.lit("").alias("ip"), more.alias("cidr")))
+    return rows.withColumns({
         "inside": net.ip_in_cidr(F.col("ip"), F.col("cidr")), "scannable": net.is_scannable_network(F.col("cidr"))})
 
 
-@query("h10_manual_hosts", f"""WITH {_KNOWN}, m AS (SELECT '10.1.'||(p_partkey%90)||'.1' AS ip_address, arg_max('manual-'||p_partkey, p_partkey) AS name FROM part GROUP BY 1)
+@query("h10_manual_hosts", f"""WITH {_KNOWN}, m AS (SELECT '10.1.'||(p_partkey%90)||'.1' AS ip_address, arg_max('manual-'||p_partkey, p_partkey) AS name,
+    max(p_partkey) FILTER (p_partkey%3=0) AS carded FROM part WHERE p_partkey%10<>7 GROUP BY 1)
   SELECT coalesce(k.ip_address, m.ip_address) AS ip_address, coalesce(m.name, k.hostname) AS hostname, CASE WHEN k.k IS NOT NULL THEN 55 ELSE 10 END::BIGINT AS os_confidence,
-  CASE WHEN m.name IS NULL THEN 'reachable' ELSE 'unknown' END AS status FROM known k FULL JOIN m ON m.ip_address=k.ip_address""")
+  CASE WHEN m.name IS NULL THEN 'reachable' ELSE 'unknown' END AS status,
+  CASE WHEN carded%90+10<50 THEN 'Maker '||(carded%90+10) WHEN carded IS NOT NULL THEN 'Unknown' END AS vendor FROM known k FULL JOIN m ON m.ip_address=k.ip_address""")
 def _(spark, d):
     k = F.col("p_partkey")
     typed = A.table(spark, d, "part").select(
-        F.concat(F.lit("10.1."), k % 90, F.lit(".1")).alias("ip_address"), F.concat(F.lit("manual-"), k).alias("hostname"),
-        F.lit(None).cast("string").alias("mac_address"), F.lit(None).cast("string").alias("vendor"),
+        F.when(k % 10 != 7, F.concat(F.lit("10.1."), k % 90, F.lit(".1"))).otherwise(F.concat(F.lit("10.1.300."), k)).alias("ip_address"),
+        F.concat(F.lit("manual-"), k).alias("hostname"),
+        F.when(k % 3 == 0, F.concat(k % 90 + 10, F.lit(":00:00:00:00:AA"))).alias("mac_address"),
         F.lit("manual").alias("source"), F.timestamp_micros(k).alias("ts"))
-    return H.add_manual_hosts(_known_hosts(spark, d), typed, A.now()).select(
-        "ip_address", "hostname", "os_confidence", "status")
+    return H.add_manual_hosts(_known_hosts(spark, d), typed, A.now(), _makers(spark, d))[0].select(
+        "ip_address", "hostname", "os_confidence", "status", "vendor")
 
 
 @query("h11_append_new_hosts", f"""WITH {_KNOWN} SELECT ip_address, 'old' AS kind FROM known UNION ALL
@@ -469,12 +496,15 @@ def _(spark, d):
 
 
 @query("i03_register", with_("sec", more=_AG) + """SELECT 'old-'||n AS hostname, 'linux' AS os_type, CASE WHEN n%2=0 THEN agent_id ELSE 'new-'||n END AS agent_id,
-  CASE WHEN n%2=0 THEN 're-enrolled' ELSE 'registered' END AS status FROM ag""")
+  CASE WHEN n%2=0 THEN 're-enrolled' ELSE 'registered' END AS status FROM ag
+  UNION ALL SELECT 'fresh-'||(n%9), 'linux', min('twice-'||n) OVER (PARTITION BY n%9),
+  CASE WHEN 'twice-'||n=min('twice-'||n) OVER (PARTITION BY n%9) THEN 'registered' ELSE 're-enrolled' END FROM ag""")
 def _(spark, d):
     n = F.regexp_extract("agent_id", r"(\d+)$", 1)
-    requests = A.sec_agents(spark, d).select(F.concat(F.lit("old-"), n).alias("hostname"), F.lit("linux").alias("os_type"),
-                                             F.concat(F.lit("new-"), n).alias("agent_id"))
-    return AG.register(_registry(spark, d), requests)
+    agents, linux = A.sec_agents(spark, d), F.lit("linux").alias("os_type")
+    requests = agents.select(F.concat(F.lit("old-"), n).alias("hostname"), linux, F.concat(F.lit("new-"), n).alias("agent_id"))
+    again = agents.select(F.concat(F.lit("fresh-"), n.cast("bigint") % 9).alias("hostname"), linux, F.concat(F.lit("twice-"), n).alias("agent_id"))
+    return AG.register(_registry(spark, d), requests.unionByName(again))
 
 
 @query("i04_resolve_parent_names", with_("sec", more="""s AS (SELECT event_id, hostname AS host, event_id//60 AS ts, event_id AS pid, event_id-event_id%4 AS parent_pid, process_name FROM sec)""") +

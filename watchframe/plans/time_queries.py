@@ -87,6 +87,25 @@ def _(spark, d):
     return _span(C.beacon_alerts(A.sec_conns(spark, d)).drop("description"))
 
 
+_BEACON_TWICE = """g AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts_us, event_id, k) AS rn FROM (SELECT agent_id, ts_us, event_id, unnest([1, 2]) AS k FROM sec)),
+ r AS (SELECT agent_id, rn, event_id, [ts_us] AS l, [ts_us] AS keep, CAST(NULL AS DOUBLE) AS var, CAST(NULL AS DOUBLE) AS mean, false AS fired FROM g WHERE rn=1
+   UNION ALL
+   SELECT agent_id, rn, event_id, CASE WHEN hit THEN [] ELSE nl END, nl, var, mean, hit FROM (
+     SELECT *, coalesce(len(nl)>=5 AND var<5.0 AND mean>0, false) AS hit FROM (
+       SELECT *, list_aggregate(gaps, 'var_pop') AS var, list_aggregate(gaps, 'avg') AS mean FROM (
+         SELECT *, [(nl[i+1]-nl[i])/1000000.0::DOUBLE for i in range(1, len(nl))] AS gaps FROM (
+           SELECT g.agent_id, g.rn, g.event_id,
+             CASE WHEN len(r.l)>0 AND g.ts_us-r.l[-1]>=3600000000 THEN [g.ts_us] WHEN list_contains(r.l, g.ts_us) THEN r.l ELSE list_append(r.l[-19:], g.ts_us) END AS nl
+           FROM r JOIN g ON g.agent_id=r.agent_id AND g.rn=r.rn+1)))))"""
+
+
+@query("d04_beacon_alerts_repeats", with_("sec", more=_BEACON_TWICE, recursive=True) + """SELECT r.agent_id, r.event_id, r.keep[-1] AS "timestamp",
+  keep[-1]-keep[1] AS span_us, round(var,6) AS variance, CAST(len(keep) AS BIGINT) AS samples FROM r WHERE fired""")
+def _(spark, d):
+    twice = A.sec_conns(spark, d).withColumn("network_connections", F.concat("network_connections", "network_connections"))
+    return _span(C.beacon_alerts(twice)).select("agent_id", "event_id", "timestamp", "span_us", "variance", "samples")
+
+
 @query("d05_beacon_candidates", with_("sec", more="""f AS (SELECT agent_id, ts_us, min(event_id) AS event_id FROM sec GROUP BY agent_id, ts_us),
  g AS (SELECT *, (ts_us-lag(ts_us) OVER (PARTITION BY agent_id ORDER BY ts_us, event_id))/1000000.0::DOUBLE AS gap FROM f),
  s AS (SELECT *, sum(CAST(round(gap*1000000) AS BIGINT)) OVER w AS span, var_pop(gap) OVER w AS var, count(gap) OVER w + 1 AS samples FROM g
@@ -168,14 +187,14 @@ def _(spark, d):
     return alerts.withColumn("opening", F.regexp_extract("description", r"^(.*?z-score=)", 1)).drop("description")
 
 
-_QUOTA = """f AS (SELECT event_id, user_id, ts_us//1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM sec),
- r AS (SELECT user_id, rn, event_id, ms AS t0, 1 AS c FROM f WHERE rn=1
-   UNION ALL SELECT f.user_id, f.rn, f.event_id, CASE WHEN f.ms-r.t0>=60000 THEN f.ms ELSE r.t0 END,
-     CASE WHEN f.ms-r.t0>=60000 THEN 1 ELSE r.c+1 END FROM r JOIN f ON f.user_id=r.user_id AND f.rn=r.rn+1)"""
+_QUOTA = """f AS (SELECT event_id, user_id, ts_us AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM sec),
+ r AS (SELECT user_id, rn, event_id, us AS t0, 1 AS c FROM f WHERE rn=1
+   UNION ALL SELECT f.user_id, f.rn, f.event_id, CASE WHEN f.us-r.t0>=60000000 THEN f.us ELSE r.t0 END,
+     CASE WHEN f.us-r.t0>=60000000 THEN 1 ELSE r.c+1 END FROM r JOIN f ON f.user_id=r.user_id AND f.rn=r.rn+1)"""
 
 
 @query("d10_request_quota", with_("sec", more=_QUOTA, recursive=True) + """SELECT user_id, event_id, CAST(c AS BIGINT) AS request_number,
-  c<=10 AS allowed, t0*1000 AS window_start FROM r""")
+  c<=10 AS allowed, t0 AS window_start FROM r""")
 def _(spark, d):
     log = A.sec_events(spark, d).withColumn("user_id", F.regexp_extract("agent_id", r"(\d+)$", 1).cast("bigint"))
     return C.request_quota(log, limit=10).select("user_id", "event_id", "request_number", "allowed", "window_start")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -21,12 +19,9 @@ def session(app: str = "watchframe", master: str | None = None, **conf) -> Spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
+    """The cluster's shared folder; below the warehouse where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="watchframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_progress"
     return folder

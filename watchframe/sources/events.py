@@ -132,7 +132,12 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     append_by_date(alert_rows(alerts), path)
 
 
-def append_by_date(rows: DataFrame, path: str, writers_per_day: int = 16) -> None:
+def replace_alerts(alerts: DataFrame, path: str) -> None:
+    """The alert table at a path of its own, replaced when it is written again."""
+    append_by_date(alert_rows(alerts), path, mode="overwrite")
+
+
+def append_by_date(rows: DataFrame, path: str, writers_per_day: int = 16, mode: str = "append") -> None:
     """Append to Parquet partitioned by ``dt``.
 
     Rows of a date are spread over several writers, so a busy day is not one file.
@@ -140,4 +145,4 @@ def append_by_date(rows: DataFrame, path: str, writers_per_day: int = 16) -> Non
     plain = [name for name, kind in rows.dtypes if not kind.startswith(("map", "array", "struct"))]
     spread = rows.withColumn("_spread", F.pmod(F.xxhash64(*plain), F.lit(writers_per_day)))
     (spread.repartition("dt", "_spread").drop("_spread")
-     .write.mode("append").partitionBy("dt").parquet(path))
+     .write.mode(mode).partitionBy("dt").parquet(path))

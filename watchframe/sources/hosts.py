@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +90,34 @@ def content_hash(content: Column) -> Column:
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file below a path; unreadable files are skipped by the reader."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("ignoreCorruptFiles", "true").load(path))
-    return files.select("path", "length", content_hash(F.col("content")).alias("sha256"))
+    """SHA-256 of each file below a path; empty for a file that cannot be read.
+
+    Files are listed without their content, then read in parts by the tasks, so
+    a file may have any size.
+    """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .select("path", "length"))
+
+    def read(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                total = hashlib.sha256()
+                try:
+                    store, inner = fs.FileSystem.from_uri(name if "://" in name else re.sub("^file:/+", "file:///", name))
+                    with store.open_input_stream(inner) as f:
+                        while part := f.read(1 << 22):
+                            total.update(part)
+                    found.append(total.hexdigest())
+                except OSError:
+                    found.append("")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+    return listed.mapInArrow(read, "path string, length bigint, sha256 string")
 
 
 def with_file_hashes(events: DataFrame, hashes: DataFrame) -> DataFrame:

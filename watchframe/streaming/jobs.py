@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from watchframe.operators.dashboard import stats, unresolved
+from watchframe.operators.dashboard import minutes_before, unresolved
 from watchframe.operators.detection import worst_match_alerts
-from watchframe.sources.events import append_alerts, validate_events
+from watchframe.sources.events import replace_alerts, validate_events
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -23,12 +23,20 @@ def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
 
 def alert_job(events: DataFrame, rules: Callable[[], DataFrame], alerts_path: str,
               quarantine_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Valid events to alerts, rejected ones to quarantine; rules are re-read per micro-batch."""
-    def each(batch: DataFrame, _batch_id: int) -> None:
-        valid, rejected = validate_events(batch)
-        rejected.write.mode("append").parquet(quarantine_path)
-        alerts = worst_match_alerts(valid.withColumnRenamed("timestamp", "ts"), rules())
-        append_alerts(alerts, alerts_path)
+    """Valid events to alerts, rejected ones to quarantine; rules are re-read per micro-batch.
+
+    Each micro-batch owns a folder ``batch=<id>`` of either table and replaces
+    it, so one that is run again adds no rows.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read once for both tables
+        try:
+            valid, rejected = validate_events(batch)
+            rejected.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+            alerts = worst_match_alerts(valid.withColumnRenamed("timestamp", "ts"), rules())
+            replace_alerts(alerts, f"{alerts_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -43,12 +51,25 @@ def live_counters(alerts: DataFrame) -> DataFrame:
           for name in ("CRITICAL", "HIGH", "MEDIUM")])
 
 
-def overview_job(ticks: DataFrame, alerts: Callable[[], DataFrame], agents: Callable[[], DataFrame],
-                 now: Callable[[], Column], sink: Callable[[DataFrame], None], checkpoint: str,
+def agent_counts(agents: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+    """One row: active agents that are real, and demo ones."""
+    active = F.col("last_seen") >= minutes_before(now, minutes)
+    return agents.agg(F.count_if(active & ~F.col("is_demo")).alias("active_agents"),
+                      F.count_if(active & F.col("is_demo")).alias("demo_agents"))
+
+
+def overview_job(alerts: DataFrame, agents: Callable[[], DataFrame], now: Callable[[], Column],
+                 sink: Callable[[DataFrame], None], checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
-    """Recompute the overview from the stored tables at every trigger of ``ticks``."""
-    def each(_batch: DataFrame, _batch_id: int) -> None:
-        sink(stats(alerts(), agents(), now()))
+    """The overview after every micro-batch of an alert stream.
 
-    return (ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    The alert counters are running ones, kept as streaming state; only the agent
+    table is read at each trigger.
+    """
+    def each(batch: DataFrame, _batch_id: int) -> None:
+        active, demo = agent_counts(agents(), now()).first()
+        sink(batch.withColumns({"active_agents": F.lit(active), "demo_agents": F.lit(demo)}))
+
+    return (live_counters(alerts).writeStream.outputMode("complete").foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "500 milliseconds"})).start())

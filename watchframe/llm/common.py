@@ -87,7 +87,7 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def block_sums(rows: DataFrame, count: Callable, width: int, blocks: int, name: str,
+def block_sums(rows: DataFrame, count: Callable, width: int, blocks: int,
                limit: int = 64 << 20) -> np.ndarray:
     """Sum of one int64 array of ``width`` per task, added up block by block on the cluster.
 

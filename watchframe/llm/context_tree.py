@@ -8,8 +8,8 @@ the tree mixes the estimates of all depths by the weights that the training text
 Counting.  A block (a file split) reports its distinct runs of depth + 1 bytes with their
 training counts, zero for runs it only needs scored, and its distinct words likewise: one row
 per block and run, so no run is frequent.  Rows are added up by run; the trees below two bytes
-of context are worked out where their runs lie, and 65,000 sums join them at the top.  Each
-block gets back the values of its own runs, written to the shared folder, and scores its texts
+of context are worked out where their runs lie, and sums for the pairs of bytes that occur
+join them at the top (a bounded number, tens of thousands for UTF-8 text).  Each block gets back the values of its own runs, written to the shared folder, and scores its texts
 with them.  The model is nowhere held as a whole, grows with the corpus and is exact.
 
 The base score is a unigram model of words with add-one-half smoothing.
@@ -33,6 +33,8 @@ from watchframe.llm.labelled import held_out_flag
 from watchframe.llm.words import WordHashes, bounds
 
 CHUNK = 1 << 21
+#: Contexts of up to so many bytes are joined over all tasks; ``depth`` must be more.
+TOP = 2
 #: The end of a text as a word, told apart from all word hashes by being the least key.
 END = np.int64(np.iinfo(np.int64).min)
 
@@ -154,27 +156,30 @@ def trees(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> Iterato
 
 
 class Top:
-    """The nodes of depth 1 and 0, from the sums of depth 2."""
+    """The nodes of depth TOP and less, from the sums of the depth below."""
 
     def __init__(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, log: np.ndarray):
-        one = Level(a, b, log)
-        names, to = np.unique(codes & 255, return_inverse=True)
-        add = lambda x: np.bincount(to, x, len(names))
-        nil = Level(add(a).astype(np.int64), add(b).astype(np.int64), add(one.log))
-        self.codes, self.one = codes, one
-        self.own0, self.zero0 = nil.own[to], nil.zero[to]
+        self.codes, self.levels, self.maps = codes, [Level(a, b, log)], []
+        for _ in range(TOP):
+            codes, to = np.unique(codes >> 16 << 8 | codes & 255, return_inverse=True)
+            low = self.levels[-1]
+            add = lambda x, to=to, n=len(codes): np.bincount(to, x, n)
+            self.levels.append(Level(add(low.a).astype(np.int64), add(low.b).astype(np.int64), add(low.log)))
+            self.maps.append(to)
 
     def mixed(self, codes: np.ndarray, zero: np.ndarray) -> np.ndarray:
-        """Probability of a zero at nodes of depth 1 whose longer contexts say ``zero``."""
+        """Probability of a zero at nodes of depth TOP whose longer contexts say ``zero``."""
         at = np.searchsorted(self.codes, codes)
-        zero = self.one.own[at] * self.one.zero[at] + (1 - self.one.own[at]) * zero
-        return self.own0[at] * self.zero0[at] + (1 - self.own0[at]) * zero
+        for level, to in zip(self.levels, [*self.maps, None], strict=True):
+            zero = level.own[at] * level.zero[at] + (1 - level.own[at]) * zero
+            at = at if to is None else to[at]
+        return zero
 
 
 def top_sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """Codes of the depth-1 nodes, with the sums over their depth-2 contexts in these keys."""
+    """Codes of the nodes of depth TOP, with the sums over their longer contexts in these keys."""
     out = []
-    for _, _, codes, levels, _ in trees(keys, counts, depth, 2):
+    for _, _, codes, levels, _ in trees(keys, counts, depth, TOP + 1):
         up, to = np.unique(codes >> 16 << 8 | codes & 255, return_inverse=True)
         low = levels[-1]
         out.append((up, *(np.bincount(to, x, len(up)) for x in (low.a, low.b, low.log))))
@@ -184,7 +189,7 @@ def top_sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarr
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.ndarray:
     """Log10 of the probability of the last byte of each run after its context."""
     out = np.zeros(len(keys))
-    for bit, run, codes, levels, maps in trees(keys, counts, depth, 2):
+    for bit, run, codes, levels, maps in trees(keys, counts, depth, TOP + 1):
         zero, at = levels[0].zero, np.arange(len(levels[0].a))
         for level, to in zip(levels[1:], maps, strict=True):
             at = to[at]
@@ -275,14 +280,15 @@ def _table(stream) -> tuple[np.ndarray, np.ndarray]:
 def _model(counts: DataFrame, depth: int) -> DataFrame:
     """key and value (log10 probability) of every run."""
     spark = counts.sparkSession
-    dealt = counts.where("key >= 0").repartition(F.shiftright("key", 8 * depth - 8))  # by the two nearest bytes
+    # by the nearest bytes of context, one more than the top has
+    dealt = counts.where("key >= 0").repartition(F.shiftright("key", 8 * (depth - TOP)))
 
     def sums(stream):
         keys, n = _table(stream)
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in top_sums(keys, n, depth)], ["code", "a", "b", "log"])
 
-    # 256 bytes of context times 255 nodes at most
+    # the two nearest bytes, seen together, times the nodes of a byte: 16.7 million rows for any corpus
     rows = (dealt.mapInArrow(sums, "code bigint, a double, b double, log double").groupBy("code")
             .agg(*[F.sum(c).alias(c) for c in ("a", "b", "log")]).toArrow().sort_by("code"))
     top = spark.sparkContext.broadcast(Top(rows["code"].to_numpy(), rows["a"].to_numpy().astype(np.int64),
@@ -303,6 +309,8 @@ def scores(docs: DataFrame, held_out: Callable[[Column], Column], depth: int = 5
     ``stored``: the documents are a plain read of files, so a row's file split names its block;
     with False they are written first.
     """
+    if not TOP < depth <= 6:
+        raise ValueError("depth: 3 to 6 bytes")
     spark = docs.sparkSession
     rows = texts(docs, held_out_flag(held_out, id), text=text, id=id)
     if not stored:

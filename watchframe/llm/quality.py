@@ -141,7 +141,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
     """doc_id, held_out, score (probability of label 1), predicted."""
     spark = docs.sparkSession
     rows = texts(docs, text=text, id=id)
-    sums = block_sums(rows, count_contexts, SLOTS * WIDTH + SLOTS, 16, "contexts")
+    sums = block_sums(rows, count_contexts, SLOTS * WIDTH + SLOTS, 128)
     vectors = spark.sparkContext.broadcast(word_vectors(sums))  # 4 MB
 
     def features(stream):

@@ -199,7 +199,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
                     total[list(found)] += 1
         return total
 
-    counted = block_sums(texts(docs, text=text, id=id), document_counts, len(chosen) + 1, 4, "documents-with")
+    counted = block_sums(texts(docs, text=text, id=id), document_counts, len(chosen) + 1, 4)
     idf = np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1e-3
     rows = sorted(sample.mapInArrow(example, "doc_id bigint, label int, f array<int>, n array<int>").collect())
     examples = Examples([r.doc_id for r in rows], [r.label for r in rows], [dict(zip(r.f, r.n, strict=True)) for r in rows], idf, k)

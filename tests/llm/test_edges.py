@@ -317,7 +317,7 @@ def test_contamination(spark, docs, empty, block):
     clean = decontamination.decontaminated(frame, bench, block_windows=block)
     assert clean.columns == frame.columns and clean.count() == len(ROWS)
     spans = {r.doc_id: r.text for r in decontamination.decontaminated(frame, bench, remove="spans", block_windows=block).where("doc_id >= 200").collect()}
-    assert spans == {200: "before: ! after", 201: "", 202: "", 203: "a ."} or spans[200] == "before: ! after"
+    assert spans == {200: "before: ! after", 201: "", 202: "", 203: "a ."}
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 

@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, *more: Column, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The two columns every operator needs, null text as empty."""
     return docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"),

@@ -12,12 +12,14 @@ an id count under the empty id.  Repeated items each count by their id, once a d
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, texts, written
+from watchframe.llm.common import batches, texts, unused, written
 from watchframe.llm.words import ALNUM, WordHashes, bounds, windows
 
 #: Windows in one broadcast block: about 200 bytes each in a Python worker.
@@ -100,69 +102,94 @@ def _blocks(benchmark: DataFrame, size: int, block_windows: int, text: str, id:
     return [spark.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod("h", F.lit(n)) == b).collect()]) for b in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = BLOCK_WINDOWS,
-                  text: str = "text", id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted), spans (of hit words)."""
-    parts = []
-    rows = texts(docs, text=text, id=id)
-    blocks = _blocks(benchmark, size, block_windows, text, item_id)
-    for block in blocks:
-        def scan(stream, block=block):
-            found, hashes = WindowSet(block.value), WordHashes()
-            for batch, values in batches(stream):
-                lists = [item_words(v) for v in values]
-                words, starts = [w for ws in lists for w in ws], bounds(lists)
-                hits = found.scan(words, hashes(words), starts)
-                spans = [merged(hits[d][0]) if d in hits else [] for d in range(len(values))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.diff(starts)), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                     pa.array([sorted(hits[d][1]) if d in hits else [] for d in range(len(values))], pa.list_(pa.string())),
-                     pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int32()))),
-                     *([batch.column(2)] if len(blocks) > 1 else [])],
-                    ["doc_id", "n_words", "n_hit", "items", "spans", *(["tie"] if len(blocks) > 1 else [])])
-
-        kind = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<int>>"
-        if len(blocks) > 1:
-            parts.append(rows.withColumn("tie", F.xxhash64("text")).mapInArrow(scan, kind + ", tie bigint"))
-        else:
-            return rows.mapInArrow(scan, kind)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    # one row per document and block; repeated rows of one id and text count as often as they come
+KIND = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<int>>"
+
+
+def _scanned(rows: DataFrame, block, tie: bool) -> DataFrame:
+    """The hits of one block in each document; with ``tie`` that third column is kept."""
+    def scan(stream):
+        found, hashes = WindowSet(block.value), WordHashes()
+        for batch, values in batches(stream):
+            lists = [item_words(v) for v in values]
+            words, starts = [w for ws in lists for w in ws], bounds(lists)
+            hits = found.scan(words, hashes(words), starts)
+            spans = [merged(hits[d][0]) if d in hits else [] for d in range(len(values))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(starts)), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                 pa.array([sorted(hits[d][1]) if d in hits else [] for d in range(len(values))], pa.list_(pa.string())),
+                 pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int32()))), *([batch.column(2)] if tie else [])],
+                ["doc_id", "n_words", "n_hit", "items", "spans", *(["tie"] if tie else [])])
+
+    return rows.mapInArrow(scan, KIND + ", tie bigint" * tie)
+
+
+def _united(rows: DataFrame, blocks: list) -> DataFrame:
+    """The hits of all blocks, one row per id and text: as KIND, with tie and copies."""
+    every = reduce(DataFrame.unionByName, [_scanned(rows, block, True) for block in blocks])
     together = every.groupBy("doc_id", "tie").agg(
         F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), (F.count("*") / len(blocks)).cast("int").alias("copies"))
     zero = F.expr("named_struct('done', cast(array() as array<array<int>>), 'a', -1, 'b', -1)")
+    ended = lambda acc: F.when(acc["a"] < 0, acc["done"]).otherwise(
+        F.concat(acc["done"], F.array(F.array(acc["a"], acc["b"]))))
 
     def step(acc, x):
         joins = x[0] <= acc["b"]
-        ended = F.when(joins | (acc["a"] < 0), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(F.array(acc["a"], acc["b"]))))
-        return F.struct(ended.alias("done"), F.when(joins, acc["a"]).otherwise(x[0]).alias("a"),
+        return F.struct(F.when(joins, acc["done"]).otherwise(ended(acc)).alias("done"), F.when(joins, acc["a"]).otherwise(x[0]).alias("a"),
                         F.when(joins, F.greatest(acc["b"], x[1])).otherwise(x[1]).alias("b"))
 
-    spans = F.aggregate("s", zero, step, lambda acc: F.when(acc["a"] < 0, acc["done"]).otherwise(
-        F.concat(acc["done"], F.array(F.array(acc["a"], acc["b"])))))
-    out = together.withColumn("spans", spans).withColumn("_i", F.explode(F.sequence(F.lit(1), "copies")))
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + (x[1] - x[0]))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
+    out = together.withColumn("spans", F.aggregate("s", zero, step, ended)).drop("s")
+    return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + (x[1] - x[0])))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = BLOCK_WINDOWS,
+                  text: str = "text", id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items (sorted), spans (of hit words)."""
+    rows, blocks = texts(docs, text=text, id=id), _blocks(benchmark, size, block_windows, text, item_id)
+    if len(blocks) == 1:
+        return _scanned(rows, blocks[0], False)
+    found = _united(rows.withColumn("tie", F.xxhash64("text")), blocks)
+    return (found.withColumn("_i", F.explode(F.sequence(F.lit(1), "copies")))
+            .select("doc_id", "n_words", "n_hit", "items", "spans"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "documents",
-                   block_windows: int = BLOCK_WINDOWS, text: str = "text", item_id: str = "item_id") -> DataFrame:
+                   block_windows: int = BLOCK_WINDOWS, text: str = "text", id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """The documents without those that hold a window (``documents``), or without the hit spans (``spans``).
 
     A span goes with the text between its words; columns stay as they were.  One map over the
-    documents per block of windows, no shuffle.
+    documents per block of windows, no shuffle; spans of several blocks are united by document first.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    for block in _blocks(benchmark, size, block_windows, text, item_id):
+    blocks = _blocks(benchmark, size, block_windows, text, item_id)
+    kind = docs.schema
+
+    def cut(part: pa.RecordBatch, values: list, spans: dict) -> pa.RecordBatch:
+        k = part.schema.get_field_index(text)
+        new = [without(v, spans[d]) if d in spans else v for d, v in enumerate(values)]
+        return part.set_column(k, part.schema.field(k), pa.array(new, pa.binary()).cast(pa.string()))
+
+    if remove == "spans" and len(blocks) > 1:
+        tie, own = unused(docs, "_tie"), unused(docs, "_spans")
+        value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+        found = (_united(texts(docs, text=text, id=id).withColumn("tie", F.xxhash64("text")), blocks)
+                 .where("n_hit > 0").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_of"), F.col("spans").alias(own)))
+        marked = docs.withColumn(tie, F.xxhash64(value))
+        joined = marked.join(found, F.col(f"`{id}`").cast("long").eqNullSafe(found["_doc"]) & (F.col(tie) == found["_of"]), "left")
+
+        def apply(stream):
+            for batch in stream:
+                for part, values in batches([batch], text):
+                    spans = {d: s for d, s in enumerate(part.column(part.num_columns - 1).to_pylist()) if s}
+                    yield cut(part.select(list(range(part.num_columns - 1))), values, spans)
+
+        return joined.select(*[F.col(f"`{c}`") for c in docs.columns], own).mapInArrow(apply, kind)
+
+    for block in blocks:
         def clean(stream, block=block):
             found, hashes = WindowSet(block.value), WordHashes()
             for batch in stream:
-                k = batch.schema.get_field_index(text)
                 for part, values in batches([batch], text):
                     lists = [item_words(v) if v else [] for v in values]
                     words, starts = [w for ws in lists for w in ws], bounds(lists)
@@ -170,11 +197,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove
                     if hits and remove == "documents":
                         part = part.filter(pa.array([d not in hits for d in range(len(values))]))
                     elif hits:
-                        new = [without(v, merged(hits[d][0])) if d in hits else v for d, v in enumerate(values)]
-                        part = part.set_column(k, part.schema.field(k), pa.array(new, pa.binary()).cast(pa.string()))
+                        part = cut(part, values, {d: merged(s) for d, (s, _) in hits.items()})
                     if part.num_rows:
                         yield part
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(clean, kind)
     return docs
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, bitmap, in_bitmap, texts, written
+from watchframe.llm.common import batches, bitmap, in_bitmap, texts, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,15 +67,15 @@ def exact_groups(docs: DataFrame, prefix: int = 64, digest: bool = False, text:
 def deduplicated(docs: DataFrame, prefix: int = 64, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The documents with one row left of each group of equal texts; columns as they were."""
     groups = written(exact_groups(docs, prefix, text=text, id=id), "exact")
-    drop = written(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "drop")
-    repeated = groups.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return docs.join(drop, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone, sha, own, row = (unused(docs, n) for n in ("_gone", "_sha", "_own_sha", "_row"))
+    drop = written(groups.where("NOT kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)), "drop")
+    key = F.col(f"`{id}`")
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(drop, key.cast("long").eqNullSafe(F.col(gone)), "left_anti")
     # an id comes more than once: rows are told apart by their text as well
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marked = docs.withColumn("_text_sha", F.sha2(F.translate(value, UPPER, LOWER), 256))
-    left = marked.join(drop, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_anti")
-    rest = [c for c in docs.columns if c != id]
-    key = [F.col(f"`{id}`"), F.col("_text_sha")]
-    one = left.groupBy(*key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
-    return one.select(*[F.col(f"`{id}`") if c == id else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    marked = docs.withColumn(own, F.sha2(F.translate(value, UPPER, LOWER), 256))
+    left = marked.join(drop, key.cast("long").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(sha)), "left_anti")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != id])
+    one = left.groupBy(key, F.col(own)).agg(F.first(rest).alias(row))
+    return one.select(*[key if c == id else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])

@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import written
+from watchframe.llm.common import unused, written
 
 #: Rules up to this number are broadcast; beyond it the join shuffles on the hash prefix.
 BROADCAST_RULES = 100_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -26,7 +27,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(F.regexp_extract(rest, r"(?s)^([^?#]*)", 1), F.lit(""))
     host = F.regexp_extract(rest, r"(?s)^([^/]*)", 1)
     path = F.substring(rest, F.length(host) + 1, F.length(rest))
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return F.translate(host, UPPER, LOWER), path
 
 
 def _short(digest: Column) -> Column:
@@ -38,7 +39,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     Columns of the pages with these names are replaced.
     """
-    rules = rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
+    rules = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = written(rules.withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256))
                     .withColumn("short", _short(F.col("r_digest"))), "url-rules")
     number = rules.count()
@@ -60,8 +61,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rule = F.concat("r_host", "r_path")
     order = F.struct(F.length(rule), F.length("r_host"), F.col("r_verdict") == "block", rule)
     best = found.groupBy("_url").agg(F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("_best"))
-    best = written(best, "url-verdicts")
-    joined = pages.join(best, F.col(f"`{url}`") == F.col("_url"), "left")
+    key, won = unused(pages, "_url"), unused(pages, "_best")
+    best = written(best.toDF(key, won), "url-verdicts")
+    joined = pages.join(best, F.col(f"`{url}`") == F.col(key), "left")
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return joined.select(*keep, host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"),
-                         F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return joined.select(*keep, host.alias("host"), path.alias("path"), F.col(f"{won}.rule").alias("rule"),
+                         F.coalesce(f"{won}.verdict", F.lit(default)).alias("verdict"))

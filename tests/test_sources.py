@@ -72,7 +72,7 @@ def test_socket_tables(spark):
     got = {(r.host, r.pid): [tuple(c) for c in r.network_connections] for r in HO.parse_socket_table(df).collect()}
     assert got[("h", 7)] == [("tcp", "0.0.0.0:1", "8.8.8.8:53", "ESTAB")]
     assert got[("w", 44)] == [("TCP", "1.1.1.1:5", "2.2.2.2:6", "ESTABLISHED")]
-    assert got[("m", 9)][0][1:] == ("1.1.1.1:1->2.2.2.2:2", "1.1.1.1:1->2.2.2.2:2", "(ESTABLISHED)")
+    assert got[("m", 9)][0] == ("0t0", "1.1.1.1:1->2.2.2.2:2", "1.1.1.1:1->2.2.2.2:2", "(ESTABLISHED)")
     assert got[("m", 9)][1][1:] == ("1.1.1.1:1", "", None) and len(got) == 3
 
 

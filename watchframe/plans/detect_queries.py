@@ -135,7 +135,7 @@ def _(spark, d):
 
 
 _SOCK = """sock AS (SELECT event_id, ts_us, hostname AS host, event_id%7 AS pid, event_id%3 AS kind,
-  CASE event_id%3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'TCP' ELSE 'IPv4' END AS proto,
+  CASE event_id%3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'TCP' ELSE '0t0' END AS proto,
   CASE event_id%3 WHEN 2 THEN '10.0.0.1:'||(event_id%99)||'->8.8.8.8:53' ELSE '10.0.0.1:'||(event_id%99) END AS "local",
   CASE event_id%3 WHEN 2 THEN '10.0.0.1:'||(event_id%99)||'->8.8.8.8:53' ELSE '8.8.8.8:53' END AS remote,
   CASE event_id%3 WHEN 0 THEN 'ESTAB' WHEN 1 THEN 'ESTABLISHED' ELSE '(ESTABLISHED)' END AS state FROM sec)"""
@@ -157,9 +157,8 @@ def _socket_lines(spark, d):
 
 @query("a12_socket_rows", with_("sec", more=_SOCK) + """SELECT event_id AS line_no, host, pid, proto, "local", remote, state FROM sock WHERE kind=0 OR pid>0""")
 def _(spark, d):
-    kind = F.when(F.col("conn.local").contains("->"), "IPv4").otherwise(F.col("conn.proto"))
     return HO.socket_rows(_socket_lines(spark, d)).select(
-        "line_no", "host", "pid", kind.alias("proto"), "conn.local", "conn.remote", "conn.state")
+        "line_no", "host", "pid", "conn.proto", "conn.local", "conn.remote", "conn.state")
 
 
 @query("a12_parse_socket_table", with_("sec", more=_SOCK) + """SELECT host, ts_us AS ts, pid, count(*) AS connections,
@@ -167,8 +166,7 @@ def _(spark, d):
   FROM sock WHERE kind=0 OR pid>0 GROUP BY host, ts_us, pid""")
 def _(spark, d):
     listed = HO.parse_socket_table(_socket_lines(spark, d))
-    one = lambda c: F.concat_ws(",", F.when(c["local"].contains("->"), "IPv4").otherwise(c["proto"]),
-                                c["local"], c["remote"], c["state"])
+    one = lambda c: F.concat_ws(",", c["proto"], c["local"], c["remote"], c["state"])
     return listed.select("host", "ts", "pid", F.size("network_connections").cast("bigint").alias("connections"),
                          F.array_join(F.transform("network_connections", one), ";").alias("listing"))
 

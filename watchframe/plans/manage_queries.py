@@ -107,12 +107,12 @@ def _(spark, d):
         "id", "device_id", "hostname", "agent_type", "timestamp", "cpu_usage")
 
 
-@query("g08_activity", with_("alerts", "telemetry", "agents", more="""t AS (SELECT 'telemetry' AS type, t.id, "timestamp", device_id AS agent_id, hostname, CAST(NULL AS VARCHAR) AS severity
-   FROM telemetry t JOIN agents a ON a.agent_id=device_id ORDER BY "timestamp" DESC, t.id DESC LIMIT 30),
-  l AS (SELECT 'alert' AS type, l.id, "timestamp", agent_id, hostname, severity FROM alerts l JOIN agents a USING (agent_id) ORDER BY "timestamp" DESC, l.id DESC LIMIT 30)""") +
+@query("g08_activity", with_("alerts", "telemetry", "agents", more="""t AS (SELECT 'telemetry' AS type, t.id, "timestamp", device_id AS agent_id, hostname, CAST(NULL AS VARCHAR) AS severity,
+   'Telemetry OK: CPU '||round(CAST(coalesce(cpu_usage, 0) AS DECIMAL(30,15)), 1)||'% / RAM '||round(CAST(coalesce(ram_usage, 0) AS DECIMAL(30,15)), 1)||'%' AS summary FROM telemetry t JOIN agents a ON a.agent_id=device_id ORDER BY "timestamp" DESC, t.id DESC LIMIT 30),
+  l AS (SELECT 'alert' AS type, l.id, "timestamp", agent_id, hostname, severity, description AS summary FROM alerts l JOIN agents a USING (agent_id) ORDER BY "timestamp" DESC, l.id DESC LIMIT 30)""") +
        """SELECT * FROM (SELECT * FROM t UNION ALL SELECT * FROM l) ORDER BY "timestamp" DESC, type DESC, id DESC LIMIT 30""")
 def _(spark, d):
-    return G.activity(A.sec_telemetry(spark, d), A.sec_alerts(spark, d), A.sec_agents(spark, d)).drop("summary")
+    return G.activity(A.sec_telemetry(spark, d), A.sec_alerts(spark, d), A.sec_agents(spark, d))
 
 
 _COUNTS = f"""s AS (SELECT * FROM (SELECT count(*) AS total_alerts, count(*) FILTER (WHERE {_OPEN}) AS unresolved_alerts,
@@ -517,11 +517,11 @@ def _(spark, d):
     return AG.resolve_parent_names(snaps).select("event_id", "parent_process_name")
 
 
-@query("i05_top_processes", with_("telemetry") + """SELECT id, CASE WHEN cpu_usage>=ram_usage THEN coalesce(n1,'unknown') ELSE coalesce(n2,'unknown') END AS first,
-  CAST(1 AS BIGINT) AS kept FROM telemetry""")
+@query("i05_top_processes", with_("telemetry") + """SELECT id, CASE WHEN cpu_usage>=ram_usage THEN coalesce(n1,'unknown')||','||coalesce(n2,'unknown')
+  ELSE coalesce(n2,'unknown')||','||coalesce(n1,'unknown') END AS names, CASE WHEN cpu_usage>=ram_usage THEN coalesce(n1,'unknown') ELSE coalesce(n2,'unknown') END AS first FROM telemetry""")
 def _(spark, d):
-    top = AG.top_processes(F.col("processes"), 1)
-    return A.sec_telemetry(spark, d).select("id", top[0]["name"].alias("first"), F.size(top).alias("kept"))
+    top = lambda n: F.transform(AG.top_processes(F.col("processes"), n), lambda p: p["name"])
+    return A.sec_telemetry(spark, d).select("id", F.array_join(top(10), ",").alias("names"), F.array_join(top(1), ",").alias("first"))
 
 
 @query("i06_established_flows", """SELECT event_id, CAST(least(50, len(list_filter(range(event_id%90), lambda k: k%3<>0 AND k%5<>0))) AS BIGINT) AS kept,

@@ -81,10 +81,12 @@ def _span(df):
 
 @query("d04_beacon_alerts", with_("sec", more=_BEACON, recursive=True) + """SELECT r.agent_id, 'unknown' AS pid_key, '185.234.72.18' AS host, r.event_id,
   r.keep[-1] AS "timestamp", 'HIGH' AS severity, coalesce(process_name,'unknown') AS process_name, 'correlation_beacon' AS event_type,
-  keep[-1]-keep[1] AS span_us, round(var,6) AS variance, CAST(len(keep) AS BIGINT) AS samples, '443' AS ports
-  FROM r JOIN sec USING (event_id) WHERE fired""")
+  keep[-1]-keep[1] AS span_us, round(var,6) AS variance, CAST(len(keep) AS BIGINT) AS samples, '443' AS ports,
+  'Potential C2 beacon detected: process '||chr(39)||coalesce(process_name,'None')||chr(39)||' (PID unknown) connecting to 185.234.72.18:443 every '||
+  (tenths//10)||'.'||(tenths%10)||'s (variance='||printf('%.2f', var)||', '||len(keep)||' samples).' AS description
+  FROM (SELECT *, ((keep[-1]-keep[1])*20+(len(keep)-1)*1000000)//(2*(len(keep)-1)*1000000) AS tenths FROM r WHERE fired) r JOIN sec USING (event_id)""")
 def _(spark, d):
-    return _span(C.beacon_alerts(A.sec_conns(spark, d)).drop("description"))
+    return _span(C.beacon_alerts(A.sec_conns(spark, d)))
 
 
 _BEACON_TWICE = """g AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts_us, event_id, k) AS rn FROM (SELECT agent_id, ts_us, event_id, unnest([1, 2]) AS k FROM sec)),
@@ -168,23 +170,23 @@ def _(spark, d):
 
 @query("d09_anomaly_alerts", with_("sec", more=_METRICS) + """SELECT agent_id, event_id, ts_us AS "timestamp",
   CASE WHEN z>6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'System' AS process_name, 'statistical_anomaly' AS event_type,
-  metric AS named FROM z""")
+  'Anomaly in '||metric||': '||v||' (z='||round(CAST(round(z,2) AS DECIMAL(18,2)),1)||')' AS description FROM z""")
 def _(spark, d):
-    alerts = C.anomaly_alerts(_anomalies(spark, d), route="queue")
-    return alerts.withColumn("named", F.regexp_extract("description", "^Anomaly in (.*): ", 1)).drop("description")
+    return C.anomaly_alerts(_anomalies(spark, d), route="queue")
 
 
-@query("d09_direct_anomaly_alerts", with_("telemetry", more=_METRICS) + """SELECT z.agent_id, event_id, ts_us AS "timestamp",
-  CASE WHEN z>6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, coalesce(n1,'unknown') AS process_name, 'statistical_anomaly' AS event_type,
-  'Suspicious '||CASE metric WHEN 'cpu_usage' THEN 'Cpu Usage' ELSE 'Ram Usage' END||' spike (z-score=' AS opening
-  FROM z JOIN telemetry t ON t.id=z.event_id""")
+@query("d09_direct_anomaly_alerts", with_("telemetry", more=_METRICS) + """SELECT agent_id, event_id, ts_us AS "timestamp",
+  CASE WHEN z>6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, process_name, 'statistical_anomaly' AS event_type,
+  'Suspicious '||CASE metric WHEN 'cpu_usage' THEN 'Cpu Usage' ELSE 'Ram Usage' END||' spike (z-score='||round(CAST(round(z,2) AS DECIMAL(18,2)),1)||
+  ', threshold=4.0) on process '||chr(39)||process_name||chr(39)||': current='||round(CAST(v AS DECIMAL(30,15)),1)||'% — significantly above normal baseline. ' AS description
+  FROM (SELECT s.agent_id, event_id, ts_us, metric, v, z, CASE WHEN metric='cpu_usage' THEN coalesce(n1,'unknown') WHEN 100-t.cpu_usage>0 AND 100-t.cpu_usage>=t.ram_usage THEN coalesce(n1,'unknown')
+   WHEN t.ram_usage>0 THEN coalesce(n2,'unknown') ELSE coalesce(n1,'unknown') END AS process_name FROM z s JOIN telemetry t ON t.id=s.event_id)""")
 def _(spark, d):
     t = A.sec_telemetry(spark, d)
-    found = _anomalies(spark, d).join(
-        t.select(F.col("id").alias("event_id"), "processes"), "event_id").withColumn(
-        "top_process", F.coalesce(F.get("processes.name", F.lit(0)), F.lit("unknown")))
-    alerts = C.anomaly_alerts(found, route="direct")
-    return alerts.withColumn("opening", F.regexp_extract("description", r"^(.*?z-score=)", 1)).drop("description")
+    fields = t.schema["processes"].dataType.elementType.names
+    found = _anomalies(spark, d).join(t.select(F.col("id").alias("event_id"), "processes"), "event_id").withColumn(
+        "top_process", C.top_process(F.col("processes"), fields, F.col("metric")))
+    return C.anomaly_alerts(found, route="direct")
 
 
 _QUOTA = """f AS (SELECT event_id, user_id, ts_us AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM sec),

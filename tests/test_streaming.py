@@ -130,3 +130,61 @@ def test_fold_is_pure():
         hits += [s] * len(found)
     assert hits == [59, 70]
     assert reduce(lambda a, b: a + b, hits) == 129
+
+
+class _Handle:
+    """The state and timers of one key, in memory."""
+
+    def __init__(self):
+        self.timers, self.rows, self.value = set(), [], None
+
+    def getListState(self, *_):
+        return _Cell(self, "rows")
+
+    def getValueState(self, *_):
+        return _Cell(self, "value")
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Cell:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        return getattr(self.handle, self.name)
+
+    def exists(self):
+        return bool(self.get())
+
+    def appendValue(self, row):
+        self.handle.rows = [*self.handle.rows, row]
+
+    def put(self, rows):
+        self.handle.rows = rows
+
+    def update(self, value):
+        self.handle.value = value
+
+    def clear(self):
+        setattr(self.handle, self.name, [] if self.name == "rows" else None)
+
+
+def test_state_expires():
+    """A silent key keeps no state and no timer beyond its ttl; a late waking changes nothing."""
+    from types import SimpleNamespace as N
+    handle = _Handle()
+    made = S.OrderedFold(S.quota_fold(60_000_000, 10), 60_000_000)
+    made.init(handle)
+    list(made.handleInputRows(("u",), [N(us=5_000_500, tie=1, body="{}"), N(us=6_000_000, tie=2, body="{}")], None))
+    found = []
+    while handle.timers:
+        at = min(handle.timers)
+        handle.timers.remove(at)
+        found += made.handleExpiredTimer(("u",), N(getCurrentWatermarkInMs=lambda at=at: at), None)
+    assert [f.tie for f in found] == [1, 2]
+    assert handle.value is None and not handle.rows and at == 66_000

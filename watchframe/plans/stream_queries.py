@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from watchframe.operators.correlation import agent_last_seen
 from watchframe.plans import adapters as A
 from watchframe.plans.oracle import with_
-from watchframe.plans.registry import query
+from watchframe.plans import time_queries  # noqa: F401  (its SQL is used below)
+from watchframe.plans.registry import ORACLES, query
 from watchframe.session import checkpoint_folder
-from watchframe.sources.events import route
-from watchframe.streaming.jobs import live_counters
+from watchframe.sources.events import read_events, route, stream_events
+from watchframe.streaming import stateful
+from watchframe.streaming.jobs import live_counters, run
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +65,100 @@ def _(spark, d):
     updates = _drain(spark, live_counters(alerts), "live")
     names = [c for c in updates.columns if c != "_batch"]
     return updates.agg(*[F.max_by(c, "_batch").alias(c) for c in names])
+
+
+# ---------------------------------------------------------------- ordered detections
+
+def _landed(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """All events as files of a new folder, and one last row of each kind that moves the watermark."""
+    rows = A.sec_conns(spark, sf_dir)
+    last = rows.limit(1).withColumns({
+        "ts": F.timestamp_micros(F.lit(A.EPOCH_US + 10**11)), "agent_id": F.lit("end"),
+        "event_type": F.explode(F.array(F.lit("PROCESS_CREATED"), F.lit("SYSLOG_NETWORK"))),
+        "event_id": F.lit(-1).cast("bigint"), "parent_process_name": F.lit("x"), "message": F.lit("failed password")})
+    rows.repartition(3, "event_id").write.parquet(f"{folder}/in")
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return f"{folder}/in"
+
+
+def _drained(job, path: str) -> str:
+    job.awaitTermination()
+    return path
+
+
+def _found(spark: SparkSession, sf_dir: str, name: str, detect) -> DataFrame:
+    """Results of a streaming detection over the landed events."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+    landed = _landed(spark, sf_dir, folder)
+    events = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    return spark.read.parquet(_drained(run(detect(events), f"{folder}/out", f"{folder}/progress"), f"{folder}/out"))
+
+
+def _same_as(batch: str, columns: str) -> str:
+    return f"SELECT {columns} FROM ({ORACLES[batch]})"
+
+
+@query("d01_brute_force_stream", _same_as("d01_brute_force_alerts", "agent_id, event_id, attempts"))
+def _(spark, d):
+    found = _found(spark, d, "d01", lambda e: stateful.brute_force_stream(e, "10 minutes"))
+    return found.where("agent_id != 'end'").select("agent_id", "event_id", "attempts")
+
+
+@query("d03_lineage_stream", _same_as("d03_lineage_escalation_short", "agent_id, event_id"))
+def _(spark, d):
+    found = _found(spark, d, "d03", lambda e: stateful.lineage_stream(e, "10 minutes", 30))
+    return found.where("agent_id != 'end'").select("agent_id", "event_id")
+
+
+@query("d04_beacon_stream", _same_as("d04_beacon_alerts", "agent_id, event_id, samples, ports"))
+def _(spark, d):
+    found = _found(spark, d, "d04", lambda e: stateful.beacon_stream(e.withColumn("pid", F.lit(None).cast("bigint")), "10 minutes"))
+    return found.where("agent_id != 'end'").select("agent_id", "event_id", "samples", "ports")
+
+
+@query("d10_request_quota_stream", _same_as("d10_request_quota", "user_id, event_id, request_number, allowed"))
+def _(spark, d):
+    number = F.coalesce(F.regexp_extract("agent_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(-1))
+    found = _found(spark, d, "d10", lambda e: stateful.quota_stream(e.withColumn("user_id", number), delay="10 minutes", limit=10))
+    return (found.withColumn("user_id", F.col("user_id").cast("bigint")).where("user_id >= 0")
+            .select("user_id", "event_id", "request_number", "allowed"))
+
+
+# ---------------------------------------------------------------- JSON intake
+
+def _json(spark: SparkSession, sf_dir: str) -> str:
+    """Events as JSON lines in both key styles, and one line that is no JSON."""
+    folder = f"{checkpoint_folder(spark)}/json-{uuid.uuid4()}"
+    e = A.sec_events(spark, sf_dir).withColumn("timestamp", F.col("ts"))
+    snake = e.where("event_id % 2 = 0").select("agent_id", "timestamp", "event_type", "hostname", "pid", "process_name", "event_id")
+    camel = e.where("event_id % 2 = 1").select(
+        F.col("agent_id").alias("agentId"), "timestamp", F.col("event_type").alias("eventType"), "hostname", "pid",
+        F.col("process_name").alias("processName"), F.col("event_id").alias("eventId"))
+    snake.write.json(f"{folder}/in")
+    camel.write.mode("append").json(f"{folder}/in")
+    spark.createDataFrame([('{"agent_id": "x", broken',)], "value string").coalesce(1).write.mode("append").text(f"{folder}/in")
+    return folder
+
+
+_INTAKE = with_("sec") + """SELECT agent_id, ts_us//1000*1000 AS "timestamp", event_type, hostname, pid, process_name, event_id, true AS ok FROM sec
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, false"""
+
+
+def _taken_in(rows: DataFrame) -> DataFrame:
+    """JSON keeps times to the millisecond."""
+    return rows.select("agent_id", F.date_trunc("millisecond", "timestamp").alias("timestamp"), "event_type", "hostname", "pid", "process_name", "event_id",
+                       F.col("_corrupt_record").isNull().alias("ok"))
+
+
+@query("a01_read_events", _INTAKE)
+def _(spark, d):
+    return _taken_in(read_events(spark, _json(spark, d) + "/in"))
+
+
+@query("a10_stream_events", _INTAKE)
+def _(spark, d):
+    folder = _json(spark, d)
+    events = stream_events(spark, f"{folder}/in", files_per_trigger=2)
+    return _taken_in(spark.read.parquet(_drained(run(events, f"{folder}/out", f"{folder}/progress"), f"{folder}/out")))

@@ -27,10 +27,14 @@ OUTPUT = "key string, us bigint, tie bigint, found string"
 
 
 class OrderedFold(StatefulProcessor):
-    """Folds the rows of a key in time order once the watermark has passed them."""
+    """Folds the rows of a key in time order once the watermark has passed them.
 
-    def __init__(self, fold: Fold):
-        self.fold = fold
+    With ``ttl_us`` the fold starts anew after such a pause; a timer then clears
+    the state of a key that has been silent for it.
+    """
+
+    def __init__(self, fold: Fold, ttl_us: int | None = None):
+        self.fold, self.ttl_us = fold, ttl_us
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -56,21 +60,26 @@ class OrderedFold(StatefulProcessor):
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
         ready = [r for r in rows if r[0] <= passed]
         later = [r for r in rows if r[0] > passed]
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
+        state, last = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
         out = []
         for us, tie, body in ready:
             state, found = self.fold(state, us, json.loads(body))
+            last = us
             out += [Row(key=key[0], us=us, tie=tie, found=json.dumps(f)) for f in found]
         if later:
             self.waiting.put(later)
             self._wake_at(later[0][0])
         elif rows:
             self.waiting.clear()
-        if state is None:
+        quiet = self.ttl_us is not None and last is not None and last + self.ttl_us <= passed
+        if state is None or quiet:
             if self.state.exists():
                 self.state.clear()
-        elif ready:
-            self.state.update((json.dumps(state),))
+        else:
+            if ready:
+                self.state.update((json.dumps([state, last]),))
+            if self.ttl_us is not None:
+                self._wake_at(last + self.ttl_us)
         return iter(out)
 
     def close(self) -> None:
@@ -78,14 +87,14 @@ class OrderedFold(StatefulProcessor):
 
 
 def ordered_fold(events: DataFrame, key: Column, body: Column, fold: Fold, delay: str,
-                 ts: str = "ts", tie: str = "event_id") -> DataFrame:
+                 ts: str = "ts", tie: str = "event_id", ttl_us: int | None = None) -> DataFrame:
     """Stream of (key, us, tie, found): JSON results of the fold per key."""
     rows = (events.withWatermark(ts, delay)
             .select(key.cast("string").alias("key"), F.col(ts).alias("at"),
                     F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"),
                     F.to_json(body).alias("body")))
     return rows.groupBy("key").transformWithState(
-        OrderedFold(fold), OUTPUT, "Append", "EventTime")
+        OrderedFold(fold, ttl_us), OUTPUT, "Append", "EventTime")
 
 
 def _found(schema: str) -> list[Column]:
@@ -176,7 +185,7 @@ def new_process_fold(state, us, body):
 def brute_force_stream(events: DataFrame, delay: str = "2 minutes", ttl_seconds: int = 60,
                        limit: int = 5, message: str = "message") -> DataFrame:
     rows = ordered_fold(failed_logins(events, message), F.col("agent_id"), F.struct("hostname"),
-                        burst_fold(ttl_seconds * 1_000_000, limit), delay)
+                        burst_fold(ttl_seconds * 1_000_000, limit), delay, ttl_us=ttl_seconds * 1_000_000)
     return rows.select(F.col("key").alias("agent_id"), *_found("attempts bigint, hostname string")
                        ).select("agent_id", "event_id", "timestamp", "f.*")
 
@@ -187,7 +196,8 @@ def lineage_stream(events: DataFrame, delay: str = "2 minutes", ttl_seconds: int
     key = F.to_json(F.struct("agent_id", unknown_pid(F.col("parent_pid")).alias("ppid")))
     body = F.struct("process_name", "parent_process_name",
                     _opens_tool(F.col("parent_process_name"), F.col("process_name")).alias("mark"))
-    found = ordered_fold(rows, key, body, lineage_fold(ttl_seconds * 1_000_000), delay)
+    ttl = ttl_seconds * 1_000_000
+    found = ordered_fold(rows, key, body, lineage_fold(ttl), delay, ttl_us=ttl)
     return found.select(F.get_json_object("key", "$.agent_id").alias("agent_id"),
                         *_found("process_name string, parent_process_name string")
                         ).select("agent_id", "event_id", "timestamp", "f.*")
@@ -202,7 +212,8 @@ def beacon_stream(events: DataFrame, delay: str = "2 minutes", keep: int = 20,
     key = F.to_json(F.struct("agent_id", unknown_pid(F.col("pid")).alias("pid_key"),
                              remote_host(F.col("c.remote")).alias("host")))
     found = ordered_fold(rows, key, F.struct(remote_port(F.col("c.remote")).alias("port")),
-                         beacon_fold(keep, ttl_seconds * 1_000_000, least, max_variance), delay)
+                         beacon_fold(keep, ttl_seconds * 1_000_000, least, max_variance), delay,
+                         ttl_us=ttl_seconds * 1_000_000)
     part = lambda name: F.get_json_object("key", f"$.{name}").alias(name)
     return found.select(part("agent_id"), part("pid_key"), part("host"), *_found(
         "mean_interval double, variance double, samples bigint, ports string")).select(
@@ -223,7 +234,7 @@ def zscore_stream(events: DataFrame, delay: str = "2 minutes", window: int = 60,
 def quota_stream(log: DataFrame, user: str = "user_id", delay: str = "2 minutes", limit: int = 20,
                  ttl_seconds: int = 60) -> DataFrame:
     found = ordered_fold(log, F.col(user), F.struct(F.lit(1).alias("one")),
-                         quota_fold(ttl_seconds * 1_000_000, limit), delay)
+                         quota_fold(ttl_seconds * 1_000_000, limit), delay, ttl_us=ttl_seconds * 1_000_000)
     return found.select(F.col("key").alias(user), *_found("request_number bigint, allowed boolean")
                         ).select(user, "event_id", "timestamp", "f.*")
 

@@ -128,7 +128,7 @@ def drop_rule_columns(df: DataFrame) -> DataFrame:
 
 
 def _texts(columns: list[str]) -> dict[str, Column]:
-    """Alert text of every rule."""
+    """Alert text of every rule (fixed values, which users of the alerts match on)."""
     have = set(columns)
     shown = or_none(F.col("process_name")) if "process_name" in have else F.lit("None")
     shown_path = or_none(F.col("process_path")) if "process_path" in have else F.lit("None")

@@ -298,6 +298,7 @@ def top_process(processes: Column, fields: list[str], metric: Column) -> Column:
     return F.coalesce(busiest, first, F.lit("unknown"))
 
 
+# The texts of the alerts here and above, which users of the alerts match on.
 def direct_anomaly_text(metric: Column, z: Column, process: Column, value: Column) -> Column:
     return F.format_string(
         "Suspicious %s spike (z-score=%.1f, threshold=4.0) on process '%s': current=%.1f%% — "

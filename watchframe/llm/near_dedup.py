@@ -5,20 +5,29 @@ its sketch.  Documents with the same set form a class, and only classes are comp
 
 Inverted lists.  Two sets with a similarity of t share at least s of their retained values
 (all of ceil(t n) for sets kept whole; for larger ones a number missed with a probability
-below 1e-6 a pair), so some value is shared among the rarest ``size - s + 1`` of each sketch,
-in any one order.  The order is by how often a value's bucket is retained over all classes (a
-fixed number of buckets), so values of common passages stay out of the lists.
-
-Links.  Every list first links its members to one leader each round: pairs of member and
-leader, at most one per entry, are estimated on the union sketch, then verified on the full
-sets, and joined into components.  Lists whose members lie in several components after that
-give the pairs across components, which go the same way.  Nothing is cut off: a list of any
-length is shuffled by value, and adaptive execution splits it.
+below 1e-5 a pair).  So at least r of them are among the rarest ``size - s + r`` of each
+sketch, in any one order.  The order is by the number of classes that retain a value, counted
+exactly; values that one class retains need no list, and values of common passages stay out.
+
+Overlaps.  Every list first names two leaders: members that share r lists with one are estimated
+on the union sketch, then verified on the full sets, and joined into components, so a group of
+any size costs one pair per member and not all pairs.
+
+What is left are pairs across components, and of those only the ones outside the largest
+component of a list or family look for partners.  A family is what near pairs connect; its
+core are the shingles of half its members or more, and a member is its differences from the
+core: core values it misses and other values it has.  The overlap of two members follows from
+the numbers of their differences and those they share.  Whoever is similar to a member without
+sharing differences is similar to the member nearest to the core, so one pair each finds these;
+all others share a certain number, and are found by lists of the rarest differences and
+checked on the differences, which is exact.  Pairs of different families are counted over the
+lists of retained values, need r of them, and are estimated and verified like the first.
+Nothing is cut off: a list of any length is shuffled by value, and adaptive execution splits it.
 
 Words are split at ASCII white space after A-Z are lower-cased.  A text with fewer words than
 a shingle has its whole sequence as one; null, empty and blank texts have none and no links.
-Rows without an id are linked with nothing and keep a null component; rows that repeat an id
-belong to one component.
+Rows without an id are linked with nothing and keep a null component.  Rows that repeat an id
+with another text count as two texts of one document, which links to what either is like.
 """
 
 from __future__ import annotations
@@ -28,14 +37,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, bitmap, block_sums, in_bitmap, texts, written
+from watchframe.llm.common import batches, bitmap, discard, in_bitmap, texts, unused, written
 from watchframe.llm.components import components
 from watchframe.llm.words import WordHashes, bounds, windows
 
-K, BUCKETS, SIGMAS = 96, 1 << 17, 5.0
+K, SIGMAS, OVERLAP = 96, 4.5, 4
 
 
 def shingle_sets(values: list[bytes], words: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -55,11 +64,14 @@ def shingle_sets(values: list[bytes], words: int, hashes: WordHashes) -> list[np
     return out
 
 
-def shared_at_least(n: int, k: int, percent: int) -> int:
-    """How many retained values two sets, one of n shingles, share if they are similar enough."""
+def set_key(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
+
+
+def sampled_share(k: int, percent: int) -> int:
+    """How many of k retained values two similar sets share at least."""
     t = percent / 100
-    sampled = math.floor(k * t - SIGMAS * math.sqrt(k * t * (1 - t)))
-    return max(1, min(-(-percent * n // 100), sampled))
+    return max(1, math.floor(k * t - SIGMAS * math.sqrt(k * t * (1 - t))))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -68,62 +80,89 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """doc_id, n (set size), digest of the whole set, sketch (k smallest hashes, sorted)."""
+    """doc_id, n (set size), c (hash of the whole set), sketch (k smallest hashes, sorted)."""
     def run(stream):
         hashes = WordHashes()
         for batch, values in batches(stream):
             sets = shingle_sets(values, words, hashes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists([s[:k] for s in sets])],
-                ["doc_id", "n", "digest", "sketch"])
+                 pa.array([set_key(s) for s in sets], pa.int64()), _lists([s[:k] for s in sets])],
+                ["doc_id", "n", "c", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, sketch array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, c bigint, sketch array<bigint>")
 
 
-def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The inverted entries (value, c, n) of the rarest retained values of each class."""
-    def count(stream):
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in stream:
-            total += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
-        return total
+def _required(n: str, k: int, percent: int) -> tuple[Column, Column]:
+    """s and r of a set of n shingles: shared retained values, and those among the rarest."""
+    s = F.least(F.ceil(F.col(n) * percent / 100), F.lit(sampled_share(k, percent)))
+    return s, F.least(s, F.lit(OVERLAP))
 
-    counts = classes.sparkSession.sparkContext.broadcast(  # BUCKETS integers
-        block_sums(classes.select("sketch"), count, BUCKETS, 4, "retained"))
 
-    def rarest(stream):
-        for batch in stream:
-            cs, ns, kept = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            for n, s in zip(ns.tolist(), batch.column(2), strict=True):
-                v = s.values.to_numpy()
-                order = np.lexsort((v, counts.value[v & (BUCKETS - 1)]))
-                kept.append(v[order[:max(1, len(v) - shared_at_least(n, k, percent) + 1)]])
-            sizes = np.fromiter(map(len, kept), np.int64, len(kept))
-            if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept)), pa.array(np.repeat(cs, sizes)),
-                                                  pa.array(np.repeat(ns, sizes))], ["value", "c", "n"])
+def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The inverted entries (value, c, n, r) of the rarest retained values of each class, single ones left out."""
+    spark = classes.sparkSession
 
-    return classes.select("c", "n", "sketch").mapInArrow(rarest, "value bigint, c bigint, n bigint")
+    def values(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten()], ["value"])
 
+    counts = written(classes.select("sketch").mapInArrow(values, "value bigint").groupBy("value")
+                     .agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    bits = spark.sparkContext.broadcast(bitmap(counts.select(F.xxhash64("value").alias("h")), "h"))  # 8 MB
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough: union-sketch estimate, then full sets."""
+    def listed(stream):
+        found = np.frombuffer(bits.value, np.uint8)
+        for batch in stream:
+            v, sizes = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+            keep = in_bitmap(found, spark_hash(v))
+            column = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), sizes)[keep])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), column(0), column(1)], ["value", "c", "n"])
+
+    rows = classes.select("c", "n", "sketch").mapInArrow(listed, "value bigint, c bigint, n bigint")
+    rows = rows.join(counts, "value")
+    own = Window.partitionBy("c")  # at most k rows
+    s, r = _required("n", k, percent)
+    size = F.least(F.col("n"), F.lit(k))
+    single = size - F.count("*").over(own)
+    place = F.row_number().over(own.orderBy("m", "value"))
+    return (rows.withColumn("r", r).withColumns({"left": size - s + F.col("r") - single, "place": place})
+            .where("place <= left").select("value", "c", "n", "r"))
+
+
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit integers."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    x = turn(values.view(np.uint64) * p2, 31) * p1
+    h = turn((np.uint64(42) + p5 + np.uint64(8)) ^ x, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k: int, percent: int,
+          loose: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, na, nb, common) that the union sketch holds likely, counted on the full sets; and those sets.
+
+    Pairs of sets kept whole in their sketches are likely only if they are similar.  ``loose`` takes
+    pairs of half the similarity as well, which makes families wide.
+    """
     spark = pairs.sparkSession
     left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     t = percent / 100
-    low = F.lit(t) - SIGMAS * F.sqrt(F.lit(t * (1 - t)) / F.size(union))
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    low = F.lit(t / 2) if loose else F.lit(t) - SIGMAS * F.sqrt(F.lit(t * (1 - t)) / F.size(union))
+    whole = (F.col("na") <= k) & (F.col("nb") <= k) & F.lit(not loose)
     exact = F.size(F.array_intersect("sa", "sb")) * 100 >= percent * F.size(F.array_union("sa", "sb"))
-    likely = written(pairs.join(left, "a").join(right, "b")
-                     .where(F.when(whole, exact).otherwise(both >= low * F.size(union)))
-                     .select("a", "b", whole.alias("sure")), "likely")
-    open_ = likely.where("NOT sure").select("a", "b")
-    needed = written(open_.select(F.col("a").alias("c")).unionByName(open_.select(F.col("b").alias("c"))).distinct(), "needed")
-    bits = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("c").alias("h")), "h"))  # 8 MB
+    likely = written(pairs.join(left, "a").join(right, "b").where(F.when(whole, exact).otherwise(both >= low * F.size(union)))
+                     .select("a", "b", "na", "nb"), "likely")
+    ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
+    needed = written(ends.join(classes.select("c", "doc_id"), "c"), "needed")
+    bits = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
 
     def sets(stream):
         found, hashes = np.frombuffer(bits.value, np.uint8), WordHashes()
@@ -131,72 +170,157 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             batch = batch.filter(pa.array(in_bitmap(found, batch.column(2).to_numpy())))
             for part, values in batches([batch]):
                 made = shingle_sets(values, words, hashes)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(made)], ["c", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in made], pa.int64()), _lists(made)],
+                                                 ["doc_id", "c", "items"])
 
-    full = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(sets, "c bigint, items array<bigint>")
-    full = written(full.join(needed, "c", "left_semi"), "sets")
+    full = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(
+        sets, "doc_id bigint, c bigint, items array<bigint>")
+    # a repeated row gives its set again, which only makes more candidates
+    full = written(full.join(needed, ["doc_id", "c"], "left_semi").drop("doc_id"), "sets")
     sa, sb = full.toDF("a", "ia"), full.toDF("b", "ib")
-    common = F.size(F.array_intersect("ia", "ib"))
-    checked = (open_.join(sa, "a").join(sb, "b")
-               .where(common * 100 >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b"))
-    return written(checked.unionByName(likely.where("sure").select("a", "b")), "verified")
+    counted = likely.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("common"))
+    counted = written(counted, "near")
+    discard(likely, needed)
+    return counted, full
+
+
+def _similar(overlap: str, a: str, b: str, percent: int) -> str:
+    """Whether an overlap is enough for sets of these sizes."""
+    return f"({overlap}) * {100 + percent} >= {percent} * ({a} + {b})"
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
     rows = texts(docs, text=text, id=id)
     sketched = written(sketches(rows, words, k), "sketches")
-    classes = written(sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("digest"), "classes")
-    entries = written(_entries(classes, k, percent), "entries")
-    top = F.col("c").cast("bigint")
-    lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.min(top).alias("first"), F.max(top).alias("last")).where("m > 1")
-    entries = written(entries.join(written(lists, "lists"), "value"), "listed")
-
-    links, comp = None, None
-    for leader in ("first", "last", None):
-        if leader:
-            pairs = entries.select(F.least("c", leader).alias("a"), F.greatest("c", leader).alias("b")).where("a < b").distinct()
-            if comp is not None:
-                pairs = _across(pairs, comp)
-        else:
-            pairs = _list_pairs(entries, comp, percent)
-        found = _verified(written(pairs, "pairs"), classes, rows, words, k, percent)
-        links = found if links is None else links.unionByName(found)
-        comp = written(components(links), "components")
-    named = sketched.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
-    firsts = written(named.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "firsts")
-    return _members(sketched.select("doc_id", "n", "digest"), firsts, comp)
-
-
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
-    return (pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-
-def _list_pairs(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within the lists that still hold several, of sizes that can be similar."""
-    marked = written(entries.select("value", "c", "n").join(comp.withColumnRenamed("node", "c"), "c", "left")
-                     .withColumn("component", F.coalesce("component", "c")), "marked")
-    several = marked.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
-    rest = written(marked.join(written(several, "several"), "value", "left_semi"), "rest")
-    other = rest.select("value", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return (rest.join(other, "value")
-            .where(F.expr(f"c < b AND component != cb AND 100 * least(n, nb) >= {percent} * greatest(n, nb)"))
-            .select(F.col("c").alias("a"), "b").distinct())
-
-
-def _members(sketched: DataFrame, firsts: DataFrame, comp: DataFrame) -> DataFrame:
-    """Every row with its class and component."""
-    full = sketched.where("n > 0 AND doc_id IS NOT NULL").join(firsts, "digest")
-    rest = sketched.where("n = 0 OR doc_id IS NULL").withColumn("class_id", F.col("doc_id"))
-    rows = written(full.select("doc_id", "n", "class_id").unionByName(rest.select("doc_id", "n", "class_id")), "members")
-    joined = rows.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
+    named = sketched.where("n > 0 AND doc_id IS NOT NULL")
+    classes = written(named.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+                                             F.first("sketch").alias("sketch")), "classes")
+    all_entries = written(_entries(classes, k, percent), "entries")
+    entries = all_entries
+    lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("m > 1")
+    lists = written(lists, "lists")
+    entries = written(entries.join(lists, "value"), "listed")
+    discard(all_entries, lists)
+
+    # an id that repeats with another text stands for both
+    several = named.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a < z").select("doc_id", "a")
+    links = written(named.select("doc_id", F.col("c").alias("b")).join(several, "doc_id").where("a < b").select("a", "b"), "same-id")
+    led = [entries.where(f"c != {end}").groupBy(F.least("c", end).alias("a"), F.greatest("c", end).alias("b"))
+           .agg(F.count("*").alias("shared"), F.min("r").alias("r")).where("shared >= r").select("a", "b") for end in ("first", "last")]
+    pairs = written(led[0].union(led[1]).distinct(), "leader-pairs")
+    near, sets = _near(pairs, classes, rows, words, k, percent, loose=True)
+    similar = _similar("common", "na", "nb", percent)
+    links = links.unionByName(near.where(similar).select("a", "b"))
+    families = written(components(near).select(F.col("node").alias("c"), F.col("component").alias("leader")), "members")
+    leaders = families.select("leader").distinct().select(F.col("leader").alias("c"), "leader")
+    families = written(families.unionByName(leaders), "families")
+    discard(pairs)
+
+    links = links.unionByName(_family_links(families, sets, links, percent))
+    comp = components(links)
+    pairs = written(_list_pairs(entries, families, comp, percent), "list-pairs")
+    if not pairs.isEmpty():
+        near, _ = _near(pairs, classes, rows, words, k, percent)
+        links = links.unionByName(near.where(similar).select("a", "b"))
+        comp = components(links)
+    discard(entries, families, sets)
+    return _members(sketched.select("doc_id", "n", "c"), classes, comp)
+
+
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def _contested(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The rows of the groups that hold several components, with the largest one as ``main``."""
+    several = (rows.groupBy(*key, "component").agg(F.count("*").alias("m"))
+               .groupBy(*key).agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts"))
+               .where("parts > 1").drop("parts"))
+    return written(rows.join(written(several, f"several-{name}"), key), f"rest-{name}")
+
+
+def _other(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.select(*key, *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in key and c != "main"])
+
+
+ACROSS = "component != component_b AND (component_b = main OR c < c_b)"
+
+
+def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within families, by the members' differences from the core.
+
+    With M core values missed, O others had, and c core values, two members that share s
+    differences overlap in c - M - M' + s; they are similar if (100 + p) s >= W + W' - (100 - p) c,
+    where W = 100 M + p O.  First all are compared with the member of the least W; what is similar
+    to any without sharing differences is similar to that one.
+    """
+    rest = _contested(_with_component(families, components(links)), ["leader"], "family").join(sets, "c")
+    size = rest.groupBy("leader").agg(F.count("*").alias("size"))
+    counts = rest.select("leader", F.explode("items").alias("value")).groupBy("leader", "value").agg(F.count("*").alias("m"))
+    core = written(counts.join(size, "leader").where("2 * m >= size").groupBy("leader").agg(F.collect_list("value").alias("core")), "cores")
+    none = F.array().cast("array<bigint>")
+    missed, had = F.array_except("core", "items"), F.array_except("items", "core")
+    cut = (rest.join(core, "leader", "left").withColumn("core", F.coalesce("core", none))
+           .withColumns({"missed": missed, "had": had}).withColumn("w", F.size("missed") * 100 + F.size("had") * percent)
+           .select("leader", "c", "component", "main", "w", F.size("core").alias("core"), F.concat("missed", "had").alias("diff")))
+    cut = written(cut, "differences")
+    near = written(cut.groupBy("leader").agg(F.min("w").alias("w_b"), F.min_by(F.struct("c", "diff"), F.struct("w", "c")).alias("nearest")), "nearest")
+    direct = (cut.join(near, "leader").select("c", "w", "core", "diff", "w_b", F.col("nearest.c").alias("c_b"), F.col("nearest.diff").alias("diff_b"))
+              .where("c != c_b"))
+    enough = (F.size(F.array_intersect("diff", "diff_b")) * (100 + percent) >= F.col("w") + F.col("w_b") - (100 - percent) * F.col("core"))
+    direct = written(direct.where(enough).select(F.col("c_b").alias("a"), F.col("c").alias("b")), "nearest-links")
+    discard(core, near)
+    comp = components(links.unionByName(direct))
+    cut = _contested(_with_component(cut.drop("component", "main"), comp), ["leader"], "left")
+    minor = F.col("component") != F.col("main")
+    joined = cut.join(written(cut.groupBy("leader").agg(
+        F.min("w").alias("w_all"), F.min(F.when(minor, F.col("w"))).alias("w_minor")), "least"), "leader")
+    # t: differences that a member shares with any partner at least
+    partner = F.when(minor, F.col("w_all")).otherwise(F.col("w_minor"))
+    t = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - (100 - percent) * F.col("core")) / (100 + percent)))
+    each = (joined.withColumn("t", t).where("size(diff) >= t")
+            .select("leader", "c", "component", "t", F.size("diff").alias("k"), F.explode("diff").alias("value")))
+    each = written(each, "differing")
+    many = written(each.groupBy("leader", "value").agg(F.count("*").alias("m")).where("m > 1"), "shared-differences")
+    own = Window.partitionBy("c")
+    some = (each.join(many, ["leader", "value"])
+            .withColumns({"single": F.col("k") - F.count("*").over(own), "place": F.row_number().over(own.orderBy("m", "value"))})
+            .where("place <= k - t + 1 - single").select("leader", "value", "c", "component"))
+    some = _contested(written(some, "rarest"), ["leader", "value"], "differences")
+    pairs = (some.where("component != main").join(_other(some, ["leader", "value"]), ["leader", "value"]).where(F.expr(ACROSS))
+             .select("c", "c_b").distinct())
+    ends = cut.select("c", "w", "core", "diff")
+    both = written(pairs, "family-pairs").join(ends, "c").join(ends.select(F.col("c").alias("c_b"), F.col("w").alias("w_b"), F.col("diff").alias("diff_b")), "c_b")
+    found = written(direct.unionByName(both.where(enough).select(F.col("c").alias("a"), F.col("c_b").alias("b"))), "family-links")
+    discard(direct, each, many)
+    return found
+
+
+def _list_pairs(entries: DataFrame, families: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components and families that share enough lists, of sizes that can be similar.
+
+    In each list only the members outside its largest family look for partners.
+    """
+    marked = _with_component(entries.select("value", "c", "n", "r"), comp).join(families.select("c", "leader"), "c", "left")
+    marked = marked.withColumn("joined", F.col("component")).withColumn("component", F.coalesce("leader", "c")).drop("leader")
+    rest = _contested(written(marked, "marked"), ["value"], "lists")
+    apart = f"joined != joined_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    return (rest.where("component != main").join(_other(rest, ["value"]), "value").where(F.expr(f"{ACROSS} AND {apart}"))
+            .groupBy(F.least("c", "c_b").alias("a"), F.greatest("c", "c_b").alias("b"))
+            .agg(F.count("*").alias("shared"), F.min(F.least("r", "r_b")).alias("r")).where("shared >= r").select("a", "b"))
+
+
+def _members(sketched: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Every row with its class and component, both named by their smallest doc_id."""
+    placed = written(_with_component(classes.select("c", "doc_id"), comp), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = written(placed.join(written(least, "least-ids"), "component").select("c", F.col("doc_id").alias("class_id"), "component_id"), "named")
+    found = sketched.where("n > 0 AND doc_id IS NOT NULL").join(named, "c")
+    rest = sketched.where("n = 0 OR doc_id IS NULL").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+    rows = found.unionByName(rest.select(found.columns))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -205,5 +329,6 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     Rows that repeat an id are one document and stay or go together.
     """
     groups = near_groups(docs, words, percent, text=text, id=id)
-    drop = written(groups.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "drop")
-    return docs.join(drop, F.col(f"`{id}`").cast("long") == F.col("_id"), "left_anti")
+    gone = unused(docs, "_gone")
+    drop = written(groups.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "drop")
+    return docs.join(drop, F.col(f"`{id}`").cast("long") == F.col(gone), "left_anti")

@@ -280,15 +280,16 @@ def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percen
     partner = F.when(minor, F.col("w_all")).otherwise(F.col("w_minor"))
     t = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - (100 - percent) * F.col("core")) / (100 + percent)))
     each = (joined.withColumn("t", t).where("size(diff) >= t")
-            .select("leader", "c", "component", "t", F.size("diff").alias("k"), F.explode("diff").alias("value")))
+            .select("leader", "c", "component", "w", "core", "t", F.size("diff").alias("k"), F.explode("diff").alias("value")))
     each = written(each, "differing")
     many = written(each.groupBy("leader", "value").agg(F.count("*").alias("m")).where("m > 1"), "shared-differences")
     own = Window.partitionBy("c")
     some = (each.join(many, ["leader", "value"])
             .withColumns({"single": F.col("k") - F.count("*").over(own), "place": F.row_number().over(own.orderBy("m", "value"))})
-            .where("place <= k - t + 1 - single").select("leader", "value", "c", "component"))
+            .where("place <= k - t + 1 - single").select("leader", "value", "c", "component", "w", "core", (F.col("k") - F.col("single")).alias("many")))
     some = _contested(written(some, "rarest"), ["leader", "value"], "differences")
-    pairs = (some.where("component != main").join(_other(some, ["leader", "value"]), ["leader", "value"]).where(F.expr(ACROSS))
+    pairs = (some.where("component != main").join(_other(some, ["leader", "value"]), ["leader", "value"])
+             .where(F.expr(f"{ACROSS} AND least(many, many_b) * {100 + percent} >= w + w_b - {100 - percent} * core"))
              .select("c", "c_b").distinct())
     ends = cut.select("c", "w", "core", "diff")
     both = written(pairs, "family-pairs").join(ends, "c").join(ends.select(F.col("c").alias("c_b"), F.col("w").alias("w_b"), F.col("diff").alias("diff_b")), "c_b")

@@ -402,3 +402,34 @@ def test_toxic_documents_go(spark):
     assert left.columns == docs.columns
     ids = {r.doc_id for r in left.collect()}
     assert len(ids & {i for i, _ in rows if i % 8}) >= 340 and not ids & {i for i, _ in rows if i % 8 == 0} and {1000, 1001} <= ids
+
+
+def test_nearest_examples_among_many_features_are_exact():
+    r = np.random.default_rng(5)
+    share = 1 / np.arange(1, 3001)  # more features than dense columns
+    counts = [{int(f): int(r.integers(1, 4)) for f in r.choice(3000, r.integers(0, 200), replace=False, p=share / share.sum())} for _ in range(500)]
+    found = toxicity.Examples(list(range(500)), [0] * 500, counts, r.random(3000) * np.where(np.arange(3000) % 50, 0.01, 1) + 1e-5, k=10)
+    every = np.zeros((500, 3000))
+    for e, c in enumerate(counts):
+        fs, ws = found.unit(c)
+        every[e, fs] = ws
+    for c, (e, s) in zip(counts[:80], found.all_nearest(counts[:80]), strict=True):
+        fs, ws = found.unit(c)
+        want = np.sort(every[:, fs] @ ws)[::-1][:10]
+        assert s == pytest.approx(want[want > 0])
+        assert every[e][:, fs] @ ws == pytest.approx(s)
+
+
+def test_copies_of_toxic_texts_without_marker_words(spark):
+    """A toxic example without a word that marks the label is found by its other words."""
+    rows, labels = labelled(spark)
+    held = lambda c: F.pmod(c, F.lit(4)) == 2
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learnt, copy = (next(i for i in range(5000, 6000) if out(i) == o) for o in (False, True))
+    text = " ".join(f"only{n}here" for n in range(40)) + " " + rows[1][1]
+    rows += [(learnt, text), (copy, text.upper())]
+    labels = labels.unionByName(spark.createDataFrame([(learnt, 1, 1), (copy, 1, 1)], labels.schema))
+    got = toxicity.scores(docs_of(spark, rows), labels, "toxic", held, threshold=0.3).where(F.col("doc_id") == copy).first()
+    assert got.held_out and got.predicted == 1 and got.evidence[0].doc_id == learnt and got.evidence[0].cosine == pytest.approx(1)
+    left = toxicity.without_toxic(docs_of(spark, rows), labels, "toxic", held, threshold=0.3)
+    assert not left.where(F.col("doc_id") == copy).count()

@@ -1,24 +1,29 @@
 """Operator 10, toxicity by the nearest labelled examples in TF-IDF cosine.
 
-Features are words and the first four to seven letters of longer words.  Those that go
-with one of the labels in the sample of examples (chi-square) span the TF-IDF space; their
-document counts are taken over all documents.  The examples stand in inverted lists cut into
-blocks of examples with the largest weight of each feature in each block: for a text, blocks
-are visited by falling upper bound until no block can hold a nearer example, so the nearest
-``k`` are exact.  Votes weighted by closeness, shrunk towards the share of the label among
-examples without features, give the score; the nearest examples are the evidence.
-
-The examples are a bounded sample (``sample_rows``); everything else runs over whole texts of
-all documents, row-local.  Null and empty texts have no features and get that share.
+Features are words and the first four to seven letters of longer words.  All of those in the
+sample of examples span the TF-IDF space; their document counts are taken over all documents.
+The ones that go with a label (chi-square) have full weight, the rest ``rest`` of it, none
+has no weight.  The most common features of the examples stand in a dense matrix, the others
+in inverted lists; each text is scored against all examples, so the nearest ``k`` are exact.
+Votes weighted by closeness, shrunk towards the share of the label among examples without
+features, give the score; the nearest examples are the evidence.
+
+The examples are a bounded sample (``sample_rows``), which bounds their features; everything
+else runs over whole texts of all documents, row-local.  A feature that no example has is not
+counted in the length of a text: it lowers all cosines of the text alike and changes no rank.
+Null and empty texts have no features and get that share.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +32,33 @@ from watchframe.llm.labelled import held_out_flag, labelled_sample
 from watchframe.llm.words import ALNUM
 
 PREFIXES = (4, 5, 6, 7)
+#: Weight of the features that do not go with a label, against 1 of those that do.
+REST = 0.01
 
 
 def features_of(word: bytes) -> list[bytes]:
     """The word, and its beginnings marked with a star; letters, not bytes, are counted."""
+    if word.isascii():
+        return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
     letters = word.decode("utf-8", "replace")
     return [word, *(letters[:n].encode() + b"*" for n in PREFIXES if len(letters) > n)]
 
 
 class Features:
-    """Counts of the chosen features in texts; remembers up to ``memory`` words."""
+    """Counts of the examples' features in texts; remembers up to ``memory`` words."""
 
-    def __init__(self, chosen: list[bytes], memory: int = 400_000):
-        self.number = {f: i for i, f in enumerate(chosen)}
+    def __init__(self, terms: list[bytes], memory: int = 400_000):
+        self.number = {f: i for i, f in enumerate(terms)}
         self.memory, self.known = memory, {}
 
+    def __reduce__(self):
+        lines = b"\n".join(self.number)  # no feature has a line break
+        return Features.unpacked, (pa.compress(lines, "zstd", asbytes=True), len(lines), len(self.number), self.memory)
+
+    @staticmethod
+    def unpacked(packed: bytes, size: int, n: int, memory: int) -> Features:
+        return Features(pa.decompress(packed, size, "zstd", asbytes=True).split(b"\n") if n else [], memory)
+
     def __call__(self, value: bytes) -> dict[int, int]:
         words = value.translate(ALNUM).split()
         known = self.known
@@ -53,84 +70,112 @@ class Features:
             number = self.number
             for w in new:
                 known[w] = [number[f] for f in features_of(w) if f in number]
-        counts: dict[int, int] = {}
-        for found in map(known.__getitem__, words):
-            if found:
-                for f in found:
-                    counts[f] = counts.get(f, 0) + 1
-        return counts
+        return Counter(chain.from_iterable(map(known.__getitem__, words)))
 
 
 class Examples:
-    """Unit TF-IDF vectors of the examples in block-max inverted lists; exact nearest neighbours."""
+    """Unit TF-IDF vectors of the examples, dense for the commonest features, else in inverted lists; exact nearest neighbours."""
 
-    BLOCK = 64
+    COMMON, TEXTS = 768, 64
 
     def __init__(self, ids: list[int], labels: list[int], counts: list[dict[int, int]], idf: np.ndarray, k: int = 25):
-        self.idf, self.k = idf, k
-        order = sorted(range(len(ids)), key=lambda i: (sorted(counts[i], key=lambda f: (-idf[f], f))[:1], ids[i]))  # alike side by side
-        self.ids, self.labels = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], float)
-        lone = [labels[i] for i in order if not counts[i]]
-        self.share = (sum(lone) + (np.mean(labels) if len(labels) else 0.5)) / (len(lone) + 1)
-        vectors = [self.unit(counts[i]) for i in order]
-        self.blocks = -(-len(order) // self.BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for e, (fs, ws) in enumerate(vectors):
-            for f, w in zip(fs.tolist(), ws.tolist(), strict=True):
-                lists.setdefault(f, []).append((e, w))
-        self.lists = {}
-        for f, postings in lists.items():
-            at = np.array([e for e, _ in postings], np.int64)
-            weight = np.array([w for _, w in postings])
-            block, start = np.unique(at // self.BLOCK, return_index=True)
-            self.lists[f] = (at, weight, block, np.maximum.reduceat(weight, start), np.append(start, len(at)))
+        self._index(np.array(ids, np.int64), np.array(labels, float), np.array([len(c) for c in counts], np.int64),
+                    np.fromiter(chain.from_iterable(counts), np.int32), np.fromiter(chain.from_iterable(c.values() for c in counts), np.int32), idf, k)
+
+    def _index(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, f: np.ndarray, n: np.ndarray, idf: np.ndarray, k: int) -> None:
+        self.ids, self.labels, self.idf, self.k = ids, labels, idf, k
+        lone = labels[sizes == 0]
+        self.share = float((lone.sum() + (labels.mean() if len(labels) else 0.5)) / (len(lone) + 1))
+        e = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        w = (1 + np.log(n)) * idf[f]
+        w = (w / np.maximum(1e-12, np.sqrt(np.bincount(e, w * w, len(ids))))[e]).astype(np.float32)
+        held = np.bincount(f, minlength=len(idf))
+        common = np.sort(np.argsort(-held, kind="stable")[:self.COMMON])
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[f]
+        self.dense = np.zeros((len(ids), len(common)), np.float32)
+        self.dense[e[at >= 0], at[at >= 0]] = w[at >= 0]
+        f, w, e = f[at < 0], w[at < 0], e[at < 0]
+        order = np.argsort(f, kind="stable")
+        self.entries = np.empty((len(f), 2), np.int32)  # example and weight, side by side for one read
+        self.entries[:, 0], self.entries[:, 1] = e[order], w[order].view(np.int32)
+        self.entries = self.entries.view(np.int64)[:, 0]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(idf)))])
+
+    @classmethod
+    def unpacked(cls, ids, labels, sizes, f: bytes, n: bytes, idf, k) -> Examples:
+        found = cls.__new__(cls)
+        f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32) for x in (f, n))
+        found._index(ids, labels, sizes, np.cumsum(f, dtype=np.int32), n, idf, k)
+        return found
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        fs = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[f] for f in fs.tolist()])) * self.idf[fs] if len(fs) else np.zeros(0)
+        fs = np.fromiter(counts.keys(), np.int64, len(counts))
+        order = np.argsort(fs)
+        fs = fs[order]
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[fs]
         return fs, w / max(1e-12, math.sqrt((w * w).sum()))
 
     def nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a cosine above 0; ties by position."""
-        fs, ws = self.unit(counts)
-        terms = [(w, self.lists[f]) for f, w in zip(fs.tolist(), ws.tolist(), strict=True) if f in self.lists and w > 0]
-        top_e, top_s = np.zeros(0, np.int64), np.zeros(0)
-        if not terms:
-            return top_e, top_s
-        bound = np.zeros(self.blocks)
-        for w, (_, _, block, most, _) in terms:
-            bound[block] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        step = 4
-        for s in range(0, len(order), step):
-            if len(top_s) == self.k and bound[order[s]] < top_s[-1] - 1e-12:
-                break
-            some = order[s:s + step]
-            score = np.zeros(len(some) * self.BLOCK)
-            place = {b: i for i, b in enumerate(some.tolist())}
-            for w, (at, weight, block, _, start) in terms:
-                spots = np.searchsorted(block, some)
-                for b, j in zip(some.tolist(), spots.tolist(), strict=True):
-                    if j < len(block) and block[j] == b:
-                        a, z = start[j], start[j + 1]
-                        score[at[a:z] - b * self.BLOCK + place[b] * self.BLOCK] += w * weight[a:z]
-            hit = np.flatnonzero(score > 0)
-            e = np.concatenate([top_e, some[hit // self.BLOCK] * self.BLOCK + hit % self.BLOCK])
-            v = np.concatenate([top_s, score[hit]])
-            best = np.lexsort((e, -v))[:self.k]
-            top_e, top_s = e[best], v[best]
-        return top_e, top_s
-
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        e, s = self.nearest(counts)
-        w = s * s
-        score = (float(w @ self.labels[e]) + 0.05 * self.share) / (float(w.sum()) + 0.05)
-        return score, list(zip(self.ids[e[:5]].tolist(), s[:5].tolist(), strict=True))
-
-
-def _chosen(sample: DataFrame, chi_square: float, least: int) -> list[bytes]:
-    """Features that go with a label: chi-square of presence, in ``least`` examples at the least."""
+        return next(self.all_nearest([counts]))
+
+    def all_nearest(self, texts: list[dict[int, int]]):
+        """What ``nearest`` gives, for each text."""
+        for i in range(0, len(texts), self.TEXTS):
+            some = [self.unit(c) for c in texts[i:i + self.TEXTS]]
+            common = np.zeros((len(some), self.dense.shape[1]), np.float32)
+            for q, (fs, ws) in zip(common, some, strict=True):
+                at = self.column[fs]
+                q[at[at >= 0]] = ws[at >= 0]
+            rough = common @ self.dense.T
+            for near, (fs, ws) in zip(rough, some, strict=True):
+                yield self._best(near, fs, ws)
+
+    def _best(self, rough: np.ndarray, fs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest by the rough sums over common features; those in question are summed again in double precision."""
+        start, size = self.start[fs], self.start[fs + 1] - self.start[fs]
+        some = np.flatnonzero(size)
+        listed = np.zeros(len(rough))
+        if len(some):
+            spans = [slice(a, z) for a, z in zip(start[some].tolist(), (start + size)[some].tolist(), strict=True)]
+            found = np.concatenate([self.entries[x] for x in spans])
+            weight = found.view(np.float32)[1::2] * np.repeat(ws[some], size[some])
+            listed = np.bincount(found.view(np.int32)[::2], weight, len(rough))
+        every = listed + rough
+        floor = np.partition(every, -self.k)[-self.k] if len(every) > self.k else 0.0
+        column = self.column[fs]
+        shared, column = ws[column >= 0], column[column >= 0]
+        # a sum of n products in single precision is off by less than n * 2**-23 times both lengths
+        doubt = 2 * self.COMMON * 2.0 ** -23 * math.sqrt(shared @ shared)
+        e = np.flatnonzero((every > 0) & (every >= floor - doubt))
+        v = listed[e] + (self.dense[e[:, None], column] * shared).sum(1)
+        best = np.lexsort((e, -v))[:self.k]
+        return e[best], v[best]
+
+    def votes(self, texts: list[dict[int, int]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        out = []
+        for e, s in self.all_nearest(texts):
+            w = s * s
+            score = (float(w @ self.labels[e]) + 0.05 * self.share) / (float(w.sum()) + 0.05)
+            out.append((score, list(zip(self.ids[e[:5]].tolist(), s[:5].tolist(), strict=True))))
+        return out
+
+
+class Packed:
+    """Examples on their way to the tasks: counts of features, compressed; the index is built where they are unpickled."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, f: np.ndarray, n: np.ndarray, idf: np.ndarray, k: int):
+        f, n = (pa.compress(np.ascontiguousarray(x, np.int32).tobytes(), "zstd", asbytes=True) for x in (np.diff(f, prepend=f[:1] * 0), n))
+        self.state = ids, labels, sizes, f, n, idf, k
+
+    def __reduce__(self):
+        return Examples.unpacked, self.state
+
+
+def _terms(sample: DataFrame, chi_square: float, least: int) -> tuple[list[bytes], np.ndarray]:
+    """All features of the sample, and which go with a label: chi-square of presence, in ``least`` examples at the least."""
     def presence(stream):
         for batch, values in batches(stream, size=1 << 18):
             fs, ys = [], []
@@ -142,27 +187,28 @@ def _chosen(sample: DataFrame, chi_square: float, least: int) -> list[bytes]:
 
     distinct = sample.groupBy(F.sha2("text", 256)).agg(F.max_by("text", "label").alias("text"), F.max("label").alias("label"))
     n, ones = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not 0 < ones < n:
-        return []
     a, k = F.col("a"), F.col("n")
-    expected = k * (ones / n)
+    marks = F.lit(False)
+    if 0 < ones < n:
+        expected = k * (ones / n)
+        marks = (k >= least) & ((a - expected) ** 2 / (expected * (1 - ones / n) * (1 - k / (n + 1.0))) >= chi_square)
     counts = (distinct.select("text", "label").select(F.lit(0).alias("z"), "label", "text").mapInArrow(presence, "f binary, y int")
-              .groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(k >= least))
-    stat = (a - expected) ** 2 / (expected * (1 - ones / n) * (1 - k / (n + 1.0)))
-    return [bytes(r.f) for r in counts.where(stat >= chi_square).select("f").orderBy("f").collect()]
+              .groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")))
+    found = counts.select("f", marks.alias("marks")).toArrow()
+    found = found.take(pc.sort_indices(found["f"]))
+    return found["f"].to_pylist(), found["marks"].to_numpy().astype(bool)
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], threshold: float = 0.5,
            sample_rows: int = 10_000, k: int = 25, chi_square: float = 30.0, least: int = 3,
-           text: str = "text", id: str = "doc_id") -> DataFrame:
+           text: str = "text", id: str = "doc_id", rest: float = REST) -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted, evidence (ids and cosines of nearest examples)."""
-    model = fitted(docs, labels, label, held_out, sample_rows, k, chi_square, least, text, id)
+    known, model = fitted(docs, labels, label, held_out, sample_rows, k, chi_square, least, text, id, rest)
 
     def score(stream):
-        chosen, examples = model.value
-        features = Features(chosen)
+        features, examples = known.value, model.value
         for batch, values in batches(stream):
-            votes = [examples.vote(features(v)) for v in values]
+            votes = examples.votes([features(v) for v in values])
             s = [x for x, _ in votes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()),
@@ -175,48 +221,52 @@ def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], sample_rows: int = 10_000,
-           k: int = 25, chi_square: float = 30.0, least: int = 3, text: str = "text", id: str = "doc_id"):
-    """Broadcast pair of the chosen features and the examples."""
+           k: int = 25, chi_square: float = 30.0, least: int = 3, text: str = "text", id: str = "doc_id", rest: float = REST):
+    """Broadcast features and examples."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, held_out, sample_rows, text, id)
-    chosen = _chosen(sample, chi_square, least)
+    terms, marks = _terms(sample, chi_square, least)
+    width = len(terms) + 1
+    known = spark.sparkContext.broadcast(Features(terms))
 
     def example(stream):
-        features = Features(chosen)
+        features = known.value
         for batch, values in batches(stream):
-            counts = [features(v) for v in values]
+            counts = [dict(sorted(features(v).items())) for v in values]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "f", "n"])
+                [batch.column(0), batch.column(1), batch.column(3), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
+                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "tie", "f", "n"])
 
     def document_counts(stream):
-        features, total = Features(chosen), np.zeros(len(chosen) + 1, np.int64)
+        features, total = known.value, np.zeros(width, np.int64)
         for _, values in batches(stream):
             for v in values:
                 total[-1] += 1
                 found = features(v)
-                if found:
-                    total[list(found)] += 1
+                total[np.fromiter(found, np.int64, len(found))] += 1
         return total
 
-    counted = block_sums(texts(docs, text=text, id=id), document_counts, len(chosen) + 1, 4)
-    idf = np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1e-3
-    rows = sorted(sample.mapInArrow(example, "doc_id bigint, label int, f array<int>, n array<int>").collect())
-    examples = Examples([r.doc_id for r in rows], [r.label for r in rows], [dict(zip(r.f, r.n, strict=True)) for r in rows], idf, k)
-    return spark.sparkContext.broadcast((chosen, examples))
+    counted = block_sums(texts(docs, text=text, id=id), document_counts, width, 16, limit=max(64 << 20, 8 * width))
+    idf = (np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1e-3) * np.where(marks, 1.0, rest)
+    rows = (sample.select("doc_id", "label", "text", F.xxhash64("text").alias("tie"))
+            .mapInArrow(example, "doc_id bigint, label int, tie bigint, f array<int>, n array<int>").toArrow())
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("label", "ascending"), ("tie", "ascending")]))
+    f, n = rows["f"].combine_chunks(), rows["n"].combine_chunks()
+    examples = Packed(rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(float), pc.list_value_length(f).to_numpy().astype(np.int64),
+                      f.flatten().to_numpy(), n.flatten().to_numpy(), idf, k)
+    return known, spark.sparkContext.broadcast(examples)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], threshold: float = 0.5,
                   text: str = "text", id: str = "doc_id", **fit) -> DataFrame:
     """The documents scored below the threshold; columns as they were, one map, no shuffle."""
-    model = fitted(docs, labels, label, held_out, text=text, id=id, **fit)
+    known, model = fitted(docs, labels, label, held_out, text=text, id=id, **fit)
 
     def keep(stream):
-        chosen, examples = model.value
-        features = Features(chosen)
+        features, examples = known.value, model.value
         for batch in stream:
             for part, values in batches([batch], text):
-                clean = [examples.vote(features(v or b""))[0] < threshold for v in values]
+                clean = [s < threshold for s, _ in examples.votes([features(v or b"") for v in values])]
                 if any(clean):
                     yield part.filter(pa.array(clean))
 

@@ -72,6 +72,13 @@ def test_join_equals_all_pairs(spark):
     assert sorted((tuple(x) for x in got), key=lambda r: [(x is None, x) for x in r]) == groups(rows)
 
 
+def test_join_cuts_in_two_steps(spark, monkeypatch):
+    rows = corpus()[::3]
+    monkeypatch.setattr(ngram_join, "CUTS", 5)
+    got = ngram_join.jaccard_groups(docs_of(spark, rows).repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(x) for x in got), key=lambda r: [(x is None, x) for x in r]) == groups(rows)
+
+
 def test_join_keeps_one_of_each_group_and_all_columns(spark):
     rows = [(5, "a b c d e f"), (2, "A b c d e f"), (7, "x"), (8, None), (9, None), (None, "a b c d e f")]
     left = ngram_join.deduplicated(docs_of(spark, rows))

@@ -38,14 +38,18 @@ from watchframe.llm.signatures import signatures
 from watchframe.llm.words import WordHashes
 
 #: Bytes of text that a task turns into signatures at once, and bytes of text to a block of signatures.
-CHUNK, BLOCK = 16 << 20, 32 << 20
+CHUNK, BLOCK = 4 << 20, 8 << 20
+#: Blocks that one shuffle cuts at most; more are cut in two steps, so arrays stay long.
+CUTS = 4096
+#: Signatures that a block takes in at once, and that the second step gathers before it cuts.
+TAKEN, GATHERED = 1 << 18, 1 << 21
 #: The owner of a signature: set, 2 * band + level, need.
 OWNER = np.dtype([("c", "<i8"), ("kind", "<i4"), ("need", "<i4")])
 #: One signature on its way: token, owner, place and cost.
 ENTRY = np.dtype([("token", "<u8"), ("c", "<i8"), ("kind", "<i4"), ("need", "<i4"), ("place", "<i4"), ("cost", "<i4")])
 BLOB = "block int, blob binary, doc_id array<bigint>, n array<bigint>, c array<bigint>"
 FOUND = "doc_id bigint, n bigint, c bigint, token bigint, kind int, need int, place int, cost int"
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _pack(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray) -> bytes:
@@ -74,6 +78,17 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
+def _blobs(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """The signatures of each of ``blocks`` equal ranges of tokens that has any."""
+    order = np.argsort(tokens)
+    tokens, owners, spots = tokens[order], owners[order], spots[order]
+    block = (((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = np.append(first[1:], len(tokens))[:len(first)]
+    for b, start, end in zip(block[first].tolist(), first.tolist(), ends.tolist(), strict=True):
+        yield b, _pack(tokens[start:end], owners[start:end], spots[start:end], table)
+
+
 def _emit(words: int, percent: int, blocks: int):
     """A map from texts to the signatures of their distinct sets, one array a block, and the sizes of all sets."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,22 +103,47 @@ def _emit(words: int, percent: int, blocks: int):
             table = np.empty(len(owner["set"]), OWNER)
             table["c"], table["need"] = keys[linked][owner["set"]], owner["need"]
             table["kind"] = owner["band"] * 2 + owner["level"]
-            order = np.argsort(made["token"])
-            tokens, owners = made["token"][order], made["owner"][order]
-            spots = (made["place"] << 1 | made["cost"] - 1)[order]
-            ends = np.searchsorted(((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), np.arange(blocks + 1))
+            spots = made["place"] << 1 | made["cost"] - 1
+            parts = dict(_blobs(made["token"], made["owner"], spots, table, blocks))
             rows = np.array_split(np.arange(len(sets)), blocks)
-            some = [b for b in range(blocks) if ends[b] < ends[b + 1] or len(rows[b])]
+            some = [b for b in range(blocks) if b in parts or len(rows[b])]
             column = lambda x: pa.array([x.take(pa.array(rows[b])) for b in some], pa.list_(pa.int64()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()),
-                 pa.array([_pack(*(x[ends[b]:ends[b + 1]] for x in (tokens, owners, spots)), table) for b in some], pa.binary()),
+                [pa.array(some, pa.int32()), pa.array([parts.get(b) for b in some], pa.binary()),
                  column(ids), column(pa.array([len(s) for s in sets], pa.int64())), column(pa.array(keys))],
                 ["block", "blob", "doc_id", "n", "c"])
 
     return run
 
 
+def _recut(blocks: int):
+    """A map from signatures of coarse blocks (rows come sorted by block) to those of ``blocks`` finer ones."""
+    def cut(parts):
+        every = np.concatenate(parts)
+        owners, number = np.unique(every[list(OWNER.names)], return_inverse=True)
+        spots = every["place"].astype(np.int64) << 1 | every["cost"] - 1
+        rows = list(_blobs(every["token"], number, spots, owners.astype(OWNER), blocks))
+        none = pa.nulls(len(rows), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), none, none, none],
+                                          ["block", "blob", "doc_id", "n", "c"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]],
+                                             ["block", "blob", "doc_id", "n", "c"])
+            for blob in batch.column(1).drop_null():
+                parts.append(_unpack(blob.as_py()))
+                size += len(parts[-1])
+                if size > GATHERED:
+                    yield cut(parts)
+                    parts, size = [], 0
+        if parts:
+            yield cut(parts)
+
+    return run
+
+
 class _Repeated:
     """Entries of the tokens of a block that several owners have; holds one entry a token."""
 
@@ -144,7 +184,9 @@ def _repeated(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [batch.column(i).flatten() for i in (2, 3, 4)]
         yield pa.RecordBatch.from_arrays([*sizes, *(pa.nulls(len(sizes[0]), t) for t in fields.types[3:])], schema=fields)
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if b != now or size > 1 << 21:
+            if not blob.is_valid:
+                continue
+            if b != now or size > TAKEN:
                 if parts:
                     yield entries(parts)
                 parts, size = [], 0
@@ -214,8 +256,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str
     rows = texts(docs, text=text, id=id)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, -(-size // BLOCK))
-    made = written(rows.mapInArrow(_emit(words, percent, blocks), BLOB).repartition(blocks, "block")
-                   .sortWithinPartitions("block").mapInArrow(_repeated, FOUND), "signatures")
+    coarse = -(-blocks // CUTS)
+    made = rows.mapInArrow(_emit(words, percent, blocks if coarse == 1 else coarse), BLOB)
+    if coarse > 1:
+        blocks = coarse * -(-blocks // coarse)
+        made = made.repartition(coarse, "block").sortWithinPartitions("block").mapInArrow(_recut(blocks), BLOB)
+    made = written(made.repartition(min(blocks, 1 << 20), "block").sortWithinPartitions("block").mapInArrow(_repeated, FOUND), "signatures")
     sized = made.where("token IS NULL").select("doc_id", "n", "c")
     named = sized.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -377,22 +378,64 @@ def test_classifiers(spark, docs, empty, score, label):
     assert score(empty, labels, label, held).count() == 0
 
 
+def brute_nearest(counts, queries, idf, other, k):
+    """Sorted cosines over all features, and each example's cosine."""
+    def unit(c):
+        w = {f: (1 + np.log(n)) * (idf[f] if f < len(idf) else other) for f, n in c.items()}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        return {f: x / length for f, x in w.items()} if length else {}
+
+    every = [unit(c) for c in counts]
+    for q in map(unit, queries):
+        found = np.array([sum(x * e[f] for f, x in q.items() if f < len(idf) and f in e) for e in every])
+        yield found, np.sort(found)[::-1][:k]
+
+
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(2)
     counts = [{int(f): int(r.integers(1, 4)) for f in r.choice(40, r.integers(0, 6), replace=False)} for _ in range(700)]
-    found = toxicity.Examples(list(range(700)), [int(x) for x in r.integers(0, 2, 700)], counts, r.random(40) + 0.1, k=10)
-    by_id = {i: c for i, c in enumerate(counts)}
-
-    def cosine(x, y):
-        fx, wx = found.unit(x)
-        fy, wy = found.unit(y)
-        return float(sum(a * b for f, a in zip(fx, wx) for g, b in zip(fy, wy) if f == g))
-
-    for q in counts[:60]:
-        e, s = found.nearest(q)
-        every = sorted((cosine(q, by_id[i]) for i in found.ids.tolist()), reverse=True)[:10]
-        assert s == pytest.approx([x for x in every if x > 0])
-        assert found.ids[e].tolist() == list(dict.fromkeys(found.ids[e].tolist()))
+    queries = [c | ({40: 2, 41: 1} if i % 3 == 0 else {}) for i, c in enumerate(counts[:60])]
+    idf = r.random(40) + 0.1
+    found = toxicity.Examples(list(range(700)), [int(x) for x in r.integers(0, 2, 700)], toxicity.Counts.of(counts), idf, 0.7, k=10)
+    got = list(found.nearest(toxicity.Counts.of(queries)))
+    for (e, s), (every, want) in zip(got, brute_nearest(counts, queries, idf, 0.7, 10), strict=True):
+        assert s == pytest.approx(want[want > 0]) and every[e] == pytest.approx(s) and len(set(e.tolist())) == len(e)
+        for a, b in zip(range(len(e)), range(1, len(e))):
+            assert s[a] > s[b] or e[a] < e[b]
+
+
+def test_block_bounds_skip_blocks_and_lose_nothing():
+    """Four kinds of examples, as languages are: blocks of other kinds are skipped, the nearest stay exact."""
+    r = np.random.default_rng(9)
+    share = 1 / np.arange(1, 401)
+    def text():
+        own = 400 * int(r.integers(0, 4))
+        return {int(f) + own: int(r.integers(1, 4)) for f in r.choice(400, r.integers(5, 60), replace=False, p=share / share.sum())}
+    counts, queries = [text() for _ in range(2000)], [text() for _ in range(150)]
+    idf = r.random(1600) + 0.2
+    found = toxicity.Examples(list(range(2000)), [0] * 2000, toxicity.Counts.of(counts), idf, 0.5, k=10)
+    for (e, s), (every, want) in zip(found.nearest(toxicity.Counts.of(queries)), brute_nearest(counts, queries, idf, 0.5, 10), strict=True):
+        assert s == pytest.approx(want[want > 0]) and every[e] == pytest.approx(s)
+    assert found.skipped > found.scored
+
+
+def test_feature_counts_are_those_of_the_words():
+    words = [b"toxicity", b"the", b"\xc3\xa9cole\xc3\xa9", b"seen"]
+    names = sorted({f for w in words for f in toxicity.features_of(w)}, key=lambda f: xxhash.xxh3_64_intdigest(f))
+    features = toxicity.Features(np.array([xxhash.xxh3_64_intdigest(f) for f in names], np.uint64), memory=5)
+    values = [b"the the Seen", b"", b"other toxicity others \xc3\xa9cole\xc3\xa9 a b c", b"toxi toxicity"] * 3
+    for _ in range(2):
+        got, at = features(values), 0
+        for v, size in zip(values, got.sizes.tolist(), strict=True):
+            want = {}
+            for w in v.lower().split():
+                for f in toxicity.features_of(w):
+                    want[f] = want.get(f, 0) + 1
+            known = sorted((names.index(f), n) for f, n in want.items() if f in names)
+            own = list(zip(got.f[at:at + size].tolist(), got.n[at:at + size].tolist()))
+            assert [x for x in own if x[0] < len(names)] == known and len(own) == len(want)
+            assert sorted(n for _, n in own) == sorted(want.values())
+            at += size
 
 
 def test_toxic_documents_go(spark):
@@ -406,18 +449,75 @@ def test_toxic_documents_go(spark):
 
 def test_nearest_examples_among_many_features_are_exact():
     r = np.random.default_rng(5)
-    share = 1 / np.arange(1, 3001)  # more features than dense columns
+    share = 1 / np.arange(1, 3001)  # more features than long lists
     counts = [{int(f): int(r.integers(1, 4)) for f in r.choice(3000, r.integers(0, 200), replace=False, p=share / share.sum())} for _ in range(500)]
-    found = toxicity.Examples(list(range(500)), [0] * 500, counts, r.random(3000) * np.where(np.arange(3000) % 50, 0.01, 1) + 1e-5, k=10)
-    every = np.zeros((500, 3000))
-    for e, c in enumerate(counts):
-        fs, ws = found.unit(c)
-        every[e, fs] = ws
-    for c, (e, s) in zip(counts[:80], found.all_nearest(counts[:80]), strict=True):
-        fs, ws = found.unit(c)
-        want = np.sort(every[:, fs] @ ws)[::-1][:10]
-        assert s == pytest.approx(want[want > 0])
-        assert every[e][:, fs] @ ws == pytest.approx(s)
+    idf = r.random(3000) * np.where(np.arange(3000) % 50, 0.01, 1) + 1e-5
+    found = toxicity.Examples(list(range(500)), [0] * 500, toxicity.Counts.of(counts), idf, 0.01, k=10)
+    got = list(found.nearest(toxicity.Counts.of(counts[:80])))
+    for (e, s), (every, want) in zip(got, brute_nearest(counts, counts[:80], idf, 0.01, 10), strict=True):
+        assert s == pytest.approx(want[want > 0]) and every[e] == pytest.approx(s)
+
+
+def test_scores_are_the_votes_of_brute_force(spark):
+    """Counts over several files, weights, neighbours and votes, worked out plainly."""
+    rows, labels = labelled(spark, 240)
+    rows += [(5000, "marked " + " ".join(f"unknown{i}" for i in range(500))), (5001, None)]
+    held = lambda c: F.pmod(c, F.lit(4)) == 2
+    got = {r.doc_id: r for r in toxicity.scores(docs_of(spark, rows).repartition(5), labels, "toxic", held).collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+
+    def features(t):
+        out = {}
+        for w in (t or "").encode().translate(toxicity.ALNUM).split():
+            for f in toxicity.features_of(w):
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    every = {i: features(t) for i, t in rows}
+    learnt = sorted(i for i in known if i in every)
+    names = {f for i in learnt for f in every[i]}
+    df = {f: sum(f in c for c in every.values()) for f in names}
+    distinct = {}
+    for i in learnt:
+        t = dict(rows)[i]
+        distinct[t] = max(distinct.get(t, 0), known[i])
+    n, ones = len(distinct), sum(distinct.values())
+    share = ones / n
+    weight = {}
+    for f in names:
+        has = [y for t, y in distinct.items() if f in features(t)]
+        k, a = len(has), sum(has)
+        marked = k >= 3 and (a - k * share) ** 2 / (k * share * (1 - share) * (1 - k / (n + 1))) >= 30
+        weight[f] = (np.log((1 + len(rows)) / (1 + df[f])) + 1e-3) * (1 if marked else toxicity.REST)
+    other = (np.log(1 + len(rows)) + 1e-3) * toxicity.REST
+
+    def unit(c):
+        w = {f: (1 + np.log(m)) * weight.get(f, other) for f, m in c.items()}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        return {f: x / length for f, x in w.items()}
+
+    units = {i: unit(every[i]) for i in learnt}
+    lone = [known[i] for i in learnt if not every[i]]
+    base = (sum(lone) + np.mean([known[i] for i in learnt])) / (len(lone) + 1)
+    for i in [*list(every)[:60], 5000, 5001]:
+        q = unit(every[i])
+        near = sorted(((-sum(x * units[e].get(f, 0) for f, x in q.items()), e) for e in learnt))[:25]
+        votes = [(s * s, known[e]) for s, e in near if s < -1e-12]
+        want = (sum(v * y for v, y in votes) + 0.05 * base) / (sum(v for v, _ in votes) + 0.05)
+        assert got[i].score == pytest.approx(want, abs=1e-6)
+
+
+def test_samples_keep_their_bounds(spark):
+    """An id that repeats counts once; bytes bound the sample like rows do."""
+    from watchframe.llm.labelled import labelled_sample
+    docs = docs_of(spark, [(1, f"text {i}") for i in range(50)] + [(i, "x" * 10) for i in range(2, 30)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    never = lambda c: c < 0
+    got = labelled_sample(docs, labels, "toxic", never, 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 10
+    few = labelled_sample(docs, labels, "toxic", never, 100, max_bytes=75).collect()
+    assert sum(len(r.text) for r in few) <= 75 and len(few) >= 7
+    assert labelled_sample(docs, labels, "toxic", never, 100, max_bytes=1).count() == 0
 
 
 def test_copies_of_toxic_texts_without_marker_words(spark):

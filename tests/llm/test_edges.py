@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -419,10 +418,21 @@ def test_block_bounds_skip_blocks_and_lose_nothing():
     assert found.skipped > found.scored
 
 
-def test_feature_counts_are_those_of_the_words():
-    words = [b"toxicity", b"the", b"\xc3\xa9cole\xc3\xa9", b"seen"]
-    names = sorted({f for w in words for f in toxicity.features_of(w)}, key=lambda f: xxhash.xxh3_64_intdigest(f))
-    features = toxicity.Features(np.array([xxhash.xxh3_64_intdigest(f) for f in names], np.uint64), memory=5)
+def test_feature_counts_are_those_of_the_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "PREFIXES", (4, 5, 6, 7))
+    words = [b"toxicity", b"the", "écoleé".encode(), b"seen", "漢字漢字漢".encode(), b"x" * 300]
+    names = sorted({f for w in words for f in toxicity.features_of(w)})
+    sets, every = {}, [*words, b"", b"toxi", b"a", b"y" * 40, "éa".encode()]
+    hashes, sizes = toxicity.feature_hashes(every)
+    at = 0
+    for w, size in zip(every, sizes.tolist(), strict=True):
+        assert size == len(toxicity.features_of(w))
+        for f, h in zip(toxicity.features_of(w), hashes[at:at + size].tolist(), strict=True):
+            assert sets.setdefault(f, h) == h
+        at += size
+    assert len(set(sets.values())) == len(sets)
+    names = sorted(names, key=sets.__getitem__)
+    features = toxicity.Features(np.array([sets[f] for f in names], np.uint64), memory=5)
     values = [b"the the Seen", b"", b"other toxicity others \xc3\xa9cole\xc3\xa9 a b c", b"toxi toxicity"] * 3
     for _ in range(2):
         got, at = features(values), 0

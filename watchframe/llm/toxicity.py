@@ -1,7 +1,7 @@
 """Operator 10, toxicity by the nearest labelled examples in TF-IDF cosine, from a block-max index.
 
-Features are words and the first four to seven letters of longer words; they are known by 64-bit
-hashes.  All of those in the sample of examples have document counts taken over all documents;
+Features are words, and the beginnings of longer words of the lengths in ``PREFIXES``; they are
+known by 64-bit hashes.  All of those in the sample of examples have document counts taken over all documents;
 others count as never seen, with the largest weight of their kind.  The ones that go with a label
 (chi-square) have full weight, the rest ``rest`` of it, none has no weight.  The length of a text
 is that of all its features.
@@ -11,7 +11,7 @@ examples have are lists cut at the blocks, each piece with its largest weight; t
 short lists of a single piece.  A text reads its short lists first, adds the largest weights of
 the long ones to get a bound for every block, scores its best blocks, and skips all blocks whose
 bound is below its k-th best cosine by then.  What is scored near the k-th best is summed again in
-double precision, so the nearest ``k`` are exact.  Votes weighted by closeness, shrunk towards the
+double precision, so the nearest ``k`` are exact (for weights of the examples kept in single).  Votes weighted by closeness, shrunk towards the
 share of the label among examples without features, give the score; the nearest examples are the
 evidence.
 
@@ -27,30 +27,65 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchframe.llm.common import batches, block_sums, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
-from watchframe.llm.words import ALNUM
+from watchframe.llm.words import ALNUM, mixed
 
-PREFIXES = (4, 5, 6, 7)
-#: Weight of the features that do not go with a label, against 1 of those that do: the best balanced accuracy
-#: among eleven weights in three inner folds of the learning rows; held-out rows had no part in it.
-REST = 0.4
+#: Lengths of the beginnings of words that count as features, and the weight of features that do not go with a label,
+#: against 1 of those that do: the least log loss among four sets of lengths and eight weights in three inner folds of
+#: the learning rows of the test table; held-out rows had no part in it.
+PREFIXES: tuple[int, ...] = ()
+REST = 0.1
 
 
 def features_of(word: bytes) -> list[bytes]:
     """The word, and its beginnings marked with a star; letters, not bytes, are counted.  None of no word."""
     if not word:
         return []
-    if word.isascii():
-        return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
     letters = word.decode("utf-8", "replace")
     return [word, *(letters[:n].encode() + b"*" for n in PREFIXES if len(letters) > n)]
 
 
+def feature_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``features_of`` every word, word by word, and how many each has; all words at once, letter by letter."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    made = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
+    has = np.zeros(made.shape, bool)
+    has[:, 0] = sizes > 0
+    # words of like length together, so one long word makes no wide table
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(words):
+        longest = max(16, 2 * int(sizes[order[at]]))
+        stop = int(np.searchsorted(sizes[order], longest, "right"))
+        some = order[at:min(stop, at + max(1, (1 << 22) // longest))]
+        at += len(some)
+        size = sizes[some]
+        wide = np.zeros((len(some), int(size[-1])), np.uint8)
+        row = np.repeat(np.arange(len(some)), size)
+        wide[row, _ranges(np.zeros(len(some), np.int64), size)] = np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)
+        h = np.full(len(some), 0x243F6A8885A308D3, np.uint64)
+        letters = np.zeros(len(some), np.int64)
+        for j in range(wide.shape[1] + 1):
+            now = size > j
+            first = now & ((wide[:, j] & 0xC0) != 0x80) if j < wide.shape[1] else now
+            for p, n in enumerate(PREFIXES):
+                # the next letter begins: the first n are read, and there are more
+                cut = first & (letters == n)
+                made[some[cut], 1 + p], has[some[cut], 1 + p] = mixed(h[cut] + np.uint64(1)), True
+            done = size == j
+            made[some[done], 0] = mixed(h[done])
+            if j == wide.shape[1]:
+                break
+            letters += first
+            h = np.where(now, (h ^ wide[:, j]) * np.uint64(0x9E3779B97F4A7C15), h)
+            h ^= np.where(now, h >> np.uint64(29), np.uint64(0))
+    return made[has], has.sum(1)
+
+
 #: Bytes that the document counts of the features may take on the driver.
 COUNTED = 256 << 20
 
@@ -60,7 +95,10 @@ class Counts:
 
     def __init__(self, sizes: np.ndarray, f: np.ndarray, n: np.ndarray):
         self.sizes, self.f, self.n = sizes, f, n
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     @classmethod
     def of(cls, texts: list[dict[int, int]]) -> Counts:
@@ -89,17 +127,14 @@ class Features:
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        digest, made, ends = xxhash.xxh3_64_intdigest, [], []
-        for w in words:
-            self.words[w] = len(self.words)
-            made += map(digest, features_of(w))
-            ends.append(len(made))
-        made = np.array(made, np.uint64)
+        base = len(self.words)
+        self.words.update(zip(words, range(base, base + len(words)), strict=True))
+        made, sizes = feature_hashes(words)
         at = np.searchsorted(self.hashes, made)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == made[known]
         found = np.where(known, at, self.OTHER | (made & np.uint64(self.OTHER - 1)).astype(np.int64))
-        self.first = np.concatenate([self.first, len(self.flat) + np.array(ends, np.int64)])
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, found])
 
     def __call__(self, values: list[bytes]) -> Counts:
@@ -134,7 +169,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Examples:
     """Unit TF-IDF vectors of the examples in a block-max index; exact nearest neighbours."""
 
-    LONG, BLOCK, TEXTS, FIRST = 2048, 64, 64, 2
+    LONG, BLOCK, TEXTS, FIRST = 1024, 128, 64, 2
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, other: float, k: int = 25):
         """``idf``: weight of each feature of the examples, ``other`` that of every other one."""
@@ -143,44 +178,54 @@ class Examples:
         n = len(self.ids)
         lone = self.labels[counts.sizes == 0]
         self.share = float((lone.sum() + (self.labels.mean() if n else 0.5)) / (len(lone) + 1))
-        f, w, e = counts.f, self._unit(counts), counts.row
+        f, w = counts.f.astype(np.int32), self._unit(counts, np.float32)
         # the longest lists are cut at the blocks; similar examples stand together, by their heaviest long features
         held = np.bincount(f, minlength=len(idf))
         long = np.sort(np.argsort(-held, kind="stable")[:self.LONG])
         self.column = np.full(len(idf) + 1, -1, np.int32)
         self.column[long] = np.arange(len(long))
-        at = self.column[f]
         self.blocks = -(-n // self.BLOCK)
+        at = self.column[f]
+        cut = np.flatnonzero(at >= 0)
+        e = np.repeat(np.arange(n, dtype=np.int32), counts.sizes)
         wide = np.zeros((self.blocks * self.BLOCK, len(long)), np.float32)
-        wide[e[at >= 0], at[at >= 0]] = w[at >= 0]
+        wide[e[cut], at[cut]] = w[cut]
         heaviest = [np.argsort(-wide[i], kind="stable")[:3] for i in range(n)]
         main = sorted(range(n), key=lambda i: (*heaviest[i].tolist(), i))
         self.place = np.array([*main, *range(n, len(wide))], np.int64)  # which example stands where
         self.wide = wide[self.place].reshape(self.blocks, self.BLOCK, len(long))
+        del wide
         self.largest = self.wide.max(1, initial=0)  # of each long list, per block
-        spot = np.empty(len(wide), np.int64)
-        spot[self.place] = np.arange(len(wide))
-        f, w, e = f[at < 0], w[at < 0], spot[e[at < 0]]
+        spot = np.empty(len(self.place), np.int32)
+        spot[self.place] = np.arange(len(self.place))
+        rest = np.flatnonzero(at < 0)
+        del at, cut
+        f, w, e = f[rest], w[rest], spot[e[rest]]
         order = np.argsort(f, kind="stable")
-        self.listed, self.weight = e[order].astype(np.int32), w[order]
+        self.listed, self.weight = e[order], w[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(idf) + 1))])
         self.scored = self.skipped = 0
 
-    def _unit(self, counts: Counts) -> np.ndarray:
+    def _unit(self, counts: Counts, kind: type = np.float64) -> np.ndarray:
         """Weights of the features of each text, at length one over all of its features."""
-        idf = np.append(self.idf, self.other)
-        w = (1 + np.log(counts.n)) * idf[np.minimum(counts.f, len(self.idf))]
-        return w / np.maximum(1e-12, np.sqrt(np.bincount(counts.row, w * w, len(counts.sizes))))[counts.row]
+        w = np.log(counts.n, dtype=kind)
+        w += 1
+        w *= np.append(self.idf, self.other).astype(kind)[np.minimum(counts.f, len(self.idf))]
+        full = counts.sizes > 0
+        starts = (np.cumsum(counts.sizes) - counts.sizes)[full]
+        if len(starts):
+            w /= np.repeat(np.maximum(1e-12, np.sqrt(np.add.reduceat(w * w, starts, dtype=np.float64))).astype(kind), counts.sizes[full])
+        return w
 
     def nearest(self, counts: Counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text: positions and cosines of the k nearest examples with a cosine above 0; ties by position."""
         w, ends = self._unit(counts), np.cumsum(counts.sizes)
-        known = counts.f < len(self.idf)
+        known, row = counts.f < len(self.idf), counts.row
         for a in range(0, len(counts.sizes), self.TEXTS):
             z = min(a + self.TEXTS, len(counts.sizes))
             span = slice(int(ends[a] - counts.sizes[a]), int(ends[z - 1]))
             some = known[span]
-            yield from self._group(z - a, counts.row[span][some] - a, counts.f[span][some], w[span][some])
+            yield from self._group(z - a, row[span][some] - a, counts.f[span][some], w[span][some])
 
     def _group(self, texts: int, row: np.ndarray, f: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not self.blocks:
@@ -193,10 +238,10 @@ class Examples:
         row, f, w = row[at < 0], f[at < 0], w[at < 0]
         size = self.start[f + 1] - self.start[f]
         found = _ranges(self.start[f], size)
-        short = np.bincount(np.repeat((row * width).astype(np.int32), size) + self.listed[found], np.repeat(w, size) * self.weight[found], texts * width)
+        short = np.bincount(np.repeat((row * width).astype(np.int32), size) + self.listed[found], np.repeat(w.astype(np.float32), size) * self.weight[found], texts * width)
         short = short.astype(float).reshape(texts, self.blocks, self.BLOCK)
         # a sum of m products in single precision is off by less than m * 2**-23 times both lengths
-        doubt = (2 * self.LONG * 2.0 ** -23) * np.sqrt((query * query).sum(1))
+        doubt = (2 * self.LONG * 2.0 ** -23) * np.sqrt((query * query).sum(1)) + 2.0 ** -22
         bound = short.max(2) + rough @ self.largest.T + 2 * doubt[:, None]
         total = np.zeros_like(short)
         best = np.argpartition(-bound, min(self.FIRST, self.blocks) - 1, 1)[:, :self.FIRST]
@@ -249,15 +294,14 @@ class Packed:
     @staticmethod
     def unpacked(ids, labels, sizes, f: bytes, n: bytes, *more) -> Examples:
         f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32) for x in (f, n))
-        return Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int64), n), *more)
+        return Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int32), n), *more)
 
 
 def _terms(sample: DataFrame, chi_square: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all features of the sample, sorted, and which go with a label: chi-square of presence, in ``least`` examples at the least."""
     def presence(stream):
-        digest = xxhash.xxh3_64_intdigest
         for batch, values in batches(stream, size=1 << 18):
-            sets = [np.array(sorted({digest(f) for w in set(value.translate(ALNUM).split()) for f in features_of(w)}), np.uint64) for value in values]
+            sets = [np.unique(feature_hashes(list(set(value.translate(ALNUM).split())))[0]) for value in values]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)),
                                               pa.array(np.repeat(np.array(batch.column(1).to_pylist(), np.int32), list(map(len, sets))))], ["f", "y"])
 

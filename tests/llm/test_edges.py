@@ -418,33 +418,21 @@ def test_block_bounds_skip_blocks_and_lose_nothing():
     assert found.skipped > found.scored
 
 
-def test_feature_counts_are_those_of_the_words(monkeypatch):
-    monkeypatch.setattr(toxicity, "PREFIXES", (4, 5, 6, 7))
-    words = [b"toxicity", b"the", "écoleé".encode(), b"seen", "漢字漢字漢".encode(), b"x" * 300]
-    names = sorted({f for w in words for f in toxicity.features_of(w)})
-    sets, every = {}, [*words, b"", b"toxi", b"a", b"y" * 40, "éa".encode()]
-    hashes, sizes = toxicity.feature_hashes(every)
-    at = 0
-    for w, size in zip(every, sizes.tolist(), strict=True):
-        assert size == len(toxicity.features_of(w))
-        for f, h in zip(toxicity.features_of(w), hashes[at:at + size].tolist(), strict=True):
-            assert sets.setdefault(f, h) == h
-        at += size
-    assert len(set(sets.values())) == len(sets)
-    names = sorted(names, key=sets.__getitem__)
-    features = toxicity.Features(np.array([sets[f] for f in names], np.uint64), memory=5)
-    values = [b"the the Seen", b"", b"other toxicity others \xc3\xa9cole\xc3\xa9 a b c", b"toxi toxicity"] * 3
-    for _ in range(2):
-        got, at = features(values), 0
-        for v, size in zip(values, got.sizes.tolist(), strict=True):
-            want = {}
-            for w in v.lower().split():
-                for f in toxicity.features_of(w):
-                    want[f] = want.get(f, 0) + 1
-            known = sorted((names.index(f), n) for f, n in want.items() if f in names)
-            own = list(zip(got.f[at:at + size].tolist(), got.n[at:at + size].tolist()))
-            assert [x for x in own if x[0] < len(names)] == known and len(own) == len(want)
-            assert sorted(n for _, n in own) == sorted(want.values())
+def test_feature_counts_are_those_of_the_words():
+    texts = [b"the the Seen", b"", b" other  toxicity others \xc3\xa9cole\xc3\xa9 a b c", "漢字 ÉA x\0y".encode(), b"x" * 300 + b" " + b"y" * 70_000, b"  "] * 40
+    split = [v.translate(toxicity.ALNUM).split() for v in texts]
+    row, hashes = toxicity.Words()(texts)
+    assert row.tolist() == [i for i, ws in enumerate(split) for _ in ws]
+    known = dict(zip([w for ws in split for w in ws], hashes.tolist()))
+    assert [known[w] for ws in split for w in ws] == hashes.tolist() and len(set(known.values())) == len(known)
+    names = sorted([b"the", b"toxicity", b"a", b"x" * 300], key=known.__getitem__)
+    for piece in (50, 1 << 21):
+        toxicity.PIECE, was = piece, toxicity.PIECE
+        got, at = toxicity.Features(np.array([known[w] for w in names], np.uint64))(texts), 0
+        toxicity.PIECE = was
+        for ws, size in zip(split, got.sizes.tolist(), strict=True):
+            want = sorted((names.index(w) if w in names else len(names), ws.count(w)) for w in set(ws))
+            assert sorted(zip(got.f[at:at + size].tolist(), got.n[at:at + size].tolist())) == want
             at += size
 
 
@@ -477,11 +465,8 @@ def test_scores_are_the_votes_of_brute_force(spark):
     known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
 
     def features(t):
-        out = {}
-        for w in (t or "").encode().translate(toxicity.ALNUM).split():
-            for f in toxicity.features_of(w):
-                out[f] = out.get(f, 0) + 1
-        return out
+        words = (t or "").encode().translate(toxicity.ALNUM).split()
+        return {w: words.count(w) for w in words}
 
     every = {i: features(t) for i, t in rows}
     learnt = sorted(i for i in known if i in every)

@@ -1,7 +1,6 @@
 """Operator 10, toxicity by the nearest labelled examples in TF-IDF cosine, from a block-max index.
 
-Features are words, and the beginnings of longer words of the lengths in ``PREFIXES``; they are
-known by 64-bit hashes.  All of those in the sample of examples have document counts taken over all documents;
+Features are words (letters, digits and bytes beyond ASCII; A-Z lower-cased), known by 51-bit hashes.  All of those in the sample of examples have document counts taken over all documents;
 others count as never seen, with the largest weight of their kind.  The ones that go with a label
 (chi-square) have full weight, the rest ``rest`` of it, none has no weight.  The length of a text
 is that of all its features.
@@ -34,56 +33,43 @@ from watchframe.llm.common import batches, block_sums, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
 from watchframe.llm.words import ALNUM, mixed
 
-#: Lengths of the beginnings of words that count as features, and the weight of features that do not go with a label,
-#: against 1 of those that do: the least log loss among four sets of lengths and eight weights in three inner folds of
-#: the learning rows of the test table; held-out rows had no part in it.
-PREFIXES: tuple[int, ...] = ()
+#: Weight of features that do not go with a label, against 1 of those that do: words alone and this weight gave the
+#: least log loss among four kinds of features (with and without beginnings of words) and eight weights in three inner
+#: folds of the learning rows of the test table; held-out rows had no part in it.
 REST = 0.1
+#: A word's hash is a polynomial in this odd number modulo 2**64, mixed, of which the upper bits are kept.
+BASE, KEPT = 0x9E3779B97F4A7C15, 51
+#: Bytes of text and rows that are hashed at once; the rows' numbers go above a hash.
+PIECE, ROWS = 1 << 21, 1 << (63 - KEPT)
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word, and its beginnings marked with a star; letters, not bytes, are counted.  None of no word."""
-    if not word:
-        return []
-    letters = word.decode("utf-8", "replace")
-    return [word, *(letters[:n].encode() + b"*" for n in PREFIXES if len(letters) > n)]
-
-
-def feature_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``features_of`` every word, word by word, and how many each has; all words at once, letter by letter."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    made = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
-    has = np.zeros(made.shape, bool)
-    has[:, 0] = sizes > 0
-    # words of like length together, so one long word makes no wide table
-    order = np.argsort(sizes, kind="stable")
-    at = 0
-    while at < len(words):
-        longest = max(16, 2 * int(sizes[order[at]]))
-        stop = int(np.searchsorted(sizes[order], longest, "right"))
-        some = order[at:min(stop, at + max(1, (1 << 22) // longest))]
-        at += len(some)
-        size = sizes[some]
-        wide = np.zeros((len(some), int(size[-1])), np.uint8)
-        row = np.repeat(np.arange(len(some)), size)
-        wide[row, _ranges(np.zeros(len(some), np.int64), size)] = np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)
-        h = np.full(len(some), 0x243F6A8885A308D3, np.uint64)
-        letters = np.zeros(len(some), np.int64)
-        for j in range(wide.shape[1] + 1):
-            now = size > j
-            first = now & ((wide[:, j] & 0xC0) != 0x80) if j < wide.shape[1] else now
-            for p, n in enumerate(PREFIXES):
-                # the next letter begins: the first n are read, and there are more
-                cut = first & (letters == n)
-                made[some[cut], 1 + p], has[some[cut], 1 + p] = mixed(h[cut] + np.uint64(1)), True
-            done = size == j
-            made[some[done], 0] = mixed(h[done])
-            if j == wide.shape[1]:
-                break
-            letters += first
-            h = np.where(now, (h ^ wide[:, j]) * np.uint64(0x9E3779B97F4A7C15), h)
-            h ^= np.where(now, h >> np.uint64(29), np.uint64(0))
-    return made[has], has.sum(1)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Words:
+    """Hashes of the words of texts, from running sums over all their bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The row and hash of every word, in order."""
+        raw = np.frombuffer(b" ".join([b"", *(v.translate(ALNUM) for v in values), b""]), np.uint8)
+        if len(raw) > len(self.up):
+            size = max(len(raw), PIECE + (1 << 16))
+            self.up, self.down = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
+        inside = raw != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        sums = (raw.astype(np.uint64) + np.uint64(1)) * self.up[:len(raw)]
+        np.cumsum(sums, out=sums)
+        # digits from one up, so words of different lengths differ; the start is divided out
+        hashes = mixed((sums[end - 1] - sums[start - 1]) * self.down[start]) >> np.uint64(64 - KEPT)
+        begins = np.cumsum([1, *(len(v) + 1 for v in values)])[:-1]
+        return np.searchsorted(begins, start, "right") - 1, hashes
 
 
 #: Bytes that the document counts of the features may take on the driver.
@@ -91,7 +77,7 @@ COUNTED = 256 << 20
 
 
 class Counts:
-    """Features of some texts, text by text: how many each has, which (ascending), and how often."""
+    """Features of some texts, text by text: how many each has, which (ascending but for unknown ones), and how often."""
 
     def __init__(self, sizes: np.ndarray, f: np.ndarray, n: np.ndarray):
         self.sizes, self.f, self.n = sizes, f, n
@@ -108,54 +94,34 @@ class Counts:
 
 
 class Features:
-    """Counts features by their place among the sorted hashes of the examples' features; others get ``OTHER`` and 43 bits of their hash.
-
-    Remembers the features of up to ``memory`` words.
-    """
-
-    OTHER, BITS = 1 << 43, 44
+    """Counts features by their place among the sorted hashes of the examples' features; all others have the next number."""
 
-    def __init__(self, hashes: np.ndarray, memory: int = 1 << 18):
-        self.hashes, self.memory = hashes, memory
-        self._forget()
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.words = hashes, Words()
 
     def __reduce__(self):
-        return Features, (self.hashes, self.memory)
-
-    def _forget(self) -> None:
-        self.words = {}
-        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        base = len(self.words)
-        self.words.update(zip(words, range(base, base + len(words)), strict=True))
-        made, sizes = feature_hashes(words)
-        at = np.searchsorted(self.hashes, made)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == made[known]
-        found = np.where(known, at, self.OTHER | (made & np.uint64(self.OTHER - 1)).astype(np.int64))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, found])
+        return Features, (self.hashes,)
 
     def __call__(self, values: list[bytes]) -> Counts:
-        lists = pc.ascii_split_whitespace(pa.array([v.translate(ALNUM) for v in values], pa.binary()).cast(pa.large_string(), safe=False))
-        coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        new = [w for w in names if w not in self.words]
-        if len(self.words) + len(new) > self.memory:
-            self._forget()
-            new = names
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
-        words = number[coded.indices.to_numpy()]
-        lengths = pc.list_value_length(lists).to_numpy()
-        size = self.first[words + 1] - self.first[words]
-        row = np.repeat(np.repeat(np.arange(len(values)), lengths), size)
-        key = row << self.BITS | self.flat[_ranges(self.first[words], size)]
-        key.sort()
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
-        return Counts(np.bincount(key[cut] >> self.BITS, minlength=len(values)), key[cut] & ((1 << self.BITS) - 1), np.diff(cut, append=len(key)))
+        sizes, fs, ns, at = [], [], [], 0
+        ends = np.cumsum([len(v) for v in values])
+        while at < len(values):
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, before + PIECE, "right"))), at + ROWS)
+            row, h = self.words(values[at:stop])
+            key = row.astype(np.uint64) << np.uint64(KEPT) | h
+            key.sort()
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            found = key[cut] & np.uint64((1 << KEPT) - 1)
+            place = np.searchsorted(self.hashes, found)
+            if len(self.hashes):
+                place[self.hashes[np.minimum(place, len(self.hashes) - 1)] != found] = len(self.hashes)
+            fs.append(place)
+            ns.append(np.diff(cut, append=len(key)))
+            sizes.append(np.bincount((key[cut] >> np.uint64(KEPT)).astype(np.int64), minlength=stop - at))
+            at = stop
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return Counts(join(sizes), join(fs), join(ns))
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -169,7 +135,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Examples:
     """Unit TF-IDF vectors of the examples in a block-max index; exact nearest neighbours."""
 
-    LONG, BLOCK, TEXTS, FIRST = 1024, 128, 64, 2
+    LONG, BLOCK, TEXTS, FIRST = 1024, 128, 128, 2
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, other: float, k: int = 25):
         """``idf``: weight of each feature of the examples, ``other`` that of every other one."""
@@ -268,9 +234,12 @@ class Examples:
             yield e[order], sums[order]
 
     def _score(self, take: np.ndarray, rough: np.ndarray, short: np.ndarray, total: np.ndarray) -> None:
-        for b in np.flatnonzero(take.any(0)).tolist():
-            t = np.flatnonzero(take[:, b])
-            total[t, b] = short[t, b] + rough[t] @ self.wide[b].T
+        for b, some in enumerate(take.sum(0).tolist()):
+            if 2 * some > len(take):  # most of the texts need the block: one product of all is cheaper
+                total[:, b] = short[:, b] + rough @ self.wide[b].T
+            elif some:
+                t = np.flatnonzero(take[:, b])
+                total[t, b] = short[t, b] + rough[t] @ self.wide[b].T
 
     def votes(self, counts: Counts) -> list[tuple[float, list[tuple[int, float]]]]:
         out = []
@@ -300,8 +269,9 @@ class Packed:
 def _terms(sample: DataFrame, chi_square: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all features of the sample, sorted, and which go with a label: chi-square of presence, in ``least`` examples at the least."""
     def presence(stream):
+        words = Words()
         for batch, values in batches(stream, size=1 << 18):
-            sets = [np.unique(feature_hashes(list(set(value.translate(ALNUM).split())))[0]) for value in values]
+            sets = [np.unique(words([value])[1]) for value in values]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)),
                                               pa.array(np.repeat(np.array(batch.column(1).to_pylist(), np.int32), list(map(len, sets))))], ["f", "y"])
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import logging
-import re
 from functools import reduce
 from operator import and_, or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchframe.functions.patterns import PatternError, java_pattern
 from watchframe.functions.text import or_none
 
 log = logging.getLogger(__name__)
@@ -25,60 +26,25 @@ TEXT_FIELDS = ["agent_id", "event_type", "hostname", "ip_address", "os", "parent
                "process_name", "process_path", "user", "file_hash", "message"]
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern in Java's dialect: groups by number, ``[`` and ``&&`` plain inside classes, ``\\Z`` as the very end."""
-    out, i, inside, number = ["(?i)"], 0, False, 0
-    names: dict[str, int] = {}
-    while i < len(pattern):
-        two, c = pattern[i:i + 2], pattern[i]
-        if c == "\\":
-            out.append("\\z" if two == "\\Z" and not inside else two)
-            i += 2
-        elif inside:
-            if c == "]":
-                inside = False
-            out.append("\\" + c if c in "[&" else c)
-            i += 1
-        elif c == "[":
-            inside = True
-            lead = re.match(r"\[\^?\]?", pattern[i:])[0]
-            out.append(lead.replace("]", "\\]"))
-            i += len(lead)
-        elif named := re.match(r"\(\?P<(\w+)>", pattern[i:]):
-            number += 1
-            names[named[1]] = number
-            out.append("(")
-            i += len(named[0])
-        elif (back := re.match(r"\(\?P=(\w+)\)", pattern[i:])) and back[1] in names:
-            out.append(f"(?:\\{names[back[1]]})")
-            i += len(back[0])
-        elif (test := re.match(r"\(\?\((\w+)\)", pattern[i:])):
-            raise ValueError(f"a rule pattern tests group {test[1]}, which cannot be expressed: {pattern!r}")
-        else:
-            number += c == "(" and pattern[i + 1:i + 2] != "?"
-            out.append(c)
-            i += 1
-    return "".join(out)
-
-
-def is_valid_pattern(spark: SparkSession, pattern: str | None) -> bool:
-    """Whether a pattern is one; rules with a bad one are passed over.
-
-    A good pattern that Java cannot take raises instead, so that no detection
-    is lost unseen.
-    """
+def pattern_fault(spark: SparkSession, pattern: str | None) -> str | None:
+    """Why a pattern is passed over; None if it can be used."""
     if not isinstance(pattern, str):
-        return False
-    try:
-        re.compile(pattern)
-    except re.error:
-        log.warning("rule pattern skipped, it does not compile: %r", pattern)
-        return False
+        return "it is no text"
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
-    except Exception as error:
-        raise ValueError(f"the rule pattern {pattern!r} cannot be expressed: {error}") from error
-    return True
+    except PatternError as error:
+        return str(error)
+    except Py4JJavaError as error:  # what only Java finds, as a look behind without a bound
+        return f"it cannot be expressed: {error.java_exception.getMessage()}"
+    return None
+
+
+def is_valid_pattern(spark: SparkSession, pattern: str | None) -> bool:
+    """Whether a pattern can be used; rules with another one are passed over, see :func:`refused_rules`."""
+    fault = pattern_fault(spark, pattern)
+    if fault:
+        log.warning("rule pattern %r skipped: %s", pattern, fault)
+    return fault is None
 
 
 def _parsed(value):
@@ -111,6 +77,25 @@ def load_rules(rules: DataFrame) -> list[dict]:
     return out
 
 
+def refused_rules(rules: DataFrame) -> DataFrame:
+    """Patterns of active rules that are passed over: rule_id, part (pattern or condition number), pattern, reason.
+
+    The other rules, and the other conditions of the same rule, still run.
+    """
+    spark, out = rules.sparkSession, []
+    for row in rules.where(F.col("is_active")).orderBy("id").collect():
+        rule = row.asDict(recursive=True)
+        tree = _parsed(rule.get("conditions"))
+        if tree and isinstance(tree, dict):
+            parts = [(f"condition {i}", c.get("pattern", "")) for i, c in enumerate(tree.get("conditions", []), 1)
+                     if c.get("operator", "regex") == "regex"]
+        else:
+            parts = [("pattern", rule.get("pattern"))]
+        faults = [(part, pattern, pattern_fault(spark, pattern)) for part, pattern in parts]
+        out += [(rule["id"], part, None if pattern is None else str(pattern), fault) for part, pattern, fault in faults if fault]
+    return spark.createDataFrame(out, "rule_id bigint, part string, pattern string, reason string")
+
+
 def _field(name: str, columns: list[str]) -> Column | None:
     for candidate in (name, name.lower()):
         if candidate in TEXT_FIELDS and candidate in columns:
@@ -180,8 +165,3 @@ def custom_text(rule: dict, columns: list[str]) -> Column:
     field = rule.get("target_field") or ""
     shown = or_none(F.col(field)) if field in columns else F.lit("")
     return F.concat(F.lit(f"[CUSTOM RULE: {rule['name']}] Match on {field}='"), shown, F.lit("'"))
-
-
-def matches_pattern(value: Column, pattern: Column) -> Column:
-    """Case-insensitive search with a pattern per row; patterns must be valid."""
-    return F.coalesce(F.rlike(value, F.concat(F.lit("(?i)"), pattern)), F.lit(False))

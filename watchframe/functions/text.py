@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
+from watchframe.functions.patterns import SPACE
 
 
 def strip(c: Column) -> Column:
-    """Trim all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim all leading and trailing white space, not only blanks and not only ASCII."""
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def blank_to_null(c: Column) -> Column:

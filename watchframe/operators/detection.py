@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
-from watchframe.functions.conditions import (custom_test, custom_text, java_pattern, load_rules,
+from watchframe.functions.conditions import (custom_test, custom_text, load_rules,
                                              single_field_match)
+from watchframe.functions.patterns import java_pattern
 from watchframe.functions.rules import (MATCH_FIELDS, RULE_NAMES, drop_rule_columns, fired,
                                         fired_weight, is_allowed_updater, match_fields,
                                         severity_weight, with_rule_flags)
@@ -149,11 +150,14 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
         sources = ("name", "process_name") if rule["target_field"] == "process_name" \
             else ("path", "process_path")
 
+        def test(p: Column) -> Column:
+            value = pick(p, *sources)
+            return (value != "") & value.rlike(java_pattern(rule["pattern"]))
+
         def on(p: Column) -> Column:
             value = pick(p, *sources)
-            test = (value != "") & value.rlike(java_pattern(rule["pattern"]))
             name = F.coalesce(blank_to_null(pick(p, "name", "process_name")), F.lit("Unknown"))
-            return F.when(test, F.struct(
+            return F.struct(
                 F.lit(rule["id"]).cast("bigint").alias("rule_id"),
                 lit((rule["severity"] or "").upper()).alias("severity"),
                 name.alias("process_name"),
@@ -162,17 +166,17 @@ def process_list_rule_alerts(telemetry: DataFrame, rules: DataFrame,
                 lit(rule.get("mitre_tactic_id") or rule.get("mitre_tactic")).alias("mitre_tactic_id"),
                 lit(rule.get("mitre_technique_id") or rule.get("mitre_technique")).alias("mitre_technique_id"),
                 lit(rule.get("mitre_tactic")).alias("mitre_tactic_name"),
-                lit(rule.get("mitre_technique")).alias("mitre_technique_name")))
-        return on
+                lit(rule.get("mitre_technique")).alias("mitre_technique_name"))
+        # the first process that passes, and one alert of it
+        return F.get(F.transform(F.slice(F.filter("processes", test), 1, 1), on), F.lit(0))
 
     usable = [r for r in load_rules(rules)
               if r["pattern_ok"] and r["target_field"] in ("process_name", "process_path")]
-    hits = [F.get(F.filter(F.transform("processes", describe(r)), lambda m: m.isNotNull()), F.lit(0))
-            for r in usable]
+    hits = [describe(r) for r in usable]
     if not hits:  # no rule finds nothing, with the same columns
         nothing = {"id": 0, "severity": "", "name": "", "target_field": "process_name", "pattern": ""}
         telemetry = telemetry.limit(0)
-        hits = [F.get(F.transform("processes", describe(nothing)), F.lit(0))]
+        hits = [describe(nothing)]
     found = telemetry.withColumn("_m", F.explode(_matches(*hits)))
     return found.select(*keys, "_m.*", F.lit("custom_rule").alias("event_type"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchframe.functions import conditions as CO
+from watchframe.functions.patterns import match_pattern_column
 from watchframe.functions import net
 from watchframe.functions import signatures as sig
 from watchframe.functions.ids import agent_uuid
@@ -352,6 +353,22 @@ def _(spark, d):
         for name, (f, p, o) in cases.items()])
 
 
+#: Texts that dialects read differently, and the numbers of the texts in which each pattern is found, by hand.
+_ODD_TEXTS = ["CAFÉ", "café", "٣", "a\u00a0b", "a\r", "a\u2028b", "a{,3}b", "aaab", "curl", "x{a}"]
+_ODD_PATTERNS = {"accent": ("é", "0, 1"), "word": (r"^\w+$", "0, 1, 2, 7, 8"), "digit": (r"^\d+$", "2"), "blank": (r"a\sb", "3, 5"),
+                 "any": ("a.b", "3, 5, 7"), "text_end": ("a.$", "4, 7, 9"), "up_to": ("a{,3}b", "3, 5, 6, 7"), "brace": ("x{a}", "9"),
+                 "open_brace": ("{", "6, 9"), "comment": ("(?#note)curl", "8"), "bad": ("(", "-1")}
+
+
+@query("c04_dialect", with_("sec") + "SELECT event_id, " + ", ".join(
+    f"event_id % 10 IN ({found}) AS {name}" for name, (_, found) in _ODD_PATTERNS.items()) + " FROM sec")
+def _(spark, d):
+    e = A.sec_events(spark, d).withColumn("message", A.pick(_ODD_TEXTS, F.col("event_id")))
+    return e.select("event_id", *[CO.eval_condition(
+        {"target_field": "message", "pattern": p, "operator": "regex", "pattern_ok": CO.is_valid_pattern(spark, p)}, e.columns).alias(name)
+        for name, (p, _) in _ODD_PATTERNS.items()])
+
+
 @query("c05_eval_rule", with_("prep", more=f"h AS ({_CUSTOM})") + """SELECT prep.event_id, coalesce(bool_or(rule='shell off host one'),false) AS r2,
   coalesce(bool_or(rule='match all'),false) AS r5, coalesce(bool_or(rule='transfer tools'),false) AS r1, false AS r4, false AS r6, false AS r8
   FROM prep LEFT JOIN h USING (event_id) GROUP BY prep.event_id""")
@@ -446,12 +463,13 @@ def _(spark, d):
     return D.list_rules(_part_rules(spark, d)).select("id", "name", "created_at")
 
 
-_DYNAMIC = ["^C:", "POWER.*exe", r"\.exe$", "[aeiou]{2}"]
+#: Patterns of the column, and the same for the engine that checks them; a bad one finds nothing.
+_DYNAMIC = {"^C:": "^C:", "POWER.*exe": "POWER.*exe", r"\.exe$": r"\.exe$", "[aeiou]{2}": "[aeiou]{2}", "(": r"[^\s\S]", "{": r"\{",
+            r"(?#names)^(?P<x>[a-z])\w*\.exe\Z": r"^[a-z]\w*\.exe$"}
 
 
 @query("c12_pattern_column", with_("sec") + f"""SELECT event_id, coalesce(regexp_matches(process_name,
-  '(?i)'||{O.pick(_DYNAMIC, 'event_id')}), false) AS matched FROM sec""")
+  '(?i)'||{O.pick(list(_DYNAMIC.values()), 'event_id')}), false) AS matched FROM sec""")
 def _(spark, d):
-    pattern = A.pick(_DYNAMIC, F.col("event_id"))
-    return A.sec_events(spark, d).select(
-        "event_id", CO.matches_pattern(F.col("process_name"), pattern).alias("matched"))
+    rows = A.sec_events(spark, d).select("event_id", "process_name", A.pick(list(_DYNAMIC), F.col("event_id")).alias("pattern"))
+    return match_pattern_column(rows, "process_name", "pattern").select("event_id", "matched")

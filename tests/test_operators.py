@@ -267,6 +267,45 @@ def test_skewed_lookup(spark):
     assert got == {n: known.get(k) for n, k in enumerate(keys)}
 
 
+def test_skewed_lookup_parts_equal_rows_and_takes_maps(spark):
+    from watchframe.operators import joins
+    left = spark.range(400).select(F.lit("hot").alias("query"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    right = spark.createDataFrame([("hot", 1)], "query string, data int")
+    joined = joins.skewed_lookup(left, right, "query")
+    assert joined.where("data = 1").count() == 400 and joined.columns == ["query", "m", "data"]
+    shares = left.select(F.pmod(F.monotonically_increasing_id(), F.lit(joins.SALTS)).alias("s")).groupBy("s").count().collect()
+    assert len(shares) == joins.SALTS and max(r["count"] for r in shares) <= 60
+
+
+def test_reputation_ties_are_settled(spark):
+    stored = spark.createDataFrame([], "ip_address string, label string, confidence int, source string, details string, updated_at timestamp")
+    votes = [("1.1.1.1", 0, 10, "a", T(5)), ("1.1.1.1", 5, 10, "b", T(5)), ("1.1.1.1", 5, 10, None, T(5)), ("1.1.1.1", 9, 10, "z", T(1))]
+    entries = [("2.2.2.2", "known", 50, None, "a", T(5)), ("2.2.2.2", "malicious", 50, None, "b", T(5)), ("2.2.2.2", "known", 99, None, "c", T(4))]
+    for turn in (1, -1):
+        v = spark.createDataFrame(votes[::turn], "ip_address string, malicious int, total int, details string, ts timestamp").repartition(3)
+        row = E.merge_reputation_auto(stored, v, F.lit(T(9))).first()
+        assert (row.label, row.details, row.confidence) == ("malicious", "b", 90)
+        e = spark.createDataFrame(entries[::turn], "ip_address string, label string, confidence int, source string, details string, ts timestamp").repartition(3)
+        row = E.merge_reputation_manual(stored, e, F.lit(T(9)))[0].first()
+        assert (row.label, row.details, row.confidence) == ("malicious", "b", 50)
+
+
+def test_scannable_networks_are_pythons(spark):
+    """Fixed expectations, and the standard library's answer for networks around every special range."""
+    import ipaddress
+    hosts = [n.split("/")[0] for n in net.PRIVATE_NETWORKS + net.PRIVATE_NETWORKS_V6 + net.GLOBAL_NETWORKS_V6] + net.GLOBAL_HOSTS + net.GLOBAL_HOSTS_V6
+    hosts += ["8.8.8.8", "192.0.0.8", "192.0.0.11", "192.0.0.171", "192.0.1.0", "2001:1::", "2001:1::3", "2001:1::9", "2001:200::", "::ffff:10.0.0.1", "::ffff:8.8.8.8",
+              "64:ff9b:1:2::3", "64:ff9b:2::", "2002:1::", "2003::", "::2", "fe80::1"]
+    cidrs = [f"{h}/{b}" for h in hosts for b in ([128, 127, 126, 124, 120, 119] if ":" in h else [32, 31, 30, 29, 24, 23])]
+    want = []
+    for c in cidrs:
+        n = ipaddress.ip_network(c, strict=False)
+        want.append(n.num_addresses <= 256 and (n.is_private or n.is_loopback))
+    rows = spark.createDataFrame(list(enumerate(cidrs)), "i int, c string")
+    got = [r.s for r in rows.select("i", net.is_scannable_network(F.col("c")).alias("s")).orderBy("i").collect()]
+    assert [c for c, a, b in zip(cidrs, got, want) if a != b] == []
+
+
 def test_alert_detail(spark):
     a = alerts(spark, {}, {})
     agents = spark.createDataFrame([("a", "host")], "agent_id string, hostname string")

@@ -82,39 +82,60 @@ def is_ip(c: Column) -> Column:
 
 
 def ipv6_words(ip: Column) -> Column:
-    """The eight 16-bit groups of an IPv6 address without an IPv4 ending."""
+    """The eight 16-bit groups of an IPv6 address; an IPv4 ending makes the last two."""
+    octet = lambda i: F.coalesce(F.try_element_at(F.split(F.regexp_extract(ip, r"([^:]*)$", 1), r"\."), F.lit(i)).try_cast("int"), F.lit(0))
+    pair = lambda i: F.hex((octet(i) * 256 + octet(i + 1)).cast("bigint"))
+    plain = F.when(F.contains(ip, F.lit(".")), F.concat(F.regexp_extract(ip, r"^(.*:)[^:]*$", 1), pair(1), F.lit(":"), pair(3))).otherwise(ip)
     part = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
-    left, right = part(F.substring_index(ip, "::", 1)), part(F.when(F.contains(ip, F.lit("::")), F.substring_index(ip, "::", -1)).otherwise(""))
+    left, right = part(F.substring_index(plain, "::", 1)), part(F.when(F.contains(plain, F.lit("::")), F.substring_index(plain, "::", -1)).otherwise(""))
     zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
     return F.transform(F.concat(left, zeros, right), lambda g: F.conv(g, 16, 10).cast("int"))
 
 
-#: Address ranges that count as private, by the registry of special addresses.
-PRIVATE_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29",
-                    "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
-                    "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32"]
-PRIVATE_NETWORKS_V6 = [("::1", 128), ("::", 128), ("100::", 64), ("2001:db8::", 32), ("fc00::", 7), ("fe80::", 10)]
+#: Address ranges that count as private, by the registry of special addresses, and those within that do not.
+PRIVATE_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
+                    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
+GLOBAL_HOSTS = ["192.0.0.9", "192.0.0.10"]
+PRIVATE_NETWORKS_V6 = ["::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32",
+                       "2002::/16", "fc00::/7", "fe80::/10"]
+GLOBAL_NETWORKS_V6 = ["2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+GLOBAL_HOSTS_V6 = ["2001:1::1", "2001:1::2"]
 
 
 def is_scannable_network(cidr: Column) -> Column:
-    """At most 256 addresses, and private or loopback; IPv4 or IPv6."""
+    """At most 256 addresses, and private or loopback, IPv4 or IPv6; networks that begin or end with a global host are not."""
     bits = _prefix_length(cidr)
     base = F.split(cidr, "/").getItem(0)
+
+    def ends_at(lowest: Column, free: Column, host: int) -> Column:
+        """Whether the first or last of 2**free addresses around one, by its lowest number, is the host's."""
+        size = F.pow(F.lit(2), free).cast("int")
+        first = lowest - lowest % size
+        return (first == host) | (first + size - 1 == host)
+
+    octets = F.transform(F.split(base, r"\."), lambda o: o.try_cast("int"))
     v4 = is_ipv4(base) & any_of([ip_in_cidr(base, F.lit(n)) for n in PRIVATE_NETWORKS]) & F.coalesce(bits >= 24, F.lit(False))
+    for host in GLOBAL_HOSTS:
+        net, low = host.rsplit(".", 1)
+        v4 = v4 & ~F.coalesce(ip_in_cidr(base, F.lit(f"{net}.0/24")) & ends_at(F.get(octets, F.lit(3)), F.lit(32) - bits, int(low)), F.lit(False))
     text = F.try_element_at(F.split(cidr, "/"), F.lit(2))
     bits6 = F.when(text.isNull(), 128).otherwise(text.try_cast("int"))
     words = ipv6_words(base)
 
-    def inside(net: str, size: int) -> Column:
-        want = ipaddress.ip_address(net).packed
-        tests = []
+    def inside(net: str) -> Column:
+        address, size = net.split("/")
+        want, size = ipaddress.ip_address(address).packed, int(size)
+        tests = [bits6 >= size]
         for i in range(-(-size // 16)):
             shift = max(0, 16 * (i + 1) - size)
             tests.append(F.shiftright(words[i], shift) == int.from_bytes(want[2 * i:2 * i + 2], "big") >> shift)
         return reduce(and_, tests)
 
-    v6 = F.when(is_ipv6(base) & bits6.between(120, 128), any_of([inside(*n) for n in PRIVATE_NETWORKS_V6]))
-    return v4 | F.coalesce(v6, F.lit(False))
+    v6 = any_of([inside(n) for n in PRIVATE_NETWORKS_V6]) & ~any_of([inside(n) for n in GLOBAL_NETWORKS_V6])
+    for host in GLOBAL_HOSTS_V6:
+        low = int.from_bytes(ipaddress.ip_address(host).packed[-2:], "big")
+        v6 = v6 & ~(inside(f"{host}/112") & ends_at(words[7], F.lit(128) - bits6, low))
+    return v4 | F.coalesce(F.when(is_ipv6(base) & bits6.between(120, 128), v6), F.lit(False))
 
 
 def established_public(conns: Column, private=is_private_v4) -> Column:

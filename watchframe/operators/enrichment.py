@@ -76,16 +76,17 @@ def ip_confidence(ratio: Column) -> Column:
     return (ratio * 100).cast("int")
 
 
-def merge_reputation_auto(stored: DataFrame, votes: DataFrame, now: Column) -> DataFrame:
+def merge_reputation_auto(stored: DataFrame, votes: DataFrame, now: Column, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Reputation table after provider votes (ip_address, malicious, total, details, ts).
 
-    The label is the newest, the confidence never falls.
+    Label and details are those of the newest vote by ``order`` (of equal ones the worst ratio, then
+    the greatest details), the confidence never falls.
     """
     ratio = verdict_ratio(F.col("malicious"), F.col("total"))
+    newest = F.max_by(F.struct("_ratio", "details"), F.struct(*order, "_ratio", "details"))
     new = votes.withColumn("_ratio", ratio).groupBy("ip_address").agg(
-        ip_label(F.max_by("_ratio", "ts")).alias("_label"),
-        F.max(ip_confidence(F.col("_ratio"))).alias("_confidence"),
-        F.max_by("details", "ts").alias("_details"))
+        newest.alias("_new"), F.max(ip_confidence(F.col("_ratio"))).alias("_confidence")).select(
+        "ip_address", ip_label(F.col("_new._ratio")).alias("_label"), "_confidence", F.col("_new.details").alias("_details"))
     return stored.join(new, "ip_address", "full_outer").select(
         "ip_address", F.coalesce("_label", "label").alias("label"),
         F.greatest("confidence", "_confidence").alias("confidence"),
@@ -103,16 +104,18 @@ def analyst_confidence(label: Column) -> Column:
     return F.when(label == "malicious", 90).when(label == "suspicious", 65).otherwise(40)
 
 
-def merge_reputation_manual(stored: DataFrame, entries: DataFrame, now: Column
+def merge_reputation_manual(stored: DataFrame, entries: DataFrame, now: Column, order: tuple[str, ...] = ("ts",)
                             ) -> tuple[DataFrame, DataFrame]:
     """(table with entries written over it, rejected entries).
 
     Entries hold ip_address, label, confidence (default 50), source (default
-    manual), details and ``ts``; the last per address wins.
+    manual), details and ``ts``; the last per address by ``order`` wins, of equal ones the one with
+    the greatest confidence, then label, source and details.
     """
     filled = entries.withColumns({"confidence": F.coalesce("confidence", F.lit(50)),
                                   "source": F.coalesce("source", F.lit("manual"))})
-    last = latest(filled.where(valid_reputation(filled)), ["ip_address"], ["ts"])
+    last = latest(filled.where(valid_reputation(filled)), ["ip_address"],
+                  [*order, "confidence", "label", "source", "details"])
     new = last.select("ip_address", F.struct("label", "confidence", "source", "details").alias("_n"))
     old = stored.select("ip_address", F.struct("label", "confidence", "source", "details").alias("_o"),
                         "updated_at")

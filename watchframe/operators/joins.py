@@ -25,7 +25,8 @@ def skewed_lookup(left: DataFrame, right: DataFrame, key: str, salts: int = SALT
     as often.  Both sides are read once.  Rows without a key find nothing.
     """
     columns = [*left.columns, *[c for c in right.columns if c != key]]
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    # dealt by position, so that equal rows part as well and columns of any type will do
+    dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(every, [key, "_salt"], "left").select(*columns)
 

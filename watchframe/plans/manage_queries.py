@@ -405,13 +405,15 @@ def _(spark, d):
    (event_id%3)*65536+(event_id%5)*256+event_id%300 AS n, CASE event_id%4 WHEN 0 THEN '10.1.2.77/24' WHEN 1 THEN '10.0.0.0/8' WHEN 2 THEN '10.1.0.0/30' ELSE '8.8.8.0/24' END AS cidr FROM events)
   SELECT event_id, ip, cidr, CASE event_id%4 WHEN 0 THEN ok AND n//256=258 WHEN 1 THEN ok WHEN 2 THEN ok AND n//4=16384 ELSE false END AS inside,
   event_id%4 IN (0, 2) AS scannable FROM e
-  UNION ALL SELECT event_id, '', ['198.18.0.0/24','203.0.113.0/24','240.0.0.0/24','192.0.2.0/25','::1/128','fd00::/120','2001:4860::/120','fd00::/119','100.64.0.0/24'][event_id%9+1], false, event_id%9<6 FROM events""")
+  UNION ALL SELECT event_id, '', ['198.18.0.0/24','203.0.113.0/24','240.0.0.0/24','192.0.2.0/25','::1/128','fd00::/120','2001:4860::/120','fd00::/119','100.64.0.0/24','::ffff:10.0.0.1/124','64:ff9b:1::/120','2002::/120','192.0.0.0/25','192.0.0.9/32','2001:1::1/128','::1/120'][event_id%16+1],
+   false, event_id%16 IN (0,1,2,3,4,5,9,10,11,12) FROM events""")
 def _(spark, d):
     i = F.col("event_id")
     ip = F.concat_ws(".", F.lit("10"), i % 3, i % 5, i % 300)
     cidr = A.pick(["10.1.2.77/24", "10.0.0.0/8", "10.1.0.0/30", "8.8.8.0/24"], i)
     more = A.pick(["198.18.0.0/24", "203.0.113.0/24", "240.0.0.0/24", "192.0.2.0/25", "::1/128", "fd00::/120", "2001:4860::/120",
-                   "fd00::/119", "100.64.0.0/24"], i)
+                   "fd00::/119", "100.64.0.0/24", "::ffff:10.0.0.1/124", "64:ff9b:1::/120", "2002::/120", "192.0.0.0/25", "192.0.0.9/32",
+                   "2001:1::1/128", "::1/120"], i)
     events = A.table(spark, d, "events")
     rows = events.select("event_id", ip.alias("ip"), cidr.alias("cidr")).unionByName(
         events.select("event_id", F.lit("").alias("ip"), more.alias("cidr")))

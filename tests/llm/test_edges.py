@@ -528,3 +528,10 @@ def test_copies_of_toxic_texts_without_marker_words(spark):
     assert got.held_out and got.predicted == 1 and got.evidence[0].doc_id == learnt and got.evidence[0].cosine == pytest.approx(1)
     left = toxicity.without_toxic(docs_of(spark, rows), labels, "toxic", held, threshold=0.3)
     assert not left.where(F.col("doc_id") == copy).count()
+
+
+def test_one_of_equal_rows_is_always_the_same(spark):
+    rows = [(1, "Ab"), (1, "aB"), (1, "AB"), (2, "x")]
+    for turn in (1, -1):
+        left = exact_dedup.deduplicated(docs_of(spark, rows[::turn]).repartition(3)).collect()
+        assert sorted((r.doc_id, r.text) for r in left) == [(1, "aB"), (2, "x")]

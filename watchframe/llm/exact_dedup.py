@@ -8,7 +8,7 @@ shuffled, and groups are only ever counted, so a group may be of any size.
 
 Null text counts as empty.  Of equal texts the largest doc_id stays (rows without an id only
 if none has one); rows that repeat an id and a text are all marked kept, and ``deduplicated``
-leaves one of them.
+leaves one of them, the one whose other columns are greatest as JSON.
 """
 
 from __future__ import annotations
@@ -77,5 +77,5 @@ def deduplicated(docs: DataFrame, prefix: int = 64, text: str = "text", id: str
     marked = docs.withColumn(own, F.sha2(F.translate(value, UPPER, LOWER), 256))
     left = marked.join(drop, key.cast("long").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(sha)), "left_anti")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != id])
-    one = left.groupBy(key, F.col(own)).agg(F.first(rest).alias(row))
+    one = left.groupBy(key, F.col(own)).agg(F.max_by(rest, F.to_json(rest)).alias(row))
     return one.select(*[key if c == id else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])

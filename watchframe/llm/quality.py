@@ -98,7 +98,10 @@ def pooled(vectors: np.ndarray, tokens: Tokens, values: list[bytes]) -> np.ndarr
 
 
 class Network:
-    """Two layers: tanh units, one logit; scaled inputs, temperature."""
+    """Two layers: tanh units, one logit; scaled inputs, temperature.
+
+    With a single label among the examples, or fewer than ten, every score is the share of label 1 (0.5 without any).
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 3000, batch: int = 256, seed: int = 3):
         self.share = float(y.mean()) if len(y) else 0.5

@@ -40,7 +40,7 @@ REST = 0.1
 #: A word's hash is a polynomial in this odd number modulo 2**64, mixed, of which the upper bits are kept.
 BASE, KEPT = 0x9E3779B97F4A7C15, 51
 #: Bytes of text and rows that are hashed at once; the rows' numbers go above a hash.
-PIECE, ROWS = 1 << 21, 1 << (63 - KEPT)
+PIECE, ROWS = 1 << 20, 1 << (63 - KEPT)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Examples:
     """Unit TF-IDF vectors of the examples in a block-max index; exact nearest neighbours."""
 
-    LONG, BLOCK, TEXTS, FIRST = 1024, 128, 128, 2
+    LONG, BLOCK, TEXTS, FIRST = 768, 128, 64, 2
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, other: float, k: int = 25):
         """``idf``: weight of each feature of the examples, ``other`` that of every other one."""
@@ -154,19 +154,18 @@ class Examples:
         at = self.column[f]
         cut = np.flatnonzero(at >= 0)
         e = np.repeat(np.arange(n, dtype=np.int32), counts.sizes)
-        wide = np.zeros((self.blocks * self.BLOCK, len(long)), np.float32)
-        wide[e[cut], at[cut]] = w[cut]
-        heaviest = [np.argsort(-wide[i], kind="stable")[:3] for i in range(n)]
-        main = sorted(range(n), key=lambda i: (*heaviest[i].tolist(), i))
-        self.place = np.array([*main, *range(n, len(wide))], np.int64)  # which example stands where
-        self.wide = wide[self.place].reshape(self.blocks, self.BLOCK, len(long))
-        del wide
-        self.largest = self.wide.max(1, initial=0)  # of each long list, per block
+        main = sorted(range(n), key=lambda i, top=_heaviest(n, e[cut], at[cut], w[cut]): (*top[i], i))
+        self.place = np.array([*main, *range(n, self.blocks * self.BLOCK)], np.int64)  # which example stands where
         spot = np.empty(len(self.place), np.int32)
         spot[self.place] = np.arange(len(self.place))
+        e = spot[e]
+        wide = np.zeros((len(self.place), len(long)), np.float32)
+        wide[e[cut], at[cut]] = w[cut]
+        self.wide = wide.reshape(self.blocks, self.BLOCK, len(long))
+        self.largest = self.wide.max(1, initial=0)  # of each long list, per block
         rest = np.flatnonzero(at < 0)
         del at, cut
-        f, w, e = f[rest], w[rest], spot[e[rest]]
+        f, w, e = f[rest], w[rest], e[rest]
         order = np.argsort(f, kind="stable")
         self.listed, self.weight = e[order], w[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(idf) + 1))])
@@ -250,6 +249,14 @@ class Examples:
         return out
 
 
+def _heaviest(n: int, e: np.ndarray, column: np.ndarray, w: np.ndarray) -> list[tuple[int, ...]]:
+    """The columns of the three largest weights of each row, from entries sorted by row."""
+    order = np.lexsort((column, -w, e))
+    ends = np.cumsum(np.bincount(e, minlength=n))
+    column = column[order]
+    return [tuple(column[z - m:min(z, z - m + 3)].tolist()) for z, m in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
+
+
 class Packed:
     """Examples on their way to the tasks: counts of features, compressed; the index is built where they are unpickled."""
 

@@ -144,7 +144,7 @@ class Examples:
         n = len(self.ids)
         lone = self.labels[counts.sizes == 0]
         self.share = float((lone.sum() + (self.labels.mean() if n else 0.5)) / (len(lone) + 1))
-        f, w = counts.f.astype(np.int32), self._unit(counts, np.float32)
+        f, w = counts.f.astype(np.int32, copy=False), self._unit(counts, np.float32)
         # the longest lists are cut at the blocks; similar examples stand together, by their heaviest long features
         held = np.bincount(f, minlength=len(idf))
         long = np.sort(np.argsort(-held, kind="stable")[:self.LONG])
@@ -175,11 +175,12 @@ class Examples:
         """Weights of the features of each text, at length one over all of its features."""
         w = np.log(counts.n, dtype=kind)
         w += 1
-        w *= np.append(self.idf, self.other).astype(kind)[np.minimum(counts.f, len(self.idf))]
+        w *= np.append(self.idf, self.other).astype(kind).take(counts.f, mode="clip")
         full = counts.sizes > 0
         starts = (np.cumsum(counts.sizes) - counts.sizes)[full]
         if len(starts):
-            w /= np.repeat(np.maximum(1e-12, np.sqrt(np.add.reduceat(w * w, starts, dtype=np.float64))).astype(kind), counts.sizes[full])
+            lengths = np.maximum(1e-12, np.sqrt(np.add.reduceat(w * w, starts, dtype=np.float64))).astype(kind)
+            w /= np.repeat(lengths, counts.sizes[full])
         return w
 
     def nearest(self, counts: Counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -35,7 +35,7 @@ from watchframe.llm.words import ALNUM, mixed
 
 #: Weight of features that do not go with a label, against 1 of those that do: words alone and this weight gave the
 #: least log loss among four kinds of features (with and without beginnings of words) and eight weights in three inner
-#: folds of the learning rows of the test table; held-out rows had no part in it.
+#: folds of the learning rows of the test table (see the README on how it was chosen).
 REST = 0.1
 #: A word's hash is a polynomial in this odd number modulo 2**64, mixed, of which the upper bits are kept.
 BASE, KEPT = 0x9E3779B97F4A7C15, 51

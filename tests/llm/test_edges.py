@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -535,3 +536,50 @@ def test_one_of_equal_rows_is_always_the_same(spark):
     for turn in (1, -1):
         left = exact_dedup.deduplicated(docs_of(spark, rows[::turn]).repartition(3)).collect()
         assert sorted((r.doc_id, r.text) for r in left) == [(1, "aB"), (2, "x")]
+
+
+# ---------------------------------------------------------------- quality: tokens, vectors, pooling
+
+SIGNS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
+
+
+def some_texts(seed: int = 5) -> list[bytes]:
+    r = np.random.default_rng(seed)
+    return [b"", b" \n", *(bytes(r.choice(list(b"aB1 ,.;\n\t\x1c\xc3\xa9"), r.integers(0, 60)).astype(np.uint8)) for _ in range(200)), b"", b"x"]
+
+
+def test_quality_tokens_are_those_of_the_pattern():
+    values, tokens, seen = some_texts(), quality.Tokens(), {}
+    slots, starts = tokens(values)
+    assert len(starts) == len(values) + 1 and starts[-1] == len(slots)
+    for value, a, z in zip(values, starts[:-1], starts[1:], strict=True):
+        for word, slot in zip(SIGNS.findall(value.lower()), slots[a:z].tolist(), strict=True):
+            assert seen.setdefault(word, slot) == slot and 0 <= slot < quality.SLOTS
+    assert len(set(seen.values())) > 0.95 * len(seen)
+
+
+def test_run_hashes_do_not_depend_on_pieces(monkeypatch):
+    values = some_texts(7)
+    whole = quality.Tokens()(values)[0]
+    monkeypatch.setattr("watchframe.llm.words.PIECE", 16)
+    assert (quality.Tokens()(values)[0] == whole).all()
+    assert [quality.Tokens()([v])[0].tolist() for v in values if v] == [quality.Tokens()([v, b"y"])[0][:-1].tolist() for v in values if v]
+
+
+def test_quality_vectors_and_means_against_brute_force(monkeypatch):
+    values, tokens = some_texts(9), quality.Tokens()
+    places, signs = quality.index_vectors()
+    sums, seen = np.zeros((quality.SLOTS, quality.WIDTH)), np.zeros(quality.SLOTS, int)
+    texts = [tokens([v])[0].tolist() for v in values]
+    for slots in texts:
+        for i, s in enumerate(slots):
+            seen[s] += 1
+            for near in slots[max(0, i - quality.REACH):i] + slots[i + 1:i + 1 + quality.REACH]:
+                for place, sign in zip(places[near], signs[near], strict=True):
+                    sums[s, place] += sign
+    counted = quality.count_contexts([pa.RecordBatch.from_pydict({"text": pa.array(values, pa.binary())})])
+    assert (counted[:-quality.SLOTS].reshape(sums.shape) == sums).all() and (counted[-quality.SLOTS:] == seen).all()
+    vectors = quality.word_vectors(np.concatenate([sums.ravel().astype(int), seen]))
+    monkeypatch.setattr(quality, "POOLED", 7)
+    for got, slots in zip(quality.pooled(vectors, tokens, values), texts, strict=True):
+        assert np.allclose(got, vectors[slots].astype(float).mean(0) if slots else 0)

@@ -18,39 +18,34 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 
 from watchframe.llm.common import batches, block_sums, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
+from watchframe.llm.words import ALNUM, RunHashes
 
 SLOTS, WIDTH, NONZERO, REACH = 1 << 15, 32, 2, 2
-TOKEN = regex.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
-CHUNK = 1 << 20
+#: Kind of each byte: blank, letter or digit (or beyond ASCII), other sign.
+KIND = bytes(0 if b in b" \t\n\r\f\v" else 1 if ALNUM[b] != 32 else 2 for b in range(256))
+CHUNK, POOLED = 1 << 20, 1 << 17
 
 
 class Tokens:
-    """Slots of the tokens of texts; remembers up to ``memory`` pieces between spaces."""
+    """Slots of the tokens of texts, A-Z lower-cased."""
 
-    def __init__(self, memory: int = 300_000):
-        self.memory, self.known = memory, {}
+    def __init__(self):
+        self.runs = RunHashes()
 
     def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all texts in a row, and where each text starts and the last ends."""
-        lists = [v.lower().split() for v in values]
-        new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = set().union(*lists)
-        for p in new:
-            self.known[p] = [xxhash.xxh3_64_intdigest(t) % SLOTS for t in ([p] if p.isalpha() else TOKEN.findall(p))]
-        known, out, starts = self.known, [], [0]
-        for pieces in lists:
-            for p in pieces:
-                out += known[p]
-            starts.append(len(out))
-        return np.array(out, np.int64), np.array(starts, np.int64)
+        joined = b" ".join([b"", *values, b""]).lower()
+        kind = np.frombuffer(joined.translate(KIND), np.uint8)
+        edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        full = np.flatnonzero(kind[edge[:-1]])
+        start, end = edge[full], edge[full + 1]
+        hashes = self.runs(np.frombuffer(joined, np.uint8), start, end)
+        starts = np.searchsorted(start, np.cumsum([1, *(len(v) + 1 for v in values)]))
+        return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), starts
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +84,19 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, tokens: Tokens, values: list[bytes]) -> np.ndarray:
+    """Mean vector of the tokens of each text; long texts in pieces of ``POOLED`` tokens."""
     slots, starts = tokens(values)
-    out = np.zeros((len(values), WIDTH))
-    full = np.diff(starts) > 0
-    if full.any():
-        out[full] = np.add.reduceat(vectors[slots], starts[:-1][full], axis=0, dtype=float) / np.diff(starts)[full, None]
-    return out
+    size = np.diff(starts)
+    cuts = -(-size // POOLED)  # pieces of each text
+    row = np.repeat(np.arange(len(values)), cuts)
+    begin = starts[row] + POOLED * (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    end, out, at = np.append(begin[1:], starts[-1]), np.zeros((len(values), WIDTH)), 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + POOLED, "right")))
+        some = vectors[slots[begin[at]:end[stop - 1]]]
+        np.add.at(out, row[at:stop], np.add.reduceat(some, begin[at:stop] - begin[at], axis=0, dtype=float))
+        at = stop
+    return out / np.maximum(size, 1)[:, None]
 
 
 class Network:

@@ -34,6 +34,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A run's hash is a polynomial in this odd number modulo 2**64, mixed; so many bytes are summed up at once.
+BASE, PIECE = 0x9E3779B97F4A7C15, 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class RunHashes:
+    """Hashes of runs of bytes (ascending, not overlapping) from running sums, a bounded piece of bytes at a time."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            low = int(start[at])
+            stop = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+            size = int(end[stop - 1]) - low
+            if size > len(self.up):
+                self.up, self.down = _powers(BASE, max(size, PIECE)), _powers(pow(BASE, -1, 1 << 64), max(size, PIECE))
+            sums = np.zeros(size + 1, np.uint64)
+            # digits from one up, so runs of different lengths differ; the start is divided out
+            np.add(raw[low:low + size], 1, out=sums[1:], dtype=np.uint64)
+            sums[1:] *= self.up[:size]
+            np.cumsum(sums, out=sums)
+            a, z = start[at:stop] - low, end[at:stop] - low
+            out[at:stop] = mixed((sums[z] - sums[a]) * self.down[a])
+            at = stop
+        return out
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, in order; runs of different sizes differ."""
     n = len(hashes) - size + 1

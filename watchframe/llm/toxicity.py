@@ -21,6 +21,7 @@ have no features and get that share; so does everything if there are no examples
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,43 +32,31 @@ from pyspark.sql import functions as F
 
 from watchframe.llm.common import batches, block_sums, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
-from watchframe.llm.words import ALNUM, mixed
+from watchframe.llm.words import ALNUM, PIECE, RunHashes
 
 #: Weight of features that do not go with a label, against 1 of those that do: words alone and this weight gave the
 #: least log loss among four kinds of features (with and without beginnings of words) and eight weights in three inner
 #: folds of the learning rows of the test table (see the README on how it was chosen).
 REST = 0.1
-#: A word's hash is a polynomial in this odd number modulo 2**64, mixed, of which the upper bits are kept.
-BASE, KEPT = 0x9E3779B97F4A7C15, 51
-#: Bytes of text and rows that are hashed at once; the rows' numbers go above a hash.
-PIECE, ROWS = 1 << 20, 1 << (63 - KEPT)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: Upper bits of a word's hash that are kept.
+KEPT = 51
+#: Rows that are hashed at once at the most; their numbers go above a hash.
+ROWS = 1 << (63 - KEPT)
 
 
 class Words:
-    """Hashes of the words of texts, from running sums over all their bytes."""
+    """Hashes of the words of texts."""
 
     def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
+        self.runs = RunHashes()
 
     def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The row and hash of every word, in order."""
         raw = np.frombuffer(b" ".join([b"", *(v.translate(ALNUM) for v in values), b""]), np.uint8)
-        if len(raw) > len(self.up):
-            size = max(len(raw), PIECE + (1 << 16))
-            self.up, self.down = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
         inside = raw != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         start, end = edge[::2], edge[1::2]
-        sums = (raw.astype(np.uint64) + np.uint64(1)) * self.up[:len(raw)]
-        np.cumsum(sums, out=sums)
-        # digits from one up, so words of different lengths differ; the start is divided out
-        hashes = mixed((sums[end - 1] - sums[start - 1]) * self.down[start]) >> np.uint64(64 - KEPT)
+        hashes = self.runs(raw, start, end) >> np.uint64(64 - KEPT)
         begins = np.cumsum([1, *(len(v) + 1 for v in values)])[:-1]
         return np.searchsorted(begins, start, "right") - 1, hashes
 
@@ -135,7 +124,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Examples:
     """Unit TF-IDF vectors of the examples in a block-max index; exact nearest neighbours."""
 
-    LONG, BLOCK, TEXTS, FIRST = 768, 128, 64, 2
+    LONG, BLOCK, TEXTS, FIRST = 768, 128, 32, 2
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, other: float, k: int = 25):
         """``idf``: weight of each feature of the examples, ``other`` that of every other one."""
@@ -154,8 +143,8 @@ class Examples:
         at = self.column[f]
         cut = np.flatnonzero(at >= 0)
         e = np.repeat(np.arange(n, dtype=np.int32), counts.sizes)
-        main = sorted(range(n), key=lambda i, top=_heaviest(n, e[cut], at[cut], w[cut]): (*top[i], i))
-        self.place = np.array([*main, *range(n, self.blocks * self.BLOCK)], np.int64)  # which example stands where
+        main = np.lexsort(_heaviest(n, e[cut], at[cut], w[cut]).T[::-1])
+        self.place = np.concatenate([main, np.arange(n, self.blocks * self.BLOCK)])  # which example stands where
         spot = np.empty(len(self.place), np.int32)
         spot[self.place] = np.arange(len(self.place))
         e = spot[e]
@@ -250,12 +239,23 @@ class Examples:
         return out
 
 
-def _heaviest(n: int, e: np.ndarray, column: np.ndarray, w: np.ndarray) -> list[tuple[int, ...]]:
-    """The columns of the three largest weights of each row, from entries sorted by row."""
-    order = np.lexsort((column, -w, e))
-    ends = np.cumsum(np.bincount(e, minlength=n))
-    column = column[order]
-    return [tuple(column[z - m:min(z, z - m + 3)].tolist()) for z, m in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
+def _heaviest(n: int, e: np.ndarray, column: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The columns of the three largest weights of each row (-1 for none), from entries sorted by row."""
+    column = column[np.lexsort((column, -w, e))]
+    held = np.bincount(e, minlength=n)
+    first = np.cumsum(held) - held
+    out = np.full((n, 3), -1, np.int32)
+    for j in range(3):
+        out[held > j, j] = column[first[held > j] + j]
+    return out
+
+
+def _give_back() -> None:
+    """Return what building the index has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Packed:
@@ -271,7 +271,10 @@ class Packed:
     @staticmethod
     def unpacked(ids, labels, sizes, f: bytes, n: bytes, *more) -> Examples:
         f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32) for x in (f, n))
-        return Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int32), n), *more)
+        examples = Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int32), n), *more)
+        del f, n
+        _give_back()
+        return examples
 
 
 def _terms(sample: DataFrame, chi_square: float, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,8 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from watchframe.llm.common import batches, texts
-from watchframe.llm.merges import SPLIT_BYTES, Vocabulary, encode_many, vocabulary
+from watchframe.llm.common import batches, kept, texts
+from watchframe.llm.merges import SPLIT_BYTES, Vocabulary, encode_many
 
 #: Pieces a task remembers; beyond it the memory starts anew.
 MEMORY = 300_000
@@ -102,14 +102,9 @@ class Encoder:
         return b"".join([self.voc.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept between its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(vocabulary(path))
-    return _encoders[path]
+    """One encoder a Python worker, kept between its tasks of a stage."""
+    return kept(f"bpe {path}", lambda: Encoder(Vocabulary(path)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:

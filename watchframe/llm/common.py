@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +65,39 @@ def texts(docs: DataFrame, *more: Column, text: str = "text", id: str = "doc_id"
                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), *more)
 
 
+_kept: dict[str, object] = {}
+_kept_for: list[int | None] = [None]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _forget_other_stages() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _kept_for[0]:
+        _kept.clear()
+        _kept_for[0] = stage
+        give_back()
+
+
+def kept(key: str, make: Callable):
+    """An object that a Python worker keeps between its tasks of one stage; the next stage finds the memory free."""
+    _forget_other_stages()
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def batches(stream: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 21,
             raw: bool = True) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches holding about ``size`` bytes of text, with the texts as bytes or str."""
+    _forget_other_stages()
     for batch in stream:
         if not batch.num_rows:
             continue

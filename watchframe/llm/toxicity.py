@@ -21,7 +21,6 @@ have no features and get that share; so does everything if there are no examples
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, block_sums, texts
+from watchframe.llm.common import batches, block_sums, give_back, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
 from watchframe.llm.words import ALNUM, PIECE, RunHashes
 
@@ -250,14 +249,6 @@ def _heaviest(n: int, e: np.ndarray, column: np.ndarray, w: np.ndarray) -> np.nd
     return out
 
 
-def _give_back() -> None:
-    """Return what building the index has freed to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 class Packed:
     """Examples on their way to the tasks: counts of features, compressed; the index is built where they are unpickled."""
 
@@ -273,7 +264,7 @@ class Packed:
         f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32) for x in (f, n))
         examples = Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int32), n), *more)
         del f, n
-        _give_back()
+        give_back()
         return examples
 
 

@@ -317,3 +317,26 @@ def test_alert_detail(spark):
     row, sections = G.alert_detail(a, agents, telemetry, reports, fixes, 2)
     assert (row.first().agent_hostname, row.first().telemetry.cpu_usage) == ("host", 7.0)
     assert [(r.section, r.entry_id) for r in sections.collect()] == [("remediation", 1), ("threat_report", 2), ("threat_report", 1)]
+
+
+def _alert_rows(spark, rows):
+    at = [(i, a, T(s), "HIGH", False) for i, a, s in rows]
+    return spark.createDataFrame(at, "id long, agent_id string, timestamp timestamp, severity string, is_resolved boolean")
+
+
+def test_pages_after_a_cursor_are_those_of_offsets(spark):
+    alerts = _alert_rows(spark, [(i, "a", i % 3) for i in range(20)])  # many equal times
+    seen, cursor = [], None
+    while page := G.list_alerts_after(alerts, cursor, limit=6).collect():
+        seen += [r.id for r in page]
+        cursor = page[-1].timestamp, page[-1].id
+    assert seen == [r.id for r in G.list_alerts(alerts, limit=20).collect()] and len(seen) == 20
+    assert G.list_alerts_after(alerts.limit(0), None).count() == 0
+
+
+def test_newest_alerts_of_reporting_agents(spark):
+    alerts = _alert_rows(spark, [*((i, "hot", i // 4) for i in range(40)), (50, "b", 1), (51, "silent", 1), (52, None, 1)])
+    reports = spark.createDataFrame([("hot",), ("hot",), ("b",), (None,), ("unknown",)], "agent_id string")
+    got = G.newest_alerts_of(alerts, reports, 3)
+    assert got.columns == alerts.columns
+    assert sorted(r.id for r in got.collect()) == [37, 38, 39, 50]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchframe.functions import signatures as sig
@@ -36,6 +36,32 @@ def list_alerts(alerts: DataFrame, severity: str | None = None, is_resolved: boo
     return newest(rows, "timestamp", limit, skip)
 
 
+def list_alerts_after(alerts: DataFrame, cursor: tuple | None, severity: str | None = None,
+                      is_resolved: bool | None = False, limit: int = 200) -> DataFrame:
+    """The page of newest alerts after ``cursor``, the (timestamp, id) of the last row seen; None is the first page.
+
+    The bound on the time reaches the scan, so a table written by time is read only from the
+    cursor on, and nothing of earlier pages is sorted again as an offset would.
+    """
+    rows = alerts
+    if cursor is not None:
+        at, last = (F.lit(x) for x in cursor)
+        rows = rows.where((F.col("timestamp") <= at) & ((F.col("timestamp") < at) | (F.col("id") < last)))
+    return list_alerts(rows, severity, is_resolved, limit=limit)
+
+
+def newest_alerts_of(alerts: DataFrame, reports: DataFrame, size: int = 5) -> DataFrame:
+    """The newest ``size`` alerts of each agent that reports, for playbooks and enrichment after a batch.
+
+    Ties by id.  Reporting agents are made distinct before the join, and each task keeps its
+    newest rows of an agent before the shuffle, so a busy agent is no hot key.
+    """
+    reporting = reports.select("agent_id").where(F.col("agent_id").isNotNull()).distinct()
+    place = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("timestamp"), F.desc("id")))
+    newest_rows = alerts.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
+    return newest_rows.join(reporting, "agent_id", "left_semi").select(*alerts.columns)
+
+
 def alert_overview(alerts: DataFrame, agents: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Alerts with the host name and the latest telemetry of their agent."""
     sample = [c for c in ("cpu_usage", "ram_usage", "processes", "users", "network_flows")

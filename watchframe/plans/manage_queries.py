@@ -29,6 +29,25 @@ def _(spark, d):
     return G.list_alerts(A.sec_alerts(spark, d), "HIGH", skip=5).select("id", "severity", "timestamp")
 
 
+@query("g01_list_alerts_after", with_("alerts") + f"""SELECT id, severity, "timestamp" FROM alerts WHERE severity='HIGH' AND {_OPEN}
+  ORDER BY "timestamp" DESC, id DESC LIMIT 50 OFFSET 100""")
+def _(spark, d):
+    """The third page, each found from the last row of the one before."""
+    alerts, cursor = A.sec_alerts(spark, d), None
+    for _page in range(2):
+        last = G.list_alerts_after(alerts, cursor, "HIGH", limit=50).select("timestamp", "id").tail(1)
+        cursor = tuple(last[0]) if last else cursor
+    return G.list_alerts_after(alerts, cursor, "HIGH", limit=50).select("id", "severity", "timestamp")
+
+
+@query("g22_newest_alerts_of_reporters", with_("alerts") + """SELECT id, agent_id, "timestamp", severity FROM alerts
+  WHERE agent_id IN (SELECT agent_id FROM sec WHERE event_type='METRICS_REPORT')
+  QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY "timestamp" DESC, id DESC)<=5""")
+def _(spark, d):
+    reports = A.sec_events(spark, d).where(F.col("event_type") == "METRICS_REPORT")
+    return G.newest_alerts_of(A.sec_alerts(spark, d), reports).select("id", "agent_id", "timestamp", "severity")
+
+
 def _remediations(spark, d):
     i = F.col("event_id")
     return A.sec_events(spark, d).select(

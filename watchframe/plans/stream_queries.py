@@ -126,6 +126,25 @@ def _(spark, d):
             .select("user_id", "event_id", "request_number", "allowed"))
 
 
+_SHORT = (time_queries._METRICS.replace("BETWEEN 60 PRECEDING", "BETWEEN 20 PRECEDING")
+          .replace("n>=60", "n>=20").replace(">4.0", ">3.0"))
+
+
+@query("d06_zscore_stream", with_("sec", more=_SHORT) + """SELECT agent_id, metric, event_id,
+  CASE WHEN z>4.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM z""")
+def _(spark, d):
+    found = _found(spark, d, "d06", lambda e: stateful.zscore_stream(e, "10 minutes", 20, 3.0, 20))
+    return found.where("agent_id != 'end'").select("agent_id", "metric", "event_id", "severity")
+
+
+@query("d11_new_processes_stream", ORACLES["d11_new_processes"])
+def _(spark, d):
+    slot = F.timestamp_micros(F.call_function("div", F.unix_micros("ts"), F.lit(20_000_000)) * 20_000_000)
+    found = _found(spark, d, "d11", lambda e: stateful.new_processes_stream(e.select(
+        F.col("hostname").alias("host"), slot.alias("ts"), (F.col("event_id") % 50).alias("pid")), "10 minutes"))
+    return found.where(F.col("ts") < F.timestamp_micros(F.lit(A.EPOCH_US + 10**10))).distinct()
+
+
 # ---------------------------------------------------------------- JSON intake
 
 def _json(spark: SparkSession, sf_dir: str) -> str:

@@ -170,13 +170,14 @@ def quota_fold(ttl_us: int, limit: int) -> Fold:
 
 
 def new_process_fold(state, us, body):
+    """Pids of the present and the previous snapshot are keys of a dict (JSON keeps them as text)."""
     if state is None:
-        state = {"at": us, "now": [], "before": None}
+        state = {"at": us, "now": {}, "before": None}
     if us > state["at"]:
-        state = {"at": us, "now": [], "before": state["now"]}
+        state = {"at": us, "now": {}, "before": state["now"]}
     pid = body["pid"]
-    is_new = state["before"] is not None and pid not in state["before"]
-    state["now"].append(pid)
+    is_new = state["before"] is not None and str(pid) not in state["before"]
+    state["now"][str(pid)] = 1
     return state, [{"pid": pid}] if is_new else []
 
 
@@ -221,10 +222,12 @@ def beacon_stream(events: DataFrame, delay: str = "2 minutes", keep: int = 20,
 
 
 def zscore_stream(events: DataFrame, delay: str = "2 minutes", window: int = 60,
-                  threshold: float = 4.0, min_samples: int = 60) -> DataFrame:
+                  threshold: float = 4.0, min_samples: int = 60, ttl_seconds: int | None = None) -> DataFrame:
+    """With ``ttl_seconds`` an agent that was silent for it is forgotten and starts with no values."""
     key = F.to_json(F.struct("agent_id", "metric"))
     found = ordered_fold(unpivot_metrics(events), key, F.struct("value"),
-                         zscore_fold(window, threshold, min_samples), delay)
+                         zscore_fold(window, threshold, min_samples), delay,
+                         ttl_us=None if ttl_seconds is None else ttl_seconds * 1_000_000)
     part = lambda name: F.get_json_object("key", f"$.{name}").alias(name)
     return found.select(part("agent_id"), part("metric"), *_found(
         "value double, z_score double, severity string")).select(

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from watchframe.llm import (bpe, context_tree, decontamination, exact_dedup, near_dedup, quality,
+from watchframe.llm import (bpe, common, context_tree, decontamination, exact_dedup, near_dedup, quality,
                             token_count, token_output, toxicity, url_filter)
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -583,3 +583,41 @@ def test_quality_vectors_and_means_against_brute_force(monkeypatch):
     monkeypatch.setattr(quality, "POOLED", 7)
     for got, slots in zip(quality.pooled(vectors, tokens, values), texts, strict=True):
         assert np.allclose(got, vectors[slots].astype(float).mean(0) if slots else 0)
+
+
+def test_sorted_out_keeps_every_row(spark):
+    """Rows whose key is listed are all in the first part, null keys among them; nothing is lost or shuffled."""
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(200)], "doc_id bigint, _maybe string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 200, 3)] + [(None,)], "gone bigint")
+    maybe, others = common.sorted_out(rows, F.col("doc_id"), keys, "gone")
+    assert maybe.columns == others.columns == rows.columns
+    first, second = maybe.collect(), others.collect()
+    listed = {r.gone for r in keys.collect()}
+    assert not [r for r in second if r.doc_id in listed]
+    assert sorted(map(str, first + second)) == sorted(map(str, rows.collect()))
+    assert "Exchange" not in others._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_shuffles_no_text(spark):
+    """Rows that stay are not dealt out to drop the others, whatever the number of those."""
+    rows = docs_of(spark, [(i, f"text {i // 2} of some words more or less") for i in range(40)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for left in (exact_dedup.deduplicated(rows), near_dedup.deduplicated(rows, words=2)):
+            plan = left._jdf.queryExecution().optimizedPlan().toString()
+            assert "Union" in plan.split("\n")[0] and left.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sets_without_enough_common_values_make_no_entries(spark):
+    """Short texts around a common line have too few values in common for a partner, so the line makes no pairs."""
+    line = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, f"{line} " + " ".join(f"u{i}x{j}" for j in range(14))) for i in range(60)]
+    rows += [(100 + i, f"{line} same words here {i}") for i in range(3)]
+    docs = docs_of(spark, rows)
+    sketched = near_dedup.sketches(near_dedup.texts(docs), 2)
+    entries = near_dedup._entries(sketched, near_dedup.K, 80)
+    assert {r.c for r in entries.select("c").distinct().collect()} == {r.c for r in sketched.where("doc_id >= 100").collect()}
+    got = sorted(tuple(r)[:3] for r in near_dedup.near_groups(docs, words=2).collect())
+    assert got == near_brute(rows, 2)

@@ -138,6 +138,22 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def sorted_out(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in the column ``name`` of ``keys``, and the others, of which none is.
+
+    A bitmap tells, so neither part is shuffled; a null key is a key.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64(name).alias("h")), "h"))  # 8 MB
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(np.frombuffer(bits.value, np.uint8), h.to_numpy()))
+
+    flag = unused(rows, "_maybe")
+    marked = rows.withColumn(flag, maybe(F.xxhash64(key)))
+    return marked.where(flag).drop(flag), marked.where(f"NOT {flag}").drop(flag)
+
+
 def block_sums(rows: DataFrame, count: Callable, width: int, blocks: int,
                limit: int = 64 << 20) -> np.ndarray:
     """Sum of one int64 array of ``width`` per task, added up block by block on the cluster.

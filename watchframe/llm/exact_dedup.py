@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, bitmap, in_bitmap, texts, unused, written
+from watchframe.llm.common import batches, bitmap, in_bitmap, sorted_out, texts, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,7 +71,8 @@ def deduplicated(docs: DataFrame, prefix: int = 64, text: str = "text", id: str
     drop = written(groups.where("NOT kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)), "drop")
     key = F.col(f"`{id}`")
     if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(drop, key.cast("long").eqNullSafe(F.col(gone)), "left_anti")
+        maybe, left = sorted_out(docs, key.cast("long"), drop, gone)  # no text of a row that stays is shuffled
+        return left.union(maybe.join(drop, key.cast("long").eqNullSafe(F.col(gone)), "left_anti"))
     # an id comes more than once: rows are told apart by their text as well
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     marked = docs.withColumn(own, F.sha2(F.translate(value, UPPER, LOWER), 256))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, bitmap, discard, in_bitmap, texts, unused, written
+from watchframe.llm.common import batches, bitmap, discard, in_bitmap, sorted_out, texts, unused, written
 from watchframe.llm.components import components
 from watchframe.llm.words import WordHashes, bounds, windows
 
@@ -100,7 +100,10 @@ def _required(n: str, k: int, percent: int) -> tuple[Column, Column]:
 
 
 def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The inverted entries (value, c, n, r) of the rarest retained values of each class, single ones left out."""
+    """The inverted entries (value, c, n, r) of the rarest retained values of each class, single ones left out.
+
+    A class of which fewer than s retained values are in another class has no partner and no entries.
+    """
     spark = classes.sparkSession
 
     def values(stream):
@@ -110,12 +113,17 @@ def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
     counts = written(classes.select("sketch").mapInArrow(values, "value bigint").groupBy("value")
                      .agg(F.count("*").alias("m")).where("m > 1"), "counts")
     bits = spark.sparkContext.broadcast(bitmap(counts.select(F.xxhash64("value").alias("h")), "h"))  # 8 MB
+    share = sampled_share(k, percent)
 
     def listed(stream):
         found = np.frombuffer(bits.value, np.uint8)
         for batch in stream:
             v, sizes = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
             keep = in_bitmap(found, spark_hash(v))
+            # whoever shares fewer values than any partner must have has none
+            several = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+            n = batch.column(1).to_numpy()
+            keep &= np.repeat(np.diff(several) >= np.minimum(-(-n * percent // 100), share), sizes)
             column = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), sizes)[keep])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(v[keep]), column(0), column(1)], ["value", "c", "n"])
 
@@ -127,7 +135,7 @@ def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
     single = size - F.count("*").over(own)
     place = F.row_number().over(own.orderBy("m", "value"))
     return (rows.withColumn("r", r).withColumns({"left": size - s + F.col("r") - single, "place": place})
-            .where("place <= left").select("value", "c", "n", "r"))
+            .where("place <= left AND left >= r").select("value", "c", "n", "r"))
 
 
 def spark_hash(values: np.ndarray) -> np.ndarray:
@@ -150,8 +158,9 @@ def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     pairs of half the similarity as well, which makes families wide.
     """
     spark = pairs.sparkSession
-    left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    paired, _ = sorted_out(classes, F.col("c"), pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c")
+    left = paired.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = paired.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     t = percent / 100
@@ -194,8 +203,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
     rows = texts(docs, text=text, id=id)
     sketched = written(sketches(rows, words, k), "sketches")
     named = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-                                             F.first("sketch").alias("sketch")), "classes")
+    repeated = written(named.groupBy("c").count().where("count > 1").select("c"), "repeated-sets")
+    maybe, single = sorted_out(named, F.col("c"), repeated, "c")  # sketches of single sets stay where they are
+    one = maybe.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(single.select(one.columns).union(one), "classes")
     all_entries = written(_entries(classes, k, percent), "entries")
     entries = all_entries
     lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("m > 1")
@@ -255,7 +266,7 @@ def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percen
     where W = 100 M + p O.  First all are compared with the member of the least W; what is similar
     to any without sharing differences is similar to that one.
     """
-    rest = _contested(_with_component(families, components(links)), ["leader"], "family").join(sets, "c")
+    rest = written(_contested(_with_component(families, components(links)), ["leader"], "family").join(sets, "c"), "family-sets")
     size = rest.groupBy("leader").agg(F.count("*").alias("size"))
     counts = rest.select("leader", F.explode("items").alias("value")).groupBy("leader", "value").agg(F.count("*").alias("m"))
     core = written(counts.join(size, "leader").where("2 * m >= size").groupBy("leader").agg(F.collect_list("value").alias("core")), "cores")
@@ -265,6 +276,7 @@ def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percen
            .withColumns({"missed": missed, "had": had}).withColumn("w", F.size("missed") * 100 + F.size("had") * percent)
            .select("leader", "c", "component", "main", "w", F.size("core").alias("core"), F.concat("missed", "had").alias("diff")))
     cut = written(cut, "differences")
+    discard(rest)
     near = written(cut.groupBy("leader").agg(F.min("w").alias("w_b"), F.min_by(F.struct("c", "diff"), F.struct("w", "c")).alias("nearest")), "nearest")
     direct = (cut.join(near, "leader").select("c", "w", "core", "diff", "w_b", F.col("nearest.c").alias("c_b"), F.col("nearest.diff").alias("diff_b"))
               .where("c != c_b"))
@@ -332,4 +344,6 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     groups = near_groups(docs, words, percent, text=text, id=id)
     gone = unused(docs, "_gone")
     drop = written(groups.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "drop")
-    return docs.join(drop, F.col(f"`{id}`").cast("long") == F.col(gone), "left_anti")
+    key = F.col(f"`{id}`").cast("long")
+    maybe, left = sorted_out(docs, key, drop, gone)  # no text of a row that stays is shuffled
+    return left.union(maybe.join(drop, key == F.col(gone), "left_anti"))

@@ -280,3 +280,17 @@ def test_whitening_query_on_the_table(spark, sf):
         assert abs(r.explained - e[r.component - 1] / e.sum()) < 1e-12
     want = (x - fit.mean(0)) @ w[:, :4] / np.sqrt(e[:4])
     assert np.abs(z * np.sign((z * want).sum(0)) - want).max() < 1e-9
+
+
+def test_blocks_send_an_owner_once():
+    """The bytes of a signature grow little with the number of parts, which share the table of their owners."""
+    r = np.random.default_rng(7)
+    owners = np.repeat(np.arange(4000), 40)
+    tokens = r.integers(0, 1 << 63, len(owners), dtype=np.int64).view(np.uint64) << np.uint64(1) & ngram_join.KEPT_BITS
+    table = np.zeros(4000, ngram_join.OWNER)
+    table["c"], table["kind"], table["need"] = r.integers(0, 1 << 62, 4000), 14, 30
+    spots = r.integers(0, 80, len(owners))
+    cut = list(ngram_join._blobs(tokens, owners, spots, table, 8))
+    assert sum(len(b) for _, b in cut) < 9 * len(tokens)
+    got = np.concatenate([ngram_join._unpack(b, p) for _, b in cut for p in range(ngram_join.PARTS)])
+    assert sorted(zip(got["token"].tolist(), got["c"].tolist())) == sorted(zip(tokens.tolist(), table["c"][owners].tolist()))

@@ -2,7 +2,7 @@
 
 Tasks make the signatures of their texts (``signatures``), sort them and cut them into blocks by
 range, so what is shuffled are compressed arrays and not rows.  A block keeps the signatures that
-several sets have; it streams, and holds one entry for each distinct signature.  Most sets have
+several sets have; its parts stream one by one, and hold one entry for each distinct signature.  Most sets have
 no partner: what their places without a common signature must differ by exceeds what a partner
 may differ by.  They go, signatures that they alone shared go with them, and of the rest each set
 keeps only those without which its allowance would be exceeded, rarest first.  That is exact: of
@@ -23,6 +23,7 @@ known by 63-bit hashes of shingles and texts.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchframe.llm import near_dedup
-from watchframe.llm.common import batches, bitmap, discard, in_bitmap, texts, unused, written
+from watchframe.llm.common import batches, bitmap, discard, in_bitmap, sorted_out, texts, unused, written
 from watchframe.llm.components import components
 from watchframe.llm.near_dedup import set_key, shingle_sets
 from watchframe.llm.signatures import signatures
 from watchframe.llm.words import WordHashes
 
-#: Bytes of text that a task turns into signatures at once, and bytes of text to a block of signatures.
+#: Bytes of text that a task turns into signatures at once, and bytes of text to a part of a block of signatures.
 CHUNK, BLOCK = 4 << 20, 8 << 20
+#: Parts of a block.  They share its tables of owners and are taken one after the other, so more parts shuffle less in the
+#: same memory; a block waits compressed, beyond so many bytes in a file of the task.
+PARTS, WAITING = 4, 64 << 20
 #: Blocks that one shuffle cuts at most; more are cut in two steps, so arrays stay long.
 CUTS = 4096
 #: Signatures that a block takes in at once, and that the second step gathers before it cuts.
@@ -50,43 +54,68 @@ ENTRY = np.dtype([("token", "<u8"), ("c", "<i8"), ("kind", "<i4"), ("need", "<i4
 BLOB = "block int, blob binary, doc_id array<bigint>, n array<bigint>, c array<bigint>"
 FOUND = "doc_id bigint, n bigint, c bigint, token bigint, kind int, need int, place int, cost int"
 ROUNDS = 1
+#: Bits of a signature that are shuffled: 44, as two that only look equal make a candidate and no link.
+KEPT_BITS = np.uint64((1 << 64) - (1 << 20))
 
 
-def _pack(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray) -> bytes:
-    """Sorted tokens as differences, owners as numbers in the table of those that occur; bytes by place for the codec."""
-    some, number = np.unique(owners, return_inverse=True)
-    head = np.array([len(tokens), len(some)], "<i8")
-    columns = (np.diff(tokens, prepend=np.uint64(0)), number.astype("<u4"), spots.astype("<u4"))
-    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
-    raw = b"".join([head.tobytes(), *planes, table[some].tobytes()])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    n, owners = np.frombuffer(raw, "<i8", 2).tolist()
-    at, columns = 16, []
-    for kind in ("<u8", "<u4", "<u4"):
-        width = np.dtype(kind).itemsize
-        columns.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind)[:, 0])
+def _planes(columns: list[np.ndarray]) -> bytes:
+    return b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+
+
+def _columns(raw: bytes, kinds: list) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).reshape(n))
         at += n * width
-    table = np.frombuffer(raw, OWNER, owners, at)[columns[1]]
-    out = np.empty(n, ENTRY)
-    out["token"], out["place"], out["cost"] = np.cumsum(columns[0], dtype=np.uint64), columns[2] >> 1, (columns[2] & 1) + 1
-    for name in OWNER.names:
-        out[name] = table[name]
+    return out
+
+
+def _pack(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray, ends: list[int] | None = None) -> bytes:
+    """The table of the owners that occur, then the entries up to each of ``ends``: tokens, owners as steps in the table, and spots.
+
+    Bytes lie by place for the codec, and each piece is compressed on its own.
+    """
+    some, number = np.unique(owners, return_inverse=True)
+    pieces, start = [_planes([table[name][some] for name in OWNER.names])], 0
+    for end in ends or [len(tokens)]:
+        steps = np.diff(number[start:end].astype("<u4"), prepend=np.uint32(0))  # modulo 2**32
+        pieces.append(_planes([tokens[start:end], steps, spots[start:end].astype("<u4")]))
+        start = end
+    packed = [pa.compress(p, "zstd", asbytes=True) if p else b"" for p in pieces]
+    return b"".join([np.array([len(packed), *map(len, pieces), *map(len, packed)], "<i8").tobytes(), *packed])
+
+
+def _unpack(blob: bytes, part: int = 0) -> np.ndarray:
+    """The entries of one part."""
+    count = int(np.frombuffer(blob, "<i8", 1)[0])
+    raw, packed = np.frombuffer(blob, "<i8", 2 * count, 8).reshape(2, count).tolist()
+
+    def piece(i):
+        at = 8 + 16 * count + sum(packed[:i])
+        return pa.decompress(blob[at:at + packed[i]], raw[i], "zstd", asbytes=True) if raw[i] else b""
+
+    tokens, steps, spots = _columns(piece(part + 1), ["<u8", "<u4", "<u4"])
+    out = np.empty(len(tokens), ENTRY)
+    if len(tokens):
+        number = np.cumsum(steps, dtype=np.uint32)
+        out["token"], out["place"], out["cost"] = tokens, spots >> 1, (spots & 1) + 1
+        for name, column in zip(OWNER.names, _columns(piece(0), [OWNER[x] for x in OWNER.names]), strict=True):
+            out[name] = column[number]
     return out
 
 
 def _blobs(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """The signatures of each of ``blocks`` equal ranges of tokens that has any."""
-    order = np.argsort(tokens)
-    tokens, owners, spots = tokens[order], owners[order], spots[order]
-    block = (((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+    """The signatures of each of ``blocks`` equal ranges of tokens that has any, those of an owner side by side."""
+    fine = (((tokens >> np.uint64(32)) * np.uint64(blocks * PARTS)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(fine * len(table) + owners)
+    tokens, owners, spots, fine = tokens[order], owners[order], spots[order], fine[order]
+    block = fine // PARTS
     first = np.flatnonzero(np.diff(block, prepend=-1))
     ends = np.append(first[1:], len(tokens))[:len(first)]
     for b, start, end in zip(block[first].tolist(), first.tolist(), ends.tolist(), strict=True):
-        yield b, _pack(tokens[start:end], owners[start:end], spots[start:end], table)
+        cuts = np.searchsorted(fine[start:end], b * PARTS + np.arange(1, PARTS + 1)).tolist()
+        yield b, _pack(tokens[start:end], owners[start:end], spots[start:end], table, cuts)
 
 
 def _emit(words: int, percent: int, blocks: int):
@@ -104,7 +133,7 @@ def _emit(words: int, percent: int, blocks: int):
             table["c"], table["need"] = keys[linked][owner["set"]], owner["need"]
             table["kind"] = owner["band"] * 2 + owner["level"]
             spots = made["place"] << 1 | made["cost"] - 1
-            parts = dict(_blobs(made["token"], made["owner"], spots, table, blocks))
+            parts = dict(_blobs(made["token"] & KEPT_BITS, made["owner"], spots, table, blocks))
             rows = np.array_split(np.arange(len(sets)), blocks)
             some = [b for b in range(blocks) if b in parts or len(rows[b])]
             column = lambda x: pa.array([x.take(pa.array(rows[b])) for b in some], pa.list_(pa.int64()))  # noqa: B023, E731
@@ -133,8 +162,9 @@ def _recut(blocks: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]],
                                              ["block", "blob", "doc_id", "n", "c"])
             for blob in batch.column(1).drop_null():
-                parts.append(_unpack(blob.as_py()))
-                size += len(parts[-1])
+                packed = blob.as_py()
+                parts += [_unpack(packed, p) for p in range(PARTS)]
+                size += sum(map(len, parts[-PARTS:]))
                 if size > GATHERED:
                     yield cut(parts)
                     parts, size = [], 0
@@ -173,36 +203,48 @@ def _repeated(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()),
                         ("need", pa.int32()), ("place", pa.int32()), ("cost", pa.int32())])
 
-    def entries(parts):
-        found = block.add(parts)
+    def entries(found):
         return pa.RecordBatch.from_arrays(
             [pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found["c"]), pa.array(found["token"].view(np.int64)),
              *(pa.array(found[x]) for x in ("kind", "need", "place", "cost"))], schema=fields)
 
-    now, block, parts, size = None, _Repeated(), [], 0
+    def of_block(waiting, sizes):
+        for p in range(PARTS):
+            waiting.seek(0)
+            block, parts, size = _Repeated(), [], 0
+            for length in sizes:
+                parts.append(_unpack(waiting.read(length), p))
+                size += len(parts[-1])
+                if size > TAKEN:
+                    yield entries(block.add(parts))
+                    parts, size = [], 0
+            if size:
+                yield entries(block.add(parts))
+        waiting.close()
+
+    now, waiting, lengths = None, None, []
     for batch in stream:
         sizes = [batch.column(i).flatten() for i in (2, 3, 4)]
         yield pa.RecordBatch.from_arrays([*sizes, *(pa.nulls(len(sizes[0]), t) for t in fields.types[3:])], schema=fields)
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if not blob.is_valid:
                 continue
-            if b != now or size > TAKEN:
-                if parts:
-                    yield entries(parts)
-                parts, size = [], 0
-                if b != now:
-                    now, block = b, _Repeated()
-            parts.append(_unpack(blob.as_py()))
-            size += len(parts[-1])
-    if parts:
-        yield entries(parts)
+            if b != now:
+                if lengths:
+                    yield from of_block(waiting, lengths)
+                now, waiting, lengths = b, tempfile.SpooledTemporaryFile(WAITING), []
+            lengths.append(waiting.write(blob.as_py()))
+    if lengths:
+        yield from of_block(waiting, lengths)
 
 
 def _surviving(entries: DataFrame) -> DataFrame:
     """The entries of sets whose common places can cost what a partner needs, with the number of sets that have the token."""
-    places = entries.groupBy("c", "kind", "place").agg(F.max("cost").alias("cost"), F.first("need").alias("need"))
-    alive = places.groupBy("c", "kind").agg(F.sum("cost").alias("costs"), F.first("need").alias("need")).where("costs >= need").drop("costs")
-    left = written(entries.drop("need", "m").join(alive, ["c", "kind"]), "alive")
+    own = Window.partitionBy("c", "kind")
+    first = F.row_number().over(Window.partitionBy("c", "kind", "place").orderBy("token")) == 1
+    rows = entries.drop("m").repartition("c").distinct()  # a set is in one task, so that one shuffle does for all
+    rows = rows.withColumn("counts", F.when(first, F.col("cost")).otherwise(0)).withColumn("costs", F.sum("counts").over(own))
+    left = written(rows.where("costs >= need").drop("counts", "costs"), "alive")
     tokens = left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     out = written(left.join(tokens, "token"), "surviving")
     discard(left)
@@ -218,7 +260,7 @@ def _kept(entries: DataFrame) -> DataFrame:
     own = Window.partitionBy("c", "kind")
     last = F.row_number().over(Window.partitionBy("c", "kind", "place").orderBy(F.desc("m"), F.desc("token"))) == 1
     before = own.orderBy("m", "token").rowsBetween(Window.unboundedPreceding, -1)
-    rows = entries.withColumn("closes", F.when(last, F.col("cost")).otherwise(0))
+    rows = entries.repartition("c").withColumn("closes", F.when(last, F.col("cost")).otherwise(0))
     rows = rows.withColumns({"costs": F.sum("closes").over(own), "rarer": F.coalesce(F.sum("closes").over(before), F.lit(0))})
     return rows.where("costs - rarer >= need").select("token", "c")
 
@@ -246,6 +288,8 @@ def _full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb and common of pairs of classes, on full sets."""
     both = F.size(F.array_intersect("ia", "ib"))
+    # only sets of a pair are shuffled
+    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
     counted = pairs.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b").select(
         "a", "b", F.size("ia").cast("long").alias("na"), F.size("ib").cast("long").alias("nb"), both.cast("long").alias("common"))
     return written(counted, "counted")
@@ -255,7 +299,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str
     """One row per row: doc_id, n_shingles, component_id, class_id (smallest id with the same set)."""
     rows = texts(docs, text=text, id=id)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(16, -(-size // BLOCK))
+    blocks = max(16, -(-size // (BLOCK * PARTS)))
     coarse = -(-blocks // CUTS)
     made = rows.mapInArrow(_emit(words, percent, blocks if coarse == 1 else coarse), BLOB)
     if coarse > 1:
@@ -265,12 +309,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str
     sized = made.where("token IS NULL").select("doc_id", "n", "c")
     named = sized.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-    entries = made.where("token IS NOT NULL").select("token", "c", "kind", "place", "cost", "need").distinct()
+    entries = made.where("token IS NOT NULL").select("token", "c", "kind", "place", "cost", "need")
     for _ in range(ROUNDS):
         entries = _surviving(entries)
-    kept = written(_kept(entries), "kept")
+    kept = written(_kept(entries).join(classes.select("c", "n"), "c"), "kept")
+    discard(entries)
     lists = kept.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("m > 1")
-    kept = written(kept.join(lists, "token").join(classes.select("c", "n"), "c"), "listed")
+    kept = written(kept.join(lists, "token"), "listed")
     sets = _full_sets(rows, written(kept.select("c").distinct().join(classes, "c"), "needed"), words)
 
     # an id that repeats with another text stands for both
@@ -292,7 +337,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str
     if not pairs.isEmpty():
         links = links.unionByName(_counted(pairs, sets).where(similar).select("a", "b"))
         comp = components(links)
-    discard(kept, families, sets, entries)
+    discard(kept, families, sets)
     return near_dedup._members(sized, classes, comp).drop("kept")
 
 
@@ -304,4 +349,6 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     groups = jaccard_groups(docs, words, percent, text, id)
     gone = unused(docs, "_gone")
     drop = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct(), "drop")
-    return docs.join(drop, F.col(f"`{id}`").cast("long") == F.col(gone), "left_anti")
+    key = F.col(f"`{id}`").cast("long")
+    maybe, left = sorted_out(docs, key, drop, gone)  # no text of a row that stays is shuffled
+    return left.union(maybe.join(drop, key == F.col(gone), "left_anti"))

@@ -621,3 +621,65 @@ def test_sets_without_enough_common_values_make_no_entries(spark):
     assert {r.c for r in entries.select("c").distinct().collect()} == {r.c for r in sketched.where("doc_id >= 100").collect()}
     got = sorted(tuple(r)[:3] for r in near_dedup.near_groups(docs, words=2).collect())
     assert got == near_brute(rows, 2)
+
+
+def test_strays_of_a_list_make_a_row_a_family(spark, monkeypatch):
+    """A few texts beside a large family of near copies: rows by families of a list, not by its members; links are found."""
+    r = random.Random(4)
+    fresh = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    base, rows = fresh(100), []
+    for _ in range(120):  # a family in many components
+        copy = list(base)
+        for at in r.sample(range(100), r.choice([4, 16, 22])):
+            copy[at:at + 1] = fresh(1)
+        rows.append((len(rows), " ".join(copy)))
+    for _ in range(8):  # strays that share half a text, and a near copy of each second one
+        text = base[20:70] + fresh(20)
+        rows.append((len(rows), " ".join(text)))
+        if len(rows) % 2:
+            rows.append((len(rows), " ".join(text[:-1] + fresh(1))))
+    made, across = [], near_dedup._across
+
+    def counted(*a):
+        out = across(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", counted)
+    got = sorted(tuple(x)[:3] for x in near_dedup.near_groups(docs_of(spark, rows).repartition(4), words=2).collect())
+    assert got == near_brute(rows, 2)
+    assert made and made[0] <= 8 * 20
+
+
+def test_guests_are_compared_with_the_members_of_a_family(spark):
+    """A guest of two families is linked with what it is similar to in either; guests are no part of a core."""
+    sets = {c: list(range(100)) for c in range(1, 6)} | {6: list(range(70)) + list(range(200, 230))}
+    sets |= {c: list(range(1000, 1100)) for c in (11, 12)}
+    for c in (2, 3, 4, 5, 12):
+        sets[c] = sets[c][:-2] + [10_000 + c, 20_000 + c]
+    sets[21] = list(range(70)) + list(range(200, 225)) + list(range(3000, 3005))  # like 6 only
+    sets[22] = list(range(1000, 1095)) + list(range(3000, 3005))  # like 11 and 12
+    sets[23] = list(range(60)) + list(range(4000, 4040))  # like none
+    table = spark.createDataFrame(list(sets.items()), "c long, items array<long>")
+    families = spark.createDataFrame([(c, 1) for c in range(1, 7)] + [(11, 11), (12, 11)], "c long, leader long")
+    links = spark.createDataFrame([(1, c) for c in (2, 3, 4, 5)] + [(11, 12)], "a long, b long")
+    guests = spark.createDataFrame([(g, f) for g in (21, 22, 23) for f in (1, 11)], "c long, leader long")
+    found = {frozenset(x) for x in near_dedup._family_links(families, table, links, 80, guests).collect()}
+    similar = {frozenset((a, b)) for a in sets for b in sets if a < b
+               and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert found <= similar
+    linked = lambda pairs: {frozenset(x) for x in groups_of(sets, pairs)}
+    assert linked(found | {frozenset(tuple(x)) for x in links.collect()}) == linked(similar)
+
+
+def groups_of(nodes, pairs):
+    root = {c: c for c in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(tuple, pairs):
+        root[find(a)] = find(b)
+    return [[c for c in nodes if find(c) == top] for top in {find(c) for c in nodes}]

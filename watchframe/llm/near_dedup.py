@@ -20,8 +20,10 @@ core: core values it misses and other values it has.  The overlap of two members
 the numbers of their differences and those they share.  Whoever is similar to a member without
 sharing differences is similar to the member nearest to the core, so one pair each finds these;
 all others share a certain number, and are found by lists of the rarest differences and
-checked on the differences, which is exact.  Pairs of different families are counted over the
-lists of retained values, need r of them, and are estimated and verified like the first.
+checked on the differences, which is exact.  Across families, a member of a list is a guest of
+the larger families in it, one row a family however many members it has; guests that share r
+lists with a family are compared inside it like its members.  Pairs of sets in no family are
+estimated and verified like the first.
 Nothing is cut off: a list of any length is shuffled by value, and adaptive execution splits it.
 
 Words are split at ASCII white space after A-Z are lower-cased.  A text with fewer words than
@@ -151,11 +153,11 @@ def spark_hash(values: np.ndarray) -> np.ndarray:
 
 
 def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k: int, percent: int,
-          loose: bool = False) -> tuple[DataFrame, DataFrame]:
+          loose: bool = False, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, na, nb, common) that the union sketch holds likely, counted on the full sets; and those sets.
 
     Pairs of sets kept whole in their sketches are likely only if they are similar.  ``loose`` takes
-    pairs of half the similarity as well, which makes families wide.
+    pairs of half the similarity as well, which makes families wide.  The sets of ``also`` (c) come with the others.
     """
     spark = pairs.sparkSession
     paired, _ = sorted_out(classes, F.col("c"), pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c")
@@ -169,7 +171,8 @@ def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     exact = F.size(F.array_intersect("sa", "sb")) * 100 >= percent * F.size(F.array_union("sa", "sb"))
     likely = written(pairs.join(left, "a").join(right, "b").where(F.when(whole, exact).otherwise(both >= low * F.size(union)))
                      .select("a", "b", "na", "nb"), "likely")
-    ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
+    ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c")))
+    ends = (ends if also is None else ends.unionByName(also)).distinct()
     needed = written(ends.join(classes.select("c", "doc_id"), "c"), "needed")
     bits = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
 
@@ -228,14 +231,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
     families = written(families.unionByName(leaders), "families")
     discard(pairs)
 
-    links = links.unionByName(_family_links(families, sets, links, percent))
-    comp = components(links)
-    pairs = written(_list_pairs(entries, families, comp, percent), "list-pairs")
-    if not pairs.isEmpty():
-        near, _ = _near(pairs, classes, rows, words, k, percent)
+    across = written(_across(entries, families, components(links), percent), "across")
+    pairs = across.where("size = 1").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
+    guests, every = across.where("size > 1").select("c", "leader"), sets
+    if not across.isEmpty():
+        alone = guests.select("c").distinct().join(families, "c", "left_anti")
+        near, more = _near(pairs, classes, rows, words, k, percent, also=alone)
         links = links.unionByName(near.where(similar).select("a", "b"))
-        comp = components(links)
-    discard(entries, families, sets)
+        every = sets.unionByName(more)
+    links = links.unionByName(_family_links(families, every, links, percent, guests))
+    comp = components(links)
+    discard(entries, families, sets, across)
     return _members(sketched.select("doc_id", "n", "c"), classes, comp)
 
 
@@ -258,23 +264,29 @@ def _other(rows: DataFrame, key: list[str]) -> DataFrame:
 ACROSS = "component != component_b AND (component_b = main OR c < c_b)"
 
 
-def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percent: int,
+                  guests: DataFrame | None = None) -> DataFrame:
     """Links (a, b) across components within families, by the members' differences from the core.
 
+    ``guests`` (c, leader) are compared with the members of families they are not in; they are no part of the core.
+
     With M core values missed, O others had, and c core values, two members that share s
     differences overlap in c - M - M' + s; they are similar if (100 + p) s >= W + W' - (100 - p) c,
     where W = 100 M + p O.  First all are compared with the member of the least W; what is similar
     to any without sharing differences is similar to that one.
     """
-    rest = written(_contested(_with_component(families, components(links)), ["leader"], "family").join(sets, "c"), "family-sets")
-    size = rest.groupBy("leader").agg(F.count("*").alias("size"))
-    counts = rest.select("leader", F.explode("items").alias("value")).groupBy("leader", "value").agg(F.count("*").alias("m"))
+    members = families.withColumn("guest", F.lit(False))
+    if guests is not None:
+        members = members.unionByName(guests.withColumn("guest", F.lit(True)))
+    rest = written(_contested(_with_component(members, components(links)), ["leader"], "family").join(sets, "c"), "family-sets")
+    size = rest.where("NOT guest").groupBy("leader").agg(F.count("*").alias("size"))
+    counts = rest.where("NOT guest").select("leader", F.explode("items").alias("value")).groupBy("leader", "value").agg(F.count("*").alias("m"))
     core = written(counts.join(size, "leader").where("2 * m >= size").groupBy("leader").agg(F.collect_list("value").alias("core")), "cores")
     none = F.array().cast("array<bigint>")
     missed, had = F.array_except("core", "items"), F.array_except("items", "core")
     cut = (rest.join(core, "leader", "left").withColumn("core", F.coalesce("core", none))
            .withColumns({"missed": missed, "had": had}).withColumn("w", F.size("missed") * 100 + F.size("had") * percent)
-           .select("leader", "c", "component", "main", "w", F.size("core").alias("core"), F.concat("missed", "had").alias("diff")))
+           .select("leader", "c", "guest", "component", "main", "w", F.size("core").alias("core"), F.concat("missed", "had").alias("diff")))
     cut = written(cut, "differences")
     discard(rest)
     near = written(cut.groupBy("leader").agg(F.min("w").alias("w_b"), F.min_by(F.struct("c", "diff"), F.struct("w", "c")).alias("nearest")), "nearest")
@@ -292,24 +304,48 @@ def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percen
     partner = F.when(minor, F.col("w_all")).otherwise(F.col("w_minor"))
     t = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - (100 - percent) * F.col("core")) / (100 + percent)))
     each = (joined.withColumn("t", t).where("size(diff) >= t")
-            .select("leader", "c", "component", "w", "core", "t", F.size("diff").alias("k"), F.explode("diff").alias("value")))
+            .select("leader", "c", "guest", "component", "w", "core", "t", F.size("diff").alias("k"), F.explode("diff").alias("value")))
     each = written(each, "differing")
     many = written(each.groupBy("leader", "value").agg(F.count("*").alias("m")).where("m > 1"), "shared-differences")
-    own = Window.partitionBy("c")
+    own = Window.partitionBy("leader", "c")
     some = (each.join(many, ["leader", "value"])
             .withColumns({"single": F.col("k") - F.count("*").over(own), "place": F.row_number().over(own.orderBy("m", "value"))})
-            .where("place <= k - t + 1 - single").select("leader", "value", "c", "component", "w", "core", (F.col("k") - F.col("single")).alias("many")))
+            .where("place <= k - t + 1 - single").select("leader", "value", "c", "guest", "component", "w", "core", (F.col("k") - F.col("single")).alias("many")))
     some = _contested(written(some, "rarest"), ["leader", "value"], "differences")
     pairs = (some.where("component != main").join(_other(some, ["leader", "value"]), ["leader", "value"])
-             .where(F.expr(f"{ACROSS} AND least(many, many_b) * {100 + percent} >= w + w_b - {100 - percent} * core"))
-             .select("c", "c_b").distinct())
-    ends = cut.select("c", "w", "core", "diff")
-    both = written(pairs, "family-pairs").join(ends, "c").join(ends.select(F.col("c").alias("c_b"), F.col("w").alias("w_b"), F.col("diff").alias("diff_b")), "c_b")
+             .where(F.expr(f"{ACROSS} AND NOT (guest AND guest_b) AND least(many, many_b) * {100 + percent} >= w + w_b - {100 - percent} * core"))
+             .select("leader", "c", "c_b").distinct())
+    ends = cut.select("leader", "c", "w", "core", "diff")
+    others = ends.select("leader", F.col("c").alias("c_b"), F.col("w").alias("w_b"), F.col("diff").alias("diff_b"))
+    both = written(pairs, "family-pairs").join(ends, ["leader", "c"]).join(others, ["leader", "c_b"])
     found = written(direct.unionByName(both.where(enough).select(F.col("c").alias("a"), F.col("c_b").alias("b"))), "family-links")
     discard(direct, each, many)
     return found
 
 
+def _across(entries: DataFrame, families: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """c, leader and size of the larger families (a set in none is one of size 1) that c shares enough lists with.
+
+    A list makes a row for each member and larger family, not for each pair of members.  What a family has
+    in a list is known by the extremes of its members there; a family that is joined to c, or none of whose sizes
+    there can be similar, does not count.
+    """
+    sized = families.join(families.groupBy("leader").agg(F.count("*").alias("size")), "leader")
+    marked = _with_component(entries.select("value", "c", "n", "r"), comp).withColumnRenamed("component", "joined").join(sized, "c", "left")
+    marked = written(marked.withColumns({"leader": F.coalesce("leader", "c"), "size": F.coalesce("size", F.lit(1))}), "marked")
+    groups = written(marked.groupBy("value", "leader").agg(
+        F.first("size").alias("size"), F.min("r").alias("r_b"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("joined").alias("low"), F.max("joined").alias("high")), "list-families")
+    several = groups.groupBy("value").agg(F.max_by("leader", F.struct("size", "leader")).alias("top"), F.count("*").alias("parts"))
+    several = written(several.where("parts > 1").drop("parts"), "several-lists")
+    rest = marked.join(several, "value").where("leader != top").select("value", "c", "n", "r", "joined", F.col("leader").alias("own"), F.col("size").alias("own_size"))
+    found = written(rest, "rest-lists").join(groups, "value").where(F.expr(
+        "(size > own_size OR size = own_size AND leader > own) AND NOT (low = joined AND high = joined) "
+        f"AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least"))
+    return (found.groupBy("c", "leader").agg(F.count("*").alias("shared"), F.min(F.least("r", "r_b")).alias("r"), F.first("size").alias("size"))
+            .where("shared >= r").select("c", "leader", "size"))
+
+
 def _list_pairs(entries: DataFrame, families: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs across components and families that share enough lists, of sizes that can be similar.
 

@@ -683,3 +683,26 @@ def groups_of(nodes, pairs):
     for a, b in map(tuple, pairs):
         root[find(a)] = find(b)
     return [[c for c in nodes if find(c) == top] for top in {find(c) for c in nodes}]
+
+
+def test_entries_are_chosen_without_a_shuffle(spark):
+    """Tasks order their sketches alone, by one order for all, so similar sets share enough entries."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(40):
+        base = [r.choice(vocabulary) for _ in range(r.choice([4, 12, 40, 90]))]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(w if r.random() > 0.03 else r.choice(vocabulary) for w in base)))
+    sketched = near_dedup.sketches(near_dedup.texts(docs_of(spark, rows).repartition(5)), 2).dropDuplicates(["c"])
+    sketched = common.written(sketched, "sketched")
+    entries = near_dedup._entries(sketched, near_dedup.K, 80)
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+    of, least = {}, {}
+    for e in entries.collect():
+        of.setdefault(e.c, set()).add(e.value)
+        least[e.c] = e.r
+    sets = {x.c: {*x.sketch} for x in sketched.collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 10 and max(map(len, sets.values())) <= near_dedup.K
+    assert all(len(of[a] & of[b]) >= min(least[a], least[b]) for a, b in pairs)

@@ -6,8 +6,10 @@ its sketch.  Documents with the same set form a class, and only classes are comp
 Inverted lists.  Two sets with a similarity of t share at least s of their retained values
 (all of ceil(t n) for sets kept whole; for larger ones a number missed with a probability
 below 1e-5 a pair).  So at least r of them are among the rarest ``size - s + r`` of each
-sketch, in any one order.  The order is by the number of classes that retain a value, counted
-exactly; values that one class retains need no list, and values of common passages stay out.
+sketch, in any one order.  The order is by the number of classes that retain a value, in the
+steps of ``STEPS``, then by value.  Bitmaps tell the step, so a task orders its sketches alone and
+only the rarest are shuffled; a value that a bitmap takes for a more frequent one is so for all
+classes.  Values that one class retains need no list, and values of common passages stay out.
 
 Overlaps.  Every list first names two leaders: members that share r lists with one are estimated
 on the union sketch, then verified on the full sets, and joined into components, so a group of
@@ -39,7 +41,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchframe.llm.common import batches, bitmap, discard, in_bitmap, sorted_out, texts, unused, written
@@ -47,6 +49,8 @@ from watchframe.llm.components import components
 from watchframe.llm.words import WordHashes, bounds, windows
 
 K, SIGMAS, OVERLAP = 96, 4.5, 4
+#: Numbers of classes that retain a value from which on it counts as more frequent.
+STEPS = (2, 4, 16, 128)
 
 
 def shingle_sets(values: list[bytes], words: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -95,12 +99,6 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, c bigint, sketch array<bigint>")
 
 
-def _required(n: str, k: int, percent: int) -> tuple[Column, Column]:
-    """s and r of a set of n shingles: shared retained values, and those among the rarest."""
-    s = F.least(F.ceil(F.col(n) * percent / 100), F.lit(sampled_share(k, percent)))
-    return s, F.least(s, F.lit(OVERLAP))
-
-
 def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The inverted entries (value, c, n, r) of the rarest retained values of each class, single ones left out.
 
@@ -114,30 +112,33 @@ def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
 
     counts = written(classes.select("sketch").mapInArrow(values, "value bigint").groupBy("value")
                      .agg(F.count("*").alias("m")).where("m > 1"), "counts")
-    bits = spark.sparkContext.broadcast(bitmap(counts.select(F.xxhash64("value").alias("h")), "h"))  # 8 MB
+    steps = [spark.sparkContext.broadcast(bitmap(counts.where(F.col("m") >= m).select(F.xxhash64("value").alias("h")), "h"))
+             for m in STEPS]  # 8 MB each
+    discard(counts)
     share = sampled_share(k, percent)
 
     def listed(stream):
-        found = np.frombuffer(bits.value, np.uint8)
+        bitmaps = [np.frombuffer(b.value, np.uint8) for b in steps]
         for batch in stream:
-            v, sizes = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
-            keep = in_bitmap(found, spark_hash(v))
-            # whoever shares fewer values than any partner must have has none
-            several = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
-            n = batch.column(1).to_numpy()
-            keep &= np.repeat(np.diff(several) >= np.minimum(-(-n * percent // 100), share), sizes)
-            column = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), sizes)[keep])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), column(0), column(1)], ["value", "c", "n"])
-
-    rows = classes.select("c", "n", "sketch").mapInArrow(listed, "value bigint, c bigint, n bigint")
-    rows = rows.join(counts, "value")
-    own = Window.partitionBy("c")  # at most k rows
-    s, r = _required("n", k, percent)
-    size = F.least(F.col("n"), F.lit(k))
-    single = size - F.count("*").over(own)
-    place = F.row_number().over(own.orderBy("m", "value"))
-    return (rows.withColumn("r", r).withColumns({"left": size - s + F.col("r") - single, "place": place})
-            .where("place <= left AND left >= r").select("value", "c", "n", "r"))
+            c, n, sketch = batch.columns
+            v, ends = sketch.flatten().to_numpy(), sketch.offsets.to_numpy()
+            size, n = np.diff(ends), n.to_numpy()
+            step, some, h = np.zeros(len(v), np.int64), np.arange(len(v)), spark_hash(v)
+            for bits in bitmaps:
+                some = some[in_bitmap(bits, h[some])]
+                step[some] += 1
+            s = np.minimum(-(-n * percent // 100), share)
+            r = np.minimum(s, OVERLAP)
+            row = np.repeat(np.arange(len(n)), size)
+            order = np.lexsort((v, step, row))
+            place = np.arange(len(v)) - (ends[:-1] - ends[0])[row]
+            # single values come first and make no entries; whoever shares fewer values than any partner must have has none
+            single = np.bincount(row, step == 0, len(n))
+            keep = (place < (size - s + r)[row]) & (step[order] > 0) & (size - single >= s)[row]
+            column = lambda x: pa.array(np.repeat(x, size)[keep])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(v[order][keep]), column(c.to_numpy()), column(n), column(r)], ["value", "c", "n", "r"])
+
+    return classes.select("c", "n", "sketch").mapInArrow(listed, "value bigint, c bigint, n bigint, r bigint")
 
 
 def spark_hash(values: np.ndarray) -> np.ndarray:
@@ -174,21 +175,21 @@ def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c")))
     ends = (ends if also is None else ends.unionByName(also)).distinct()
     needed = written(ends.join(classes.select("c", "doc_id"), "c"), "needed")
-    bits = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
+    bits, keys = (spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64(x).alias("h")), "h")) for x in ("doc_id", "c"))  # 8 MB each
 
     def sets(stream):
-        found, hashes = np.frombuffer(bits.value, np.uint8), WordHashes()
+        found, wanted, hashes = np.frombuffer(bits.value, np.uint8), np.frombuffer(keys.value, np.uint8), WordHashes()
         for batch in stream:
             batch = batch.filter(pa.array(in_bitmap(found, batch.column(2).to_numpy())))
             for part, values in batches([batch]):
                 made = shingle_sets(values, words, hashes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in made], pa.int64()), _lists(made)],
-                                                 ["doc_id", "c", "items"])
+                c = np.array([set_key(s) for s in made], np.int64)
+                some = np.flatnonzero(in_bitmap(wanted, spark_hash(c)))
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]), _lists([made[i] for i in some.tolist()])], ["c", "items"])
 
-    full = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(
-        sets, "doc_id bigint, c bigint, items array<bigint>")
-    # a repeated row gives its set again, which only makes more candidates
-    full = written(full.join(needed, ["doc_id", "c"], "left_semi").drop("doc_id"), "sets")
+    # a repeated row gives its set again, which only makes more candidates, and a set that bitmaps let through meets no pair
+    full = written(docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(
+        sets, "c bigint, items array<bigint>"), "sets")
     sa, sb = full.toDF("a", "ia"), full.toDF("b", "ib")
     counted = likely.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("common"))
     counted = written(counted, "near")
@@ -278,7 +279,9 @@ def _family_links(families: DataFrame, sets: DataFrame, links: DataFrame, percen
     members = families.withColumn("guest", F.lit(False))
     if guests is not None:
         members = members.unionByName(guests.withColumn("guest", F.lit(True)))
-    rest = written(_contested(_with_component(members, components(links)), ["leader"], "family").join(sets, "c"), "family-sets")
+    rest = _contested(_with_component(members, components(links)), ["leader"], "family")
+    contested, _ = sorted_out(sets, F.col("c"), rest.select("c"), "c")  # the sets of other families are not shuffled
+    rest = written(rest.join(contested, "c"), "family-sets")
     size = rest.where("NOT guest").groupBy("leader").agg(F.count("*").alias("size"))
     counts = rest.where("NOT guest").select("leader", F.explode("items").alias("value")).groupBy("leader", "value").agg(F.count("*").alias("m"))
     core = written(counts.join(size, "leader").where("2 * m >= size").groupBy("leader").agg(F.collect_list("value").alias("core")), "cores")

@@ -205,12 +205,15 @@ def _similar(overlap: str, a: str, b: str, percent: int) -> str:
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
     rows = texts(docs, text=text, id=id)
-    sketched = written(sketches(rows, words, k), "sketches")
-    named = sketched.where("n > 0 AND doc_id IS NOT NULL")
+    every = written(sketches(rows, words, k), "sketches")
+    sketched = written(every.select("doc_id", "n", "c"), "sizes")
+    named = every.where("n > 0 AND doc_id IS NOT NULL")
     repeated = written(named.groupBy("c").count().where("count > 1").select("c"), "repeated-sets")
     maybe, single = sorted_out(named, F.col("c"), repeated, "c")  # sketches of single sets stay where they are
     one = maybe.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(single.select(one.columns).union(one), "classes")
+    discard(every)  # sketches are kept once
+    named = sketched.where("n > 0 AND doc_id IS NOT NULL")
     all_entries = written(_entries(classes, k, percent), "entries")
     entries = all_entries
     lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.min("c").alias("first"), F.max("c").alias("last")).where("m > 1")
@@ -232,18 +235,20 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
     families = written(families.unionByName(leaders), "families")
     discard(pairs)
 
-    across = written(_across(entries, families, components(links), percent), "across")
+    across = _across(entries, families, components(links), percent)
     pairs = across.where("size = 1").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
-    guests, every = across.where("size > 1").select("c", "leader"), sets
+    guests, full = across.where("size > 1").select("c", "leader"), sets
     if not across.isEmpty():
         alone = guests.select("c").distinct().join(families, "c", "left_anti")
         near, more = _near(pairs, classes, rows, words, k, percent, also=alone)
         links = links.unionByName(near.where(similar).select("a", "b"))
-        every = sets.unionByName(more)
-    links = links.unionByName(_family_links(families, every, links, percent, guests))
+        full = sets.unionByName(more)
+    named = written(classes.select("c", "doc_id"), "class-ids")
+    discard(entries, classes)  # no sketch is read from here on
+    links = links.unionByName(_family_links(families, full, links, percent, guests))
     comp = components(links)
-    discard(entries, families, sets, across)
-    return _members(sketched.select("doc_id", "n", "c"), classes, comp)
+    discard(families, sets, across)
+    return _members(sketched, named, comp)
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -333,20 +338,29 @@ def _across(entries: DataFrame, families: DataFrame, comp: DataFrame, percent: i
     in a list is known by the extremes of its members there; a family that is joined to c, or none of whose sizes
     there can be similar, does not count.
     """
+    tables = []
+
+    def kept(rows, name):
+        tables.append(written(rows, name))
+        return tables[-1]
+
     sized = families.join(families.groupBy("leader").agg(F.count("*").alias("size")), "leader")
     marked = _with_component(entries.select("value", "c", "n", "r"), comp).withColumnRenamed("component", "joined").join(sized, "c", "left")
-    marked = written(marked.withColumns({"leader": F.coalesce("leader", "c"), "size": F.coalesce("size", F.lit(1))}), "marked")
-    groups = written(marked.groupBy("value", "leader").agg(
+    marked = kept(marked.withColumns({"leader": F.coalesce("leader", "c"), "size": F.coalesce("size", F.lit(1))}), "marked")
+    groups = kept(marked.groupBy("value", "leader").agg(
         F.first("size").alias("size"), F.min("r").alias("r_b"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.min("joined").alias("low"), F.max("joined").alias("high")), "list-families")
     several = groups.groupBy("value").agg(F.max_by("leader", F.struct("size", "leader")).alias("top"), F.count("*").alias("parts"))
-    several = written(several.where("parts > 1").drop("parts"), "several-lists")
+    several = kept(several.where("parts > 1").drop("parts"), "several-lists")
     rest = marked.join(several, "value").where("leader != top").select("value", "c", "n", "r", "joined", F.col("leader").alias("own"), F.col("size").alias("own_size"))
-    found = written(rest, "rest-lists").join(groups, "value").where(F.expr(
+    found = kept(rest, "rest-lists").join(groups, "value").where(F.expr(
         "(size > own_size OR size = own_size AND leader > own) AND NOT (low = joined AND high = joined) "
         f"AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least"))
-    return (found.groupBy("c", "leader").agg(F.count("*").alias("shared"), F.min(F.least("r", "r_b")).alias("r"), F.first("size").alias("size"))
-            .where("shared >= r").select("c", "leader", "size"))
+    found = (found.groupBy("c", "leader").agg(F.count("*").alias("shared"), F.min(F.least("r", "r_b")).alias("r"), F.first("size").alias("size"))
+             .where("shared >= r").select("c", "leader", "size"))
+    found = written(found, "across")
+    discard(*tables)
+    return found
 
 
 def _list_pairs(entries: DataFrame, families: DataFrame, comp: DataFrame, percent: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -457,6 +458,24 @@ def test_nearest_examples_among_many_features_are_exact():
         assert s == pytest.approx(want[want > 0]) and every[e] == pytest.approx(s)
 
 
+def test_the_index_is_built_in_little_more_than_its_own_memory():
+    """A worker builds it beside another one and the JVM, so what building takes besides counts as much as the index."""
+    r = np.random.default_rng(6)
+    n, each = 4000, 300
+    f = np.sort(r.integers(0, 100_000, (n, each)) ** 2 // 100_000, axis=1)
+    counts = toxicity.Counts(np.full(n, each), f.ravel(), r.integers(1, 5, n * each))
+    state = toxicity.Packed(np.arange(n), r.integers(0, 2, n).astype(float), counts, r.random(100_000) + 0.1, 0.5, 10).__reduce__()
+    tracemalloc.start()
+    found = state[0](*state[1])
+    now, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most - now < 16e6  # 10 MB; 55 MB when all counts were taken out at once
+    plain = toxicity.Examples(*state[1][:2], counts, *state[1][4:])
+    assert (found.wide == plain.wide).all() and (found.listed == plain.listed).all() and (found.weight == plain.weight).all()
+    some = toxicity.Counts(counts.sizes[:50], counts.f[:50 * each], counts.n[:50 * each])
+    assert [e[0] for e, _ in found.nearest(some)] == list(range(50))
+
+
 def test_scores_are_the_votes_of_brute_force(spark):
     """Counts over several files, weights, neighbours and votes, worked out plainly."""
     rows, labels = labelled(spark, 240)

@@ -77,7 +77,8 @@ def give_back() -> None:
         trim(0)
 
 
-def _forget_other_stages() -> None:
+def new_stage() -> None:
+    """Drop what a Python worker kept for other stages; before a task loads what it needs itself."""
     context = TaskContext.get()
     stage = context.stageId() if context else None
     if stage != _kept_for[0]:
@@ -88,7 +89,7 @@ def _forget_other_stages() -> None:
 
 def kept(key: str, make: Callable):
     """An object that a Python worker keeps between its tasks of one stage; the next stage finds the memory free."""
-    _forget_other_stages()
+    new_stage()
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
@@ -97,7 +98,7 @@ def kept(key: str, make: Callable):
 def batches(stream: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 21,
             raw: bool = True) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches holding about ``size`` bytes of text, with the texts as bytes or str."""
-    _forget_other_stages()
+    new_stage()
     for batch in stream:
         if not batch.num_rows:
             continue

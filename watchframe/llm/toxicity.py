@@ -29,9 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.common import batches, block_sums, give_back, texts
+from watchframe.llm.common import batches, block_sums, give_back, new_stage, texts
 from watchframe.llm.labelled import held_out_flag, labelled_sample
-from watchframe.llm.words import ALNUM, PIECE, RunHashes
+from watchframe.llm.words import ALNUM, RunHashes
 
 #: Weight of features that do not go with a label, against 1 of those that do: words alone and this weight gave the
 #: least log loss among four kinds of features (with and without beginnings of words) and eight weights in three inner
@@ -43,11 +43,15 @@ KEPT = 51
 ROWS = 1 << (63 - KEPT)
 
 
+#: Bytes of text that are hashed, and that are scored at once.
+PIECE, SCORED = 1 << 18, 1 << 19
+
+
 class Words:
     """Hashes of the words of texts."""
 
     def __init__(self):
-        self.runs = RunHashes()
+        self.runs = RunHashes(PIECE)
 
     def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The row and hash of every word, in order."""
@@ -74,6 +78,16 @@ class Counts:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
+    def parts(self, size: int) -> Iterator[tuple[int, Counts]]:
+        """The number of the first text and the counts of some texts, with ``size`` counts or one text at the most."""
+        ends, at = np.cumsum(self.sizes), 0
+        while at < len(self.sizes):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            span = slice(before, int(ends[stop - 1]))
+            yield at, Counts(self.sizes[at:stop], self.f[span], self.n[span])
+            at = stop
+
     @classmethod
     def of(cls, texts: list[dict[int, int]]) -> Counts:
         pairs = [sorted(t.items()) for t in texts]
@@ -124,39 +138,53 @@ class Examples:
     """Unit TF-IDF vectors of the examples in a block-max index; exact nearest neighbours."""
 
     LONG, BLOCK, TEXTS, FIRST = 768, 128, 32, 2
+    #: Counts that are indexed at once; the rest of the memory is the index and the packed counts.
+    AT_ONCE = 1 << 17
+    #: Texts of a group whose short lists are read at once.
+    SOME = 8
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, other: float, k: int = 25):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts | PackedCounts, idf: np.ndarray, other: float, k: int = 25):
         """``idf``: weight of each feature of the examples, ``other`` that of every other one."""
         self.labels, self.idf, self.other, self.k = np.asarray(labels, float), idf, other, k
         self.ids = np.asarray(ids, np.int64)
         n = len(self.ids)
         lone = self.labels[counts.sizes == 0]
         self.share = float((lone.sum() + (self.labels.mean() if n else 0.5)) / (len(lone) + 1))
-        f, w = counts.f.astype(np.int32, copy=False), self._unit(counts, np.float32)
         # the longest lists are cut at the blocks; similar examples stand together, by their heaviest long features
-        held = np.bincount(f, minlength=len(idf))
+        held = np.zeros(len(idf), np.int64)
+        for _, part in counts.parts(self.AT_ONCE):
+            held += np.bincount(part.f, minlength=len(idf))
         long = np.sort(np.argsort(-held, kind="stable")[:self.LONG])
         self.column = np.full(len(idf) + 1, -1, np.int32)
         self.column[long] = np.arange(len(long))
         self.blocks = -(-n // self.BLOCK)
-        at = self.column[f]
-        cut = np.flatnonzero(at >= 0)
-        e = np.repeat(np.arange(n, dtype=np.int32), counts.sizes)
-        main = np.lexsort(_heaviest(n, e[cut], at[cut], w[cut]).T[::-1])
+        heavy = np.full((n, 3), -1, np.int32)
+        for first, part in counts.parts(self.AT_ONCE):
+            at = self.column[part.f]
+            cut = np.flatnonzero(at >= 0)
+            rows = len(part.sizes)
+            heavy[first:first + rows] = _heaviest(rows, part.row[cut], at[cut], self._unit(part, np.float32)[cut])
+        main = np.lexsort(heavy.T[::-1])
         self.place = np.concatenate([main, np.arange(n, self.blocks * self.BLOCK)])  # which example stands where
         spot = np.empty(len(self.place), np.int32)
         spot[self.place] = np.arange(len(self.place))
-        e = spot[e]
         wide = np.zeros((len(self.place), len(long)), np.float32)
-        wide[e[cut], at[cut]] = w[cut]
+        held[long] = 0
+        self.start = np.concatenate([[0], np.cumsum(held), [held.sum()]])
+        self.listed, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        free = self.start[:-1].copy()  # where the next example of a short list goes
+        for first, part in counts.parts(self.AT_ONCE):
+            at, w, e = self.column[part.f], self._unit(part, np.float32), spot[first + part.row]
+            cut = np.flatnonzero(at >= 0)
+            wide[e[cut], at[cut]] = w[cut]
+            rest = np.flatnonzero(at < 0)
+            rest = rest[np.argsort(part.f[rest], kind="stable")]
+            some, size = np.unique(part.f[rest], return_counts=True)
+            to = _ranges(free[some], size)
+            self.listed[to], self.weight[to] = e[rest], w[rest]
+            free[some] += size
         self.wide = wide.reshape(self.blocks, self.BLOCK, len(long))
         self.largest = self.wide.max(1, initial=0)  # of each long list, per block
-        rest = np.flatnonzero(at < 0)
-        del at, cut
-        f, w, e = f[rest], w[rest], e[rest]
-        order = np.argsort(f, kind="stable")
-        self.listed, self.weight = e[order], w[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(idf) + 1))])
         self.scored = self.skipped = 0
 
     def _unit(self, counts: Counts, kind: type = np.float64) -> np.ndarray:
@@ -191,9 +219,13 @@ class Examples:
         rough = query.astype(np.float32)
         row, f, w = row[at < 0], f[at < 0], w[at < 0]
         size = self.start[f + 1] - self.start[f]
-        found = _ranges(self.start[f], size)
-        short = np.bincount(np.repeat((row * width).astype(np.int32), size) + self.listed[found], np.repeat(w.astype(np.float32), size) * self.weight[found], texts * width)
-        short = short.astype(float).reshape(texts, self.blocks, self.BLOCK)
+        short = np.zeros((texts, width))
+        for first in range(0, texts, self.SOME):
+            span, some = slice(*np.searchsorted(row, (first, first + self.SOME)).tolist()), short[first:first + self.SOME]
+            found = _ranges(self.start[f[span]], size[span])
+            spots = np.repeat(((row[span] - first) * width).astype(np.int32), size[span]) + self.listed[found]
+            some[:] = np.bincount(spots, np.repeat(w[span].astype(np.float32), size[span]) * self.weight[found], some.size).reshape(some.shape)
+        short = short.reshape(texts, self.blocks, self.BLOCK)
         # a sum of m products in single precision is off by less than m * 2**-23 times both lengths
         doubt = (2 * self.LONG * 2.0 ** -23) * np.sqrt((query * query).sum(1)) + 2.0 ** -22
         bound = short.max(2) + rough @ self.largest.T + 2 * doubt[:, None]
@@ -249,21 +281,38 @@ def _heaviest(n: int, e: np.ndarray, column: np.ndarray, w: np.ndarray) -> np.nd
     return out
 
 
+class PackedCounts:
+    """Counts in compressed parts, taken out one at a time."""
+
+    def __init__(self, sizes: np.ndarray, packed: list[tuple[int, int, bytes, bytes]]):
+        self.sizes, self.packed = sizes, packed
+
+    @classmethod
+    def of(cls, counts: Counts, size: int) -> PackedCounts:
+        small = lambda x: pa.compress(np.ascontiguousarray(x, np.int32).tobytes(), "zstd", asbytes=True)
+        return cls(counts.sizes, [(first, first + len(part.sizes), small(np.diff(part.f, prepend=0)), small(part.n))
+                                  for first, part in counts.parts(size)])
+
+    def parts(self, size: int) -> Iterator[tuple[int, Counts]]:
+        """The parts as they were cut."""
+        for first, stop, *columns in self.packed:
+            sizes = self.sizes[first:stop]
+            f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True) if sizes.any() else b"", np.int32) for x in columns)
+            yield first, Counts(sizes, np.cumsum(f, dtype=np.int32), n)
+
+
 class Packed:
     """Examples on their way to the tasks: counts of features, compressed; the index is built where they are unpickled."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Counts, *more):
-        packed = (pa.compress(np.ascontiguousarray(x, np.int32).tobytes(), "zstd", asbytes=True) for x in (np.diff(counts.f, prepend=0), counts.n))
-        self.state = ids, labels, counts.sizes, *packed, *more
+        self.state = ids, labels, counts.sizes, PackedCounts.of(counts, Examples.AT_ONCE).packed, *more
 
     def __reduce__(self):
         return Packed.unpacked, self.state
 
     @staticmethod
-    def unpacked(ids, labels, sizes, f: bytes, n: bytes, *more) -> Examples:
-        f, n = (np.frombuffer(pa.decompress(x, 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32) for x in (f, n))
-        examples = Examples(ids, labels, Counts(sizes, np.cumsum(f, dtype=np.int32), n), *more)
-        del f, n
+    def unpacked(ids, labels, sizes, packed: list, *more) -> Examples:
+        examples = Examples(ids, labels, PackedCounts(sizes, packed), *more)
         give_back()
         return examples
 
@@ -299,8 +348,9 @@ def scores(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
     known, model = fitted(docs, labels, label, held_out, sample_rows, k, chi_square, least, text, id, rest, sample_bytes)
 
     def score(stream):
+        new_stage()
         features, examples = known.value, model.value
-        for batch, values in batches(stream):
+        for batch, values in batches(stream, size=SCORED):
             votes = examples.votes(features(values))
             s = [x for x, _ in votes]
             yield pa.RecordBatch.from_arrays(
@@ -324,6 +374,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
     known = spark.sparkContext.broadcast(Features(hashes))  # 8 bytes a feature
 
     def example(stream):
+        new_stage()
         features = known.value
         for batch, values in batches(stream):
             counts = features(values)
@@ -332,6 +383,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[C
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *lists], ["doc_id", "label", "tie", "f", "n"])
 
     def document_counts(stream):
+        new_stage()
         features, total = known.value, np.zeros(width, np.int64)
         for _, values in batches(stream):
             f = features(values).f
@@ -358,9 +410,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str, held_out: Call
     known, model = fitted(docs, labels, label, held_out, text=text, id=id, **fit)
 
     def keep(stream):
+        new_stage()
         features, examples = known.value, model.value
         for batch in stream:
-            for part, values in batches([batch], text):
+            for part, values in batches([batch], text, SCORED):
                 clean = [s < threshold for s, _ in examples.votes(features([v or b"" for v in values]))]
                 if any(clean):
                     yield part.filter(pa.array(clean))

@@ -47,17 +47,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 class RunHashes:
     """Hashes of runs of bytes (ascending, not overlapping) from running sums, a bounded piece of bytes at a time."""
 
-    def __init__(self):
+    def __init__(self, piece: int | None = None):
+        self.piece = piece or PIECE
         self.up = self.down = np.zeros(0, np.uint64)
 
     def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out, at = np.empty(len(start), np.uint64), 0
         while at < len(start):
             low = int(start[at])
-            stop = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+            stop = max(at + 1, int(np.searchsorted(end, low + self.piece, "right")))
             size = int(end[stop - 1]) - low
             if size > len(self.up):
-                self.up, self.down = _powers(BASE, max(size, PIECE)), _powers(pow(BASE, -1, 1 << 64), max(size, PIECE))
+                self.up, self.down = _powers(BASE, max(size, self.piece)), _powers(pow(BASE, -1, 1 << 64), max(size, self.piece))
             sums = np.zeros(size + 1, np.uint64)
             # digits from one up, so runs of different lengths differ; the start is divided out
             np.add(raw[low:low + size], 1, out=sums[1:], dtype=np.uint64)

@@ -1,8 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
+import glob
 import hashlib
+import os
 import random
 import re
+import tempfile
+import time
 import tracemalloc
 import zlib
 
@@ -725,3 +729,16 @@ def test_entries_are_chosen_without_a_shuffle(spark):
     pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(pairs) > 10 and max(map(len, sets.values())) <= near_dedup.K
     assert all(len(of[a] & of[b]) >= min(least[a], least[b]) for a, b in pairs)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: {f for d in top.split(",") for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*.data") + glob.glob(f"{d}/spark-*/blockmgr-*/*/shuffle_*.data")}
+    spark.range(99).repartition(3, "id").collect()
+    before, setting = files(), spark.conf.get(common.CLEANED, None)
+    assert before  # this is where they are
+    table = common.written(spark.range(100_000).repartition(7, "id"), "cleaned")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 100_000 and spark.conf.get(common.CLEANED, None) == setting

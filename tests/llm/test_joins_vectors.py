@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from watchframe.llm import ngram_join, queries, vector_codes, whitening
@@ -294,3 +295,28 @@ def test_blocks_send_an_owner_once():
     assert sum(len(b) for _, b in cut) < 9 * len(tokens)
     got = np.concatenate([ngram_join._unpack(b, p) for _, b in cut for p in range(ngram_join.PARTS)])
     assert sorted(zip(got["token"].tolist(), got["c"].tolist())) == sorted(zip(tokens.tolist(), table["c"][owners].tolist()))
+
+
+def test_blocks_hold_entries_of_repeated_signatures_only(monkeypatch):
+    r = np.random.default_rng(8)
+    table = np.zeros(50, ngram_join.OWNER)
+    table["c"], table["kind"], table["need"] = np.arange(50), 14, 30
+    blobs, owned, taken = [], {}, []
+    for chunk in range(6):  # the sets of one come again in another, as copies do
+        owners = np.repeat(np.arange(50), 30) if chunk < 5 else np.repeat(np.arange(10), 30)
+        table["c"] = np.arange(50) + (50 * chunk if chunk < 5 else 0)
+        tokens = r.integers(1, 1 << 43, len(owners)).astype(np.uint64) << np.uint64(20)
+        tokens[::25] = r.integers(1, 9, len(tokens[::25])).astype(np.uint64) << np.uint64(61)
+        blobs += [b for _, b in ngram_join._blobs(tokens, owners, np.arange(len(owners)), table, 1)]
+        for t, c in zip(tokens.tolist(), table["c"][owners].tolist()):
+            owned.setdefault(t, set()).add(c)
+    none = pa.nulls(len(blobs), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary()), none, none, none],
+                                       ["block", "blob", "doc_id", "n", "c"])
+    add = ngram_join._Repeated.add
+    monkeypatch.setattr(ngram_join._Repeated, "add", lambda self, parts: taken.append(sum(map(len, parts))) or add(self, parts))
+    monkeypatch.setattr(ngram_join, "TAKEN", 20)
+    found = pa.Table.from_batches(ngram_join._repeated(iter([batch])))
+    got = {(t % (1 << 64), c) for t, c in zip(found["token"].to_pylist(), found["c"].to_pylist()) if t is not None}
+    assert got == {(t, c) for t, some in owned.items() if len(some) > 1 for c in some}
+    assert sum(taken) == sum(len(t) for t in [[x for x in ngram_join._tokens(b, p).tolist() if len(owned[x]) > 1] for b in blobs for p in range(ngram_join.PARTS)])

@@ -34,10 +34,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends, and not when the driver collects garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage and outlives executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """The rows as a table in the shared folder: cuts the lineage and outlives executors.
+
+    Nothing reads the shuffle files of the query again, so they go with its end.
+    """
+    path, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANED)
+        else:
+            conf.set(CLEANED, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written = path
     return table

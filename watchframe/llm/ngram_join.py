@@ -2,7 +2,8 @@
 
 Tasks make the signatures of their texts (``signatures``), sort them and cut them into blocks by
 range, so what is shuffled are compressed arrays and not rows.  A block keeps the signatures that
-several sets have; its parts stream one by one, and hold one entry for each distinct signature.  Most sets have
+several sets have; its parts stream one by one, first the tokens alone, of which each distinct one is held, then the
+entries of those that came more than once, one of each held.  Most sets have
 no partner: what their places without a common signature must differ by exceeds what a partner
 may differ by.  They go, signatures that they alone shared go with them, and of the rest each set
 keeps only those without which its allowance would be exceeded, rarest first.  That is exact: of
@@ -45,8 +46,8 @@ CHUNK, BLOCK = 4 << 20, 8 << 20
 PARTS, WAITING = 4, 64 << 20
 #: Blocks that one shuffle cuts at most; more are cut in two steps, so arrays stay long.
 CUTS = 4096
-#: Signatures that a block takes in at once, and that the second step gathers before it cuts.
-TAKEN, GATHERED = 1 << 18, 1 << 21
+#: Tokens that a block counts at once, repeated signatures that it takes in at once, and signatures that the second step gathers before it cuts.
+COUNTED, TAKEN, GATHERED = 1 << 20, 1 << 18, 1 << 21
 #: The owner of a signature: set, 2 * band + level, need.
 OWNER = np.dtype([("c", "<i8"), ("kind", "<i4"), ("need", "<i4")])
 #: One signature on its way: token, owner, place and cost.
@@ -72,39 +73,64 @@ def _columns(raw: bytes, kinds: list) -> list[np.ndarray]:
 
 
 def _pack(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray, ends: list[int] | None = None) -> bytes:
-    """The table of the owners that occur, then the entries up to each of ``ends``: tokens, owners as steps in the table, and spots.
+    """The table of the owners that occur, then the entries up to each of ``ends``: tokens, and owners as steps in the table with spots.
 
     Bytes lie by place for the codec, and each piece is compressed on its own.
     """
-    some, number = np.unique(owners, return_inverse=True)
-    pieces, start = [_planes([table[name][some] for name in OWNER.names])], 0
+    used = np.zeros(len(table), bool)
+    used[owners] = True
+    number = (np.cumsum(used) - 1)[owners]
+    pieces, start = [_planes([table[name][used] for name in OWNER.names])], 0
     for end in ends or [len(tokens)]:
         steps = np.diff(number[start:end].astype("<u4"), prepend=np.uint32(0))  # modulo 2**32
-        pieces.append(_planes([tokens[start:end], steps, spots[start:end].astype("<u4")]))
+        pieces += [_planes([tokens[start:end]]), _planes([steps, spots[start:end].astype("<u4")])]
         start = end
     packed = [pa.compress(p, "zstd", asbytes=True) if p else b"" for p in pieces]
     return b"".join([np.array([len(packed), *map(len, pieces), *map(len, packed)], "<i8").tobytes(), *packed])
 
 
-def _unpack(blob: bytes, part: int = 0) -> np.ndarray:
-    """The entries of one part."""
+def _piece(blob: bytes, i: int) -> bytes:
     count = int(np.frombuffer(blob, "<i8", 1)[0])
     raw, packed = np.frombuffer(blob, "<i8", 2 * count, 8).reshape(2, count).tolist()
+    at = 8 + 16 * count + sum(packed[:i])
+    return pa.decompress(blob[at:at + packed[i]], raw[i], "zstd", asbytes=True) if raw[i] else b""
 
-    def piece(i):
-        at = 8 + 16 * count + sum(packed[:i])
-        return pa.decompress(blob[at:at + packed[i]], raw[i], "zstd", asbytes=True) if raw[i] else b""
 
-    tokens, steps, spots = _columns(piece(part + 1), ["<u8", "<u4", "<u4"])
-    out = np.empty(len(tokens), ENTRY)
-    if len(tokens):
-        number = np.cumsum(steps, dtype=np.uint32)
-        out["token"], out["place"], out["cost"] = tokens, spots >> 1, (spots & 1) + 1
-        for name, column in zip(OWNER.names, _columns(piece(0), [OWNER[x] for x in OWNER.names]), strict=True):
+def _tokens(blob: bytes, part: int = 0) -> np.ndarray:
+    """The tokens of one part."""
+    return _columns(_piece(blob, 1 + 2 * part), ["<u8"])[0]
+
+
+def _unpack(blob: bytes, part: int = 0, among: _Among | None = None) -> np.ndarray:
+    """The entries of one part, or those whose token is among some."""
+    tokens = _tokens(blob, part)
+    some = among(tokens) if among else np.arange(len(tokens))
+    out = np.empty(len(some), ENTRY)
+    if len(some):
+        steps, spots = _columns(_piece(blob, 2 + 2 * part), ["<u4", "<u4"])
+        number, spots = np.cumsum(steps, dtype=np.uint32)[some], spots[some]
+        out["token"], out["place"], out["cost"] = tokens[some], spots >> 1, (spots & 1) + 1
+        for name, column in zip(OWNER.names, _columns(_piece(blob, 0), [OWNER[x] for x in OWNER.names]), strict=True):
             out[name] = column[number]
     return out
 
 
+class _Among:
+    """Finds tokens that are among some sorted ones."""
+
+    def __init__(self, some: np.ndarray):
+        self.some, self.maybe = some, np.zeros(1 << 20, bool)
+        self.maybe[self._slot(some)] = True
+
+    def _slot(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(20) & np.uint64(len(self.maybe) - 1)).astype(np.int64)
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        """Their positions."""
+        spots = np.flatnonzero(self.maybe[self._slot(tokens)])
+        return spots[self.some[np.searchsorted(self.some, tokens[spots]).clip(max=len(self.some) - 1)] == tokens[spots]] if len(spots) else spots
+
+
 def _blobs(tokens: np.ndarray, owners: np.ndarray, spots: np.ndarray, table: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """The signatures of each of ``blocks`` equal ranges of tokens that has any, those of an owner side by side."""
     fine = (((tokens >> np.uint64(32)) * np.uint64(blocks * PARTS)) >> np.uint64(32)).astype(np.int64)
@@ -174,6 +200,19 @@ def _recut(blocks: int):
     return run
 
 
+class _Seen:
+    """The distinct tokens of a part of a block, and which of them came more than once."""
+
+    def __init__(self):
+        self.tokens, self.twice = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def add(self, parts: list[np.ndarray]) -> None:
+        every = np.concatenate([self.tokens, self.tokens[self.twice], *parts])
+        every.sort()
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        self.tokens, self.twice = every[first], np.diff(first, append=len(every)) > 1
+
+
 class _Repeated:
     """Entries of the tokens of a block that several owners have; holds one entry a token."""
 
@@ -209,16 +248,25 @@ def _repeated(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              *(pa.array(found[x]) for x in ("kind", "need", "place", "cost"))], schema=fields)
 
     def of_block(waiting, sizes):
-        for p in range(PARTS):
+        def gathered(made, most):
             waiting.seek(0)
-            block, parts, size = _Repeated(), [], 0
+            parts, size = [], 0
             for length in sizes:
-                parts.append(_unpack(waiting.read(length), p))
+                parts.append(made(waiting.read(length)))
                 size += len(parts[-1])
-                if size > TAKEN:
-                    yield entries(block.add(parts))
+                if size > most:
+                    yield parts
                     parts, size = [], 0
             if size:
+                yield parts
+
+        for p in range(PARTS):
+            seen = _Seen()
+            for parts in gathered(lambda blob: _tokens(blob, p), COUNTED):  # noqa: B023
+                seen.add(parts)
+            among, block = _Among(seen.tokens[seen.twice]), _Repeated()
+            del seen
+            for parts in gathered(lambda blob: _unpack(blob, p, among), TAKEN):  # noqa: B023
                 yield entries(block.add(parts))
         waiting.close()
 

@@ -98,3 +98,15 @@ def test_repeated_rows_and_extra_columns(spark, folder):
         odd = stage(spark, odd, path)
     assert odd.columns == [*docs.columns, "label", "h", "c", "kept", "_id"]
     assert odd.groupBy("text").count().where("count > 1").count() == 0
+
+
+def test_stages_send_small_batches_to_the_workers(spark, folder):
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    try:
+        for given, want in (("10000", 1000), ("0", 1000), ("200", 200)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+            corpus_pipeline.drop_copies(spark, docs.limit(3), folder)
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", setting)

@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -81,6 +82,35 @@ def test_random_texts_are_the_library():
     assert lib.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_marks_after_words_are_encoded_once():
+    enc, sent = token_output.LibraryEncoder(BYTES), []
+    library = enc.library
+
+    class Counted:
+        def encode_batch_fast(self, strings, **more):
+            sent.extend(strings)
+            return library.encode_batch_fast(strings, **more)
+
+    enc.library = Counted()
+    words = ["".join(w) for w in itertools.product("bdfghjkm", "aeiou", "lnprst", "aeiou")]
+    got = enc.encode([" ".join(w + mark for w in words) for mark in ("", ".", ",", "!!", '?"', "...", "$$$", ";")])
+    assert len({len(g) for g in got}) > 1
+    # eight times the words before
+    assert sum(map(len, sent)) < 2 * sum(len(w) + 1 for w in words)
+
+
+def test_memory_of_pieces_is_bounded():
+    r, tok = random.Random(2), Tokenizer.from_file(BYTES)
+    enc = token_output.LibraryEncoder(BYTES, memory=40)
+    for _ in range(60):
+        texts = [" ".join(["the", "of."] + [r.choice("abcé") * r.randint(1, 30) + r.choice(["", ".", "'", "<|", "\nx"]) for _ in range(9)])
+                 for _ in range(3)] + ["", "two  spaces"]
+        r.shuffle(texts)
+        assert enc.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(enc.known) < 40 + 2 * 40
+    assert enc.encode([]) == []
+
+
 def test_trees_merge_long_words_alike():
     from watchframe.llm.merges import encode_long, encode_many, vocabulary
     voc, r = vocabulary(BYTES), random.Random(1)
@@ -120,6 +150,15 @@ def test_token_files(docs, empty):
     assert token_output.digests(token_output.write_ids(empty, BYTES)).count() == 0
 
 
+def test_token_files_without_end_id(docs):
+    tok = Tokenizer.from_file(BYTES)
+    got = token_output.digests(token_output.write_ids(docs, BYTES, end_id=None)).collect()
+    want = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in
+            ((i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in ROWS) if ids]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got if r.n_tokens), key=key) == sorted(want, key=key)
+    assert len(got) == len(ROWS)
+
+
 def test_index_knows_its_keys_only(spark, docs):
     made = token_output.write_ids(docs, BYTES, keys_per_file=8)
     keys = spark.createDataFrame([(i, 0) for i in range(-50, 50)], "doc_id long, copy long")

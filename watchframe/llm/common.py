@@ -110,9 +110,8 @@ def kept(key: str, make: Callable):
     return _kept[key]
 
 
-def batches(stream: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 21,
-            raw: bool = True) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches holding about ``size`` bytes of text, with the texts as bytes or str."""
+def slices(stream: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches holding about ``size`` bytes of text."""
     new_stage()
     for batch in stream:
         if not batch.num_rows:
@@ -123,11 +122,18 @@ def batches(stream: Iterable[pa.RecordBatch], column: str = "text", size: int =
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
-            part = values.slice(start, stop - start)
-            yield batch.slice(start, stop - start), (part.cast(pa.binary()) if raw else part).to_pylist()
+            yield batch.slice(start, stop - start)
             start = stop
 
 
+def batches(stream: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 21,
+            raw: bool = True) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches holding about ``size`` bytes of text, with the texts as bytes or str."""
+    for part in slices(stream, column, size):
+        values = part.column(part.schema.get_field_index(column))
+        yield part, (values.cast(pa.binary()) if raw else values).to_pylist()
+
+
 def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> bytes:
     """Bloom bitmap of a column of 64-bit hashes, built by map-side aggregation.
 

@@ -18,16 +18,18 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.bpe import Encoder
-from watchframe.llm.common import batches, new_folder, texts, written
+from watchframe.llm.common import new_folder, slices, texts, written
 from watchframe.llm.merges import vocabulary
 
 
@@ -47,46 +49,138 @@ def _put(folder: str, name: str, parts) -> None:
     store.move(made, f"{root}/{name}")
 
 
-class LibraryEncoder(Encoder):
-    """Pieces encoded by the tokenizers library, many in one call."""
+#: Any white space but single spaces and line ends inside a text.
+NOT_PLAIN = (r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
+             r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+#: Letters and digits after which the pre-token pattern cuts before a mark.
+LETTERS = r"0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}\x{48a}-\x{52f}"
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
+class LibraryEncoder:
+    """Texts encoded by the tokenizers library, which gets each distinct piece once while it is remembered.
+
+    Plainly spaced texts are cut at single spaces and line ends, and marks at the end of a word are cut off.
+    A piece after a line end starts with it, and so does the first of a text, whose line end is taken off
+    again; marks follow nothing, the other pieces a space.
+    """
 
     def __init__(self, path: str, memory: int = 600_000):
-        super().__init__(vocabulary(path), memory)
         from tokenizers import Tokenizer
+        self.memory = memory
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        voc = vocabulary(path)
         #: Ids that begin a piece: those whose bytes start with a space or a line end.
-        self.leads = np.array([b[:1] in (b" ", b"\n") for b in self.voc.bytes_of])
-
-    def _call(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > self.memory:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        for s in range(0, len(new), 2000):
-            part = new[s:s + 2000]
-            # a first piece gets a line end before it, which is taken off again
-            strings = ["\n" + p[2:] if p.startswith("\0 ") else p if p[0] == "\n" else " " + p for p in part]
+        self.leads = np.array([b[:1] in (b" ", b"\n") for b in voc.bytes_of])
+        self.marks = "".join(c for c in MARKS if not any(c in w for w in voc.special))
+        self.ended = f"[{LETTERS}][{''.join(f'\\x{{{ord(c):x}}}' for c in self.marks)}]+\\z"
+        self._start()
+
+    def _start(self) -> None:
+        """The row of each piece; a row has a range of ``pool`` and the number of slices it was in.  Row 0 is no ids."""
+        self.known: dict[str, int] = {}
+        self.pool, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.seen = np.zeros((3, 0), np.int64)
+        self._add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember pieces that are not known, with ``sizes`` ids each."""
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        end = self.n_ids + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.n_ids], np.zeros(end, np.uint32)])
+        self.pool[self.n_ids:end] = ids
+        self.starts = np.append(self.starts, self.n_ids + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.seen = np.append(self.seen, np.zeros(len(sizes), np.int64))
+        self.n_ids = end
+
+    def _ids(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the rows, one after the other."""
+        sizes = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        return self.pool[at]
+
+    def _call(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings, and how many each has."""
+        coded = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _forget(self) -> None:
+        """Keep the pieces that were in several slices, if they are at most half of the memory."""
+        keep = self.seen > 1
+        if 2 * keep.sum() > self.memory or 2 * self.sizes[keep].sum() > 16 * self.memory:
+            keep[:] = False
+        keep[0] = False  # a new start has it
+        pieces, rows = list(compress(self.known, keep.tolist())), np.flatnonzero(keep)
+        ids, sizes = self._ids(rows), self.sizes[rows]
+        self._start()
+        self._add(pieces, ids, sizes)
+
+    def _call_spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces after their space, many in one string: each begins with the id of a space or line end."""
+        coded = []
+        for s in range(0, len(pieces), 2000):
+            strings = [p if p[0] == "\n" else " " + p for p in pieces[s:s + 2000]]
             ids = self._call(["".join(strings)])[0]
-            starts = np.flatnonzero(self.leads[np.frombuffer(ids, "<u4")])
-            if len(starts) == len(part) and starts[0] == 0:
-                ends = (4 * np.append(starts[1:], len(ids) // 4)).tolist()
-                coded = [ids[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(strings) and starts[0] == 0:
+                coded.append((ids, np.diff(starts, append=len(ids))))
             else:
-                coded = self._call(strings)
-            for p, c in zip(part, coded, strict=True):
-                self.known[p] = c[4:] if p.startswith("\0 ") else c
+                coded.append(self._call(strings))
+        ids, sizes = zip(*coded, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _rows(self, pieces: pa.Array, call: Callable) -> np.ndarray:
+        """The row of each piece; ``call`` encodes those that are not known."""
+        coded = pieces.dictionary_encode()
+        strings = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = np.arange(len(self.known), len(self.known) + len(new))
+            names = [strings[k] for k in new.tolist()]
+            self._add(names, *call(names))
+        self.seen[rows] += 1
+        return rows[coded.indices.to_numpy()]
+
+    def encode_array(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each led by the id of a line end, and how many each has with it."""
+        if len(self.known) > self.memory or self.n_ids > 16 * self.memory:
+            self._forget()
+        docs = docs.cast(pa.large_string())
+        empty, line_end = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        odd = pc.match_substring_regex(docs, NOT_PLAIN)
+        plain = pc.replace_substring(pc.if_else(odd, empty, docs), "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(line_end, plain, empty), " ")
+        pieces = lists.flatten().dictionary_encode()
+        distinct = pieces.dictionary
+        ended = pc.match_substring_regex(distinct, self.ended)
+        pairs = np.zeros((len(distinct), 2), np.int64)
+        pairs[:, 0] = self._rows(pc.if_else(ended, pc.utf8_rtrim(distinct, characters=self.marks), distinct), self._call_spaced)
+        marks = pc.replace_substring_regex(distinct.filter(ended), f"(?s)\\A.*[{LETTERS}]", " ")
+        pairs[ended.to_numpy(zero_copy_only=False), 1] = self._rows(marks, lambda new: self._call([m[1:] for m in new]))
+        rows = pairs[pieces.indices.to_numpy()]
+        ids, sizes = self._ids(rows.ravel()), self.sizes[rows].sum(1)
+        lengths = np.add.reduceat(sizes, lists.offsets.to_numpy()[:-1])
+        if not pc.any(odd).as_py():
+            return ids, lengths
+        # the place of an odd text has a line end alone; its ids go after it
+        spots = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        extra, more = self._call(docs.filter(odd).to_pylist())
+        ids = np.insert(ids, np.repeat(np.cumsum(lengths)[spots], more), extra)
+        lengths[spots] += more
+        return ids, lengths
 
     def encode(self, docs: list[str]) -> list[bytes]:
-        from watchframe.llm.bpe import pieces_of, plain_spacing
-        plain = [pieces_of(t) if t and plain_spacing(t) else None for t in docs]
-        self.learn({p for ps in plain if ps for p in ps})
-        odd = iter(self._call([t for t, ps in zip(docs, plain, strict=True) if not ps]))
-        return [b"".join([self.known[p] for p in ps]) if ps else next(odd) for ps in plain]
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not docs:
+            return []
+        ids, lengths = self.encode_array(pa.array(docs, pa.string()))
+        return [part[1:].astype("<u4").tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1])]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -176,20 +270,24 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = 2, text: str = "t
     folder = new_folder(spark, "token-ids")
     top = max(len(vocabulary(path).bytes_of) - 1, end_id or 0)
     width = 2 if top < 1 << 16 else 4
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def write(stream):
         shard, kept = TaskContext.get().partitionId(), []
 
         def parts():
             enc, at = _encoder(path), 0
-            for batch, values in batches(stream, raw=False):
-                coded = [c + end for c in enc.encode(values)]
-                lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                offsets = at + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                at += int(lengths.sum())
-                kept.append((batch.column(0), offsets, lengths))
-                yield np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes()
+            for batch in slices(stream):
+                ids, lengths = enc.encode_array(batch.column(1))
+                firsts = np.cumsum(lengths) - lengths
+                if end_id is None:
+                    ids, lengths = np.delete(ids, firsts), lengths - 1
+                    firsts = np.cumsum(lengths) - lengths
+                else:  # a line end that leads a text becomes the end of the text before
+                    ids[firsts] = end_id
+                    ids = np.roll(ids, -1)
+                kept.append((batch.column(0), at + firsts, lengths))
+                at += len(ids)
+                yield ids.astype(f"<u{width}").tobytes()
 
         _put(f"{folder}/ids", f"{shard}.ids", parts())
         place = 0

@@ -9,8 +9,12 @@ everything that is not later than the watermark allows.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -55,28 +59,31 @@ class OrderedFold(StatefulProcessor):
         if at not in set(t if isinstance(t, int) else t[0] for t in self.handle.listTimers()):
             self.handle.registerTimer(at)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+    def _due(self, passed: int) -> Iterator[tuple[int, int, str]]:
+        """Takes the rows up to a time out of the waiting ones, in order, and sets the timer of the rest."""
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= passed]
         later = [r for r in rows if r[0] > passed]
-        state, last = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
-        out = []
-        for us, tie, body in ready:
-            state, found = self.fold(state, us, json.loads(body))
-            last = us
-            out += [Row(key=key[0], us=us, tie=tie, found=json.dumps(f)) for f in found]
         if later:
             self.waiting.put(later)
             self._wake_at(later[0][0])
         elif rows:
             self.waiting.clear()
+        return (r for r in rows if r[0] <= passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        state, last = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+        out, any_due = [], False
+        for us, tie, body in self._due(passed):
+            state, found = self.fold(state, us, json.loads(body))
+            last, any_due = us, True
+            out += [Row(key=key[0], us=us, tie=tie, found=json.dumps(f)) for f in found]
         quiet = self.ttl_us is not None and last is not None and last + self.ttl_us <= passed
         if state is None or quiet:
             if self.state.exists():
                 self.state.clear()
         else:
-            if ready:
+            if any_due:
                 self.state.update((json.dumps([state, last]),))
             if self.ttl_us is not None:
                 self._wake_at(last + self.ttl_us)
@@ -86,15 +93,65 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
+class ChunkedFold(OrderedFold):
+    """An ordered fold whose rows wait as chunks, each with the rows of a minute of event time.
+
+    Every call to the state is a round trip, and one that adds to a list takes longer the longer
+    the list is; so a chunk has many rows and a key of its own.  A timer reads the minutes that have begun.
+    """
+
+    MINUTE_US, HELD_BYTES, ROW_BYTES = 60_000_000, 8_000_000, 200
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "minute bigint, id string", "rows string")
+        self.state = handle.getValueState("state", "json string")
+
+    def _put(self, by_minute: dict[int, list]) -> None:
+        for minute, rows in by_minute.items():
+            self.chunks.updateValue((minute, uuid.uuid4().hex), (json.dumps(rows),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        held, size, first = defaultdict(list), 0, None
+        for row in rows:
+            held[row.us // self.MINUTE_US].append((row.us, row.tie, row.body))
+            size += len(row.body) + self.ROW_BYTES
+            first = row.us if first is None else min(first, row.us)
+            if size >= self.HELD_BYTES:
+                self._put(held)
+                held, size = defaultdict(list), 0
+        self._put(held)
+        if first is not None:
+            self._wake_at(first)
+        return iter(())
+
+    def _due(self, passed):
+        for minute, ids in groupby(sorted(self.chunks.keys()), lambda chunk: chunk[0]):
+            if minute * self.MINUTE_US > passed:
+                return self._wake_at(minute * self.MINUTE_US)
+            ids = list(ids)
+            rows = sorted(tuple(r) for i in ids for r in json.loads(self.chunks.getValue(i)[0]))
+            later = [r for r in rows if r[0] > passed]
+            if len(later) < len(rows):
+                for i in ids:
+                    self.chunks.removeKey(i)
+                if later:
+                    self._put({minute: later})
+                yield from rows[:len(rows) - len(later)]
+            if later:
+                return self._wake_at(later[0][0])
+
+
 def ordered_fold(events: DataFrame, key: Column, body: Column, fold: Fold, delay: str,
-                 ts: str = "ts", tie: str = "event_id", ttl_us: int | None = None) -> DataFrame:
+                 ts: str = "ts", tie: str = "event_id", ttl_us: int | None = None,
+                 made: type[OrderedFold] = OrderedFold) -> DataFrame:
     """Stream of (key, us, tie, found): JSON results of the fold per key."""
     rows = (events.withWatermark(ts, delay)
             .select(key.cast("string").alias("key"), F.col(ts).alias("at"),
                     F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"),
                     F.to_json(body).alias("body")))
     return rows.groupBy("key").transformWithState(
-        OrderedFold(fold, ttl_us), OUTPUT, "Append", "EventTime")
+        made(fold, ttl_us), OUTPUT, "Append", "EventTime")
 
 
 def _found(schema: str) -> list[Column]:
@@ -170,15 +227,15 @@ def quota_fold(ttl_us: int, limit: int) -> Fold:
 
 
 def new_process_fold(state, us, body):
-    """Pids of the present and the previous snapshot are keys of a dict (JSON keeps them as text)."""
+    """A pack of pids of one snapshot; those of the present and the previous one are keys of a dict (JSON keeps them as text)."""
     if state is None:
         state = {"at": us, "now": {}, "before": None}
     if us > state["at"]:
         state = {"at": us, "now": {}, "before": state["now"]}
-    pid = body["pid"]
-    is_new = state["before"] is not None and str(pid) not in state["before"]
-    state["now"][str(pid)] = 1
-    return state, [{"pid": pid}] if is_new else []
+    before = state["before"]
+    new = [] if before is None else [p for p in body["pids"] if p is None or str(p) not in before]
+    state["now"].update((str(p), 1) for p in body["pids"] if p is not None)
+    return state, [{"pids": new}] if new else []
 
 
 # ---------------------------------------------------------------- detections
@@ -242,10 +299,22 @@ def quota_stream(log: DataFrame, user: str = "user_id", delay: str = "2 minutes"
                         ).select(user, "event_id", "timestamp", "f.*")
 
 
-def new_processes_stream(snapshots: DataFrame, delay: str = "2 minutes") -> DataFrame:
-    """(host, ts, pid) snapshots; the pid breaks ties inside a snapshot."""
-    found = ordered_fold(snapshots, F.col("host"), F.struct("pid"), new_process_fold, delay, tie="pid")
-    return found.select(F.col("key").alias("host"), F.timestamp_micros("us").alias("ts"),
-                        F.col("tie").alias("pid"))
+def _snapshot_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per host and time of a batch, with all its pids."""
+    for batch in batches:
+        packs = pa.Table.from_batches([batch]).group_by(["host", "ts"], use_threads=False).aggregate([("pid", "list")])
+        yield from packs.select(["host", "ts", "pid_list"]).rename_columns(["host", "ts", "pids"]).to_batches()
 
 
+def new_processes_stream(snapshots: DataFrame, delay: str = "2 minutes") -> DataFrame:
+    """(host, ts, pid) snapshots; rows without a time are in none, a null pid is always new.
+
+    Rows are packed where they are read, so one task gets a host's snapshots, not its single rows.
+    """
+    packs = (snapshots.where(F.col("ts").isNotNull())
+             .select(F.col("host").cast("string"), "ts", F.col("pid").cast("bigint"))
+             .mapInArrow(_snapshot_packs, "host string, ts timestamp, pids array<bigint>")
+             .withColumn("tie", F.lit(0).cast("bigint")))
+    found = ordered_fold(packs, F.col("host"), F.struct("pids"), new_process_fold, delay, tie="tie", made=ChunkedFold)
+    return found.select(F.col("key").alias("host"), F.timestamp_micros("us").alias("ts"),
+                        F.explode(F.from_json("found", "pids array<bigint>")["pids"]).alias("pid"))
